@@ -1,0 +1,364 @@
+"""Input tables of the queries, derived from the given tables.
+
+Each table is one SELECT that Spark and the checking engine both understand, so
+either side can compute it from the same parquet files. Only text, `%`, CASE and
+`md5` are used; every row follows from rows of the given tables.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sessionloom import constants as K
+
+BASE = ["conversations", "documents", "events", "labels", "pages"]
+
+
+def div(a: str, b: int) -> str:
+    return f"CAST((({a}) - ({a}) % {b}) / {b} AS BIGINT)"
+
+
+def text(expr: str) -> str:
+    return f"CAST({expr} AS STRING)"
+
+
+def pick(values: list[str], k: str) -> str:
+    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE ({k}) {arms} END"
+
+
+def escaped(c: str) -> str:
+    """JSON string body."""
+    for raw, code in (("chr(92)", "chr(92)"), ("chr(34)", "chr(34)"), ("chr(10)", "'n'"),
+                      ("chr(13)", "'r'"), ("chr(9)", "'t'")):
+        c = f"replace({c}, {raw}, chr(92) || {code})"
+    return c
+
+
+NL = "chr(10)"
+TURN = div("ord", 4)
+STAMP = (
+    f"'2024-01-' || lpad({text('1 + conv_id % 28')}, 2, '0') || 'T' || "
+    f"lpad({text(f'{TURN} % 24')}, 2, '0') || ':00:00Z'"
+)
+MD_TS = f"CASE WHEN (conv_id + ord) % 2 = 0 THEN '<!-- ts: ' || ts || ' -->' || {NL} ELSE '' END"
+MD_FENCE = (
+    f"CASE WHEN (conv_id + ord) % 5 = 0 THEN '```' || {NL} || '## User' || {NL} || '```' || {NL} "
+    "ELSE '' END"
+)
+LONG_OUT = f"CASE WHEN (conv_id + ord) % 3 = 0 THEN ' ' || repeat('x', 600) ELSE '' END"
+CRLF = "CASE WHEN conv_id % 6 = 0 AND fmt = 'markdown' THEN 1 ELSE 0 END"
+REF = f"""CASE WHEN (conv_id * 31 + turn) % 17 = 0 THEN '/abs/m' || {text('turn')} || '.ts'
+  WHEN (conv_id * 31 + turn) % 19 = 0 THEN '../up/m' || {text('turn')} || '.ts'
+  ELSE 'src/m' || {text('turn')} || '.ts' END"""
+PID = f"'conv-' || {text('conv_id')}"
+SHA40 = "left(md5('c' || {k}) || md5('d' || {k}), 40)"
+
+TABLES: dict[str, str] = {
+    # Turns with tool rows added between them.
+    "turns": f"""
+SELECT conv_id, turn * 4 AS ord, role, text FROM conversations
+UNION ALL
+SELECT conv_id, turn * 4 + 1 AS ord, 'assistant' AS role,
+  '[tool: t' || {text('turn % 3')} || ']' AS text
+FROM conversations WHERE (conv_id * 7 + turn) % 11 = 0 AND role = 'assistant'
+UNION ALL
+SELECT conv_id, turn * 4 + 2 AS ord, 'tool' AS role,
+  '[tool_result] exit ' || {text('turn')} AS text
+FROM conversations WHERE (conv_id * 7 + turn) % 13 = 0""",
+    # One entry per conversation.
+    "convs": """
+SELECT conv_id, count(*) AS n_turns, max(turn) AS max_turn,
+  min(CASE WHEN role = 'user' THEN turn END) AS first_user
+FROM conversations GROUP BY conv_id""",
+    "session_heads": f"""
+SELECT conv_id, fmt, {CRLF} AS crlf,
+  CASE fmt WHEN 'markdown' THEN '# Session ' || {text('conv_id')}
+    WHEN 'events' THEN '{{"type":"summary","summary":"s"}}'
+    WHEN 'rollout' THEN '{{"type":"session_meta","payload":{{"id":"' || {text('conv_id')} || '"}}}}'
+    ELSE 'Plain notes ' || {text('conv_id')} END AS line
+FROM (SELECT conv_id, CASE WHEN conv_id % 17 = 5 THEN 'plain' WHEN conv_id % 3 = 0 THEN 'markdown'
+  WHEN conv_id % 3 = 1 THEN 'events' ELSE 'rollout' END AS fmt FROM convs) f""",
+    # Text of each turn as it stands in its session file (one or more lines).
+    "session_blocks": f"""
+SELECT conv_id, ord, role, text, ts, fmt, {CRLF} AS crlf,
+  CASE fmt
+  WHEN 'markdown' THEN '## ' || upper(left(role, 1)) || substr(role, 2) || {NL} || {MD_TS}
+    || text || {NL} || {MD_FENCE}
+  WHEN 'events' THEN '{{"type":"' || CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END
+    || '","message":{{"role":"' || role || '","content":' ||
+    CASE WHEN ord % 4 = 1 THEN '[{{"type":"tool_use","name":"t' || {text(f'{TURN} % 3')} || '","input":{{}}}}]'
+      WHEN ord % 4 = 2 THEN '[{{"type":"tool_result","content":[{{"type":"text","text":"exit '
+        || {text(TURN)} || '"}}]}}]'
+      WHEN ord % 8 = 0 THEN '"' || {escaped('text')} || '"'
+      ELSE '[{{"type":"thinking","thinking":"hm"}},{{"type":"text","text":"' || {escaped('text')}
+        || '"}}]' END
+    || '}},"timestamp":"' || ts || '","sessionId":"s' || {text('conv_id')} || '"}}'
+    || CASE WHEN ord % 12 = 4 THEN {NL} || '{{"type":"permission-mode"}}' || {NL} || 'not json'
+      ELSE '' END
+  WHEN 'rollout' THEN '{{"timestamp":"' || ts || '","type":"' ||
+    CASE WHEN ord % 4 = 1 THEN 'response_item","payload":{{"type":"function_call","name":"t'
+        || {text(f'{TURN} % 3')} || '"}}}}'
+      WHEN ord % 4 = 2 THEN 'response_item","payload":{{"type":"function_call_output","output":"exit '
+        || {text(TURN)} || {LONG_OUT} || '"}}}}'
+      WHEN role = 'system' THEN 'response_item","payload":{{"type":"message","role":"developer"}}}}'
+      ELSE 'event_msg","payload":{{"type":"' || CASE WHEN role = 'user' THEN 'user' ELSE 'agent' END
+        || '_message","message":"' || {escaped('text')} || '"}}}}' END
+  ELSE text END AS block
+FROM (SELECT t.*, {STAMP} AS ts,
+  CASE WHEN conv_id % 17 = 5 THEN 'plain' WHEN conv_id % 3 = 0 THEN 'markdown'
+    WHEN conv_id % 3 = 1 THEN 'events' ELSE 'rollout' END AS fmt
+  FROM turns t) b""",
+    # Packet scalars.
+    "packets": f"""
+SELECT {PID} AS packet_id,
+  CASE WHEN c.conv_id % 19 = 0 THEN 'sessionloom.packet/v0' ELSE '{K.SCHEMA_VERSION}' END
+    AS schema_version,
+  CASE WHEN c.conv_id % 23 = 0 THEN 'x' ELSE 'Session ' || {text('c.conv_id')} END AS title,
+  {pick(K.STATUSES, 'c.conv_id % 8')} AS status,
+  {pick(K.LEVELS, 'c.conv_id % 4')} AS validation_level,
+  {pick(K.TASK_TYPES, 'c.conv_id % 6')} AS task_type,
+  CASE WHEN c.conv_id % 10 = 3 THEN '  ' WHEN c.conv_id % 29 = 4
+    THEN 'Use ghp' || '_' || md5({text('c.conv_id')}) || ' for this' ELSE u.text END AS objective,
+  'State after ' || {text('c.n_turns')} || ' turns' AS current_state,
+  CASE WHEN c.conv_id % 14 = 5 THEN '' ELSE 'Review turn ' || {text('c.max_turn')} END AS next_action,
+  CAST(c.conv_id % 13 AS DOUBLE) / CAST(10 AS DOUBLE) AS confidence_score,
+  c.conv_id % 5 <> 0 AS attached,
+  CASE WHEN c.conv_id % 5 <> 0 THEN '/repos/r' || {text('c.conv_id % 10')} END AS root,
+  CASE WHEN c.conv_id % 5 <> 0 THEN 'git' ELSE 'none' END AS vcs,
+  CASE WHEN c.conv_id % 5 <> 0 AND c.conv_id % 4 <> 3
+    THEN CASE WHEN c.conv_id % 4 = 1 THEN 'main' ELSE 'feature/f' || {text('c.conv_id % 6')} END END
+    AS branch,
+  CASE WHEN c.conv_id % 5 <> 0 AND c.conv_id % 3 <> 0 THEN 'main' END AS base_branch,
+  CASE WHEN c.conv_id % 5 <> 0 AND c.conv_id % 11 <> 1
+    THEN left({SHA40.format(k=text('c.conv_id % 20'))}, CAST(CASE WHEN c.conv_id % 2 = 0 THEN 7 ELSE 40 END AS INT))
+    END AS commit,
+  CASE WHEN c.conv_id % 5 <> 0 AND c.conv_id % 7 = 1
+    THEN {SHA40.format(k=text('c.conv_id % 9'))} END AS base_commit,
+  c.conv_id % 5 <> 0 AND c.conv_id % 2 = 0 AS dirty,
+  c.conv_id % 4 <> 0 AS has_policy,
+  c.conv_id % 4 IN (1, 3) AS approval_required,
+  c.conv_id % 8 <> 3 AS dispatch_allowed,
+  CASE WHEN c.conv_id % 8 = 3 AND c.conv_id % 16 = 3 THEN 'manual hold; stale context' ELSE '' END
+    AS policy_reasons,
+  CASE WHEN c.conv_id % 3 = 0 THEN CAST(256 + c.conv_id % 500 AS BIGINT) END AS context_budget,
+  c.conv_id % 2 = 0 AS include_provenance,
+  '2024-01-' || lpad({text('1 + c.conv_id % 28')}, 2, '0') || 'T00:00:00.000Z' AS created_at,
+  '2024-02-' || lpad({text('1 + c.conv_id % 27')}, 2, '0') || 'T00:00:00.000Z' AS updated_at,
+  'r' || {text('c.conv_id % 10')} AS repo
+FROM convs c LEFT JOIN conversations u ON u.conv_id = c.conv_id AND u.turn = c.first_user""".replace(
+        "'conv-' || CAST(conv_id AS STRING)", "'conv-' || CAST(c.conv_id AS STRING)"),
+    "questions": f"""
+SELECT {PID} AS packet_id, {div('turn', 4)} AS pos, 'q-' || {text('turn')} AS id,
+  'Is turn ' || {text('turn')} || ' done?' AS text, (conv_id + turn) % 2 = 0 AS blocking,
+  {pick(K.QUESTION_STATUSES, '(conv_id * 3 + turn) % 5 % 3')} AS status
+FROM conversations WHERE turn % 4 = 2""",
+    "context_items": f"""
+SELECT {PID} AS packet_id, turn AS pos, {pick(K.CONTEXT_KINDS, '(conv_id + turn) % 9')} AS kind,
+  {REF} AS ref, 'Touched | in turn ' || {text('turn')} AS reason, 1 + turn % 5 AS priority,
+  CAST(turn % 11 AS DOUBLE) / CAST(10 AS DOUBLE) AS freshness_score,
+  CASE WHEN (conv_id + turn) % 3 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS n_refs
+FROM conversations""",
+    "constraints": f"""
+SELECT {PID} AS packet_id, {div('turn', 3)} AS pos, 'c-' || {text('turn')} AS id,
+  {pick(K.CONSTRAINT_TYPES, '(conv_id + turn) % 6')} AS type,
+  'Keep turn ' || {text('turn')} || ' intact' AS text,
+  {pick(K.SEVERITIES, '(conv_id + turn) % 4')} AS severity,
+  {pick(K.CONSTRAINT_SOURCES, '(conv_id + turn) % 5')} AS source,
+  CASE WHEN (conv_id + turn) % 7 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS n_refs
+FROM conversations WHERE turn % 3 = 0""",
+    "attempts": f"""
+SELECT {PID} AS packet_id, {div('turn', 2)} AS pos, 'a-' || {text('turn')} AS id,
+  CASE WHEN turn % 4 = 1 THEN 'shell' ELSE 'editor' END AS tool,
+  'Tried step ' || {text('turn')} AS summary,
+  {pick(K.ATTEMPT_RESULTS, '(conv_id + turn) % 6')} AS result,
+  CASE WHEN (conv_id + turn) % 6 IN (1, 3) THEN 'step ' || {text('turn')} || ' broke' END
+    AS failure_reason,
+  CASE WHEN (conv_id + turn) % 4 = 0 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n_refs,
+  '2024-01-01T00:00:00.000Z' AS created_at
+FROM conversations WHERE turn % 2 = 1""",
+    "criteria": f"""
+SELECT {PID} AS packet_id, {div('turn', 3)} AS pos, 'ac-' || {text('turn')} AS id,
+  'Turn ' || {text('turn')} || ' is covered' AS text,
+  {pick(K.CRITERION_STATUSES, '(conv_id + turn) % 3')} AS status,
+  (conv_id + turn) % 4 = 1 AS required,
+  {pick(K.CRITERION_SOURCES, '(conv_id + turn) % 3')} AS source,
+  CASE WHEN (conv_id + turn) % 5 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS n_refs
+FROM conversations WHERE turn % 3 = 1""",
+    "warnings": f"""
+SELECT {PID} AS packet_id, {div('turn', 3)} AS pos,
+  'WARN_' || {text('turn')} AS code,
+  {pick(K.SEVERITIES, '(conv_id + turn) % 4')} AS severity,
+  'Turn ' || {text('turn')} || ' needs care' AS message, (conv_id + turn) % 3 <> 0 AS blocking,
+  {pick(K.WARNING_SOURCES, '(conv_id + turn) % 5')} AS source
+FROM conversations WHERE turn % 3 = 2""",
+    "provenance_links": f"""
+SELECT {PID} AS packet_id, turn AS pos, 'pl-' || left(md5({PID} || '|' || {text('turn')}), 16) AS id,
+  CASE WHEN turn = 0 THEN 'objective' ELSE 'context_items[' || {text('turn - 1')} || ']' END
+    AS field_name,
+  'transcript-' || left(md5({PID}), 16) AS artifact_id, 'transcript' AS source_type,
+  'transcript:' || {text('turn')} AS ref,
+  CASE WHEN turn % 2 = 0 THEN turn * 10 END AS span_start,
+  CASE WHEN turn % 2 = 0 THEN turn * 10 + (CASE WHEN turn % 4 = 2 THEN -1 ELSE 5 END) END AS span_end,
+  CASE WHEN turn % 3 = 0 THEN 'row | ' || {text('turn')} END AS excerpt
+FROM conversations WHERE turn % 7 <> 6""",
+    "source_artifacts": f"""
+SELECT {PID} AS packet_id, CAST(0 AS BIGINT) AS pos, 'transcript-' || left(md5({PID}), 16) AS id,
+  'transcript' AS type, 'cli' AS source_tool, 'transcript:' || {text('conv_id')} AS uri,
+  'md5:' || md5({PID}) AS digest, '2024-01-01T00:00:00.000Z' AS created_at
+FROM convs WHERE conv_id % 3 <> 1""",
+    # Repository inventories.
+    "file_inventory": f"""
+SELECT DISTINCT 'r' || {text('conv_id % 10')} AS repo, 'src/m' || {text('turn')} || '.ts' AS path
+FROM conversations WHERE (turn + conv_id % 10) % 4 <> 0 AND conv_id % 10 <> 9""",
+    "repo_refs": f"""
+SELECT DISTINCT 'r' || {text('conv_id % 10')} AS repo, 'commit' AS kind,
+  {SHA40.format(k=text('conv_id % 20'))} AS ref
+FROM conversations WHERE conv_id % 20 % 7 <> 0 AND conv_id % 10 <> 8
+UNION ALL
+SELECT DISTINCT 'r' || {text('conv_id % 10')} AS repo, 'branch' AS kind, 'main' AS ref
+FROM conversations WHERE conv_id % 2 = 0 AND conv_id % 10 <> 8
+UNION ALL
+SELECT DISTINCT 'r' || {text('conv_id % 10')} AS repo, 'branch' AS kind, 'master' AS ref
+FROM conversations WHERE conv_id % 10 % 3 = 0 AND conv_id % 10 <> 8""",
+    "repo_heads": f"""
+SELECT DISTINCT 'r' || {text('conv_id % 10')} AS repo,
+  {SHA40.format(k=text('conv_id % 10'))} AS head
+FROM conversations WHERE conv_id % 10 <> 7""",
+    # Comparisons that could be made, and the files in them.
+    "repo_diffs": f"""
+SELECT DISTINCT p.repo, p.commit AS from_commit, h.head AS to_commit
+FROM packets p JOIN repo_heads h ON h.repo = p.repo
+WHERE p.commit IS NOT NULL AND p.repo <> 'r6'""",
+    "changed_files": f"""
+SELECT DISTINCT d.repo, d.from_commit, d.to_commit, f.path
+FROM repo_diffs d JOIN (SELECT DISTINCT 'r' || {text('conv_id % 10')} AS repo,
+    'src/m' || {text('turn')} || '.ts' AS path FROM conversations
+    WHERE turn % 3 = conv_id % 10 % 3 AND conv_id % 10 <> 4) f ON f.repo = d.repo""",
+    # Journals.
+    "outcomes": f"""
+SELECT event_id AS seq, 'out-' || {text('event_id')} AS id, 'conv-' || {text('user_id')} AS packet_id,
+  CASE WHEN event_id % 9 = 4 THEN 'ci/../job ' || {text('event_id % 5')} WHEN event_id % 9 = 7 THEN ''
+    ELSE 'ci' END AS source_tool,
+  CASE event_type WHEN 'error' THEN 'The build failed: error 7'
+    WHEN 'purchase' THEN 'All tests passed' WHEN 'signup' THEN 'Still in progress, tests pass'
+    WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'red alert' ELSE 'unredacted text' END
+    ELSE '{{"note": "seen ' || {text('event_id')} || CASE WHEN event_id % 5 = 0 THEN '"' ELSE '"}}' END
+    END AS body,
+  {{ts}} AS created_at
+FROM events WHERE event_id % 3 = 1""",
+    "dispatches": f"""
+SELECT event_id AS seq, 'dis-' || {text('event_id')} AS id, 'conv-' || {text('user_id')} AS packet_id,
+  {pick(K.TARGETS, 'event_id % 4')} AS target_tool,
+  CASE WHEN event_id % 2 = 0 THEN 'file' ELSE 'stdout' END AS adapter,
+  CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'delivered' END AS status,
+  'out/' || {text('event_id')} || '.md' AS destination, {{ts}} AS created_at
+FROM events WHERE event_id % 3 = 0""",
+    "version_events": f"""
+SELECT event_id AS seq, 'conv-' || {text('user_id')} AS packet_id,
+  {pick(K.STATUSES + ['paused'], 'event_id % 11 % 9')} AS status,
+  {pick(K.LEVELS, 'event_id % 4')} AS validation_level,
+  md5({text('event_id % 50')}) AS digest,
+  CASE WHEN event_id % 101 = 2 THEN '' ELSE {{ts}} END AS updated_at
+FROM events WHERE event_id % 3 = 2""",
+    # Texts with a known secret at the end.
+    "secret_texts": f"""
+SELECT doc_id, text AS base, {NL} || repeat('. ', 30) || {NL} || tail AS tail,
+  text || {NL} || repeat('. ', 30) || {NL} || tail AS text
+FROM (SELECT doc_id, text, CASE doc_id % 23
+  WHEN 0 THEN 'ghp' || '_' || md5({text('doc_id')})
+  WHEN 1 THEN 'use (sk' || '-ant-' || md5({text('doc_id')}) || ') and AK' || 'IA' || left(md5('a'), 16)
+  WHEN 2 THEN '-----BEGIN RSA ' || 'PRIVATE KEY-----' || {NL} || 'x'
+  WHEN 3 THEN 'APP_MODE=' || left(md5({text('doc_id')}), 10)
+  WHEN 4 THEN 'APP_MODE=short'
+  WHEN 5 THEN 'password ' || repeat('.,', 15) || ' ' || mixed
+  WHEN 6 THEN 'key' || repeat(' ', 40) || mixed
+  WHEN 7 THEN 'key' || repeat(' ', 41) || mixed
+  WHEN 8 THEN mixed || repeat(' ', 36) || 'auth'
+  WHEN 9 THEN mixed || repeat(' ', 37) || 'auth'
+  WHEN 10 THEN 'x' || mixed || 'Token'
+  WHEN 11 THEN mixed
+  WHEN 12 THEN 'xoxb' || '-' || mixed || ' secret'
+  WHEN 13 THEN 'API_TOKEN=' || mixed
+  WHEN 14 THEN 'ghp' || '_short'
+  ELSE 'nothing here' END AS tail
+  FROM (SELECT doc_id, text, 'qW3' || upper(left(md5({text('doc_id')}), 8)) || 'zXcVbNmLkJhGfD'
+    || substr(md5({text('doc_id')}), 9, 8) AS mixed FROM documents) m) s""",
+    # Session output cut into pieces of 64 characters; a marker spans a cut.
+    "chunk_texts": f"""
+SELECT conv_id, turn, CASE WHEN conv_id % 10 = 0 AND turn = 1
+    THEN left(text, 55) || ' usage limit ' || substr(text, 56)
+  WHEN conv_id % 10 = 4 AND turn >= 1 THEN left(text, 30) || ' Rate-Limit hit ' || substr(text, 31)
+  WHEN conv_id % 10 = 7 AND turn = 0 THEN 'usage li'
+  WHEN conv_id % 10 = 7 AND turn = 1 THEN 'mit, ' || text
+  ELSE text END AS text
+FROM conversations""",
+    # Completion cache.
+    "cache_entries": f"""
+SELECT md5('prompt-' || {text('conv_id')}) AS key,
+  CASE WHEN conv_id % 14 = 0 THEN '{{"objective": ' ELSE
+    '{{"objective": "Finish ' || {text('conv_id')} || '", "confidence": 0.' || {text('conv_id % 10')} || '}}' END
+    AS payload,
+  1000 + conv_id % 37 * 100 AS size,
+  '2024-01-' || lpad({text('1 + conv_id % 28')}, 2, '0') || 'T' || lpad({text('turn % 24')}, 2, '0')
+    || ':00:00Z' AS last_accessed
+FROM conversations WHERE conv_id % 2 = 0 AND turn = 0""",
+    "log_records": f"""
+SELECT event_id, 'compile' AS command, event_type AS mode,
+  CASE WHEN event_id % 4 = 0 THEN {text('event_id % 3')} END AS exit_code,
+  CASE WHEN event_id % 9 = 0 THEN 'free text' END AS note,
+  'conv-' || {text('user_id')} AS packet_id
+FROM events""",
+    "exports": f"""
+SELECT {text('page_id')} AS export_id, url, html AS body,
+  CASE WHEN page_id % 3 = 0 THEN 'transcript' ELSE 'metadata' END AS record_type
+FROM pages""",
+}
+
+_NAMES = sorted(TABLES, key=len, reverse=True)
+
+
+def _needs(sql: str) -> list[str]:
+    return [n for n in _NAMES if re.search(rf"(?i)\b(?:FROM|JOIN)\s+{n}\b", sql)]
+
+
+def _chain(names: list[str]) -> list[str]:
+    out: list[str] = []
+
+    def visit(n: str) -> None:
+        if n in out:
+            return
+        for dep in _needs(TABLES[n]):
+            visit(dep)
+        out.append(n)
+
+    for name in names:
+        visit(name)
+    return out
+
+
+SPARK_TS = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
+CHECK_TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The derived or given table `name` as a DataFrame."""
+    if name in BASE:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    chain = _chain([name])
+    body = " ".join(TABLES[n] for n in chain)
+    given = [b for b in BASE if re.search(rf"(?i)\b(?:FROM|JOIN)\s+{b}\b", body)]
+    ctes = [f"{b} AS (SELECT * FROM parquet.`{sf_dir}/{b}.parquet`)" for b in given]
+    ctes += [f"{n} AS ({TABLES[n].replace('{ts}', SPARK_TS)})" for n in chain]
+    return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
+
+
+def check_sql(body: str, extra: dict[str, str] | None = None) -> str:
+    """`body` with the derived tables it names put in front, for the checker."""
+    extra = extra or {}
+    used = body + " " + " ".join(extra.values())
+    ctes = [f"{n} AS ({TABLES[n].replace('{ts}', CHECK_TS)})" for n in _chain(_needs(used))]
+    ctes += [f"{n} AS ({sql})" for n, sql in extra.items()]
+    return (f"WITH {', '.join(ctes)} " if ctes else "") + body
