@@ -46,10 +46,13 @@ def _settable(spark: SparkSession) -> bool:
         return False
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage is cut and
     the rows survive the loss of any executor."""
     spark = df.sparkSession
     path = work_dir(spark, label)
-    df.write.parquet(path)
+    writer = df.write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -74,12 +74,12 @@ SELECT conv_id, count(*) AS n_turns, max(turn) AS max_turn,
   min(CASE WHEN role = 'user' THEN turn END) AS first_user
 FROM conversations GROUP BY conv_id""",
     "session_heads": f"""
-SELECT conv_id, fmt, {CRLF} AS crlf,
+SELECT conv_id, max_turn, fmt, {CRLF} AS crlf,
   CASE fmt WHEN 'markdown' THEN '# Session ' || {text('conv_id')}
     WHEN 'events' THEN '{{"type":"summary","summary":"s"}}'
     WHEN 'rollout' THEN '{{"type":"session_meta","payload":{{"id":"' || {text('conv_id')} || '"}}}}'
     ELSE 'Plain notes ' || {text('conv_id')} END AS line
-FROM (SELECT conv_id, CASE WHEN conv_id % 17 = 5 THEN 'plain' WHEN conv_id % 3 = 0 THEN 'markdown'
+FROM (SELECT conv_id, max_turn, CASE WHEN conv_id % 17 = 5 THEN 'plain' WHEN conv_id % 3 = 0 THEN 'markdown'
   WHEN conv_id % 3 = 1 THEN 'events' ELSE 'rollout' END AS fmt FROM convs) f""",
     # Text of each turn as it stands in its session file (one or more lines).
     "session_blocks": f"""
