@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import constants as K
 from sessionloom.functions import secrets as X
-from sessionloom.operators.prefix import bucket
+from sessionloom.operators.prefix import bucket, prefix_sums
 
 
 def tokenize(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,19 +57,42 @@ def split_chunks(df: DataFrame, key: str, order: str, text: str, size: int = 64)
     )
 
 
+CARRY_BLOCK = 256
+
+
 def with_carry(chunks: DataFrame, key: str, seq: str, text: str, span: int) -> DataFrame:
-    """Put the last `span` characters before each chunk in front of it.
+    """Put the last `span` characters before each chunk in front of it (`window`).
 
-    `seq` numbers the chunks of a key without holes. Each chunk asks only its
-    neighbours (an equi-join on key and number), so a huge session is never one
-    group. Chunks shorter than `span` are first put together with later ones by
-    the caller, or carried over several steps by repeating the join.
+    Empty chunks are left out and the others numbered, so `span` chunks always
+    hold `span` characters. A chunk looks back inside its block of chunks and at
+    the tail of the block before, an equi-join; no session is ever one group.
     """
-    tails = chunks.select(
-        key, (F.col(seq) + 1).alias(seq), F.right(F.col(text), F.lit(span)).alias("carry")
+    if not 0 < span < CARRY_BLOCK:
+        raise ValueError("span must be below the block size")
+    numbered = prefix_sums(
+        chunks.where(F.char_length(text) > 0)
+        .withColumn("__one", F.lit(1).cast("bigint"))
+        .withColumn("__bucket", bucket(F.col(seq))),
+        [key], ["__bucket"], [seq], {"__n": "__one"},
+    ).withColumn("__block", bucket(F.col("__n"), CARRY_BLOCK))
+    tail = F.right(F.col(text), F.lit(span))
+    back = Window.partitionBy(key, "__block").orderBy("__n").rowsBetween(-span, -1)
+    tails = (
+        numbered.where(F.col("__n") % CARRY_BLOCK >= CARRY_BLOCK - span)
+        .groupBy(key, (F.col("__block") + 1).alias("__block"))
+        .agg(
+            F.array_join(
+                F.transform(
+                    F.array_sort(F.collect_list(F.struct("__n", tail.alias("t")))), lambda x: x["t"]
+                ),
+                "",
+            ).alias("__before")
+        )
     )
-    return chunks.join(tails, [key, seq], "left").withColumn(
-        "window", F.concat(F.coalesce("carry", F.lit("")), F.col(text))
+    inside = numbered.withColumn("__inside", F.array_join(F.collect_list(tail).over(back), ""))
+    carry = F.right(F.concat(F.coalesce("__before", F.lit("")), F.col("__inside")), F.lit(span))
+    return inside.join(tails, [key, "__block"], "left").select(
+        *chunks.columns, F.concat(carry, F.col(text)).alias("window")
     )
 
 

@@ -40,3 +40,22 @@ def session_lines(spark: SparkSession, sf_dir: str, fmt: str | None = None) -> D
         F.lit(2**62).alias("pos"), F.lit("").alias("line"),
     )
     return body.unionByName(first).unionByName(last)
+
+
+def packet_set(spark: SparkSession, sf_dir: str):
+    from sessionloom.plans.packets import CHILDREN, PacketSet
+
+    return PacketSet(**{n: table(spark, sf_dir, n) for n in ["packets", *CHILDREN]})
+
+
+def packet_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version events numbered 1, 2, 3... per packet in journal order."""
+    from sessionloom.operators.prefix import bucket, prefix_sums
+
+    events = table(spark, sf_dir, "version_events").select(
+        "*", F.lit(1).cast("bigint").alias("one"), bucket(F.col("seq")).alias("bucket")
+    )
+    return prefix_sums(events, ["packet_id"], ["bucket"], ["seq"], {"before": "one"}).select(
+        "packet_id", (F.col("before") + 1).alias("version"), "seq", "status", "validation_level",
+        "digest", "updated_at",
+    )
