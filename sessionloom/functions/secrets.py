@@ -14,141 +14,111 @@ from sessionloom import constants as K
 from sessionloom.functions.text import WS, let
 
 # Token boundary characters and detector patterns (fixed values).
-TOKEN_CHAR = rf"[^{WS},;'\x{{22}}`<>(){{}}\[\]]"
+TOKEN_CHAR = rf"[^,;\x27\x22`<>(){{}}\[\]{WS}]"
 PEM = "-----BEGIN [A-Z ]+ PRIVATE KEY-----"
 ENV = rf"(?<![^\n])[A-Z][A-Z0-9_]{{3,}}=[^{WS}]{{8,}}(?![^\n])"
-LONG_TOKEN = rf"{TOKEN_CHAR}{{{K.PREFIX_MIN_LENGTH},}}"
+LONG_TOKEN = rf"(?<!{TOKEN_CHAR}){TOKEN_CHAR}{{{K.PREFIX_MIN_LENGTH},}}+"
+TRIGGER = (
+    rf"(?:{'|'.join(K.SECRET_PREFIXES)})|-----BEGIN |(?<![^\n])[A-Z][A-Z0-9_]{{3,}}="
+)
 
-HIT = "struct<offset:bigint,rank:int,kind:string,length:bigint>"
+HIT = "array<struct<offset:bigint,rank:int,kind:string,length:bigint>>"
 
 
-def shannon_entropy(token: Column) -> Column:
-    """Bits per character, rounded so that sums in any order compare alike."""
-    n = F.char_length(token)
-    chars = F.array_distinct(F.filter(F.split(token, ""), lambda c: c != ""))
+def may_hold_secret(text: str) -> Column:
+    """Cheap necessary condition for any hit in the column `text`."""
+    return F.expr(_trigger(text))
 
-    def plus(h: Column, c: Column) -> Column:
-        p = (n - F.char_length(F.replace(token, c, F.lit("")))) / n
-        return h - p * F.log2(p)
 
-    return F.round(F.aggregate(chars, F.lit(0.0), plus), 9)
+def _trigger(text: str) -> str:
+    words = "|".join(K.SECRET_KEYWORDS)
+    return f"(lower({text}) rlike '{words}' OR {text} rlike r'{TRIGGER}')"
 
 
-def _hit(offset: Column, rank: int, kind: str, length: Column) -> Column:
-    return F.struct(
-        offset.cast("bigint").alias("offset"), F.lit(rank).alias("rank"),
-        F.lit(kind).alias("kind"), length.cast("bigint").alias("length"),
+def entropy_sql(token: str) -> str:
+    """Bits per character, rounded so that sums in any order compare alike."""
+    p = f"((char_length({token}) - char_length(replace({token}, c, ''))) / char_length({token}))"
+    return (
+        f"round(aggregate(array_distinct(filter(split({token}, ''), c -> c <> '')), 0D, "
+        f"(h, c) -> h - {p} * log2({p})), 9)"
     )
 
 
-def _matches(text: Column, pattern: str, hits_of) -> Column:
-    """Hits of all matches of `pattern`; `hits_of(match, offset)` gives
-    `(is_hit, array of hits)`. Text between matches sets the offsets."""
-    pieces = F.struct(
-        F.split(text, pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"),
-    )
-
-    def fold(p: Column) -> Column:
-        def step(acc: Column, pair: Column) -> Column:
-            start = acc["at"] + F.char_length(pair["gap"])
-            is_hit, hits = hits_of(pair["hit"], start)
-            return F.struct(
-                (start + F.char_length(pair["hit"])).cast("bigint").alias("at"),
-                F.when(is_hit, F.concat(acc["hits"], hits)).otherwise(acc["hits"]).alias("hits"),
-            )
-
-        zero = F.struct(
-            F.lit(0).cast("bigint").alias("at"),
-            F.array().cast(f"array<{HIT}>").alias("hits"),
-        )
-        pairs = F.arrays_zip(F.slice(p["gap"], 1, F.size(p["hit"])).alias("gap"), p["hit"])
-        pairs = F.transform(pairs, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit")))
-        return F.aggregate(pairs, zero, step, lambda acc: acc["hits"])
-
-    return let(pieces, fold)
-
-
-def secret_hits(text: Column, threshold: float = K.ENTROPY_THRESHOLD) -> Column:
-    """`array<struct<offset, rank, kind, length>>` of all hits in text order;
-    `offset` counts characters from 0. Hits of two detectors may overlap."""
-
-    def whole(rank: int, kind: str):
-        return lambda m, at: (F.lit(True), F.array(_hit(at, rank, kind, F.char_length(m))))
-
-    def token_hits(tok: Column, at: Column):
-        n = F.char_length(tok)
-        starts = F.lit(False)
-        for p in K.SECRET_PREFIXES:
-            starts = starts | tok.startswith(p)
-        near = F.lower(
-            F.substring(
-                text, F.greatest(at - K.KEYWORD_WINDOW, F.lit(0)).cast("int") + 1,
-                (n + K.KEYWORD_WINDOW + F.least(at, F.lit(K.KEYWORD_WINDOW))).cast("int"),
-            )
-        ).rlike("|".join(K.SECRET_KEYWORDS))
-        dense = (n >= K.ENTROPY_MIN_LENGTH) & (shannon_entropy(tok) >= threshold) & near
-        hits = F.filter(
-            F.array(F.when(starts, _hit(at, 2, "prefix", n)), F.when(dense, _hit(at, 3, "entropy", n))),
-            lambda h: h.isNotNull(),
-        )
-        return starts | dense, hits
-
-    found = F.array_sort(
-        F.concat(
-            _matches(text, PEM, whole(0, "pem")),
-            _matches(text, ENV, whole(1, "env")),
-            _matches(text, LONG_TOKEN, token_hits),
-        )
+def _hit(rank: int, kind: str) -> str:
+    return (
+        "named_struct('offset', acc.at + char_length(x.gap), "
+        f"'rank', {rank}, 'kind', '{kind}', 'length', cast(char_length(x.hit) as bigint))"
     )
-    return F.when(may_hold_secret(text), found).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
-def may_hold_secret(text: Column) -> Column:
-    """Cheap necessary condition for any hit."""
-    prefixes = "|".join(K.SECRET_PREFIXES)
-    return (
-        F.lower(text).rlike("|".join(K.SECRET_KEYWORDS))
-        | text.rlike(rf"(?:{prefixes})|-----BEGIN |(?<![^\n])[A-Z][A-Z0-9_]{{3,}}=")
+def _matches(text: str, pattern: str, hits: str) -> str:
+    """Walk over the matches of `pattern`; the texts between them set the offsets.
+
+    The pieces are bound to a lambda variable, so they are computed once. `hits`
+    sees the pair `x` (gap, hit) and the accumulator `acc` (at, hits).
+    """
+    return f"""transform(array(named_struct(
+        'gap', split({text}, r'{pattern}', -1), 'hit', regexp_extract_all({text}, r'{pattern}', 0))),
+      p -> aggregate(
+        transform(p.hit, (h, i) -> named_struct('gap', p.gap[i], 'hit', h)),
+        named_struct('at', 0L, 'hits', cast(array() as {HIT})),
+        (acc, x) -> named_struct(
+          'at', acc.at + char_length(x.gap) + char_length(x.hit), 'hits', {hits}),
+        acc -> acc.hits))[0]"""
+
+
+def hits_sql(text: str, threshold: float = K.ENTROPY_THRESHOLD) -> str:
+    starts = " OR ".join(f"startswith(x.hit, '{p}')" for p in K.SECRET_PREFIXES)
+    start = "(acc.at + char_length(x.gap))"
+    near = (
+        f"lower(substring({text}, int(greatest({start} - {K.KEYWORD_WINDOW}, 0)) + 1, "
+        f"int(char_length(x.hit) + {K.KEYWORD_WINDOW} + least({start}, {K.KEYWORD_WINDOW})))) "
+        f"rlike '{'|'.join(K.SECRET_KEYWORDS)}'"
+    )
+    dense = (
+        f"(char_length(x.hit) >= {K.ENTROPY_MIN_LENGTH} AND {entropy_sql('x.hit')} >= {threshold} "
+        f"AND {near})"
     )
 
+    def all_of(rank: int, kind: str) -> str:
+        return f"concat(acc.hits, array({_hit(rank, kind)}))"
 
-def redact(text: Column, threshold: float = K.ENTROPY_THRESHOLD) -> Column:
-    """Replace every secret; overlapping hits are replaced as one."""
+    tokens = f"""CASE WHEN {starts} THEN CASE WHEN {dense}
+        THEN concat(acc.hits, array({_hit(2, "prefix")}, {_hit(3, "entropy")}))
+        ELSE concat(acc.hits, array({_hit(2, "prefix")})) END
+      WHEN {dense} THEN concat(acc.hits, array({_hit(3, "entropy")})) ELSE acc.hits END"""
+    return f"""array_sort(concat({_matches(text, PEM, all_of(0, "pem"))},
+      {_matches(text, ENV, all_of(1, "env"))}, {_matches(text, LONG_TOKEN, tokens)}))"""
 
-    def fold(hits: Column) -> Column:
-        zero = F.struct(
-            F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("kept")
-        )
 
-        def step(acc: Column, h: Column) -> Column:
-            end = h["offset"] + h["length"]
-            piece = F.substring(text, acc["at"].cast("int") + 1, (h["offset"] - acc["at"]).cast("int"))
-            return F.struct(
-                F.greatest(acc["at"], end).alias("at"),
-                F.when(
-                    h["offset"] >= acc["at"],
-                    F.concat(acc["kept"], F.array(F.concat(piece, F.lit(K.REDACTED)))),
-                ).otherwise(acc["kept"]).alias("kept"),
-            )
+def secret_hits(text: str, threshold: float = K.ENTROPY_THRESHOLD) -> Column:
+    """`array<struct<offset, rank, kind, length>>` of all hits in the column
+    `text`, in text order; `offset` counts characters from 0. Hits of two
+    detectors may overlap."""
+    return F.expr(
+        f"CASE WHEN {_trigger(text)} THEN {hits_sql(text, threshold)} "
+        f"ELSE cast(array() as {HIT}) END"
+    )
 
-        return F.aggregate(
-            hits, zero, step,
-            lambda acc: F.concat(
-                F.array_join(acc["kept"], ""),
-                F.substring(text, acc["at"].cast("int") + 1, F.char_length(text)),
-            ),
-        )
 
-    hits = secret_hits(text, threshold)
-    return F.when(may_hold_secret(text), let(hits, lambda h: F.when(F.size(h) > 0, fold(h))
-                                             .otherwise(text))).otherwise(text)
+def redact(text: str, threshold: float = K.ENTROPY_THRESHOLD) -> Column:
+    """The column `text` with every secret replaced; overlapping hits count as one."""
+    kept = f"substring({text}, int(acc.at) + 1, int(h.offset - acc.at))"
+    return F.expr(f"""CASE WHEN {_trigger(text)} THEN transform(
+      array({hits_sql(text, threshold)}), hs -> CASE WHEN size(hs) = 0 THEN {text} ELSE aggregate(
+        hs, named_struct('at', 0L, 'kept', cast(array() as array<string>)),
+        (acc, h) -> named_struct('at', greatest(acc.at, h.offset + h.length), 'kept',
+          CASE WHEN h.offset >= acc.at
+            THEN concat(acc.kept, array(concat({kept}, '{K.REDACTED}'))) ELSE acc.kept END),
+        acc -> concat(array_join(acc.kept, ''), substring({text}, int(acc.at) + 1))) END)[0]
+      ELSE {text} END""")
 
 
 def tokens(text: Column) -> Column:
-    """`array<struct<offset, token>>` of all maximal runs of token characters."""
+    """`array<struct<gap, tok>>`: all maximal runs of token characters, each
+    with the text before it."""
     pieces = F.struct(
-        F.split(text, rf"{TOKEN_CHAR}+", -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(rf"{TOKEN_CHAR}+"), 0).alias("tok"),
+        F.split(text, rf"{TOKEN_CHAR}++", -1).alias("gap"),
+        F.regexp_extract_all(text, F.lit(rf"{TOKEN_CHAR}++"), 0).alias("tok"),
     )
     return let(pieces, lambda p: F.arrays_zip(p["gap"], p["tok"]))

@@ -36,8 +36,8 @@ def scan_secrets(
 ) -> DataFrame:
     """One row per hit: the key, `kind, offset, length, match`."""
     return (
-        df.where(X.may_hold_secret(F.col(text)))
-        .select(*key, text, F.inline(X.secret_hits(F.col(text), threshold)))
+        df.where(X.may_hold_secret(text))
+        .select(*key, text, F.inline(X.secret_hits(text, threshold)))
         .select(
             *key, "kind", "offset", "length",
             F.substring(F.col(text), F.col("offset").cast("int") + 1, F.col("length").cast("int"))

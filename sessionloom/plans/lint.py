@@ -234,22 +234,27 @@ def blocking_warning_findings(ps: PacketSet, core: DataFrame) -> DataFrame:
 def secret_findings(ps: PacketSet, fields: dict[str, list[tuple[str, str]]] = SECRET_FIELDS,
                     threshold: float = K.ENTROPY_THRESHOLD) -> DataFrame:
     """Rule 060 over the text fields of packets."""
-    parts = []
+    texts = []
     for name, cols in fields.items():
         df = getattr(ps, name)
-        for col, path in cols:
-            before, _, after = path.partition("{}")
-            where = F.lit(path) if not after else text(before, c("pos"), after)
-            parts.append(
-                df.where(X.may_hold_secret(c(col)))
-                .select("packet_id", where.alias("path"),
-                        F.explode(X.secret_hits(c(col), threshold)).alias("hit"))
-                .select("packet_id", F.lit(f"{K.RULE_PREFIX}060").alias("code"),
-                        F.lit("critical").alias("severity"), "path",
-                        text("Apparent secret (", c("hit.kind"), ") at offset ",
-                             c("hit.offset"), ".").alias("message"))
-            )
-    return reduce(DataFrame.unionByName, parts)
+        found = F.array(*[
+            F.struct(_path(path).alias("path"), c(col).alias("text")) for col, path in cols
+        ])
+        texts.append(df.select("packet_id", F.inline(found)))
+    return (
+        reduce(DataFrame.unionByName, texts)
+        .where(X.may_hold_secret("text"))
+        .select("packet_id", "path", F.explode(X.secret_hits("text", threshold)).alias("hit"))
+        .select("packet_id", F.lit(f"{K.RULE_PREFIX}060").alias("code"),
+                F.lit("critical").alias("severity"), "path",
+                text("Apparent secret (", c("hit.kind"), ") at offset ", c("hit.offset"), ".")
+                .alias("message"))
+    )
+
+
+def _path(template: str) -> Column:
+    before, mark, after = template.partition("{}")
+    return text(before, c("pos"), after) if mark else F.lit(template)
 
 
 def repo_items(ps: PacketSet, kinds: list[str]) -> DataFrame:

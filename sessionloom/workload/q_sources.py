@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sessionloom.functions.text import WS_PLAIN
 from sessionloom.sources import sessions as S
 from sessionloom.workload.derived import CRLF, MD_FENCE, MD_TS, NL, check_sql, text
 from sessionloom.workload.inputs import session_lines
@@ -13,7 +14,7 @@ AID = f"'conv-' || {text('conv_id')}"
 
 
 def sql_trim(c: str) -> str:
-    return f"regexp_replace({c}, '^[{S.WS}]+|[{S.WS}]+$', '', 'g')"
+    return f"regexp_replace({c}, '^[{WS_PLAIN}]+|[{WS_PLAIN}]+$', '', 'g')"
 
 
 # Byte ranges of the blocks by arithmetic on the generated text.

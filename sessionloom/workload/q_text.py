@@ -11,7 +11,7 @@ from sessionloom.operators import scan
 from sessionloom.workload.derived import check_sql, table
 from sessionloom.workload.registry import query
 
-WSQ = T.WS
+WSQ = T.WS_PLAIN
 BOUNDARY = rf"[{WSQ},;''\x{{22}}`<>(){{}}\[\]]"
 
 
@@ -110,7 +110,7 @@ SELECT doc_id, string_agg(piece, '' ORDER BY "from") AS text FROM (
           ORDER BY "offset", "length" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
           THEN 1 ELSE 0 END AS opens FROM hits) a) b GROUP BY id, island"""}))
 def redact_text(spark, sf):
-    return table(spark, sf, "secret_texts").select("doc_id", X.redact(F.col("text")).alias("text"))
+    return table(spark, sf, "secret_texts").select("doc_id", X.redact("text").alias("text"))
 
 
 def _words(words: list[str], open_words: list[str] = ()) -> str:
