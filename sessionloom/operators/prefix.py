@@ -25,7 +25,8 @@ def prefix_sums(
     column it sums, in the order (levels..., order...) within each key.
 
     `levels` are bucket columns from coarse to fine, each non-decreasing in the
-    wanted order; the finest bucket must hold a bounded number of rows.
+    wanted order; the finest bucket must hold a bounded number of rows. Without a
+    key the totals are summed level by level, so that no window sees all buckets.
     """
     if not levels:
         w = _window(key, order)
@@ -37,9 +38,12 @@ def prefix_sums(
     totals = df.groupBy(*group).agg(
         *[F.sum(src).alias(f"__t_{out}") for out, src in measures.items()]
     )
-    base = prefix_sums(
-        totals, key, levels[:-1], [levels[-1]], {f"__b_{o}": f"__t_{o}" for o in measures}
-    ).select(*group, *[f"__b_{o}" for o in measures])
+    of_totals = {f"__b_{o}": f"__t_{o}" for o in measures}
+    if key:
+        base = prefix_sums(totals, key, [], levels, of_totals)
+    else:
+        base = prefix_sums(totals, [], levels[:-1], [levels[-1]], of_totals)
+    base = base.select(*group, *of_totals)
     w = _window(group, order)
     return df.join(base, group).select(
         *df.columns,
@@ -57,6 +61,12 @@ def bucket(pos: Column, size: int = K.PART_ITEMS) -> Column:
     return F.floor(pos / F.lit(size)).cast("bigint")
 
 
+def _joined(order: list[str], text: str) -> Column:
+    """Texts of a group in order, without a separator."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__text"))))
+    return F.array_join(F.transform(rows, lambda x: x["__text"]), "")
+
+
 def concat_parts(
     pieces: DataFrame,
     key: list[str],
@@ -67,22 +77,19 @@ def concat_parts(
 ) -> DataFrame:
     """Join the ordered text pieces of each key: one row per key and part.
 
-    A piece goes to part `start offset div max_chars`, so a part never exceeds
-    `max_chars` plus one piece and the parts in order give the whole text. A key
-    of usual size has exactly one part, number 0.
+    The pieces of one bucket give a fragment; a fragment goes to part `start
+    offset div max_chars`. So a part never exceeds `max_chars` plus one fragment,
+    and the parts in order give the whole text. A key of usual size has exactly
+    one part, number 0. Both uses of the fragments share one shuffle.
     """
-    placed = prefix_sums(
-        pieces.withColumn("__len", F.char_length(text).cast("bigint")),
-        key, levels, order, {"__at": "__len"},
-    ).withColumn("part_no", bucket(F.col("__at"), max_chars))
-    rank = [F.col(c) for c in levels + order]
-    return placed.groupBy(*key, "part_no").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(*rank, F.col(text).alias("__text")))),
-                lambda x: x["__text"],
-            ),
-            "",
-        ).alias(text),
-        F.sum("__len").alias("chars"),
+    group = key + levels
+    fragments = (
+        pieces.groupBy(*group).agg(_joined(order, text).alias(text))
+        .withColumn("chars", F.char_length(text).cast("bigint"))
+    )
+    starts = prefix_sums(
+        fragments.select(*group, "chars"), key, [], levels, {"__at": "chars"}
+    ).select(*group, bucket(F.col("__at"), max_chars).alias("part_no"))
+    return fragments.join(starts, group).groupBy(*key, "part_no").agg(
+        _joined(levels, text).alias(text), F.sum("chars").alias("chars")
     )

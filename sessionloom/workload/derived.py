@@ -343,8 +343,19 @@ SPARK_TS = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
 CHECK_TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derived or given table `name` as a DataFrame."""
+    """The derived or given table `name` as a DataFrame (its plan is built once
+    per session; no data is kept)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PLANS:
+        _PLANS[key] = _build(spark, sf_dir, name)
+    return _PLANS[key]
+
+
+def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     chain = _chain([name])
