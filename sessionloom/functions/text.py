@@ -160,19 +160,25 @@ def unsafe_ref(ref: Column) -> Column:
 
 
 def first_json_object(raw: Column) -> Column:
-    """Strip code fences and leading prose around a JSON object."""
-    t = full_trim(raw)
-    body = F.substring(t, F.locate("\n", t) + 1, F.char_length(t))
-    inner = F.when(F.locate("\n", t) > 0, body).otherwise(t)
-    unfenced = full_trim(
-        F.when(inner.endswith("```"), F.left(inner, F.char_length(inner) - 3)).otherwise(inner)
-    )
-    s = F.when(t.startswith("```"), unfenced).otherwise(t)
-    opened = F.locate("{", s)
-    closed = F.char_length(s) - F.locate("}", F.reverse(s)) + 1
-    return (
-        F.when(s.startswith("{"), s)
-        .when((opened > 0) & (F.locate("}", s) > 0) & (closed > opened),
-              s.substr(opened, closed - opened + 1))
-        .otherwise(s)
-    )
+    """Strip code fences and leading prose around a JSON object.
+
+    Each step is bound once (`let`), so the expression stays small.
+    """
+    def unfence(t: Column) -> Column:
+        cut = F.locate("\n", t)
+        inner = F.when(cut > 0, t.substr(cut + 1, F.char_length(t))).otherwise(t)
+        body = let(inner, lambda x: full_trim(
+            F.when(x.endswith("```"), F.left(x, F.char_length(x) - 3)).otherwise(x)))
+        return F.when(t.startswith("```"), body).otherwise(t)
+
+    def braces(s: Column) -> Column:
+        at = F.struct(
+            F.locate("{", s).alias("open"),
+            (F.char_length(s) - F.locate("}", F.reverse(s)) + 1).alias("close"),
+            F.contains(s, F.lit("}")).alias("closed"),
+        )
+        return F.when(s.startswith("{"), s).otherwise(let(at, lambda p: F.when(
+            (p["open"] > 0) & p["closed"] & (p["close"] > p["open"]),
+            s.substr(p["open"], p["close"] - p["open"] + 1)).otherwise(s)))
+
+    return let(let(full_trim(raw), unfence), braces)

@@ -305,6 +305,33 @@ SELECT md5('prompt-' || {text('conv_id')}) AS key,
   '2024-01-' || lpad({text('1 + conv_id % 28')}, 2, '0') || 'T' || lpad({text('turn % 24')}, 2, '0')
     || ':00:00Z' AS last_accessed
 FROM conversations WHERE conv_id % 2 = 0 AND turn = 0""",
+    # Raw model answers of all kinds, some wrapped, some unusable.
+    "responses": f"""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'objective' WHEN 1 THEN 'attempts'
+    WHEN 2 THEN 'acceptance-criteria' ELSE 'next-action' END AS extractor,
+  CASE event_id % 4
+  WHEN 1 THEN CASE WHEN event_id % 5 = 0 THEN '{{"attempts": {{}}}}' ELSE
+    'Found: {{"attempts": [{{"summary": " s' || {text('event_id')} || ' ", "result": "failed", "failure_reason": " r ", "evidence_span": "'
+    || repeat('e', 300) || '"}}, {{"summary": " "}}, 5, {{"summary": "t", "result": "odd", "failure_reason": " "}}]}} done' END
+  WHEN 2 THEN CASE WHEN event_id % 5 = 0 THEN '{{"criteria": 3}}' ELSE
+    '{{"criteria": [{{"text": " c' || {text('event_id')} || ' ", "required": true}}, {{"text": "u", "required": "true"}}, {{"text": 3}}]}}' END
+  ELSE CASE event_id % 7
+    WHEN 0 THEN '```json' || {NL} || '{{"' || field || '": " Do ' || {text('event_id')} || ' ", "confidence": 1.7}}' || {NL} || '```'
+    WHEN 1 THEN 'Sure! {{"' || field || '": "Do ' || {text('event_id')} || '", "confidence": "high"}} ok'
+    WHEN 2 THEN '{{"' || field || '": " ", "confidence": 0.5}}'
+    WHEN 3 THEN 'no json here'
+    WHEN 4 THEN '{{"' || field || '": 7}}'
+    ELSE '{{"' || field || '": "Do ' || {text('event_id')} || '", "confidence": 0.' || {text('event_id % 10')} || '}}' END
+  END AS raw
+FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'objective' ELSE 'next_action' END AS field FROM events) e""",
+    "model_calls": f"""
+SELECT event_id, 'conv-' || {text('user_id')} AS packet_id,
+  CASE event_id % 3 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai' ELSE 'mock' END AS provider,
+  CASE event_id % 3 WHEN 0 THEN 'claude-sonnet-4-5' WHEN 1 THEN 'gpt-4o-mini' ELSE 'mock-1' END AS model,
+  CASE WHEN event_id % 4 = 0 THEN CAST(0 AS BIGINT) ELSE event_id % 1000 END AS tokens_in,
+  CASE WHEN event_id % 4 = 0 THEN CAST(0 AS BIGINT) ELSE event_id % 300 END AS tokens_out,
+  event_id % 4 <> 0 AS live
+FROM events""",
     "log_records": f"""
 SELECT event_id, 'compile' AS command, event_type AS mode,
   CASE WHEN event_id % 4 = 0 THEN {text('event_id % 3')} END AS exit_code,
