@@ -10,6 +10,15 @@ from sessionloom.functions import secrets as X
 from sessionloom.operators.prefix import bucket, prefix_sums
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer tasks than the cluster has slots (a few small
+    files) before costly row work. A scan of usual size is left as it is, so no
+    shuffle is added there. `df` must be a plain scan or projection of one.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def tokenize(df: DataFrame, key: str, text: str) -> DataFrame:
     """`key, pos, offset, token`, offsets in characters.
 
@@ -96,4 +105,4 @@ def with_carry(chunks: DataFrame, key: str, seq: str, text: str, span: int) -> D
     )
 
 
-__all__ = ["bucket", "scan_secrets", "split_chunks", "tokenize", "with_carry"]
+__all__ = ["scan_secrets", "split_chunks", "spread", "tokenize", "with_carry"]

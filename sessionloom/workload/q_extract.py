@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom import constants as K
+from sessionloom.operators.scan import spread
 from sessionloom.plans import compile as C
 from sessionloom.plans import extract as X
 from sessionloom.workload.derived import check_sql, table
@@ -86,7 +87,7 @@ SELECT event_id, extractor, CASE WHEN extractor IN ('attempts', 'acceptance-crit
   CASE WHEN extractor = 'acceptance-criteria' AND event_id % 5 <> 0 THEN 'c' || event_id || '/true; u/false' END AS criteria
 FROM responses"""))
 def parse_responses(spark, sf):
-    got = X.parse_responses(table(spark, sf, "responses"), "raw")
+    got = X.parse_responses(spread(table(spark, sf, "responses")), "raw")
     return got.select(
         "event_id", "extractor", "ok", "value", "confidence",
         F.when(F.col("attempts").isNotNull(), F.array_join(F.transform("attempts", lambda a: F.concat_ws(

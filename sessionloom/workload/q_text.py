@@ -19,10 +19,6 @@ def sql_trim(c: str) -> str:
     return f"regexp_replace({c}, '^[{WSQ}]+|[{WSQ}]+$', '', 'g')"
 
 
-def _list(values: list[str]) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
-
 # Independent token split: cut at every boundary character, count one for each cut.
 TOKENS = """
 SELECT id, txt, off, tok FROM (
@@ -66,32 +62,20 @@ SRC = {"src": "SELECT doc_id AS id, text AS txt FROM secret_texts", "toks": TOKE
     'SELECT id AS doc_id, CAST(off AS BIGINT) AS "offset", tok AS token FROM toks',
     {"src": "SELECT doc_id AS id, text AS txt FROM documents", "toks": TOKENS}))
 def tokenize(spark, sf):
-    return scan.tokenize(table(spark, sf, "documents"), "doc_id", "text").drop("pos")
+    return scan.tokenize(scan.spread(table(spark, sf, "documents")), "doc_id", "text").drop("pos")
 
 
 @query("scan_secrets", check_sql(
     f'SELECT id AS doc_id, kind, "offset", "length", "match" FROM ({secret_hits_sql(4.0)}) s', SRC))
 def scan_secrets(spark, sf):
-    return scan.scan_secrets(table(spark, sf, "secret_texts"), ["doc_id"], "text")
+    return scan.scan_secrets(scan.spread(table(spark, sf, "secret_texts")), ["doc_id"], "text")
 
 
 @query("scan_secrets_low_threshold", check_sql(
     f'SELECT id AS doc_id, kind, "offset", "length", "match" FROM ({secret_hits_sql(3.5)}) s',
     {**SRC, "src": "SELECT doc_id AS id, text AS txt FROM documents"}))
 def scan_secrets_low(spark, sf):
-    return scan.scan_secrets(table(spark, sf, "documents"), ["doc_id"], "text", 3.5)
-
-
-# What stays of each tail is known from how the tail was built.
-REDACTED_TAILS = f"""
-SELECT doc_id, base || chr(10) || repeat('. ', 30) || chr(10) || CASE doc_id % 23
-  WHEN 0 THEN '{K.REDACTED}' WHEN 1 THEN 'use ({K.REDACTED}) and {K.REDACTED}'
-  WHEN 2 THEN '{K.REDACTED}' || chr(10) || 'x' WHEN 3 THEN '{K.REDACTED}'
-  WHEN 5 THEN 'password ' || repeat('.,', 15) || ' {K.REDACTED}'
-  WHEN 6 THEN 'key' || repeat(' ', 40) || mixed WHEN 8 THEN '{K.REDACTED}' || repeat(' ', 36) || 'auth'
-  WHEN 10 THEN '{K.REDACTED}' WHEN 12 THEN '{K.REDACTED} secret' WHEN 13 THEN '{K.REDACTED}'
-  ELSE substr(tail, 63) END AS text
-FROM (SELECT *, substr(tail, 63 + 43, 33) AS mixed FROM secret_texts) s"""
+    return scan.scan_secrets(scan.spread(table(spark, sf, "documents")), ["doc_id"], "text", 3.5)
 
 
 @query("redact_text", check_sql(f"""
@@ -110,7 +94,7 @@ SELECT doc_id, string_agg(piece, '' ORDER BY "from") AS text FROM (
           ORDER BY "offset", "length" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
           THEN 1 ELSE 0 END AS opens FROM hits) a) b GROUP BY id, island"""}))
 def redact_text(spark, sf):
-    return table(spark, sf, "secret_texts").select("doc_id", X.redact("text").alias("text"))
+    return scan.spread(table(spark, sf, "secret_texts")).select("doc_id", X.redact("text").alias("text"))
 
 
 def _words(words: list[str], open_words: list[str] = ()) -> str:
