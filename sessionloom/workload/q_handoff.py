@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from sessionloom import constants as K
@@ -12,9 +14,9 @@ from sessionloom.plans import render as R
 from sessionloom.plans.failover import compile_lines, failover
 from sessionloom.workload.derived import check_sql, table
 from sessionloom.workload.inputs import packet_set, session_lines
-from sessionloom.workload.q_compile import NOW, PLACEHOLDER, nb, priors, title_sql
-from sessionloom.workload.q_lint import FX, NUM
-from sessionloom.workload.q_render import packets_of
+from sessionloom.workload.q_compile import COMPILED, NOW, PLACEHOLDER, PRIOR, nb, priors, title_sql
+from sessionloom.workload.q_lint import FINDINGS, FX, NUM, VIOLATIONS
+from sessionloom.workload.q_render import packets_of, rendered
 from sessionloom.workload.q_sources import EV_EXPECTED, MD_EXPECTED, PLAIN_EXPECTED, PX, RO_EXPECTED
 from sessionloom.workload.registry import query
 
@@ -141,7 +143,30 @@ def compile_sessions(spark, sf):
         "packet_id", "title", "objective", "current_state", "next_action")
 
 
-@query("failover_handoffs")
+def _of_drafts(sql: str) -> str:
+    """A checking query over the compiled drafts in place of the packet table."""
+    return re.sub(r"\bpackets\b", "drafts", sql)
+
+
+DRAFTS = """SELECT c.*, false AS has_policy, false AS approval_required, true AS dispatch_allowed, '' AS policy_reasons,
+  CAST(NULL AS BIGINT) AS context_budget, false AS include_provenance, root AS repo FROM compiled2 c"""
+GATE = f"""SELECT p.packet_id, count(*) FILTER (WHERE f.severity IN ('error', 'critical')) AS errors FROM drafts p
+  LEFT JOIN (SELECT packet_id, severity FROM found2 UNION ALL SELECT packet_id, severity FROM violations2) f
+  ON f.packet_id = p.packet_id GROUP BY p.packet_id"""
+FAILOVER = {
+    **PX, "messages": ALL_MESSAGES, "ends2": ENDS,
+    "ends3": "SELECT CAST(substr(packet_id, 6) AS BIGINT) AS conv_id, first_user, first_prose, last_prose FROM ends2",
+    "prior": PRIOR, "compiled2": COMPILED.replace("FROM ends e", "FROM ends3 e"), "drafts": DRAFTS,
+    "found2": _of_drafts(FINDINGS), "violations2": _of_drafts(VIOLATIONS), "gate": GATE,
+    **{k: _of_drafts(v) for k, v in rendered("generic").items()},
+}
+
+
+@query("failover_handoffs", check_sql("""
+SELECT g.packet_id, errors, errors = 0 AS passed, 'generic' AS target,
+  CASE WHEN errors = 0 THEN CAST(0 AS BIGINT) END AS part_no, CASE WHEN errors = 0 THEN markdown END AS markdown,
+  CASE WHEN errors = 0 THEN CAST(length(markdown) AS BIGINT) END AS chars
+FROM gate g JOIN handed h ON h.packet_id = g.packet_id""", FAILOVER))
 def failover_handoffs(spark, sf):
     return failover(session_lines(spark, sf), packet_set(spark, sf), "generic", priors(spark, sf),
                     table(spark, sf, "packets").where("attached"), NOW)
