@@ -2,70 +2,21 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sessionloom import constants as K
 from sessionloom.functions.text import has_limit_marker
+from sessionloom.operators.scan import with_carry
 from sessionloom.plans.compile import compile_fast
 from sessionloom.plans.lifecycle import latest_by_packet, upsert
 from sessionloom.session import work_dir
 
-MARKER = re.compile("|".join(K.LIMIT_MARKERS), re.IGNORECASE)
 SPAN = K.MARKER_SPAN - 1
 
 
-def _fire_once(key: tuple, batches: Iterator[pd.DataFrame],
-               state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fire at the first marker of a session; the tail kept in the state finds a
-    marker that is cut in two."""
-    tail, fired = state.get if state.exists else ("", False)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for r in rows.itertuples():
-        if fired:
-            break
-        if r.hit or MARKER.search(tail + r.head):
-            out.append(r.seq)
-            fired = True
-        tail = (tail + r.tail)[-SPAN:]
-    state.update((tail, bool(fired)))
-    if out:
-        yield pd.DataFrame({"session_id": [key[0]], "seq": out})
-
-
-def limit_triggers(chunks: DataFrame) -> DataFrame:
-    """`session_id, seq` of the first limit marker of each session of a stream
-    of `session_id, seq, text`. Chunks are searched in the JVM; only a flag and
-    the two edges of each chunk reach the state function, and a session that has
-    no marker keeps a tail of bounded length."""
-    edges = chunks.select(
-        "session_id", "seq", has_limit_marker(F.col("text")).alias("hit"),
-        F.left("text", F.lit(SPAN)).alias("head"), F.right("text", F.lit(SPAN)).alias("tail"),
-    )
-    return edges.groupBy("session_id").applyInPandasWithState(
-        _fire_once, "session_id bigint, seq bigint", "tail string, fired boolean", "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all data there is now and read what it wrote."""
-    spark = stream.sparkSession
-    out, chk = work_dir(spark, label), work_dir(spark, f"{label}-checkpoint")
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", chk).trigger(availableNow=True).start(out)
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
 class VersionedTable:
     """A table replaced once per micro-batch: batch n writes folder `n` from
     folder `n - 1`, so a repeated batch gives the same result."""
@@ -93,6 +44,48 @@ def run_batches(stream: DataFrame, label: str,
     query.awaitTermination()
 
 
+def limit_triggers(chunks: DataFrame) -> DataFrame:
+    """`session_id, seq` of the first limit marker of each session of a stream of
+    `session_id, seq, text` with `seq` from 0.
+
+    State between micro-batches is two tables: the sessions that have fired, which
+    never fire again, and the last characters of the others, which let a marker
+    that is cut by a batch edge still match. Inside a batch each chunk looks only
+    at its neighbours, so one busy session is spread over all tasks.
+    """
+    spark = chunks.sparkSession
+    fired = VersionedTable(work_dir(spark, "fired"), "session_id bigint, seq bigint")
+    tails = VersionedTable(work_dir(spark, "tails"), "session_id bigint, tail string")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        done = fired.read(session, batch_id - 1)
+        before = tails.read(session, batch_id - 1).select(
+            "session_id", F.lit(-1).cast("bigint").alias("seq"), F.col("tail").alias("text"))
+        rows = batch.select("session_id", "seq", "text").unionByName(before).join(
+            done.select("session_id"), "session_id", "left_anti")
+        hits = with_carry(rows, "session_id", "seq", "text", SPAN).where(
+            (F.col("seq") >= 0) & has_limit_marker(F.col("window"))
+        ).groupBy("session_id").agg(F.min("seq").alias("seq"))
+        fired.write(done.unionByName(hits), batch_id)
+        # The last non-empty chunks hold the last characters (window group limit).
+        w = Window.partitionBy("session_id").orderBy(F.col("seq").desc())
+        last = rows.where(F.char_length("text") > 0).select(
+            "session_id", "seq", F.right("text", F.lit(SPAN)).alias("text"),
+            F.row_number().over(w).alias("rank"),
+        ).where(F.col("rank") <= SPAN)
+        texts = F.array_sort(F.collect_list(F.struct("seq", "text")))
+        tail = F.right(F.array_join(F.transform(texts, lambda x: x["text"]), ""), F.lit(SPAN))
+        tails.write(
+            last.groupBy("session_id").agg(tail.alias("tail")).join(
+                fired.read(session, batch_id).select("session_id"), "session_id", "left_anti"),
+            batch_id,
+        )
+
+    run_batches(chunks, "limit", step)
+    return fired.read(spark, fired.last)
+
+
 def latest_events(journal: DataFrame) -> DataFrame:
     """Latest row per packet of a journal stream (`packet_id, seq`, more columns):
     each micro-batch is reduced first, then merged with the state table."""

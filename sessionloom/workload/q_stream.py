@@ -33,7 +33,7 @@ WHERE regexp_matches(t, '{LIMIT_RE}', 'i') GROUP BY conv_id"""))
 def stream_limit_markers(spark, sf):
     chunks = stream_of(spark, sf, "conversations").selectExpr(
         "conv_id AS session_id", "turn AS seq", CHUNK)
-    return jobs.run_to_table(jobs.limit_triggers(chunks), "limit-markers")
+    return jobs.limit_triggers(chunks)
 
 
 @query("stream_latest_events", check_sql("""

@@ -208,7 +208,7 @@ def test_stream_fires_once_per_session(spark, tmp_path):
         time.sleep(1.1)
     stream = spark.readStream.schema("session_id bigint, seq bigint, text string").option(
         "maxFilesPerTrigger", 1).parquet(str(src))
-    got = jobs.run_to_table(jobs.limit_triggers(stream), "test").collect()
+    got = jobs.limit_triggers(stream).collect()
     assert [(r.session_id, r.seq) for r in got] == [(1, 1)]
 
 
