@@ -358,3 +358,13 @@ def parse_sessions(lines: DataFrame) -> DataFrame:
     return parsed.withColumn("unrecognized", F.lit(False)).unionByName(
         rest.withColumn("unrecognized", F.lit(True))
     )
+
+
+def unrecognized_warnings(parsed: DataFrame) -> DataFrame:
+    """One info row per artifact that was taken as plain text."""
+    return parsed.where("unrecognized").select("artifact_id").distinct().select(
+        "artifact_id", F.lit("COMPILE_TRANSCRIPT_UNRECOGNIZED").alias("code"),
+        F.lit("info").alias("severity"),
+        F.concat(F.lit("Transcript at "), F.col("artifact_id"),
+                 F.lit(" did not match a known format; treated as plain text.")).alias("message"),
+    )

@@ -19,10 +19,11 @@ SPAN = K.MARKER_SPAN - 1
 
 class VersionedTable:
     """A table replaced once per micro-batch: batch n writes folder `n` from
-    folder `n - 1`, so a repeated batch gives the same result."""
+    folder `n - 1`, so a repeated batch gives the same result and a restarted
+    stream goes on from the last folder."""
 
     def __init__(self, path: str, schema: str):
-        self.path, self.schema, self.last = path, schema, -1
+        self.path, self.schema = path, schema
 
     def read(self, spark, batch_id: int) -> DataFrame:
         if batch_id < 0:
@@ -31,20 +32,31 @@ class VersionedTable:
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-        self.last = max(self.last, batch_id)
 
+    def latest(self, spark) -> DataFrame:
+        """The table after the last finished batch."""
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done = [
+            int(s.getPath().getName()) for s in (fs.listStatus(root) if fs.exists(root) else [])
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+        ]
+        return self.read(spark, max(done, default=-1))
 
-def run_batches(stream: DataFrame, label: str,
+
+def run_batches(stream: DataFrame, state_dir: str,
                 step: Callable[[DataFrame, int], None]) -> None:
+    """Run `step` over all data there is now; `state_dir` makes it resumable."""
     query = (
         stream.writeStream.foreachBatch(step)
-        .option("checkpointLocation", work_dir(stream.sparkSession, f"{label}-checkpoint"))
+        .option("checkpointLocation", f"{state_dir}/checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
-def limit_triggers(chunks: DataFrame) -> DataFrame:
+def limit_triggers(chunks: DataFrame, state_dir: str | None = None) -> DataFrame:
     """`session_id, seq` of the first limit marker of each session of a stream of
     `session_id, seq, text` with `seq` from 0.
 
@@ -54,8 +66,9 @@ def limit_triggers(chunks: DataFrame) -> DataFrame:
     at its neighbours, so one busy session is spread over all tasks.
     """
     spark = chunks.sparkSession
-    fired = VersionedTable(work_dir(spark, "fired"), "session_id bigint, seq bigint")
-    tails = VersionedTable(work_dir(spark, "tails"), "session_id bigint, tail string")
+    state_dir = state_dir or work_dir(spark, "limit")
+    fired = VersionedTable(f"{state_dir}/fired", "session_id bigint, seq bigint")
+    tails = VersionedTable(f"{state_dir}/tails", "session_id bigint, tail string")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -82,18 +95,19 @@ def limit_triggers(chunks: DataFrame) -> DataFrame:
             batch_id,
         )
 
-    run_batches(chunks, "limit", step)
-    return fired.read(spark, fired.last)
+    run_batches(chunks, state_dir, step)
+    return fired.latest(spark)
 
 
-def latest_events(journal: DataFrame) -> DataFrame:
+def latest_events(journal: DataFrame, state_dir: str | None = None) -> DataFrame:
     """Latest row per packet of a journal stream (`packet_id, seq`, more columns):
     each micro-batch is reduced first, then merged with the state table."""
     spark = journal.sparkSession
     names = ["packet_id", "seq", *[c for c in journal.columns if c not in ("packet_id", "seq")]]
     journal = journal.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in journal.schema)
-    state = VersionedTable(work_dir(spark, "latest"), schema)
+    state_dir = state_dir or work_dir(spark, "latest")
+    state = VersionedTable(f"{state_dir}/latest", schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -101,21 +115,32 @@ def latest_events(journal: DataFrame) -> DataFrame:
             latest_by_packet(batch).select(*names)))
         state.write(merged.select(*names), batch_id)
 
-    run_batches(journal, "latest", step)
-    return state.read(spark, state.last)
+    run_batches(journal, state_dir, step)
+    return state.latest(spark)
 
 
-def incremental_compile(turns: DataFrame, now: str) -> DataFrame:
+def incremental_compile(turns: DataFrame, now: str, state_dir: str | None = None) -> DataFrame:
     """Packet drafts kept up to date with a stream of turns.
 
     A turn that arrives twice adds nothing. Only the sessions with new turns are
     compiled again; their packets are stored over the old ones.
     """
     spark = turns.sparkSession
+    state_dir = state_dir or work_dir(spark, "compile")
     turn_schema = "session_id bigint, ord bigint, role string, text string"
     names = ["session_id", "ord", "role", "text"]
-    stored = VersionedTable(work_dir(spark, "turns"), turn_schema)
-    packets: dict[str, VersionedTable] = {}
+    stored = VersionedTable(f"{state_dir}/turns", turn_schema)
+
+    def drafts_of(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+        packet = F.concat(F.lit("conv-"), F.col("session_id").cast("string"))
+        return compile_fast(rows, sessions.withColumn("packet_id", packet), now=now)
+
+    empty = spark.createDataFrame([], turn_schema)
+    schema = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}"
+        for f in drafts_of(empty, empty.select("session_id")).schema
+    )
+    packets = VersionedTable(f"{state_dir}/packets", schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -126,18 +151,9 @@ def incremental_compile(turns: DataFrame, now: str) -> DataFrame:
         every = stored.read(session, batch_id)
         touched = every.join(known.select("session_id", "ord"), ["session_id", "ord"],
                              "left_anti").select("session_id").distinct()
-        drafts = compile_fast(
-            every.join(touched, "session_id", "left_semi"),
-            touched.withColumn("packet_id", F.concat(F.lit("conv-"),
-                                                     F.col("session_id").cast("string"))),
-            now=now,
-        )
-        if "p" not in packets:
-            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in drafts.schema)
-            packets["p"] = VersionedTable(work_dir(session, "packets"), schema)
-        table = packets["p"]
-        current = table.read(session, batch_id - 1)
-        table.write(upsert(current, drafts).drop("action"), batch_id)
-
-    run_batches(turns, "compile", step)
-    return packets["p"].read(spark, packets["p"].last)
+        drafts = drafts_of(every.join(touched, "session_id", "left_semi"), touched)
+        current = packets.read(session, batch_id - 1)
+        packets.write(upsert(current, drafts).drop("action"), batch_id)
+
+    run_batches(turns, state_dir, step)
+    return packets.latest(spark)

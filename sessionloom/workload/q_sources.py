@@ -101,3 +101,11 @@ def parse_sessions(spark, sf):
     return parsed.select(*_messages(parsed).columns, "fmt").withColumn(
         "span_start", F.col("span_start").cast("bigint")
     ).withColumn("span_end", F.col("span_end").cast("bigint"))
+
+
+@query("unrecognized_warnings", check_sql(f"""
+SELECT {AID} AS artifact_id, 'COMPILE_TRANSCRIPT_UNRECOGNIZED' AS code, 'info' AS severity,
+  'Transcript at ' || {AID} || ' did not match a known format; treated as plain text.' AS message
+FROM session_heads WHERE fmt = 'plain'"""))
+def unrecognized_warnings(spark, sf):
+    return S.unrecognized_warnings(S.parse_sessions(session_lines(spark, sf)))
