@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sessionloom import constants as K
 from sessionloom.functions import secrets as X
 from sessionloom.functions import text as T
+from sessionloom.functions.metadata import allowed_metadata, rejected_keys
 from sessionloom.operators import scan
 from sessionloom.workload.derived import check_sql, table
 from sessionloom.workload.registry import query
@@ -197,11 +198,10 @@ def log_allowlist(spark, sf):
     pairs = F.map_filter(
         F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]), lambda k, v: v.isNotNull()
     )
-    allowed = F.array(*[F.lit(k) for k in K.LOG_KEYS])
     m = raw.select("event_id", pairs.alias("m")).select(
         "event_id",
-        F.map_filter("m", lambda k, v: F.array_contains(allowed, k)).alias("kept_map"),
-        F.array_join(F.array_except(F.map_keys("m"), allowed), ",").alias("rejected"),
+        allowed_metadata(F.col("m")).alias("kept_map"),
+        F.array_join(rejected_keys(F.col("m")), ",").alias("rejected"),
     )
     return m.select(
         "event_id", *[F.col("kept_map")[n].alias(n) for n in names if n != "note"], "rejected",
