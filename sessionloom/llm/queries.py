@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import records
+from sessionloom.llm import records, suffix_repeats
 from sessionloom.llm.common import table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,8 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_dir(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), 2)
     return records.read_records(spark, out)
+
+
+@query
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.judged(table(spark, sf_dir, "documents"), ["doc_id"])
