@@ -143,7 +143,7 @@ def dup_lines(text: str) -> int:
 def _figures(docs: DataFrame, keep: list[str], limits: dict[str, int]) -> DataFrame:
     """The columns `keep` as __k0, __k1, ... and the figures of SCHEMA."""
     limit = {"min_total": 10, "min_words": 5, "max_covered": 20, "max_longest": 200, "max_longest_percent": 15} | limits
-    names = SCHEMA.replace(" long", "").replace(" boolean", "").split(", ")
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds, kept_as = dict(docs.dtypes), [f"__k{i}" for i, _ in enumerate(keep)]
     source = kept_as[keep.index("text")] if "text" in keep else "__text"
 
