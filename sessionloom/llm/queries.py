@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import records, suffix_repeats
+from sessionloom.llm import records, simhash_vp, suffix_repeats
 from sessionloom.llm.common import table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,8 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.judged(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
