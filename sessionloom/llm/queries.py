@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessionloom.llm import records, simhash_vp, suffix_repeats
+from sessionloom.llm import records, simhash_vp, suffix_repeats, trie_pieces
 from sessionloom.llm.common import table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,11 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
+@query
+def op6_trie_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, and the digest of the text that is decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = trie_pieces.decode(trie_pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).alias("text_sha256"))
