@@ -45,14 +45,12 @@ def _arrow(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def fill_words(words: Iterable, known: dict, limit: int, encode: Callable[[list], Iterable]) -> None:
-    """Look up every word of `words` that `known` lacks with `encode`. `known`
+def fill_words(lists: list[list], known: dict, limit: int, encode: Callable[[list], Iterable]) -> None:
+    """Look up every word of `lists` that `known` lacks with `encode`. `known`
     lives as long as its Python worker and is emptied beyond `limit` entries, so
     its memory is bounded and its content has no effect on results."""
-    new = set(words)
-    if len(known) + len(new) > limit:
+    words = set().union(*lists)
+    if len(known) + len(words) > limit and not words <= known.keys():
         known.clear()
-    new.difference_update(known)
-    if new:
-        fresh = list(new)
+    if fresh := [w for w in words if w not in known]:
         known.update(zip(fresh, encode(fresh), strict=True))

@@ -24,6 +24,8 @@ replaces it with the same bytes.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,7 +43,11 @@ MASK_ADD = 0xA282EAD8
 HEAD, CRC, LEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
 INDEX = "doc_id long, shard int, offset long, length long, n_tokens long, start_in_shard long"
 #: Distinct words whose ids a Python worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
+SPACE = re.compile(r"\s")
+AFTER_SPACE = re.compile(r"(?<=\S)(?= )")
+#: Every kind of white space, followed by a space.
+SPACED = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -79,41 +85,59 @@ def records_of(stream) -> Iterator[tuple[int, bytes]]:
         at += len(head) + size + CRC.size
 
 
-def chunks_of(text: str) -> list[str]:
-    """Cut before every space that follows a non-space: the byte-level splitting
-    rule always begins a new piece there, so the pieces encode independently."""
-    if "  " in text or text[:1] == " " or not text.isprintable() and any(w[-1:].isspace() for w in text.split(" ")):
-        import re
-
-        return re.split(r"(?<=\S)(?= )", text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-
-
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer, its known words, and its width in bytes, once per worker."""
+    """The tokenizer, its known words, its width, and the bytes of each id, once per worker."""
     if path not in _tokenizers:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
-        _tokenizers[path] = made, {}, "<u4" if made.get_vocab_size() > 0x10000 else "<u2"
+        vocabulary = made.get_vocab()
+        sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for piece, i in vocabulary.items():
+            sizes[i] = len(piece)  # a character stands for a byte
+        _tokenizers[path] = made, {}, "<u4" if len(sizes) > 0x10000 else "<u2", sizes
     return _tokenizers[path]
 
 
+def chunks_of(text: str) -> list[str]:
+    """Cut before every space that follows a non-space: the byte-level splitting
+    rule always begins a new piece there, so the chunks encode independently. All
+    but the first lose that space."""
+    if text[:1] == " " or any(map(text.__contains__, SPACED)):
+        first, *rest = AFTER_SPACE.split(text)
+        return [first, *[w[1:] for w in rest]]
+    return text.split(" ")
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each whole text. Every distinct word goes through the tokenizer once."""
-    made, known, width = _tokenizer(path)
+    """Ids of each whole text. Distinct chunks go through the tokenizer once."""
+    made, known, width, sizes = _tokenizer(path)
 
-    def lookup(words: list[str]) -> list[bytes]:
-        found = made.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, width).tobytes() for e in found]
+    def alone(chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, width).tobytes() for e in made.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    pieces = [chunks_of(t) if t else [] for t in texts]
-    fill_words((w for p in pieces for w in p), known, KEPT_WORDS, lookup)
-    return [b"".join(map(known.__getitem__, p)) for p in pieces]
+    def lookup(words: list[str]) -> list[bytes]:
+        """Words without white space are put behind spaces and encoded a few thousand
+        at once; the bytes of the ids tell where each word's ids end."""
+        odd = [w for w in words if not w or "<|" in w or SPACE.search(w)]
+        found = dict(zip(odd, alone([" " + w for w in odd]), strict=True))
+        plain = [w for w in words if w not in found]
+        for lo in range(0, len(plain), 4000):
+            part = plain[lo:lo + 4000]
+            ids = np.array(made.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, width)
+            reach = np.cumsum([1 + len(w.encode()) for w in part])
+            ends = np.searchsorted(np.cumsum(sizes[ids]), reach) + 1
+            code = ids.tobytes()
+            cuts = [0, *(ends * ids.itemsize).tolist()]
+            found.update((w, code[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+        return [found[w] for w in words]
+
+    chunks = [chunks_of(t) if t else [] for t in texts]
+    firsts = iter(alone([c[0] for c in chunks if c]))
+    rest = [c[1:] for c in chunks]
+    fill_words(rest, known, KEPT_WORDS, lookup)
+    return [(next(firsts) if c else b"") + b"".join(map(known.__getitem__, r)) for c, r in zip(chunks, rest, strict=True)]
 
 
 def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, shards: int | None = None) -> DataFrame:

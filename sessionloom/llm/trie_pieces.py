@@ -26,7 +26,6 @@ length are handled whole; other columns are ignored.
 from __future__ import annotations
 
 import heapq
-import itertools
 import re
 from collections.abc import Iterable
 
@@ -146,7 +145,7 @@ class Model:
             words.sort()
             return self.encode_sorted(words)
 
-        fill_words(itertools.chain.from_iterable(marked), self.known, KEPT_WORDS, lookup)
+        fill_words(marked, self.known, KEPT_WORDS, lookup)
         return [b"".join(map(self.known.__getitem__, w)) for w in marked]
 
     def decode(self, ids: Iterable[int]) -> str:
