@@ -8,6 +8,8 @@ summed over the key, and only the rows of one bucket meet in one window.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ def prefix_sums(
     column it sums, in the order (levels..., order...) within each key.
 
     `levels` are bucket columns from coarse to fine, each non-decreasing in the
-    wanted order; the finest bucket must hold a bounded number of rows. Without a
+    wanted order; the finest bucket must hold a bounded number of rows. A null in a
+    key, a level or the order is a value like others and sorts first. Without a
     key the totals are summed level by level, so that no window sees all buckets.
     """
     if not levels:
@@ -45,7 +48,9 @@ def prefix_sums(
         base = prefix_sums(totals, [], levels[:-1], [levels[-1]], of_totals)
     base = base.select(*group, *of_totals)
     w = _window(group, order)
-    return df.join(base, group).select(
+    base = base.withColumnsRenamed({c: f"__g_{c}" for c in group})
+    same = functools.reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__g_{c}")), group, F.lit(True))
+    return df.join(base, same).select(
         *df.columns,
         *[(F.col(f"__b_{out}") + F.coalesce(F.sum(src).over(w), F.lit(0))).alias(out)
           for out, src in measures.items()],
