@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import records, simhash_vp, suffix_repeats, trie_pieces
-from sessionloom.llm.common import table, work_dir
+from sessionloom.llm import chat_windows, pii_crf, records, simhash_vp, suffix_repeats, trie_pieces, url_filter
+from sessionloom.llm.common import materialize, table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -43,3 +43,67 @@ def op6_trie_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     both = trie_pieces.decode(trie_pieces.encode(table(spark, sf_dir, "documents"), model), model)
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+        for n, role in enumerate(("user", "assistant"))
+    ])))
+    written = materialize(chat_windows.windows(given.union(more)), "chat")
+    return chat_windows.digests(chat_windows.parsed(written))
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights, intercept = url_filter.fit(url_filter.labelled_urls(spark))
+    return url_filter.judged(table(spark, sf_dir, "pages"), "page_id", url_filter.RULES, weights, intercept)
+
+
+@query
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.spans_of(table(spark, sf_dir, "documents"))
+
+
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '{chat_windows.ESCAPE}', '{chat_windows.ESCAPE}0')"
+    for i, control in enumerate(chat_windows.CONTROL, 1):
+        out = f"replace({out}, '{control}', '{chat_windows.ESCAPE}{i}')"
+    return out
+
+
+CHECKS["op5_chat_windows"] = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS seq,
+    CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS tokens,
+    16 + length({_escaped_sql("role")}) + length({_escaped_sql("text")}) AS piece FROM c),
+p AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t),
+q AS (
+  SELECT *, start + tokens AS stop,
+    2 * (start // 1024) + CASE WHEN (start + tokens - 1) // 1024 > start // 1024 THEN 1 ELSE 0 END AS win FROM p),
+w AS (SELECT conv_id, win, min(start) AS b, min(seq) AS first_seq FROM q GROUP BY ALL),
+s AS (SELECT conv_id, min(seq) AS seq, arg_min(piece, seq) AS piece FROM q WHERE role = 'system' GROUP BY ALL),
+h AS (
+  SELECT q.conv_id, sum(q.piece) AS n
+  FROM w JOIN q ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.stop <= w.b AND q.start >= w.b - 256
+  LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id
+  WHERE s.seq IS NULL OR s.seq <> q.seq GROUP BY ALL),
+k AS (
+  SELECT w.conv_id, count(*) * 3 + sum(CASE WHEN w.first_seq > s.seq THEN s.piece ELSE 0 END) AS n
+  FROM w LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id GROUP BY ALL),
+d AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(piece) AS n FROM q GROUP BY conv_id)
+SELECT d.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, (d.n + coalesce(h.n, 0) + k.n)::BIGINT AS formatted_chars
+FROM d LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM d.conv_id JOIN k ON k.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
