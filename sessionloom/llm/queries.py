@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import chat_windows, pii_crf, records, simhash_vp, suffix_repeats, trie_pieces, url_filter
+from sessionloom.llm import chat_windows, mixing, pii_crf, records, simhash_vp, suffix_repeats, trie_pieces, url_filter
 from sessionloom.llm.common import materialize, table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,9 +40,7 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_trie_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, and the digest of the text that is decoded from them."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    both = trie_pieces.decode(trie_pieces.encode(table(spark, sf_dir, "documents"), model), model)
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("text", 256).alias("text_sha256"))
+    return trie_pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @query
@@ -107,3 +105,48 @@ d AS (
 SELECT d.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, (d.n + coalesce(h.n, 0) + k.n)::BIGINT AS formatted_chars
 FROM d LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM d.conv_id JOIN k ON k.conv_id IS NOT DISTINCT FROM d.conv_id
 """
+
+
+#: Words of the corpus are mixed so that no source is read more than this often.
+MIX_REPEATS = 2.0
+
+
+@query
+def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"), repeats=MIX_REPEATS)
+
+
+CHECKS["op2_temperature_mix"] = """
+WITH RECURSIVE u AS (
+  SELECT coalesce(source, '') AS source, doc_id,
+    greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1) AS n_tokens, count(*) AS n
+  FROM documents GROUP BY ALL),
+t AS (SELECT source, sum(n_tokens * n)::BIGINT AS tokens FROM u GROUP BY source),
+g AS (SELECT sum(tokens)::DOUBLE AS total, min(tokens)::DOUBLE AS least, max(tokens)::DOUBLE AS most FROM t),
+bisect(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN pow(least / most, (lo + hi) / 2 - 1) > 2.0 THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN pow(least / most, (lo + hi) / 2 - 1) > 2.0 THEN hi ELSE (lo + hi) / 2 END
+  FROM bisect, g WHERE i < 40),
+e AS (
+  SELECT CASE WHEN pow(least / most, -1) <= 2.0 THEN 0.0 ELSE least(1.0, ceil(hi * 10000) / 10000) END AS a
+  FROM bisect, g WHERE i = 40),
+w AS (SELECT source, tokens, pow(tokens / total, a) AS power, total, most, a FROM t, g, e),
+z AS (SELECT sum(power) AS z, ceil(any_value(total) * sum(power) * pow(any_value(most) / any_value(total), 1 - any_value(a)))::BIGINT AS budget FROM w),
+s AS (
+  SELECT source, w.tokens, greatest(floor(round(power / z, 9) * z.budget::DOUBLE)::BIGINT, 1) AS budget, z.budget AS whole FROM w, z),
+r AS (
+  SELECT u.*, s.tokens, s.budget, s.whole, unnest(range(0, (s.budget - 1) // s.tokens + 1)) AS pass FROM u JOIN s USING (source)),
+k AS (
+  SELECT *, md5('1|' || pass || '|' || coalesce(doc_id::VARCHAR, '-') || '|' || n_tokens) AS key FROM r),
+p AS (
+  SELECT *, pass * tokens + coalesce(sum(n_tokens * n) OVER (
+    PARTITION BY source, pass ORDER BY key, doc_id NULLS FIRST, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot FROM k),
+b AS (
+  SELECT *, ((spot::HUGEINT * ceil(whole / 1048576.0)::BIGINT) // budget)::BIGINT AS block, md5('1|b|' || key || '|' || source) AS inside
+  FROM p WHERE spot < budget)
+SELECT source, doc_id, n_tokens::BIGINT AS n_tokens, n::BIGINT AS "rows", pass::BIGINT AS pass, block,
+  row_number() OVER (PARTITION BY block ORDER BY inside, source, doc_id NULLS FIRST, n_tokens) AS place
+FROM b
+"""

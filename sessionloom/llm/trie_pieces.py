@@ -25,6 +25,7 @@ length are handled whole; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterable
@@ -38,8 +39,8 @@ from sessionloom.llm.common import fill_words, map_batches
 MARK = "▁"
 WORDS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Distinct words whose pieces a Python worker keeps.
-KEPT_WORDS = 500_000
-KEPT_PAIRS = 2_000_000
+KEPT_WORDS = 400_000
+KEPT_PAIRS = 600_000
 START, UNKNOWN = -2, -1
 _models: dict[str, "Model"] = {}
 
@@ -57,7 +58,6 @@ class Model:
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
         self.byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.piece = {i: p for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
         self.bytes_of = [b""] * len(ids)
         for p, i in self.ids.items():
             self.bytes_of[i] = p.replace(MARK, " ").encode()
@@ -65,8 +65,15 @@ class Model:
             self.bytes_of[i] = bytes([b])
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece of this model crosses a word border")
+        self.code = [i.to_bytes(2, "little") for i in ids]
+        self.root: dict = {}
+        for p, i in self.ids.items():
+            node = self.root
+            for sign in p:
+                node = node.setdefault(sign, {})
+            node[""] = i
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The byte-pair result for a short text: best score first, then leftmost."""
@@ -100,42 +107,45 @@ class Model:
         return self.merged(left + right) == [left, right] if left else self.merged(right) == [right]
 
     def encode_sorted(self, words: list[str]) -> list[bytes]:
-        """Piece ids (two bytes each) of sorted words, by one walk over their trie."""
-        ids, pairs, longest = self.ids, self.pairs, self.longest
+        """Piece ids (two bytes each) of sorted words, by one walk over their trie.
+
+        The state of a prefix holds its last piece, its ids, and the starts from
+        which a longer piece may still grow, with their nodes in the pieces' own trie."""
+        pairs, root, code = self.pairs, self.root, self.code
         if len(pairs) > KEPT_PAIRS:
             pairs.clear()
         out, before = [], ""
-        # By prefix length: the last piece, and the length of the prefix before it.
-        last, back = [START], [0]
+        last, path, grows = [START], [b""], [[]]
         for word in words:
             same, most = 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
                 same += 1
-            del last[same + 1:], back[same + 1:]
-            for end in range(same + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = ids.get(word[start:end])
-                    if piece is None:
+            del last[same + 1:], path[same + 1:], grows[same + 1:]
+            for at in range(same, len(word)):
+                sign, found, open_ = word[at], None, []
+                for start, node in [*grows[at], (at, root)]:
+                    node = node.get(sign)
+                    if node is None:
+                        continue
+                    open_.append((start, node))
+                    piece = node.get("")
+                    if piece is None or found is not None:
                         continue
-                    pair = last[start], piece
-                    fits = pairs.get(pair)
+                    key = (last[start] + 2) << 20 | piece
+                    fits = pairs.get(key)
                     if fits is None:
-                        fits = pairs[pair] = self.agrees(*pair)
+                        fits = pairs[key] = self.agrees(last[start], piece)
                     if fits:
-                        last.append(piece)
-                        back.append(start)
-                        break
-                else:
+                        found = start, piece
+                if found is None:
                     last.append(UNKNOWN)
-                    back.append(end - 1)
-            before, found, end = word, [], len(word)
-            while end:
-                if last[end] >= 0:
-                    found.append(last[end])
+                    path.append(path[at] + b"".join(code[self.byte_ids[b]] for b in sign.encode("utf-8", "surrogatepass")))
                 else:
-                    found += [self.byte_ids[b] for b in reversed(word[end - 1].encode("utf-8", "surrogatepass"))]
-                end = back[end]
-            out.append(np.array(found[::-1], "<u2").tobytes())
+                    last.append(found[1])
+                    path.append(path[found[0]] + code[found[1]])
+                grows.append(open_)
+            out.append(path[-1])
+            before = word
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -161,15 +171,7 @@ def _model(path: str) -> Model:
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and the piece ids of every whole text."""
-
-    def step(cols: dict[str, list]):
-        made = _model(model)
-        for lo in range(0, len(cols["text"]), 1000):
-            found = made.encode([t or "" for t in cols["text"][lo:lo + 1000]])
-            yield {"doc_id": cols["doc_id"][lo:lo + 1000], "ids": [np.frombuffer(x, "<u2").astype(np.int32) for x in found]}
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(rows, "doc_id long, ids array<int>", step)
+    return round_trip(docs, model, restore=False).select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -180,3 +182,18 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         yield cols | {"text": [made.decode(x or []) for x in cols["ids"]]}
 
     return map_batches(encoded.select("doc_id", "ids"), "doc_id long, ids array<int>, text string", step)
+
+
+def round_trip(docs: DataFrame, model: str, restore: bool = True) -> DataFrame:
+    """doc_id, ids, n_ids and the SHA-256 of the text that is decoded from the ids
+    (null unless `restore`), in one pass over the texts."""
+
+    def step(cols: dict[str, list]):
+        made = _model(model)
+        for lo in range(0, len(cols["text"]), 1000):
+            ids = [np.frombuffer(x, "<u2").astype(np.int32) for x in made.encode([t or "" for t in cols["text"][lo:lo + 1000]])]
+            digest = [hashlib.sha256(made.decode(x.tolist()).encode()).hexdigest() if restore else None for x in ids]
+            yield {"doc_id": cols["doc_id"][lo:lo + 1000], "ids": ids, "n_ids": [len(x) for x in ids], "text_sha256": digest}
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(rows, "doc_id long, ids array<int>, n_ids long, text_sha256 string", step)
