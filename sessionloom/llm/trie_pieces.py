@@ -1,7 +1,8 @@
 """Operator 6: SentencePiece encoding and decoding by a shared-prefix Viterbi pass.
 
-A text is marked as the model asks: a space becomes U+2581 and one goes in front.
-Marked words are runs of marks with the characters up to the next mark; no piece of
+A text is marked as the model asks: one space goes in front, and every space counts
+as the model's mark U+2581 (the pieces are kept with spaces here). Marked words are
+runs of marks with the characters up to the next mark; no piece of
 a model crosses such a border, nor a line feed that no piece holds. The distinct
 words of a batch are sorted, which is the depth-first order of their trie. The
 forward pass goes along the trie: a word keeps the forward states of the prefix
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from sessionloom.llm.common import fill_words, map_batches
 
 MARK = "▁"
-WORDS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+WORDS = re.compile("\n| *[^ \n]+| +")
 #: Distinct words whose pieces a Python worker keeps.
 KEPT_WORDS = 400_000
 KEPT_PAIRS = 600_000
@@ -54,16 +55,16 @@ class Model:
         sp = SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         plain = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.ids = {sp.id_to_piece(i): i for i in plain}
-        self.score = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
+        self.ids = {sp.id_to_piece(i).replace(MARK, " "): i for i in plain}
+        self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.piece = {i: p for p, i in self.ids.items()}
         self.bytes_of = [b""] * len(ids)
         for p, i in self.ids.items():
-            self.bytes_of[i] = p.replace(MARK, " ").encode()
+            self.bytes_of[i] = p.encode()
         for b, i in self.byte_ids.items():
             self.bytes_of[i] = bytes([b])
-        if any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
+        if any("\n" in p or " " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece of this model crosses a word border")
         self.code = [i.to_bytes(2, "little") for i in ids]
         self.root: dict = {}
@@ -149,7 +150,7 @@ class Model:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        marked = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        marked = [WORDS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
 
         def lookup(words: list[str]) -> Iterable[bytes]:
             words.sort()
