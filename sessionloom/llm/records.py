@@ -43,7 +43,7 @@ MASK_ADD = 0xA282EAD8
 HEAD, CRC, LEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
 INDEX = "doc_id long, shard int, offset long, length long, n_tokens long, start_in_shard long"
 #: Distinct words whose ids a Python worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_500_000
 SPACE = re.compile(r"\s")
 AFTER_SPACE = re.compile(r"(?<=\S)(?= )")
 #: Every kind of white space, followed by a space.
@@ -158,11 +158,11 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, sh
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             lines: dict[str, list] = {k: [] for k in arrow.names}
-            for lo in range(0, len(texts), 500):
+            for lo in range(0, len(texts), 2000):
                 width = _tokenizer(tokenizer)[2]
                 end = np.array([end_id], width).tobytes()
                 framed = []
-                for doc_id, code in zip(ids[lo:lo + 500], encode_texts(texts[lo:lo + 500], tokenizer), strict=True):
+                for doc_id, code in zip(ids[lo:lo + 2000], encode_texts(texts[lo:lo + 2000], tokenizer), strict=True):
                     record = frame(pack(doc_id, code + end, width == "<u4"))
                     n = len(code) // len(end) + 1
                     for k, v in zip(lines, (doc_id, shard, offset, len(record), n, tokens), strict=True):
