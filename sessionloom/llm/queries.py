@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import chat_windows, mixing, pii_crf, records, simhash_vp, suffix_repeats, trie_pieces, url_filter
+from sessionloom.llm import chat_windows, lm_backoff, mixing, pii_crf, records, simhash_vp, suffix_repeats, trie_pieces, url_filter
 from sessionloom.llm.common import materialize, table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,8 @@ SELECT source, doc_id, n_tokens::BIGINT AS n_tokens, n::BIGINT AS "rows", pass::
   row_number() OVER (PARTITION BY block ORDER BY inside, source, doc_id NULLS FIRST, n_tokens) AS place
 FROM b
 """
+
+
+@query
+def op8_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_backoff.scored(table(spark, sf_dir, "documents"))
