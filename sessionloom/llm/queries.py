@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import chat_windows, lm_backoff, mixing, pii_crf, records, simhash_vp, suffix_repeats, trie_pieces, url_filter
+from sessionloom.llm import chat_windows, lm_backoff, mixing, nn_descent, pii_crf, records, simhash_vp, suffix_repeats, trie_pieces, url_filter
 from sessionloom.llm.common import materialize, table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,8 @@ FROM b
 @query
 def op8_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_backoff.scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
