@@ -22,6 +22,14 @@ doc_id is kept and is never the smallest of a group unless there is no other;
 repeated rows have one fingerprint and one component; an empty table gives an
 empty result; texts of any length are hashed whole. Other columns are ignored.
 
+`near_copies` finds texts whose sets of shingles have a Jaccard similarity of
+`similarity` or more. At 0.8 fingerprints differ in some 10 bits of 64, and at such a
+radius the triangle bound prunes next to nothing: unrelated ones are 32 +- 4 bits
+apart. So fingerprints are first dealt to shards by KEYS pairs of smallest
+shingle hashes (two such texts share no pair with a chance of 0.36^KEYS), a shard
+is searched by its vantage-point tree, and the links found, nearest first and one
+per group and shard at most, are checked on the full sets of shingles.
+
 Only distinct fingerprints are grouped, so a group of copies counts once. A shard
 holds about SHARD_ROWS fingerprints; the tree is built from SAMPLE_PER_SHARD
 fingerprints a shard, at most MAX_SAMPLE, and never from all.
@@ -209,3 +217,150 @@ def near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
     return rows.join(named, rows["fp"] == named["__fp"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+KEYS = 8
+WIDE_RADIUS = 18
+ROW = "doc_id long, row_hash long, class long, fp long, n long, keys array<long>"
+
+
+def _shard_keys(hashes: np.ndarray) -> list[int]:
+    """KEYS hashes, each of two smallest values over the shingles in an order of its own."""
+    if not len(hashes):
+        return []
+    least = []
+    for k in range(2 * KEYS):
+        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+        least.append(int(((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).min()))
+    pairs = np.array(least, np.uint64).reshape(KEYS, 2)
+    mixed = pairs[:, 0] * np.uint64(0x9E3779B97F4A7C15) + (pairs[:, 1] ^ np.arange(KEYS, dtype=np.uint64))
+    return mixed.view(np.int64).tolist()
+
+
+def _described(docs: DataFrame, words: int) -> DataFrame:
+    """ROW for every document; `class` is a hash of its lower-cased words."""
+
+    def step(cols: dict[str, list]):
+        out: dict[str, list] = {k: [] for k in ("class", "fp", "n", "keys")}
+        for text in cols["text"]:
+            w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            hashes = shingle_hashes(text or "", words)
+            kinds = np.unique(np.array(hashes, np.uint64))
+            for k, v in zip(out, (xxhash.xxh64_intdigest(b" ".join(w)) - 2**63, majority(hashes), len(kinds), _shard_keys(kinds)), strict=True):
+                out[k].append(v)
+        out["fp"] = np.array(out["fp"], np.uint64).view(np.int64).tolist()
+        yield {k: cols[k] for k in ("doc_id", "row_hash")} | out
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
+    return map_batches(rows, ROW, step)
+
+
+def _tree_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers that differ in at most `radius` bits, by a vantage-point tree."""
+    rng, stack = np.random.default_rng(3), [np.arange(len(fps))]
+    while stack:
+        part = stack.pop()
+        if len(part) > LEAF:
+            d = distance(fps[part], fps[part[rng.integers(len(part))]])
+            m = int(np.median(d))
+            m -= d.max() == m
+            outside = d > m - radius
+            if outside.sum() <= 0.9 * len(part):
+                stack += [part[d <= m], part[outside]]
+                continue
+        for lo in range(0, len(part), LEAF):
+            some = part[lo:lo + LEAF]
+            for at in range(lo, len(part), 4096):
+                rest = part[at:at + 4096]
+                i, j = np.nonzero(distance(fps[some][:, None], fps[rest][None, :]) <= radius)
+                yield some[i], rest[j]
+
+
+def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of classes to check: the nearest ones that connect each shard."""
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def one(classes: np.ndarray, fps: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        found: list[list] = [[], [], []]
+        for i, j in _tree_pairs(fps, WIDE_RADIUS):
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            fit = (i < j) & (low >= similarity * high)
+            for k, v in zip(found, (distance(fps[i[fit]], fps[j[fit]]), i[fit], j[fit]), strict=True):
+                k.append(v)
+        d, i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
+        groups, kept = Groups(len(fps)), []
+        for at in np.argsort(d, kind="stable").tolist():
+            x, y = groups.root(int(i[at])), groups.root(int(j[at]))
+            if x != y:
+                groups.up[max(x, y)] = min(x, y)
+                kept.append(at)
+        return pa.RecordBatch.from_arrays([pa.array(classes[i[kept]]), pa.array(classes[j[kept]])], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups of one shard lie together; the last one of a batch may go on."""
+        rest: list[np.ndarray] = []
+        for last, batch in itertools.chain(((False, b) for b in batches), [(True, None)]):
+            part = None if last else np.stack([batch.column(k).to_numpy() for k in range(4)])
+            rest += [] if last else [part]
+            if not rest or not last and part[0, 0] == part[0, -1] == rest[0][0, 0]:
+                continue
+            every = np.concatenate(rest, axis=1)
+            cut = np.flatnonzero(np.append(True, every[0, 1:] != every[0, :-1]))
+            for a, b in zip(cut, [*cut[1:], every.shape[1]], strict=True):
+                if b == every.shape[1] and not last:
+                    rest = [every[:, a:b]]
+                elif b - a > 1:
+                    yield one(every[1, a:b], every[2, a:b].view(np.uint64), every[3, a:b])
+
+    dealt = rows.select(F.explode("keys").alias("shard"), "class", "fp", "n")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
+
+
+def _checked(links: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links whose sets of shingles are similar enough."""
+    named = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "class")
+    first = rows.join(named, "class").groupBy("class").agg(F.min_by(F.struct("doc_id", "row_hash"), F.coalesce("doc_id", F.lit(-1))).alias("of"))
+
+    def sets(cols: dict[str, list]):
+        found = [np.unique(np.array(shingle_hashes(t or "", words), np.uint64)).tobytes() for t in cols["text"]]
+        yield {"class": cols["class"], "grams": found}
+
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
+    same = text["doc_id"].eqNullSafe(F.col("of.doc_id")) & (text["row_hash"] == F.col("of.row_hash"))
+    grams = map_batches(text.join(first, same).dropDuplicates(["class"]).select("class", "text"), "class long, grams binary", sets)
+    grams = materialize(grams, "copies-shingles")
+
+    def compare(cols: dict[str, list]):
+        out: dict[str, list] = {"a": [], "b": []}
+        for a, b, x, y in zip(cols["a"], cols["b"], cols["x"], cols["y"], strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= similarity * (len(x) + len(y) - both):
+                out["a"].append(a)
+                out["b"].append(b)
+        yield out
+
+    pairs = links.join(grams.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b")
+    return map_batches(pairs.select("a", "b", "x", "y"), "a long, b long", compare)
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per different (doc_id, row_hash), the xxhash64 of its text: its class
+    and the group of its class."""
+    rows = materialize(_described(docs, words), "copies-rows")
+    classes = rows.groupBy("class").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("keys").alias("keys"))
+    links = materialize(_candidates(classes, similarity), "copies-links")
+    group = components(_checked(links, rows, docs, words, similarity))
+    named = rows.select("doc_id", "row_hash", "class").distinct().join(group, F.col("class") == F.col("node"), "left")
+    return named.select("doc_id", "row_hash", "class", F.coalesce("component", "class").alias("group"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` without near-copies: of each group the one with the
+    smallest doc_id stays (a null one last), and one of its equal rows."""
+    found = near_copies(docs, words, similarity)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))
+    kept = found.groupBy("group").agg(F.min(order).alias("kept")).select("kept.*")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    out = docs.join(kept, same)
+    return out.dropDuplicates(["__id", "__hash"]).select(*[docs[c] for c in docs.columns])
