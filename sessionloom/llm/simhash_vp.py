@@ -27,8 +27,9 @@ empty result; texts of any length are hashed whole. Other columns are ignored.
 radius the triangle bound prunes next to nothing: unrelated ones are 32 +- 4 bits
 apart. So fingerprints are first dealt to shards by KEYS pairs of smallest
 shingle hashes (two such texts share no pair with a chance of 0.36^KEYS), a shard
-is searched by its vantage-point tree, and the links found, nearest first and one
-per group and shard at most, are checked on the full sets of shingles.
+is searched by its vantage-point tree, and the links found, nearest first and as
+few as connect each shard, are checked on the full sets of shingles. Where a link
+fails, its shard is searched once more for those that it stood in for.
 
 Only distinct fingerprints are grouped, so a group of copies counts once. A shard
 holds about SHARD_ROWS fingerprints; the tree is built from SAMPLE_PER_SHARD
@@ -297,27 +298,43 @@ def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(classes[i[kept]]), pa.array(classes[j[kept]])], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of one shard lie together; the last one of a batch may go on."""
-        rest: list[np.ndarray] = []
-        for last, batch in itertools.chain(((False, b) for b in batches), [(True, None)]):
-            part = None if last else np.stack([batch.column(k).to_numpy() for k in range(4)])
-            rest += [] if last else [part]
-            if not rest or not last and part[0, 0] == part[0, -1] == rest[0][0, 0]:
-                continue
-            every = np.concatenate(rest, axis=1)
-            cut = np.flatnonzero(np.append(True, every[0, 1:] != every[0, :-1]))
-            for a, b in zip(cut, [*cut[1:], every.shape[1]], strict=True):
-                if b == every.shape[1] and not last:
-                    rest = [every[:, a:b]]
-                elif b - a > 1:
-                    yield one(every[1, a:b], every[2, a:b].view(np.uint64), every[3, a:b])
+        for shard in _shards(batches):
+            yield one(shard["class"].to_numpy(), shard["fp"].to_numpy().view(np.uint64), shard["n"].to_numpy())
 
     dealt = rows.select(F.explode("keys").alias("shard"), "class", "fp", "n")
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
 
 
-def _checked(links: DataFrame, rows: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links whose sets of shingles are similar enough."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each shard that has several; shards lie together, and the last
+    one of a batch may go on in the next."""
+    rest: list[pa.RecordBatch] = []
+    for last, batch in itertools.chain(((False, b) for b in batches), [(True, None)]):
+        if batch is not None and batch.num_rows:
+            rest.append(batch)
+        if not rest:
+            continue
+        first, end = rest[0]["shard"][0].as_py(), rest[-1]["shard"][-1].as_py()
+        if not last and first == end:
+            continue
+        every = pa.Table.from_batches(rest).combine_chunks().to_batches()[0] if len(rest) > 1 else rest[0]
+        of = every["shard"].to_numpy()
+        cut = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        rest = []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(of)], strict=True):
+            if b == len(of) and not last:
+                rest = [every.slice(a, b - a)]
+            elif b - a > 1:
+                yield every.slice(a, b - a)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def _grams(links: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The sorted distinct shingle hashes of every class that a link names."""
     named = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "class")
     first = rows.join(named, "class").groupBy("class").agg(F.min_by(F.struct("doc_id", "row_hash"), F.coalesce("doc_id", F.lit(-1))).alias("of"))
 
@@ -327,21 +344,51 @@ def _checked(links: DataFrame, rows: DataFrame, docs: DataFrame, words: int, sim
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
     same = text["doc_id"].eqNullSafe(F.col("of.doc_id")) & (text["row_hash"] == F.col("of.row_hash"))
-    grams = map_batches(text.join(first, same).dropDuplicates(["class"]).select("class", "text"), "class long, grams binary", sets)
-    grams = materialize(grams, "copies-shingles")
+    return map_batches(text.join(first, same).dropDuplicates(["class"]).select("class", "text"), "class long, grams binary", sets)
+
+
+def _checked(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """The links, and whether their sets of shingles are similar enough."""
 
     def compare(cols: dict[str, list]):
-        out: dict[str, list] = {"a": [], "b": []}
-        for a, b, x, y in zip(cols["a"], cols["b"], cols["x"], cols["y"], strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both >= similarity * (len(x) + len(y) - both):
-                out["a"].append(a)
-                out["b"].append(b)
-        yield out
+        fit = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(cols["x"], cols["y"], strict=True)]
+        yield {"a": cols["a"], "b": cols["b"], "fit": fit}
+
+    side = lambda end, text: grams.select(F.col("class").alias(end), F.col("grams").alias(text))
+    pairs = links.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return map_batches(pairs.select("a", "b", "x", "y"), "a long, b long, fit boolean", compare)
 
-    pairs = links.join(grams.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b")
-    return map_batches(pairs.select("a", "b", "x", "y"), "a long, b long", compare)
+
+def _missed(failed: DataFrame, classes: DataFrame, grams: DataFrame, group: DataFrame, similarity: float) -> DataFrame:
+    """A link that fails can have stood in for others of its shard. So classes of
+    failed links are dealt once more, with their sets of shingles and groups so far,
+    and every two near ones of different groups are compared where they first meet."""
+    ends = failed.select("a").union(failed.select("b")).distinct().withColumnRenamed("a", "class")
+    rows = classes.join(ends, "class").join(grams, "class").join(group, F.col("class") == F.col("node"), "left")
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches):
+            names, so_far = shard["class"].to_numpy(), shard["group"].to_numpy()
+            keys = np.array(shard["keys"].to_pylist(), np.int64)
+            sets = [np.frombuffer(x, np.uint64) for x in shard["grams"].to_pylist()]
+            n, fps = np.array([len(x) for x in sets]), shard["fp"].to_numpy().view(np.uint64)
+            groups, links = Groups(len(names)), []
+            _, first, of = np.unique(so_far, return_index=True, return_inverse=True)
+            groups.join(first[of], np.arange(len(names)))
+            for i, j in _tree_pairs(fps, WIDE_RADIUS):
+                fit = (i < j) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (so_far[i] != so_far[j])
+                i, j = i[fit], j[fit]
+                here = (keys[i] == keys[j]).argmax(1) == shard["place"][0].as_py()
+                for x, y in zip(i[here].tolist(), j[here].tolist(), strict=True):
+                    if groups.root(x) != groups.root(y) and _similar(sets[x], sets[y], similarity):
+                        groups.join(np.array([x]), np.array([y]))
+                        links.append((x, y))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(names[list(x)]) for x in zip(*links, strict=True)], schema=arrow)
+
+    dealt = rows.select(F.posexplode("keys").alias("place", "shard"), "class", "fp", "keys", "grams", F.coalesce("component", "class").alias("group"))
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -350,7 +397,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     rows = materialize(_described(docs, words), "copies-rows")
     classes = rows.groupBy("class").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("keys").alias("keys"))
     links = materialize(_candidates(classes, similarity), "copies-links")
-    group = components(_checked(links, rows, docs, words, similarity))
+    grams = materialize(_grams(links, rows, docs, words), "copies-shingles")
+    checked = materialize(_checked(links, grams, similarity), "copies-checked")
+    good, failed = checked.where("fit").select("a", "b"), checked.where("NOT fit")
+    more = _missed(failed, classes, grams, components(good), similarity)
+    group = components(good.union(more))
     named = rows.select("doc_id", "row_hash", "class").distinct().join(group, F.col("class") == F.col("node"), "left")
     return named.select("doc_id", "row_hash", "class", F.coalesce("component", "class").alias("group"))
 
