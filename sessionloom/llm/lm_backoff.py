@@ -16,9 +16,9 @@ hashes. So an n-gram goes to its counting task once per block, however common it
 is, and no key is hot; buckets grow in number with the corpus. A block's words stay
 in a file of the shared folder until its counts return.
 
-N-grams are told apart by 48 bits beside those of their bucket; as the number of
+N-grams are told apart by 40 bits beside those of their bucket; as the number of
 buckets follows the corpus, the chance that an n-gram shares them with another one
-stays below 10^-7.
+stays at about 10^-6.
 
 Cases: a null or blank text has no words and score 0; a null doc_id is kept;
 repeated rows are counted and scored each by itself; an empty table gives an empty
@@ -44,6 +44,8 @@ from sessionloom.llm.mixing import words
 
 BLOCK_WORDS = 1_200_000
 CHARS_PER_BUCKET = 4_000_000
+#: Of each hash, beside its bucket.
+HASH_BYTES = 5
 #: Odd numbers that mix hashes.
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PARTS = "bucket long, block string, grams binary, counts binary"
@@ -91,14 +93,17 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[at], np.diff(np.append(at, len(every))).astype(np.uint32)
 
 
-def _short(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _planes(numbers: np.ndarray, kept: int) -> bytes:
+    """The `kept` lowest bytes of each number, all first bytes first: of sorted or
+    small numbers the higher ones compress well."""
+    size = numbers.dtype.itemsize
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, size)[:, :kept].T).tobytes()
 
 
-def _long(short: bytes) -> np.ndarray:
-    out = np.zeros((len(short) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(short, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
+def _numbers(planes: bytes, kept: int, size: int = 8) -> np.ndarray:
+    out = np.zeros((len(planes) // kept, size), np.uint8)
+    out[:, :kept] = np.frombuffer(planes, np.uint8).reshape(kept, -1).T
+    return out.view(f"<u{size}").reshape(-1)
 
 
 def _save(where: str, arrays: dict[str, np.ndarray], attempt: int) -> None:
@@ -146,7 +151,7 @@ def _exploded(docs: DataFrame, folder: str, order: int, bits: int) -> DataFrame:
                 grams, counts = _distinct(gram_hashes(ids, word_hash, _places(lengths), order))
                 for bucket, a, b in _buckets(grams, bits):
                     yield pa.RecordBatch.from_pydict(
-                        {"bucket": [bucket], "block": [block], "grams": [_short(grams[a:b])], "counts": [counts[a:b].tobytes()]}, schema=arrow)
+                        {"bucket": [bucket], "block": [block], "grams": [_planes(grams[a:b], HASH_BYTES)], "counts": [_planes(counts[a:b], 4)]}, schema=arrow)
                 if not total:  # a block without words returns too
                     yield pa.RecordBatch.from_pydict({"bucket": [0], "block": [block], "grams": [b""], "counts": [b""]}, schema=arrow)
                 lo, count = hi, count + 1
@@ -179,14 +184,14 @@ def scored(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int
         names, grams, counts = [], [], []
         for p in parts:
             names += p["block"].to_pylist()
-            grams += [_long(g) for g in p["grams"].to_pylist()]
-            counts += [np.frombuffer(c, np.uint32) for c in p["counts"].to_pylist()]
+            grams += [_numbers(g, HASH_BYTES) for g in p["grams"].to_pylist()]
+            counts += [_numbers(c, 4, 4) for c in p["counts"].to_pylist()]
         sizes, every = [len(g) for g in grams], np.concatenate(grams)
         del grams
         found, place = np.unique(every, return_inverse=True)
         total = np.bincount(place, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)[place]
         for name, part in zip(names, np.split(total, np.cumsum(sizes)[:-1]), strict=True):
-            yield pa.RecordBatch.from_pydict({"block": [name], "bucket": [key[0].as_py()], "counts": [part.tobytes()]}, schema=returned)
+            yield pa.RecordBatch.from_pydict({"block": [name], "bucket": [key[0].as_py()], "counts": [_planes(part, 8)]}, schema=returned)
 
     def score(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _load(f"{folder}/{key[0].as_py()}", FILE)
@@ -195,7 +200,7 @@ def scored(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int
         first = _places(lengths)
         hashes = gram_hashes(block["ids"], block["word_hash"], first, order)
         grams, _ = _distinct(hashes)
-        counts = np.frombuffer(b"".join(c for _, c in rows), np.int64)
+        counts = np.concatenate([_numbers(c, 8).view(np.int64) for _, c in rows])
         if len(counts) != len(grams):
             raise ValueError("a block's n-grams changed between its two reads")
         of = lambda h: counts[np.searchsorted(grams, h)] if len(grams) else np.empty(0, np.int64)
