@@ -151,7 +151,7 @@ def _exploded(docs: DataFrame, folder: str, order: int, bits: int) -> DataFrame:
                 grams, counts = _distinct(gram_hashes(ids, word_hash, _places(lengths), order))
                 for bucket, a, b in _buckets(grams, bits):
                     yield pa.RecordBatch.from_pydict(
-                        {"bucket": [bucket], "block": [block], "grams": [_planes(grams[a:b], HASH_BYTES)], "counts": [_planes(counts[a:b], 4)]}, schema=arrow)
+                        {"bucket": [bucket], "block": [block], "grams": [_planes(_below(grams[a:b], bits), HASH_BYTES)], "counts": [_planes(counts[a:b], 4)]}, schema=arrow)
                 if not total:  # a block without words returns too
                     yield pa.RecordBatch.from_pydict({"bucket": [0], "block": [block], "grams": [b""], "counts": [b""]}, schema=arrow)
                 lo, count = hi, count + 1
@@ -159,6 +159,11 @@ def _exploded(docs: DataFrame, folder: str, order: int, bits: int) -> DataFrame:
     return texts_of(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, PARTS)
 
 
+def _below(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The HASH_BYTES bytes of each hash that follow its bucket, still sorted."""
+    return grams << np.uint64(bits) >> np.uint64(64 - 8 * HASH_BYTES)
+
+
 def _buckets(grams: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """Bucket numbers and the part of the sorted `grams` that each holds."""
     if not len(grams):
