@@ -109,7 +109,6 @@ RECENT_ATTEMPTS = 5
 EVIDENCE_CAP = 240
 CACHE_BUDGET_BYTES = 200 * 1024 * 1024
 
-# Rows of one list that are ever put together into one value. A longer list is
-# continued in further parts, so no task holds an unbounded group.
+# Rows of one list that meet in one window or are joined at once; a longer list
+# is worked on in buckets of this size, whose results are then put together.
 PART_ITEMS = 4096
-PART_CHARS = 8 * 1024 * 1024

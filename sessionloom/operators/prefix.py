@@ -73,28 +73,16 @@ def _joined(order: list[str], text: str) -> Column:
 
 
 def concat_parts(
-    pieces: DataFrame,
-    key: list[str],
-    levels: list[str],
-    order: list[str],
-    text: str = "text",
-    max_chars: int = K.PART_CHARS,
+    pieces: DataFrame, key: list[str], levels: list[str], order: list[str], text: str = "text",
 ) -> DataFrame:
-    """Join the ordered text pieces of each key: one row per key and part.
+    """Join the ordered text pieces of each key: one row per key, of any length.
 
-    The pieces of one bucket give a fragment; a fragment goes to part `start
-    offset div max_chars`. So a part never exceeds `max_chars` plus one fragment,
-    and the parts in order give the whole text. A key of usual size has exactly
-    one part, number 0. Both uses of the fragments share one shuffle.
+    The pieces of one bucket give a fragment, the fragments of a key its text, so
+    a key's pieces are never sorted in one task. `part_no` is always 0.
     """
     group = key + levels
-    fragments = (
-        pieces.groupBy(*group).agg(_joined(order, text).alias(text))
-        .withColumn("chars", F.char_length(text).cast("bigint"))
-    )
-    starts = prefix_sums(
-        fragments.select(*group, "chars"), key, [], levels, {"__at": "chars"}
-    ).select(*group, bucket(F.col("__at"), max_chars).alias("part_no"))
-    return fragments.join(starts, group).groupBy(*key, "part_no").agg(
-        _joined(levels, text).alias(text), F.sum("chars").alias("chars")
+    fragments = pieces.groupBy(*group).agg(_joined(order, text).alias(text))
+    return fragments.groupBy(*key).agg(_joined(levels, text).alias(text)).select(
+        *key, F.lit(0).cast("bigint").alias("part_no"), text,
+        F.char_length(text).cast("bigint").alias("chars"),
     )

@@ -69,15 +69,13 @@ def objective_prompts(sessions: DataFrame, tails: DataFrame) -> DataFrame:
                                      "ticket_text": F.lit("")})
 
 
-def attempt_prompts(sessions: DataFrame, turns: DataFrame,
-                    max_chars: int = K.PART_CHARS) -> DataFrame:
-    """The whole session; a very long one is asked in several parts, and the
-    attempts found in the parts are put one after another."""
+def attempt_prompts(sessions: DataFrame, turns: DataFrame) -> DataFrame:
+    """One question about the whole session, whatever its length."""
     pieces = turns.select(
         "session_id", bucket(F.col("ord"), TURNS_PER_FRAGMENT).alias("bucket"), "ord",
         F.concat(F.lit("\n\n"), F.upper("role"), F.lit(": "), F.col("text")).alias("text"),
     )
-    parts = concat_parts(pieces, ["session_id"], ["bucket"], ["ord"], max_chars=max_chars)
+    parts = concat_parts(pieces, ["session_id"], ["bucket"], ["ord"])
     return _prompt(
         sessions.join(parts, "session_id", "left"), "attempts",
         {"transcript_excerpt": F.expr("substring(text, 3)")},
@@ -419,17 +417,20 @@ def estimate_cost(usage: DataFrame) -> DataFrame:
 def evict(entries: DataFrame, budget: int = K.CACHE_BUDGET_BYTES) -> DataFrame:
     """Entries that stay: the most recently used ones within `budget` bytes.
 
-    `entries`: key, size, last_accessed (ISO text). A running total over the whole
-    table, taken over days, seconds and key prefixes in turn, so no window sees
-    more than one bucket's rows.
+    `entries`: key, size, last_accessed (ISO text; NULL counts as never used).
+    Within one instant the smaller key counts as the newer one. A running total
+    over the whole table, taken over days, seconds, instants and key prefixes in
+    turn, so no window sees more than one bucket's rows.
     """
-    at = F.unix_seconds(F.to_timestamp("last_accessed"))
+    used = F.unix_micros(F.try_to_timestamp("last_accessed"))
+    at = F.coalesce(used, F.lit(-(2**60)))
     rows = entries.select(
-        "*", (-F.floor(at / 86400)).alias("__day"), (-at).alias("__second"),
+        "*", (-F.floor(at / 86_400_000_000)).alias("__day"), (-F.floor(at / 1_000_000)).alias("__second"),
+        (-at).alias("__instant"),
         F.left("key", F.lit(2)).alias("__k1"), F.left("key", F.lit(4)).alias("__k2"),
     )
     summed = prefix_sums(
-        rows, [], ["__day", "__second", "__k1", "__k2"], ["key"], {"__newer": "size"}
+        rows, [], ["__day", "__second", "__instant", "__k1", "__k2"], ["key"], {"__newer": "size"}
     )
     return summed.where(F.col("__newer") + F.col("size") <= budget).select(*entries.columns)
 

@@ -28,9 +28,9 @@ def compile_lines(lines: DataFrame, priors: DataFrame | None = None,
     return compile_fast(turns, sessions, priors, repos, now)
 
 
-def gate(ps: PacketSet) -> DataFrame:
-    """`packet_id, errors, passed`: rule errors and schema violations block."""
-    found = L.row_findings(ps).unionByName(schema_violations(ps))
+def gate(ps: PacketSet, state: L.RepoState | None = None) -> DataFrame:
+    """`packet_id, errors, passed`: errors of any rule and schema violations block."""
+    found = L.every_finding(ps, state or L.RepoState(), schema_violations(ps))
     counts = found.groupBy("packet_id").agg(F.count_if(L.is_error()).alias("errors"))
     return ps.packets.select("packet_id").join(counts, "packet_id", "left").select(
         "packet_id", F.coalesce("errors", F.lit(0)).alias("errors"),
@@ -39,16 +39,18 @@ def gate(ps: PacketSet) -> DataFrame:
 
 def failover(lines: DataFrame, lists: PacketSet, target: str = "generic",
              priors: DataFrame | None = None, repos: DataFrame | None = None,
-             now: str = "1970-01-01T00:00:00.000Z") -> DataFrame:
+             now: str = "1970-01-01T00:00:00.000Z", state: L.RepoState | None = None) -> DataFrame:
     """Compile, check and render: text only for packets that pass the gate.
 
+    `state` holds what the rules on repository, history and approvals look at.
+
     `lists` gives the packet lists carried over from earlier compiles.
     """
     drafts = compile_lines(lines, priors, repos, now)
     drafts = materialize(
         drafts.select("*", *[F.expr(e).alias(n) for n, e in POLICY.items()]), "drafts")
     ps = PacketSet(**{**vars(lists), "packets": drafts})
-    gated = materialize(gate(ps), "gate")
+    gated = materialize(gate(ps, state), "gate")
     texts = render(ps.restricted_to(gated.where("passed")), target)
     return gated.join(texts, "packet_id", "left").select(
         "packet_id", "errors", "passed", F.lit(target).alias("target"), "part_no", "markdown",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sessionloom import constants as K
 from sessionloom.functions import secrets as X
 from sessionloom.functions.text import full_trim, unsafe_ref
-from sessionloom.operators.prefix import bucket
+from sessionloom.operators.prefix import bucket, prefix_sums
 from sessionloom.plans.packets import PacketSet, with_facts
 
 FINDING = ["packet_id", "code", "severity", "path", "message"]
@@ -196,7 +196,7 @@ def row_findings(ps: PacketSet, approvals: DataFrame | None = None,
     else:
         granted = approvals.groupBy("packet_id").agg(F.lit(True).alias("approval_granted"))
         core = core.join(granted, "packet_id", "left")
-    ready = core.where(
+    ready = ps.packets.where(
         (F.col("validation_level") == "ready") | F.col("status").isin(K.READY_STATUSES)
     ).select("packet_id")
     tables: dict[str, DataFrame] = {"packets": core}
@@ -207,27 +207,27 @@ def row_findings(ps: PacketSet, approvals: DataFrame | None = None,
         if name == "questions":
             found = found.join(ready, "packet_id", "left_semi")
         parts.append(found.select(*FINDING))
-    parts.append(blocking_warning_findings(ps, core))
+    parts.append(blocking_warning_findings(ps))
     parts.append(secret_findings(ps))
     return reduce(DataFrame.unionByName, parts)
 
 
-def blocking_warning_findings(ps: PacketSet, core: DataFrame) -> DataFrame:
-    """Rule 050. The codes of a very long warning list are given in several
-    findings of bounded size, all with the full count."""
-    gated = core.where(_exported() & (F.col("n_blocking") > 0)).select(
-        "packet_id", "status", "n_blocking"
-    )
-    codes = (
-        ps.warnings.where("blocking")
-        .groupBy("packet_id", bucket(F.col("pos")).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("codes"))
-    )
-    return codes.join(gated, "packet_id").select(
+def blocking_warning_findings(ps: PacketSet) -> DataFrame:
+    """Rule 050: one finding per gated packet. The codes of a bucket of warnings
+    are joined first, then those of the packet's buckets."""
+    gated = ps.packets.where(_exported()).select("packet_id", "status")
+    listed = lambda order, of: F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct(order, of))), lambda x: x[of]), ", ")
+    parts = ps.warnings.where("blocking").groupBy(
+        "packet_id", bucket(F.col("pos")).alias("part")
+    ).agg(listed("pos", "code").alias("codes"), F.count("*").alias("n"))
+    whole = parts.groupBy("packet_id").agg(
+        listed("part", "codes").alias("codes"), F.sum("n").alias("n_blocking"))
+    return whole.join(gated, "packet_id").select(
         "packet_id", F.lit(f"{K.RULE_PREFIX}050").alias("code"), F.lit("error").alias("severity"),
         F.lit("/warnings").alias("path"),
         text('Status "', c("status"), '" is gated by ', c("n_blocking"), " blocking warning(s): ",
-             F.array_join(F.transform("codes", lambda x: x["code"]), ", "), ".").alias("message"),
+             c("codes"), ".").alias("message"),
     )
 
 
@@ -389,19 +389,25 @@ def stale_findings(freshness: DataFrame) -> DataFrame:
 
 
 def illegal_transitions(versions: DataFrame) -> DataFrame:
-    """Rule 040 over `packet_id, version, status` with versions 1, 2, 3...
+    """Rule 040 over `packet_id, version, status`; version numbers may have gaps.
 
-    The prior status is found by an equi-join on the version before, so a packet
-    with a very long history is spread over all tasks.
+    The versions of a packet are numbered by running totals over buckets, and the
+    prior status is found by an equi-join on the number before, so a packet with a
+    very long history is spread over all tasks.
     """
-    prior = versions.select(
-        "packet_id", (F.col("version") + 1).alias("version"), F.col("status").alias("prior")
+    numbered = prefix_sums(
+        versions.select("packet_id", "version", "status", F.lit(1).cast("bigint").alias("one"),
+                        bucket(F.col("version")).alias("bucket")),
+        ["packet_id"], ["bucket"], ["version"], {"n": "one"},
+    ).select("packet_id", "version", "status", "n")
+    prior = numbered.select(
+        "packet_id", (F.col("n") + 1).alias("n"), F.col("status").alias("prior")
     )
     allowed = F.create_map(*[
         x for k, v in K.TRANSITIONS.items()
         for x in (F.lit(k), F.array(*[F.lit(s) for s in v]).cast("array<string>"))
     ])
-    moves = versions.join(prior, ["packet_id", "version"]).where(
+    moves = numbered.join(prior, ["packet_id", "n"]).where(
         ~c("status").eqNullSafe(c("prior")) & c("prior").isNotNull()
     ).withColumn("allowed", F.try_element_at(allowed, c("prior")))
     known = c("allowed").isNotNull()
@@ -424,6 +430,39 @@ def is_error(strict: bool = False) -> Column:
     return own | F.col("code").isin(list(STRICT)) if strict else own
 
 
+@dataclass
+class RepoState:
+    """What rules 012, 013, 014, 040 and 042 need beside the packets; a missing
+    table leaves its rule out."""
+
+    inventory: DataFrame | None = None
+    refs: DataFrame | None = None
+    heads: DataFrame | None = None
+    diffs: DataFrame | None = None
+    changed: DataFrame | None = None
+    versions: DataFrame | None = None
+    approvals: DataFrame | None = None
+
+
+def every_finding(ps: PacketSet, state: RepoState, schema: DataFrame) -> DataFrame:
+    """The findings of all rules: those of single packets, of the schema (`schema`,
+    see `schema_rules`), of the repository, and the last status change of each packet."""
+    parts = [row_findings(ps, state.approvals), schema.select(*FINDING)]
+    if state.inventory is not None:
+        parts.append(missing_files(ps, state.inventory).select(*FINDING))
+    if state.refs is not None:
+        parts.append(unresolved_refs(ps, state.refs).select(*FINDING))
+    if state.heads is not None:
+        fresh = assess_freshness(ps, state.heads, state.diffs, state.changed)
+        parts.append(stale_findings(fresh).select(*FINDING))
+    if state.versions is not None:
+        bad = illegal_transitions(state.versions)
+        last = state.versions.groupBy("packet_id").agg(F.max("version").alias("version"))
+        parts.append(bad.join(last, ["packet_id", "version"], "left_semi").join(
+            ps.packets.select("packet_id"), "packet_id", "left_semi").select(*FINDING))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def lint_report(ids: DataFrame, findings: DataFrame, strict: bool = False) -> DataFrame:
     """One row per packet, also for packets without any finding."""
     counts = findings.groupBy("packet_id").agg(

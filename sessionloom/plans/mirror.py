@@ -124,16 +124,14 @@ def tamper_audit(current: DataFrame, edited: DataFrame) -> DataFrame:
     counts = pair.where(F.size("old") != F.size("new")).select(
         "packet_id", F.lit(-1).alias("block"), F.lit(0).alias("line"),
         F.size("old").cast("string").alias("before"), F.size("new").cast("string").alias("after"))
-    same = pair.where(F.size("old") == F.size("new"))
-
-    def lines(col: str, out: str) -> DataFrame:
-        return same.select("packet_id", F.posexplode(col).alias("block", "text")).select(
-            "packet_id", "block", F.posexplode(F.split("text", "\r?\n", -1)).alias("i", out)
-        ).select("packet_id", "block", (F.col("i") + 1).alias("line"), out)
-
-    diff = lines("old", "before").join(
-        lines("new", "after"), ["packet_id", "block", "line"], "full_outer"
-    ).where(~F.col("before").eqNullSafe(F.col("after")))
+    # Blocks, then lines, are compared side by side in the row: nothing is shuffled again.
+    same = pair.where(F.size("old") == F.size("new")).select(
+        "packet_id", F.posexplode(F.arrays_zip("old", "new")).alias("block", "both"))
+    lines = F.arrays_zip(
+        F.split("both.old", "\r?\n", -1).alias("before"), F.split("both.new", "\r?\n", -1).alias("after"))
+    diff = same.select("packet_id", "block", F.posexplode(lines).alias("i", "x")).where(
+        ~F.col("x.before").eqNullSafe(F.col("x.after")))
     return counts.unionByName(diff.select(
-        "packet_id", "block", "line", F.coalesce("before", F.lit("<missing>")).alias("before"),
-        F.coalesce("after", F.lit("<missing>")).alias("after")))
+        "packet_id", "block", (F.col("i") + 1).alias("line"),
+        F.coalesce("x.before", F.lit("<missing>")).alias("before"),
+        F.coalesce("x.after", F.lit("<missing>")).alias("after")))

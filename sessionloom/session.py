@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -27,13 +29,21 @@ def get_spark(app: str = "sessionloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """JSON objects with a repeated key are read; the last value counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a local session without that setting (a test) gets a folder of its own; on
+    a cluster the setting must be there, as executors share no other folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sessionloom-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", root) if _settable(spark) else None
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

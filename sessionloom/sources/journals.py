@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import full_trim
+from sessionloom.session import allow_repeated_keys
 
 DISPATCH = (
     "id string, packet_id string, target_tool string, adapter string, status string, "
@@ -19,6 +20,7 @@ OUTCOME = (
 
 def parse_journal(lines: DataFrame, schema: str, line: str = "line") -> DataFrame:
     """Rows of journal lines; blank and malformed lines are skipped."""
+    allow_repeated_keys(lines.sparkSession)
     return (
         lines.withColumn("__t", full_trim(line))
         .where((F.col("__t") != "") & F.try_parse_json("__t").isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom import constants as K
+from sessionloom.session import allow_repeated_keys
 
 PACKET = """
   schema_version string, id string, title string, status string, validation_level string,
@@ -73,6 +74,7 @@ def raw_violations(docs: DataFrame, key: str = "uri", doc: str = "doc") -> DataF
     These need the raw document: a typed row cannot tell a missing field from a
     null one, or the number 0.5 from the string "0.5".
     """
+    allow_repeated_keys(docs.sparkSession)
     v = docs.select(key, doc, F.try_parse_json(doc).alias("v"))
     top = json_type(F.col("v"))
     is_object = F.coalesce(top == "object", F.lit(False))

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom import constants as K
-from sessionloom.functions.text import WS, capped, full_trim, left_trim, let, right_trim
+from sessionloom.functions.text import WS, capped, full_trim, let
 from sessionloom.operators.prefix import prefix_sums
-from sessionloom.session import materialize
+from sessionloom.session import allow_repeated_keys, materialize
 from sessionloom.sources.lines import chunk_bases
 
 # Line patterns of the header format and type lists of the JSON formats (fixed values).
@@ -31,6 +31,7 @@ MESSAGE = ["artifact_id", "ord", "role", "text", "ts", "span_start", "span_end"]
 
 def detect_format(lines: DataFrame) -> DataFrame:
     """`artifact_id, fmt` from the first non-blank line of each artifact."""
+    allow_repeated_keys(lines.sparkSession)
     first = (
         lines.select("artifact_id", "pos", full_trim("line").alias("line"))
         .where(F.col("line") != "")
@@ -184,6 +185,7 @@ def parse_markdown(lines: DataFrame) -> DataFrame:
 
 def _json_lines(lines: DataFrame) -> DataFrame:
     """JSON object lines with their byte span and parsed value."""
+    allow_repeated_keys(lines.sparkSession)
     sized = lines.withColumn("bytes", F.octet_length("line").cast("bigint") + 1)
     if "base" in lines.columns:
         w = Window.partitionBy("artifact_id", "chunk").orderBy("pos")
@@ -229,8 +231,35 @@ def _block_text(content: Column, depth: int) -> Column:
     )
 
 
-def parse_events(lines: DataFrame, depth: int = 3) -> DataFrame:
-    """Event format: one JSON event per line, `message.content` text or blocks."""
+def _cut(content: Column, depth: int) -> Column:
+    """Whether `_block_text` with this depth would leave a nested list out."""
+    if depth == 0:
+        return F.coalesce(_is_array(content), F.lit(False))
+    blocks = F.try_variant_get(content, "$", "array<variant>")
+    return F.coalesce(
+        _is_array(content) & F.exists(blocks, lambda b: F.coalesce(
+            (_string_at(b, "$.type") == "tool_result")
+            & _cut(F.try_variant_get(b, "$.content", "variant"), depth - 1), F.lit(False))),
+        F.lit(False))
+
+
+def nesting(lines: DataFrame, depth: int = 3) -> int:
+    """A depth at which no tool result of `lines` is cut: doubled until none is.
+    Only lines that name tool results more often than that can be any deeper."""
+    marks = F.size(F.split("line", '"tool_result"')) - 1
+    while True:
+        deep = lines.where(marks >= depth).select(F.try_parse_json(full_trim("line")).alias("v")).where(
+            _cut(F.try_variant_get("v", "$.message.content", "variant"), depth))
+        if deep.isEmpty():
+            return depth
+        depth *= 2
+
+
+def parse_events(lines: DataFrame, depth: int | None = None) -> DataFrame:
+    """Event format: one JSON event per line, `message.content` text or blocks,
+    nested to any depth unless `depth` limits it."""
+    allow_repeated_keys(lines.sparkSession)
+    depth = nesting(lines) if depth is None else depth
     kind = _string_at(F.col("v"), "$.type")
     role = F.lower(_string_at(F.col("v"), "$.message.role"))
     content = F.try_variant_get("v", "$.message.content", "variant")
@@ -306,10 +335,10 @@ def tag_lines(lines: DataFrame) -> DataFrame:
 
 
 def unrecognized(tagged: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Artifacts without any message, as plain assistant text.
+    """Artifacts without any message, as one plain assistant text each.
 
-    One row per chunk (one for a file of usual size); the outer white space of
-    the whole text is removed.
+    The lines of a chunk are joined first, then the chunks of an artifact; the
+    outer white space of the whole text is removed.
     """
     seen = parsed.groupBy("artifact_id").agg(F.lit(1).alias("seen"))
     chunks = (
@@ -318,25 +347,21 @@ def unrecognized(tagged: DataFrame, parsed: DataFrame) -> DataFrame:
         .join(seen, "artifact_id", "left_anti")
         .drop("n")
     )
-    text = F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]
-        ),
-        "\n",
-    )
+
+    def joined(order: str, text: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.struct(order, text)))
+        return F.array_join(F.transform(rows, lambda x: x[text]), "\n")
+
     return (
         tagged.join(chunks, ["artifact_id", "chunk"])
-        .groupBy("artifact_id", "chunk", "base", "bytes", "is_last")
-        .agg(text.alias("text"))
-        .withColumn("text", F.when(F.col("base") == 0, left_trim("text")).otherwise(F.col("text")))
+        .groupBy("artifact_id", "chunk", "base", "bytes")
+        .agg(joined("pos", "line").alias("text"))
+        .groupBy("artifact_id")
+        .agg(joined("chunk", "text").alias("text"), F.sum("bytes").alias("bytes"))
         .select(
-            "artifact_id", F.col("chunk").alias("ord"), F.lit("assistant").alias("role"),
-            F.when(F.col("is_last"), right_trim("text"))
-            .otherwise(F.concat("text", F.lit("\n"))).alias("text"),
-            F.lit(None).cast("string").alias("ts"),
-            F.col("base").alias("span_start"),
-            F.when(F.col("is_last"), F.col("base") + F.col("bytes") - 1)
-            .otherwise(F.col("base") + F.col("bytes")).alias("span_end"),
+            "artifact_id", F.lit(0).cast("bigint").alias("ord"), F.lit("assistant").alias("role"),
+            full_trim("text").alias("text"), F.lit(None).cast("string").alias("ts"),
+            F.lit(0).cast("bigint").alias("span_start"), (F.col("bytes") - 1).alias("span_end"),
         )
     )
 

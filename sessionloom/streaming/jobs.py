@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom import constants as K
-from sessionloom.functions.text import has_limit_marker
+from sessionloom.functions.text import has_limit_marker, is_tool_placeholder
 from sessionloom.operators.scan import with_carry
 from sessionloom.plans.compile import compile_fast
-from sessionloom.plans.lifecycle import latest_by_packet, upsert
+from sessionloom.plans.lifecycle import latest_by_packet
 from sessionloom.session import work_dir
 
 SPAN = K.MARKER_SPAN - 1
@@ -45,6 +46,26 @@ class VersionedTable:
         return self.read(spark, max(done, default=-1))
 
 
+class BatchLog:
+    """An append-only table of micro-batches: batch n writes the folder of batch n
+    and nothing else, so a repeated batch replaces its own rows, what a batch writes
+    is bounded by its rows, and readers see the batches of all folders."""
+
+    def __init__(self, path: str, schema: str):
+        self.path, self.schema = path, schema
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def read(self, spark) -> DataFrame:
+        try:
+            return spark.read.schema(f"{self.schema}, batch bigint").parquet(self.path).drop("batch")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], self.schema)
+
+
 def run_batches(stream: DataFrame, state_dir: str,
                 step: Callable[[DataFrame, int], None]) -> None:
     """Run `step` over all data there is now; `state_dir` makes it resumable."""
@@ -101,59 +122,41 @@ def limit_triggers(chunks: DataFrame, state_dir: str | None = None) -> DataFrame
 
 def latest_events(journal: DataFrame, state_dir: str | None = None) -> DataFrame:
     """Latest row per packet of a journal stream (`packet_id, seq`, more columns):
-    each micro-batch is reduced first, then merged with the state table."""
+    each micro-batch is reduced and logged; the log is reduced once more when read."""
     spark = journal.sparkSession
     names = ["packet_id", "seq", *[c for c in journal.columns if c not in ("packet_id", "seq")]]
     journal = journal.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in journal.schema)
     state_dir = state_dir or work_dir(spark, "latest")
-    state = VersionedTable(f"{state_dir}/latest", schema)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        merged = latest_by_packet(state.read(session, batch_id - 1).unionByName(
-            latest_by_packet(batch).select(*names)))
-        state.write(merged.select(*names), batch_id)
-
-    run_batches(journal, state_dir, step)
-    return state.latest(spark)
+    log = BatchLog(f"{state_dir}/latest", schema)
+    run_batches(journal, state_dir, lambda batch, n: log.write(latest_by_packet(batch).select(*names), n))
+    return latest_by_packet(log.read(spark)).select(*names)
 
 
 def incremental_compile(turns: DataFrame, now: str, state_dir: str | None = None) -> DataFrame:
-    """Packet drafts kept up to date with a stream of turns.
+    """Packet drafts of a stream of turns (`session_id, ord, role, text`).
 
-    A turn that arrives twice adds nothing. Only the sessions with new turns are
-    compiled again; their packets are stored over the old ones.
+    A batch is reduced to the turns that can matter for a draft: per session the
+    first user turn, the first and the last prose turn, with their places. These
+    are logged; the drafts are compiled from the log. As the reduction picks turns
+    by their place, a turn that arrives twice, or late, changes nothing else.
     """
     spark = turns.sparkSession
     state_dir = state_dir or work_dir(spark, "compile")
-    turn_schema = "session_id bigint, ord bigint, role string, text string"
-    names = ["session_id", "ord", "role", "text"]
-    stored = VersionedTable(f"{state_dir}/turns", turn_schema)
-
-    def drafts_of(rows: DataFrame, sessions: DataFrame) -> DataFrame:
-        packet = F.concat(F.lit("conv-"), F.col("session_id").cast("string"))
-        return compile_fast(rows, sessions.withColumn("packet_id", packet), now=now)
-
-    empty = spark.createDataFrame([], turn_schema)
-    schema = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}"
-        for f in drafts_of(empty, empty.select("session_id")).schema
-    )
-    packets = VersionedTable(f"{state_dir}/packets", schema)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        known = stored.read(session, batch_id - 1)
-        fresh = batch.select(*names).dropDuplicates(["session_id", "ord"]).join(
-            known.select("session_id", "ord"), ["session_id", "ord"], "left_anti")
-        stored.write(known.unionByName(fresh), batch_id)
-        every = stored.read(session, batch_id)
-        touched = every.join(known.select("session_id", "ord"), ["session_id", "ord"],
-                             "left_anti").select("session_id").distinct()
-        drafts = drafts_of(every.join(touched, "session_id", "left_semi"), touched)
-        current = packets.read(session, batch_id - 1)
-        packets.write(upsert(current, drafts).drop("action"), batch_id)
-
-    run_batches(turns, state_dir, step)
-    return packets.latest(spark)
+    log = BatchLog(f"{state_dir}/turns", "session_id bigint, ord bigint, role string, text string")
+    run_batches(turns, state_dir, lambda batch, n: log.write(deciding_turns(batch), n))
+    rows = deciding_turns(log.read(spark))
+    packet = F.concat(F.lit("conv-"), F.col("session_id").cast("string"))
+    sessions = rows.select("session_id").distinct().withColumn("packet_id", packet)
+    return compile_fast(rows, sessions, now=now)
+
+
+def deciding_turns(turns: DataFrame) -> DataFrame:
+    """At most four turns of each session: the first user turn, the first and the
+    last prose turn, and one that stands for a session without these."""
+    user = F.col("role") == "user"
+    prose = (F.col("role") == "assistant") & ~is_tool_placeholder(F.col("text"))
+    turn = F.struct("ord", "role", "text")
+    ends = turns.groupBy("session_id").agg(F.array(
+        F.min(turn), F.min(F.when(user, turn)), F.min(F.when(prose, turn)), F.max(F.when(prose, turn))).alias("found"))
+    return ends.select("session_id", F.inline(F.array_distinct(F.filter("found", lambda x: x.isNotNull()))))

@@ -50,6 +50,8 @@ MD_FENCE = (
 )
 LONG_OUT = f"CASE WHEN (conv_id + ord) % 3 = 0 THEN ' ' || repeat('x', 600) ELSE '' END"
 CRLF = "CASE WHEN conv_id % 6 = 0 AND fmt = 'markdown' THEN 1 ELSE 0 END"
+# The beginning of the given text in one line, for items of packet lists.
+GIVEN = f"trim(substr(replace(coalesce(text, ''), {NL}, ' '), 1, 60))"
 REF = f"""CASE WHEN (conv_id * 31 + turn) % 17 = 0 THEN '/abs/m' || {text('turn')} || '.ts'
   WHEN (conv_id * 31 + turn) % 19 = 0 THEN '../up/m' || {text('turn')} || '.ts'
   ELSE 'src/m' || {text('turn')} || '.ts' END"""
@@ -151,10 +153,10 @@ SELECT {PID} AS packet_id,
 FROM convs c LEFT JOIN conversations u ON u.conv_id = c.conv_id AND u.turn = c.first_user""".replace(
         "'conv-' || CAST(conv_id AS STRING)", "'conv-' || CAST(c.conv_id AS STRING)"),
     "questions": f"""
-SELECT {PID} AS packet_id, {div('turn', 4)} AS pos, 'q-' || {text('turn')} AS id,
-  'Is turn ' || {text('turn')} || ' done?' AS text, (conv_id + turn) % 2 = 0 AS blocking,
+SELECT {PID} AS packet_id, turn AS pos, 'q-' || {text('turn')} AS id,
+  'Is turn ' || {text('turn')} || ' done: ' || {GIVEN} AS text, (conv_id + turn) % 2 = 0 AS blocking,
   {pick(K.QUESTION_STATUSES, '(conv_id * 3 + turn) % 5 % 3')} AS status
-FROM conversations WHERE turn % 4 = 2""",
+FROM conversations""",
     "context_items": f"""
 SELECT {PID} AS packet_id, turn AS pos, {pick(K.CONTEXT_KINDS, '(conv_id + turn) % 9')} AS kind,
   {REF} AS ref, 'Touched | in turn ' || {text('turn')} AS reason, 1 + turn % 5 AS priority,
@@ -162,38 +164,38 @@ SELECT {PID} AS packet_id, turn AS pos, {pick(K.CONTEXT_KINDS, '(conv_id + turn)
   CASE WHEN (conv_id + turn) % 3 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS n_refs
 FROM conversations""",
     "constraints": f"""
-SELECT {PID} AS packet_id, {div('turn', 3)} AS pos, 'c-' || {text('turn')} AS id,
+SELECT {PID} AS packet_id, turn AS pos, 'c-' || {text('turn')} AS id,
   {pick(K.CONSTRAINT_TYPES, '(conv_id + turn) % 6')} AS type,
-  'Keep turn ' || {text('turn')} || ' intact' AS text,
+  'Keep turn ' || {text('turn')} || ' intact: ' || {GIVEN} AS text,
   {pick(K.SEVERITIES, '(conv_id + turn) % 4')} AS severity,
   {pick(K.CONSTRAINT_SOURCES, '(conv_id + turn) % 5')} AS source,
   CASE WHEN (conv_id + turn) % 7 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS n_refs
-FROM conversations WHERE turn % 3 = 0""",
+FROM conversations""",
     "attempts": f"""
-SELECT {PID} AS packet_id, {div('turn', 2)} AS pos, 'a-' || {text('turn')} AS id,
+SELECT {PID} AS packet_id, turn AS pos, 'a-' || {text('turn')} AS id,
   CASE WHEN turn % 4 = 1 THEN 'shell' ELSE 'editor' END AS tool,
-  'Tried step ' || {text('turn')} AS summary,
+  'Tried step ' || {text('turn')} || ': ' || {GIVEN} AS summary,
   {pick(K.ATTEMPT_RESULTS, '(conv_id + turn) % 6')} AS result,
   CASE WHEN (conv_id + turn) % 6 IN (1, 3) THEN 'step ' || {text('turn')} || ' broke' END
     AS failure_reason,
   CASE WHEN (conv_id + turn) % 4 = 0 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n_refs,
   '2024-01-01T00:00:00.000Z' AS created_at
-FROM conversations WHERE turn % 2 = 1""",
+FROM conversations""",
     "criteria": f"""
-SELECT {PID} AS packet_id, {div('turn', 3)} AS pos, 'ac-' || {text('turn')} AS id,
-  'Turn ' || {text('turn')} || ' is covered' AS text,
+SELECT {PID} AS packet_id, turn AS pos, 'ac-' || {text('turn')} AS id,
+  'Turn ' || {text('turn')} || ' is covered: ' || {GIVEN} AS text,
   {pick(K.CRITERION_STATUSES, '(conv_id + turn) % 3')} AS status,
   (conv_id + turn) % 4 = 1 AS required,
   {pick(K.CRITERION_SOURCES, '(conv_id + turn) % 3')} AS source,
   CASE WHEN (conv_id + turn) % 5 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS n_refs
-FROM conversations WHERE turn % 3 = 1""",
+FROM conversations""",
     "warnings": f"""
-SELECT {PID} AS packet_id, {div('turn', 3)} AS pos,
+SELECT {PID} AS packet_id, turn AS pos,
   'WARN_' || {text('turn')} AS code,
   {pick(K.SEVERITIES, '(conv_id + turn) % 4')} AS severity,
-  'Turn ' || {text('turn')} || ' needs care' AS message, (conv_id + turn) % 3 <> 0 AS blocking,
+  'Turn ' || {text('turn')} || ' needs care: ' || {GIVEN} AS message, (conv_id + turn) % 3 <> 0 AS blocking,
   {pick(K.WARNING_SOURCES, '(conv_id + turn) % 5')} AS source
-FROM conversations WHERE turn % 3 = 2""",
+FROM conversations""",
     "provenance_links": f"""
 SELECT {PID} AS packet_id, turn AS pos, 'pl-' || left(md5({PID} || '|' || {text('turn')}), 16) AS id,
   CASE WHEN turn = 0 THEN 'objective' ELSE 'context_items[' || {text('turn - 1')} || ']' END
@@ -203,7 +205,7 @@ SELECT {PID} AS packet_id, turn AS pos, 'pl-' || left(md5({PID} || '|' || {text(
   CASE WHEN turn % 2 = 0 THEN turn * 10 END AS span_start,
   CASE WHEN turn % 2 = 0 THEN turn * 10 + (CASE WHEN turn % 4 = 2 THEN -1 ELSE 5 END) END AS span_end,
   CASE WHEN turn % 3 = 0 THEN 'row | ' || {text('turn')} END AS excerpt
-FROM conversations WHERE turn % 7 <> 6""",
+FROM conversations""",
     "source_artifacts": f"""
 SELECT {PID} AS packet_id, CAST(0 AS BIGINT) AS pos, 'transcript-' || left(md5({PID}), 16) AS id,
   'transcript' AS type, 'cli' AS source_tool, 'transcript:' || {text('conv_id')} AS uri,
@@ -248,21 +250,21 @@ SELECT event_id AS seq, 'out-' || {text('event_id')} AS id, 'conv-' || {text('us
     ELSE '{{"note": "seen ' || {text('event_id')} || CASE WHEN event_id % 5 = 0 THEN '"' ELSE '"}}' END
     END AS body,
   {{ts}} AS created_at
-FROM events WHERE event_id % 3 = 1""",
+FROM events""",
     "dispatches": f"""
 SELECT event_id AS seq, 'dis-' || {text('event_id')} AS id, 'conv-' || {text('user_id')} AS packet_id,
   {pick(K.TARGETS, 'event_id % 4')} AS target_tool,
   CASE WHEN event_id % 2 = 0 THEN 'file' ELSE 'stdout' END AS adapter,
   CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'delivered' END AS status,
   'out/' || {text('event_id')} || '.md' AS destination, {{ts}} AS created_at
-FROM events WHERE event_id % 3 = 0""",
+FROM events""",
     "version_events": f"""
 SELECT event_id AS seq, 'conv-' || {text('user_id')} AS packet_id,
   {pick(K.STATUSES + ['paused'], 'event_id % 11 % 9')} AS status,
   {pick(K.LEVELS, 'event_id % 4')} AS validation_level,
   md5({text('event_id % 50')}) AS digest,
   CASE WHEN event_id % 101 = 2 THEN '' ELSE {{ts}} END AS updated_at
-FROM events WHERE event_id % 3 = 2""",
+FROM events""",
     # Texts with a known secret at the end.
     "secret_texts": f"""
 SELECT doc_id, text AS base, {NL} || repeat('. ', 30) || {NL} || tail AS tail,
@@ -297,14 +299,18 @@ SELECT conv_id, turn, CASE WHEN conv_id % 10 = 0 AND turn = 1
 FROM conversations""",
     # Completion cache.
     "cache_entries": f"""
-SELECT md5('prompt-' || {text('conv_id')}) AS key,
+SELECT md5('prompt-' || {text('conv_id')} || CASE WHEN turn = 0 AND conv_id % 2 = 0 THEN ''
+    ELSE '-' || {text('turn')} END) AS key,
   CASE WHEN conv_id % 14 = 0 THEN '{{"objective": ' ELSE
     '{{"objective": "Finish ' || {text('conv_id')} || '", "confidence": 0.' || {text('conv_id % 10')} || '}}' END
     AS payload,
   1000 + conv_id % 37 * 100 AS size,
-  '2024-01-' || lpad({text('1 + conv_id % 28')}, 2, '0') || 'T' || lpad({text('turn % 24')}, 2, '0')
-    || ':00:00Z' AS last_accessed
-FROM conversations WHERE conv_id % 2 = 0 AND turn = 0""",
+  CASE WHEN (conv_id + turn) % 17 <> 3 THEN
+    '2024-01-' || lpad({text('1 + conv_id % 28')}, 2, '0') || 'T' || lpad({text('turn % 3')}, 2, '0')
+    || ':00:00.' || lpad({text('(conv_id * 7 + turn * 131) % 1000')}, 3, '0') || 'Z' END AS last_accessed
+FROM conversations""",
+    # Packets whose dispatch was approved.
+    "approvals": f"SELECT {PID} AS packet_id FROM conversations WHERE turn = 0 AND conv_id % 3 = 1",
     # Raw model answers of all kinds, some wrapped, some unusable.
     "responses": f"""
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'objective' WHEN 1 THEN 'attempts'

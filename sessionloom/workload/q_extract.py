@@ -121,7 +121,7 @@ BUDGET = 60_000
 
 @query("cache_evict", check_sql(f"""
 SELECT key, CAST(size AS BIGINT) AS size, last_accessed FROM (
-  SELECT *, sum(size) OVER (ORDER BY last_accessed DESC, key) AS total FROM cache_entries) c WHERE total <= {BUDGET}"""))
+  SELECT *, sum(size) OVER (ORDER BY last_accessed DESC NULLS LAST, key ROWS UNBOUNDED PRECEDING) AS total FROM cache_entries) c WHERE total <= {BUDGET}"""))
 def cache_evict(spark, sf):
     return X.evict(table(spark, sf, "cache_entries"), BUDGET).select(
         "key", F.col("size").cast("bigint"), "last_accessed"

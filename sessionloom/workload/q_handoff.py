@@ -13,9 +13,10 @@ from sessionloom.plans import mirror as M
 from sessionloom.plans import render as R
 from sessionloom.plans.failover import compile_lines, failover
 from sessionloom.workload.derived import check_sql, table
-from sessionloom.workload.inputs import packet_set, session_lines
+from sessionloom.workload.inputs import packet_set, packet_versions, session_lines
 from sessionloom.workload.q_compile import COMPILED, NOW, PLACEHOLDER, PRIOR, nb, priors, title_sql
-from sessionloom.workload.q_lint import FINDINGS, FX, NUM, VIOLATIONS
+from sessionloom.workload.q_lint import CHANGED, FINDINGS, FRESH, FX, LAST_ILLEGAL, NUM, UNRESOLVED, VERSIONS, VIOLATIONS
+from sessionloom.workload.q_lint import MISSING as MISSING_FILES
 from sessionloom.workload.q_render import packets_of, rendered
 from sessionloom.workload.q_sources import EV_EXPECTED, MD_EXPECTED, PLAIN_EXPECTED, PX, RO_EXPECTED
 from sessionloom.workload.registry import query
@@ -48,7 +49,7 @@ NUMBER = "CAST(substr(packet_id, 6) AS BIGINT)"
 @query("merge_edits", check_sql(f"""
 SELECT packet_id, 'criteria' AS list, id, text, CASE WHEN {NUMBER} % 4 = 1 AND id = 'ac-1' THEN 'deleted' ELSE 'kept' END AS action FROM criteria
 UNION ALL SELECT packet_id, 'constraints', id, CASE WHEN {NUMBER} % 3 = 0 THEN replace(text, 'Keep turn 0 intact', 'Keep turn zero') ELSE text END,
-  CASE WHEN {NUMBER} % 3 = 0 AND text = 'Keep turn 0 intact' THEN 'changed' ELSE 'kept' END FROM constraints
+  CASE WHEN {NUMBER} % 3 = 0 AND id = 'c-0' THEN 'changed' ELSE 'kept' END FROM constraints
 UNION ALL SELECT packet_id, 'constraints', NULL, 'new item without id', 'no_id' FROM packets WHERE {NUMBER} % 5 = 2
 UNION ALL SELECT packet_id, 'questions', id, text, 'kept' FROM questions"""))
 def merge_edits(spark, sf):
@@ -151,13 +152,39 @@ def _of_drafts(sql: str) -> str:
 DRAFTS = """SELECT c.*, false AS has_policy, false AS approval_required, true AS dispatch_allowed, '' AS policy_reasons,
   CAST(NULL AS BIGINT) AS context_budget, false AS include_provenance, root AS repo FROM compiled2 c"""
 GATE = f"""SELECT p.packet_id, count(*) FILTER (WHERE f.severity IN ('error', 'critical')) AS errors FROM drafts p
-  LEFT JOIN (SELECT packet_id, severity FROM found2 UNION ALL SELECT packet_id, severity FROM violations2) f
+  LEFT JOIN (SELECT packet_id, severity FROM found2 UNION ALL SELECT packet_id, severity FROM violations2
+    UNION ALL SELECT packet_id, severity FROM miss2 UNION ALL SELECT packet_id, severity FROM unres2
+    UNION ALL SELECT packet_id, 'critical' FROM fresh2 WHERE stale UNION ALL SELECT packet_id, severity FROM moved2) f
   ON f.packet_id = p.packet_id GROUP BY p.packet_id"""
+ROOTED = {"file_inventory": "rooted_files", "repo_refs": "rooted_refs", "repo_heads": "rooted_heads",
+          "repo_diffs": "rooted_diffs", "changed_files": "rooted_changes"}
+
+
+def _rooted(sql: str) -> str:
+    """Over drafts, whose repository is named by its root folder."""
+    for name, other in ROOTED.items():
+        sql = re.sub(rf"\b{name}\b", other, sql)
+    return re.sub(r"\btouched\b", "touched2", _of_drafts(sql))
+
+
+def _state(spark, sf):
+    def rooted(name):
+        return table(spark, sf, name).withColumn("repo", F.concat(F.lit("/repos/"), "repo"))
+
+    return L.RepoState(
+        inventory=rooted("file_inventory"), refs=rooted("repo_refs"), heads=rooted("repo_heads"),
+        diffs=rooted("repo_diffs"), changed=rooted("changed_files"), versions=packet_versions(spark, sf),
+        approvals=table(spark, sf, "approvals"))
+
+
 FAILOVER = {
     **PX, "messages": ALL_MESSAGES, "ends2": ENDS,
     "ends3": "SELECT CAST(substr(packet_id, 6) AS BIGINT) AS conv_id, first_user, first_prose, last_prose FROM ends2",
     "prior": PRIOR, "compiled2": COMPILED.replace("FROM ends e", "FROM ends3 e"), "drafts": DRAFTS,
-    "found2": _of_drafts(FINDINGS), "violations2": _of_drafts(VIOLATIONS), "gate": GATE,
+    "found2": _of_drafts(FINDINGS), "violations2": _of_drafts(VIOLATIONS),
+    **{v: f"SELECT * REPLACE ('/repos/' || repo AS repo) FROM {k}" for k, v in ROOTED.items()},
+    "miss2": _rooted(MISSING_FILES), "unres2": _rooted(UNRESOLVED), "touched2": _rooted(CHANGED), "fresh2": _rooted(FRESH),
+    "versions": VERSIONS, "moved2": _of_drafts(LAST_ILLEGAL), "gate": GATE,
     **{k: _of_drafts(v) for k, v in rendered("generic").items()},
 }
 
@@ -169,4 +196,4 @@ SELECT g.packet_id, errors, errors = 0 AS passed, 'generic' AS target,
 FROM gate g JOIN handed h ON h.packet_id = g.packet_id""", FAILOVER))
 def failover_handoffs(spark, sf):
     return failover(session_lines(spark, sf), packet_set(spark, sf), "generic", priors(spark, sf),
-                    table(spark, sf, "packets").where("attached"), NOW)
+                    table(spark, sf, "packets").where("attached"), NOW, _state(spark, sf))

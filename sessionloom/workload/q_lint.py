@@ -55,7 +55,7 @@ FINDINGS = " UNION ALL ".join([
          "packets", f"{OUT} AND validation_level <> 'ready'"),
     _sel("042", "error", "'/policy/approval_required'",
          "'Packet has policy.approval_required=true but no approval has been recorded; dispatch is not permitted.'",
-         "packets", "has_policy AND approval_required AND status = 'dispatched'"),
+         "packets", "has_policy AND approval_required AND status = 'dispatched' AND packet_id NOT IN (SELECT packet_id FROM approvals)"),
     _sel("043", "error", "'/policy/dispatch_allowed'",
          """'policy.dispatch_allowed is false but status is "dispatched"; dispatch is not permitted.' || CASE WHEN policy_reasons <> '' THEN ' Policy reasons: ' || policy_reasons || '.' ELSE '' END""",
          "packets", "has_policy AND NOT dispatch_allowed AND status = 'dispatched'"),
@@ -87,18 +87,18 @@ ERR = "severity IN ('error', 'critical')"
 
 @query("lint_findings", check_sql(f"SELECT *, {ERR} AS is_error FROM found", FX))
 def lint_findings(spark, sf):
-    return L.row_findings(packet_set(spark, sf)).withColumn("is_error", L.is_error())
+    return L.row_findings(packet_set(spark, sf), table(spark, sf, "approvals")).withColumn("is_error", L.is_error())
 
 
 @query("lint_findings_strict", check_sql("SELECT *, true AS is_error FROM found", FX))
 def lint_findings_strict(spark, sf):
-    return L.row_findings(packet_set(spark, sf)).withColumn("is_error", L.is_error(strict=True))
+    return L.row_findings(packet_set(spark, sf), table(spark, sf, "approvals")).withColumn("is_error", L.is_error(strict=True))
 
 
 @query("findings_by_rule", check_sql(
     "SELECT code, severity, count(*) AS findings FROM found GROUP BY code, severity", FX))
 def findings_by_rule(spark, sf):
-    return L.findings_by_rule(L.row_findings(packet_set(spark, sf)))
+    return L.findings_by_rule(L.row_findings(packet_set(spark, sf), table(spark, sf, "approvals")))
 
 
 REPORT = f"""SELECT p.packet_id, CASE WHEN count(*) FILTER (WHERE {ERR}) > 0 THEN 'failed' ELSE 'passed' END AS status,
@@ -107,12 +107,6 @@ REPORT = f"""SELECT p.packet_id, CASE WHEN count(*) FILTER (WHERE {ERR}) > 0 THE
 FROM packets p LEFT JOIN found f ON f.packet_id = p.packet_id GROUP BY p.packet_id"""
 
 
-@query("lint_report", check_sql(REPORT, FX))
-def lint_report(spark, sf):
-    ps = packet_set(spark, sf)
-    return L.lint_report(ps.packets, L.row_findings(ps))
-
-
 BAD_ID = "NOT regexp_full_match({c}, '[a-z0-9][a-z0-9._-]{{1,127}}')"
 
 
@@ -243,25 +237,29 @@ def lint_illegal_transitions(spark, sf):
     return L.illegal_transitions(packet_versions(spark, sf))
 
 
+LAST_ILLEGAL = f"""SELECT packet_id, code, severity FROM ({ILLEGAL}) i
+WHERE version = (SELECT max(version) FROM versions v WHERE v.packet_id = i.packet_id)
+  AND packet_id IN (SELECT packet_id FROM packets)"""
 ALL_FOUND = {
     "found0": FINDINGS, "viol": VIOLATIONS, "miss": MISSING, "unres": UNRESOLVED,
-    "touched": CHANGED, "fresh": FRESH,
+    "touched": CHANGED, "fresh": FRESH, "versions": VERSIONS, "moved": LAST_ILLEGAL,
     "found": """SELECT packet_id, code, severity FROM found0 UNION ALL SELECT packet_id, code, severity FROM viol
     UNION ALL SELECT packet_id, code, severity FROM miss UNION ALL SELECT packet_id, code, severity FROM unres
-    UNION ALL SELECT packet_id, 'SL014', 'critical' FROM fresh WHERE stale""",
+    UNION ALL SELECT packet_id, 'SL014', 'critical' FROM fresh WHERE stale UNION ALL SELECT * FROM moved""",
 }
 
 
+def repo_state(spark, sf) -> L.RepoState:
+    return L.RepoState(
+        inventory=table(spark, sf, "file_inventory"), refs=table(spark, sf, "repo_refs"),
+        heads=table(spark, sf, "repo_heads"), diffs=table(spark, sf, "repo_diffs"),
+        changed=table(spark, sf, "changed_files"), versions=packet_versions(spark, sf),
+        approvals=table(spark, sf, "approvals"))
+
+
 def all_findings(spark, sf):
     ps = packet_set(spark, sf)
-    cols = L.FINDING
-    return (
-        L.row_findings(ps)
-        .unionByName(violations(ps).select(*cols))
-        .unionByName(L.missing_files(ps, table(spark, sf, "file_inventory")).select(*cols))
-        .unionByName(L.unresolved_refs(ps, table(spark, sf, "repo_refs")).select(*cols))
-        .unionByName(L.stale_findings(_fresh(spark, sf)).select(*cols))
-    )
+    return L.every_finding(ps, repo_state(spark, sf), violations(ps))
 
 
 def _in(numbers):
@@ -290,3 +288,8 @@ def lint_gate(spark, sf):
     return packet_set(spark, sf).packets.select("packet_id").join(
         counts, "packet_id", "left"
     ).na.fill(0).withColumn("passed", (F.col("errors") == 0) & (F.col("schema_errors") == 0))
+
+
+@query("lint_report", check_sql(REPORT, ALL_FOUND))
+def lint_report(spark, sf):
+    return L.lint_report(packet_set(spark, sf).packets, all_findings(spark, sf))

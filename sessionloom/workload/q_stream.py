@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom import constants as K
+from sessionloom.session import work_dir
 from sessionloom.streaming import jobs
 from sessionloom.workload.derived import check_sql
 from sessionloom.workload.q_compile import NOW, nb, title_sql
@@ -12,12 +13,18 @@ from sessionloom.workload.q_text import LIMIT_RE, PLACEHOLDER
 from sessionloom.workload.registry import query
 
 
-def stream_of(spark, sf, name):
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", "64").parquet(sf)
-    )
+SLICES = 4
+
+
+def stream_of(spark, sf, name, order):
+    """The table as a file stream of SLICES micro-batches in ascending `order`."""
+    given = spark.read.parquet(f"{sf}/{name}.parquet")
+    most = given.agg(F.max(order)).first()[0] or 0
+    folder = work_dir(spark, f"stream-{name}")
+    for i in range(SLICES):
+        part = given.where(F.least(F.floor(F.coalesce(F.col(order), F.lit(0)) * SLICES / F.lit(most + 1)), F.lit(SLICES - 1)) == i)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(given.schema).option("maxFilesPerTrigger", "1").parquet(folder)
 
 
 CHUNK = """CASE WHEN conv_id % 10 = 0 AND turn = 1 THEN left(text, 55) || ' usage limit ' || substr(text, 56)
@@ -31,7 +38,7 @@ SELECT conv_id AS session_id, min(turn) AS seq FROM (
   SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), {K.MARKER_SPAN - 1}), '') || text AS t FROM chunk_texts) c
 WHERE regexp_matches(t, '{LIMIT_RE}', 'i') GROUP BY conv_id"""))
 def stream_limit_markers(spark, sf):
-    chunks = stream_of(spark, sf, "conversations").selectExpr(
+    chunks = stream_of(spark, sf, "conversations", "turn").selectExpr(
         "conv_id AS session_id", "turn AS seq", CHUNK)
     return jobs.limit_triggers(chunks)
 
@@ -39,7 +46,7 @@ def stream_limit_markers(spark, sf):
 @query("stream_latest_events", check_sql("""
 SELECT packet_id, seq, id, status FROM (SELECT *, row_number() OVER (PARTITION BY packet_id ORDER BY seq DESC) AS rn FROM dispatches) d WHERE rn = 1"""))
 def stream_latest_events(spark, sf):
-    rows = stream_of(spark, sf, "events").where("event_id % 3 = 0").selectExpr(
+    rows = stream_of(spark, sf, "events", "event_id").selectExpr(
         "event_id AS seq", "'dis-' || CAST(event_id AS STRING) AS id",
         "'conv-' || CAST(user_id AS STRING) AS packet_id",
         "CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'delivered' END AS status")
@@ -55,7 +62,7 @@ FROM (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS first_
   arg_max(text, turn) FILTER (WHERE role = 'assistant' AND NOT ({PLACEHOLDER})) AS last_prose
   FROM conversations GROUP BY conv_id) e"""))
 def stream_compile(spark, sf):
-    turns = stream_of(spark, sf, "conversations").selectExpr(
+    turns = stream_of(spark, sf, "conversations", "turn").selectExpr(
         "conv_id AS session_id", "turn AS ord", "role", "text")
     return jobs.incremental_compile(turns, NOW).select(
         "packet_id", "title", "objective", "current_state")
