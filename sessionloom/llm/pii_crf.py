@@ -27,8 +27,10 @@ import functools
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -404,29 +406,26 @@ def spans_of(docs: DataFrame, field: Field | None = None) -> DataFrame:
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """The rows of `docs` with every span replaced by its kind in brackets, and
     `n_chars` (if there) counted anew; a null text stays null."""
-    made = field or trained()
-    names = [f"__k{i}" for i, _ in enumerate(docs.columns)]
-    text = names[docs.columns.index("text")]
+    made, at = field or trained(), docs.columns.index("text")
 
     def clean(value: str | None) -> str | None:
         if not value:
             return value
         base = base_spans(value)
-        out, at = [], 0
+        out, done = [], 0
         # Overlapping base spans of several kinds are replaced as one.
         for kind, a, b in sorted(base + added_spans(value, made, base), key=lambda s: (s[1], -s[2])):
-            if a >= at:
-                out += [value[at:a], f"[{kind.upper()}]"]
-            at = max(at, b)
-        return "".join(out) + value[at:]
+            if a >= done:
+                out += [value[done:a], f"[{kind.upper()}]"]
+            done = max(done, b)
+        return "".join(out) + value[done:] if out else value
 
-    def step(cols: dict[str, list]):
-        yield cols | {text: [clean(x) for x in cols[text]]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array(map(clean, batch.column(at).to_pylist()), batch.schema.types[at])
+            yield batch.set_column(at, batch.schema.field(at), texts)
 
-    kinds = dict(docs.dtypes)
-    rows = docs.select(*[docs[c].alias(k) for c, k in zip(docs.columns, names, strict=True)])
-    out = map_batches(rows, ", ".join(f"{k} {kinds[c]}" for c, k in zip(docs.columns, names, strict=True)), step)
-    out = out.withColumnsRenamed(dict(zip(names, docs.columns, strict=True)))
+    out = docs.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(kinds["n_chars"]))
+        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out

@@ -22,9 +22,10 @@ handled whole (a block holds one text at least).
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sessionloom.llm.common import map_batches
@@ -36,7 +37,7 @@ SCHEMA = (
     "base_failed boolean, longest_repeat long, kept boolean"
 )
 #: Words sorted together; bounds the memory of a task.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 
 
 class _Numbers(dict):
@@ -140,52 +141,59 @@ def dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def _figures(docs: DataFrame, keep: list[str], limits: dict[str, int]) -> DataFrame:
-    """The columns `keep` as __k0, __k1, ... and the figures of SCHEMA."""
+def _judge(texts: list[str | None], limits: dict[str, int]) -> Iterator[dict[str, list]]:
+    """The figures of SCHEMA for each text, block by block."""
     limit = {"min_total": 10, "min_words": 5, "max_covered": 20, "max_longest": 200, "max_longest_percent": 15} | limits
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    lo = 0
+    while lo < len(texts):
+        numbers, parts, total, hi = _Numbers(), [], 0, lo
+        while hi < len(texts) and (hi == lo or total < BLOCK_WORDS):
+            words = (texts[hi] or "").encode("utf-8", "surrogatepass").split()
+            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            total, hi = total + len(words), hi + 1
+        yield _block([t or "" for t in texts[lo:hi]], parts, limit)
+        lo = hi
+
+
+def _block(texts: list[str], parts: list[np.ndarray], limit: dict[str, int]) -> dict[str, list]:
+    sizes = np.array([len(p) for p in parts], np.int64)
+    covered, longest = repeats(np.concatenate(parts), sizes, limit["min_words"])
+    failed = (sizes < limit["min_total"]) | (100 * covered > limit["max_covered"] * sizes)
+    kept = ~failed & (longest <= limit["max_longest"])
+    kept &= 100 * longest <= limit["max_longest_percent"] * sizes + 100 * limit["min_words"]
+    return {
+        "n_words": sizes.tolist(), "word_chars": [len(t) - sum(map(t.count, SPACES)) for t in texts],
+        "n_symbols": [sum(map(t.count, SYMBOLS)) for t in texts], "n_dup_lines": [dup_lines(t) for t in texts],
+        "n_repeat_words": covered.tolist(), "base_failed": failed.tolist(), "longest_repeat": longest.tolist(), "kept": kept.tolist(),
+    }
+
+
+def judged(docs: DataFrame, keep: list[str], **limits: int) -> DataFrame:
+    """The columns `keep` of each row and the figures of SCHEMA for its text.
+    limits: min_total, min_words, max_covered (percent), max_longest (words),
+    max_longest_percent."""
     kinds, kept_as = dict(docs.dtypes), [f"__k{i}" for i, _ in enumerate(keep)]
-    source = kept_as[keep.index("text")] if "text" in keep else "__text"
 
     def step(cols: dict[str, list]):
-        texts, numbers = [t or "" for t in cols[source]], _Numbers()
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
         lo = 0
-        while lo < len(texts):
-            hi, total = lo + 1, int(sizes[lo])
-            while hi < len(texts) and total + sizes[hi] <= BLOCK_WORDS:
-                total, hi = total + int(sizes[hi]), hi + 1
-            part, some = sizes[lo:hi], texts[lo:hi]
-            flat = itertools.chain.from_iterable(words[lo:hi])
-            ids = np.fromiter(map(numbers.__getitem__, flat), np.int64, total)
-            covered, longest = repeats(ids, part, limit["min_words"])
-            failed = (part < limit["min_total"]) | (100 * covered > limit["max_covered"] * part)
-            kept = ~failed & (longest <= limit["max_longest"])
-            kept &= 100 * longest <= limit["max_longest_percent"] * part + 100 * limit["min_words"]
-            yield {c: cols[c][lo:hi] for c in kept_as} | dict(zip(names, (
-                part.tolist(), [len(t) - sum(map(t.count, SPACES)) for t in some],
-                [sum(map(t.count, SYMBOLS)) for t in some], [dup_lines(t) for t in some],
-                covered.tolist(), failed.tolist(), longest.tolist(), kept.tolist(),
-            ), strict=True))
+        for found in _judge(cols["__text"], limits):
+            hi = lo + len(found["kept"])
+            yield {c: cols[c][lo:hi] for c in kept_as} | found
             lo = hi
 
     columns = [docs[c].alias(k) for k, c in zip(kept_as, keep, strict=True)]
-    columns += [docs["text"].alias("__text")] if source == "__text" else []
     schema = ", ".join([*(f"{k} {kinds[c]}" for k, c in zip(kept_as, keep, strict=True)), SCHEMA])
-    return map_batches(docs.select(*columns), schema, step)
-
-
-def judged(docs: DataFrame, keep: list[str], **limits: int) -> DataFrame:
-    """The columns `keep` of each row and the figures of SCHEMA for its text.
-    limits: min_total, min_words, max_covered (percent), max_longest (words),
-    max_longest_percent."""
-    out = _figures(docs, keep, limits)
-    return out.withColumnsRenamed({f"__k{i}": c for i, c in enumerate(keep)})
+    out = map_batches(docs.select(*columns, docs["text"].alias("__text")), schema, step)
+    return out.withColumnsRenamed(dict(zip(kept_as, keep, strict=True)))
 
 
 def passing(docs: DataFrame, **limits: int) -> DataFrame:
     """The rows of `docs` that are kept, with their columns."""
-    keep = docs.columns
-    out = _figures(docs, keep, limits).where("kept")
-    return out.select(*[out[f"__k{i}"].alias(c) for i, c in enumerate(keep)])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [k for found in _judge(batch.column(at).to_pylist(), limits) for k in found["kept"]]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
