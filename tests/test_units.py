@@ -5,6 +5,7 @@ import os
 import re
 import time
 from datetime import datetime, timezone
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,8 +17,11 @@ from sessionloom.operators import scan
 from sessionloom.operators.prefix import concat_parts, prefix_sums
 from sessionloom.plans import extract as E
 from sessionloom.plans import lifecycle as Y
+from sessionloom.plans import lint as L
+from sessionloom.plans.extract import evict
 from sessionloom.sources import artifacts as A
 from sessionloom.sources import journals as J
+from sessionloom.sources import sessions as S
 from sessionloom.sources.lines import lines_from_text, read_lines
 from sessionloom.sources.sessions import parse_markdown, parse_sessions
 from sessionloom.streaming import jobs
@@ -83,12 +87,65 @@ def test_prefix_sums_match_a_plain_loop(spark):
                 total += n
 
 
-def test_concat_parts_keeps_everything(spark):
+def test_concat_parts_gives_one_text(spark):
     rows = [("a", i // 4, i, f"<{i}>") for i in range(50)]
     df = spark.createDataFrame(rows, "k string, b bigint, i bigint, text string")
-    parts = concat_parts(df, ["k"], ["b"], ["i"], max_chars=30).orderBy("part_no").collect()
-    assert len(parts) > 3
-    assert "".join(p.text for p in parts) == "".join(r[3] for r in rows)
+    (one,) = concat_parts(df, ["k"], ["b"], ["i"]).collect()
+    assert one.text == "".join(r[3] for r in rows) and (one.part_no, one.chars) == (0, len(one.text))
+
+
+def test_running_totals_keep_null_keys_and_levels(spark):
+    rows = [(None, None, 1, 5), (None, None, 2, 6), (None, 3, 0, 7), ("a", None, 0, 1), ("a", 1, 0, 2)]
+    df = spark.createDataFrame(rows, "k string, level bigint, i bigint, n bigint")
+    got = prefix_sums(df, ["k"], ["level"], ["i"], {"before": "n"}).collect()
+    assert sorted((str(r.k), str(r.level), r.i, r.before) for r in got) == [
+        ("None", "3", 0, 11), ("None", "None", 1, 0), ("None", "None", 2, 5), ("a", "1", 0, 1), ("a", "None", 0, 0)]
+
+
+def _event(content):
+    return '{"type":"user","message":{"role":"user","content":' + content + "}}"
+
+
+def test_tool_results_of_any_depth(spark):
+    content, want = '"deep"', "deep"
+    for _ in range(9):
+        content = '[{"type":"tool_result","content":' + content + "}]"
+        want = "[tool_result] " + want
+    lines = lines_from_text(spark.createDataFrame([("a", _event(content))], "artifact_id string, text string"))
+    assert [r.text for r in S.parse_events(lines).collect()] == [want]
+
+
+def test_repeated_json_keys_keep_the_last(spark):
+    line = '{"type":"user","message":{"role":"user","content":"old","content":"new"}}'
+    lines = lines_from_text(spark.createDataFrame([("a", line)], "artifact_id string, text string"))
+    assert [r.text for r in S.parse_events(lines).collect()] == ["new"]
+
+
+def test_plain_text_of_many_chunks_is_one_message(spark):
+    text = "\n".join(f"note {i}" for i in range(9000))
+    lines = lines_from_text(spark.createDataFrame([("a.txt", f"\n {text}\n\n")], "artifact_id string, text string"))
+    (m,) = S.parse_sessions(lines).collect()
+    assert (m.role, m.text, m.span_start, m.span_end) == ("assistant", text, 0, len(text) + 4)
+
+
+def test_one_finding_for_a_long_warning_list(spark):
+    packets = spark.createDataFrame([("p", "dispatched")], "packet_id string, status string")
+    warnings = spark.range(9000).selectExpr("'p' AS packet_id", "id AS pos", "concat('W', id) AS code", "true AS blocking")
+    (f,) = L.blocking_warning_findings(SimpleNamespace(packets=packets, warnings=warnings)).collect()
+    assert "9000 blocking" in f.message and f.message.endswith("W8998, W8999.") and ": W0, W1, W2," in f.message
+
+
+def test_eviction_by_instant_and_without_a_stamp(spark):
+    rows = [("bb", 10, None), ("aa", 10, "2024-01-01T00:00:00.100Z"), ("00", 10, "2024-01-01T00:00:00.900Z"), ("zz", 10, "2024-01-01T00:00:00.050Z")]
+    df = spark.createDataFrame(rows, "key string, size bigint, last_accessed string")
+    kept = lambda n: {r.key for r in evict(df, n).collect()}
+    assert (kept(10), kept(20), kept(30), kept(40)) == ({"00"}, {"00", "aa"}, {"00", "aa", "zz"}, {"00", "aa", "zz", "bb"})
+
+
+def test_status_changes_over_a_gap_in_the_numbers(spark):
+    rows = [("p", 1, "draft"), ("p", 5, "dispatched"), ("p", 6000, "dispatched")]
+    found = L.illegal_transitions(spark.createDataFrame(rows, "packet_id string, version bigint, status string")).collect()
+    assert [(r.version, r.code[-3:]) for r in found] == [(5, "040")]
 
 
 def test_marker_over_many_tiny_chunks(spark):
