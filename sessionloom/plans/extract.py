@@ -7,8 +7,6 @@ round of answers is written down before it is used, so no answer is asked twice.
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -23,7 +21,7 @@ from sessionloom.plans.compile import tail_excerpt
 from sessionloom.session import materialize
 from sessionloom.sources.packets import json_type
 
-# Turns that are put together before the parts of a long prompt are cut.
+# Turns of a session that are joined at once.
 TURNS_PER_FRAGMENT = 256
 
 # Prompt texts (system, user) by extractor.
@@ -200,38 +198,11 @@ def parse_responses(df: DataFrame, raw: str = "text") -> DataFrame:
 
 # ---- Cache and completion --------------------------------------------------
 
+# A model: a frame of key, extractor, system, user and attempt to a frame of ANSWER.
 CompleteFn = Callable[[pd.DataFrame], pd.DataFrame]
 ANSWER = "key string, extractor string, text string, tokens_in bigint, tokens_out bigint, model string"
 
 
-def mock_complete(batch: pd.DataFrame) -> pd.DataFrame:
-    """Deterministic stand-in for a model: answers follow from the key. Some keys
-    give an unreadable answer at the first attempt, some at both."""
-    def answer(row) -> str:
-        digest = hashlib.sha256(row.key.encode()).hexdigest()
-        if digest[0] == "0" or (digest[0] == "1" and row.attempt == 1):
-            return "<mock>"
-        tag = digest[:8]
-        return json.dumps({
-            "objective": {"objective": f"Finish {tag}", "confidence": 0.75},
-            "attempts": {"attempts": [
-                {"summary": f"Tried {tag}", "result": "failed", "failure_reason": "broke",
-                 "evidence_span": tag},
-                {"summary": f"Retried {tag}", "result": "succeeded", "failure_reason": None,
-                 "evidence_span": ""}]},
-            "acceptance-criteria": {"criteria": [{"text": f"Shows {tag}", "required": True}]},
-            "next-action": {"next_action": f"Check {tag}", "confidence": 0.5},
-        }[row.extractor])
-
-    text = [answer(r) for r in batch.itertuples()]
-    return pd.DataFrame({
-        "key": batch["key"], "extractor": batch["extractor"], "text": text,
-        "tokens_in": -(-(batch["system"].str.len() + batch["user"].str.len()) // 4),
-        "tokens_out": [-(-len(t) // 4) for t in text],
-        "model": "mock-1",
-    })
-
-
 def _ask(requests: DataFrame, complete: CompleteFn, attempt: int, parallelism: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -251,9 +222,9 @@ def cache_hits(keyed: DataFrame, cache: DataFrame) -> DataFrame:
 
 def complete_prompts(
     prompts: DataFrame,
+    complete: CompleteFn,
+    provider: str,
     cache: DataFrame | None = None,
-    complete: CompleteFn = mock_complete,
-    provider: str = "mock",
     parallelism: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(answers, cache additions).
@@ -331,8 +302,8 @@ def parse_warnings(found: DataFrame) -> DataFrame:
 
 
 def compile_full(
-    turns: DataFrame, drafts: DataFrame, cache: DataFrame | None = None,
-    complete: CompleteFn | None = mock_complete, provider: str = "mock",
+    turns: DataFrame, drafts: DataFrame, complete: CompleteFn | None, provider: str,
+    cache: DataFrame | None = None,
     now: str = "1970-01-01T00:00:00.000Z",
 ) -> dict[str, DataFrame]:
     """Drafts with the extracted fields: `packets`, `attempts`, `criteria`,
@@ -354,7 +325,7 @@ def compile_full(
     tails = tail_excerpt(turns)
 
     def round_of(prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return complete_prompts(prompts, cache, complete, provider)
+        return complete_prompts(prompts, complete, provider, cache)
 
     found1, fresh1 = round_of(
         objective_prompts(sessions, tails).unionByName(attempt_prompts(sessions, turns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sessionloom import constants as K
@@ -64,10 +65,14 @@ def _prompts(spark, sf):
     )
 
 
-@query("prompt_keys")
+@query("prompt_keys", check_sql("""
+SELECT min(extractor) AS extractor, count(*) AS uses, md5(system || '|' || "user") AS prompt FROM prompts GROUP BY system, "user\"""",
+    {**CX, "tails": TAIL, "wholes": WHOLE, "recents": RECENT, "prompts": PROMPTS}))
 def prompt_keys(spark, sf):
-    keyed = _prompts(spark, sf).withColumn("key", X.prompt_key("mock"))
-    return keyed.groupBy("key").agg(F.min("extractor").alias("extractor"), F.count("*").alias("uses"))
+    keyed = _prompts(spark, sf).withColumn("key", X.prompt_key("rule"))
+    return keyed.groupBy("key").agg(
+        F.min("extractor").alias("extractor"), F.count("*").alias("uses"),
+        F.min(F.md5(F.concat_ws("|", "system", "user"))).alias("prompt")).drop("key")
 
 
 @query("recent_attempts", check_sql("SELECT * FROM recents", {"recents": RECENT}))
@@ -151,16 +156,77 @@ def estimate_cost(spark, sf):
     )
 
 
-@query("extract_fields")
+def answer_by_length(batch: pd.DataFrame) -> pd.DataFrame:
+    """A model of text rules, which SQL can repeat: the answer tells the length of
+    the prompt. Lengths that end in 0 give no answer, in 1 none at the first attempt."""
+    n = batch["user"].str.len()
+    texts = [
+        "no answer" if k % 10 == 0 or k % 10 == 1 and attempt == 1 else ANSWERS[extractor].replace("#", str(k))
+        for k, extractor, attempt in zip(n, batch["extractor"], batch["attempt"], strict=True)
+    ]
+    return pd.DataFrame({
+        "key": batch["key"], "extractor": batch["extractor"], "text": texts,
+        "tokens_in": -(-(batch["system"].str.len() + n) // 4), "tokens_out": [-(-len(t) // 4) for t in texts],
+        "model": "rule-1",
+    })
+
+
+ANSWERS = {
+    "objective": '{"objective": "Finish #", "confidence": 0.75}',
+    "attempts": '{"attempts": [{"summary": "Tried #", "result": "failed", "failure_reason": "broke", "evidence_span": "#"}, '
+                '{"summary": "Tried # again", "result": "succeeded", "failure_reason": null, "evidence_span": ""}]}',
+    "acceptance-criteria": '{"criteria": [{"text": "Shows #", "required": true}]}',
+    "next-action": '{"next_action": "Check #", "confidence": 0.5}',
+}
+
+
+def _answered(prompts: str) -> str:
+    """The answers to a table of prompts, with the tokens of both attempts."""
+    n = 'length("user")'
+    texts = " ".join(f"WHEN '{k}' THEN replace({_sql(v)}, '#', CAST({n} AS VARCHAR))" for k, v in ANSWERS.items())
+    return f"""SELECT packet_id, extractor, n, n % 10 <> 0 AS ok,
+  CASE WHEN n % 10 = 0 THEN NULL WHEN extractor = 'objective' THEN 'Finish ' || n WHEN extractor = 'next-action' THEN 'Check ' || n END AS value,
+  CASE WHEN n % 10 = 0 THEN NULL WHEN extractor = 'objective' THEN 0.75::DOUBLE WHEN extractor = 'next-action' THEN 0.5::DOUBLE END AS confidence,
+  (CASE WHEN n % 10 < 2 THEN 2 ELSE 1 END) * CAST(ceil((length(system) + n) / 4.0) AS BIGINT) AS tokens_in,
+  CASE n % 10 WHEN 0 THEN 6 WHEN 1 THEN 3 + size ELSE size END AS tokens_out, true AS live
+FROM (SELECT *, {n} AS n, CAST(ceil(length(CASE extractor {texts} END) / 4.0) AS BIGINT) AS size FROM {prompts}) p"""
+
+
+EX = {**CX, "tails": TAIL, "wholes": WHOLE, "recents": RECENT, "prompts": PROMPTS, "answered": _answered("prompts")}
+
+
+@query("extract_fields", check_sql(
+    "SELECT packet_id, extractor, ok, value, confidence, tokens_in, tokens_out, live FROM answered", EX))
 def extract_fields(spark, sf):
-    found, _ = X.complete_prompts(_prompts(spark, sf))
+    found, _ = X.complete_prompts(_prompts(spark, sf), answer_by_length, "rule")
     return found.select("packet_id", "extractor", "ok", "value", "confidence", "tokens_in", "tokens_out",
                           "live")
 
 
-@query("compile_full")
+FULL = {
+    **CX, "tails": TAIL, "wholes": WHOLE,
+    "prompts1": " UNION ALL ".join([
+        _row("objective", {"transcript_excerpt": "excerpt", "ticket_text": "''"}, "compiled JOIN tails ON conv_id = session_id"),
+        _row("attempts", {"transcript_excerpt": "excerpt"}, "compiled JOIN wholes ON conv_id = session_id")]),
+    "answers1": _answered("prompts1"),
+    "merged": """SELECT c.packet_id, c.session_id, coalesce(o.value, c.objective) AS objective, c.current_state, c.next_action,
+      coalesce(o.confidence, c.confidence_score) AS confidence_score, a.n AS tried
+    FROM compiled c LEFT JOIN answers1 o ON o.packet_id = c.packet_id AND o.extractor = 'objective' AND o.ok
+    LEFT JOIN answers1 a ON a.packet_id = c.packet_id AND a.extractor = 'attempts' AND a.ok""",
+    "prompts2": " UNION ALL ".join([
+        _row("acceptance-criteria", {"objective": "objective", "ticket_text": "''", "transcript_excerpt": "excerpt"}, "merged JOIN tails ON conv_id = session_id"),
+        _row("next-action", {"packet_summary": "'Objective: ' || objective || chr(10) || chr(10) || 'Current state: ' || current_state || chr(10) || chr(10) || 'Recent attempts:' || chr(10) || coalesce('  1. Tried ' || tried || chr(10) || '  2. Tried ' || tried || ' again', '(none)')"}, "merged")]),
+    "answers2": _answered("prompts2"),
+}
+
+
+@query("compile_full", check_sql("""
+SELECT m.packet_id, m.objective, coalesce(x.value, m.next_action) AS next_action, m.confidence_score,
+  CASE WHEN m.tried IS NULL THEN 0 ELSE 2 END::BIGINT AS n_attempts, CASE WHEN c.ok THEN 1 ELSE 0 END::BIGINT AS n_criteria
+FROM merged m LEFT JOIN answers2 x ON x.packet_id = m.packet_id AND x.extractor = 'next-action' AND x.ok
+LEFT JOIN answers2 c ON c.packet_id = m.packet_id AND c.extractor = 'acceptance-criteria'""", FULL))
 def compile_full(spark, sf):
-    out = X.compile_full(turns(spark, sf), compiled(spark, sf), now=NOW)
+    out = X.compile_full(turns(spark, sf), compiled(spark, sf), answer_by_length, "rule", now=NOW)
     n = out["attempts"].groupBy("packet_id").agg(F.count("*").alias("n_attempts"))
     m = out["criteria"].groupBy("packet_id").agg(F.count("*").alias("n_criteria"))
     return out["packets"].join(n, "packet_id", "left").join(m, "packet_id", "left").select(

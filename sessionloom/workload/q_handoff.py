@@ -68,7 +68,7 @@ def field_edits(spark, sf):
 
 @query("tamper_audit", check_sql(f"""
 SELECT packet_id, -1 AS block, 0 AS line, '1' AS before, '2' AS after FROM packets WHERE {NUMBER} % 7 = 3
-UNION ALL SELECT packet_id, 0, 7, '- **Confidence score:** ' || {NUM}, '- **Confidence score:** 9' || {NUM}
+UNION ALL SELECT packet_id, 0, 5, '- **Confidence score:** ' || {NUM}, '- **Confidence score:** 9' || {NUM}
 FROM packets WHERE {NUMBER} % 7 <> 3 AND {NUMBER} % 6 = 4""".replace(" AS before", ' AS "before"').replace(" AS after", ' AS "after"')))
 def tamper_audit(spark, sf):
     mirrors = R.render_mirror(packets_of(spark, sf))

@@ -165,8 +165,7 @@ SELECT packet_id, CAST(0 AS BIGINT) AS part_no, regexp_replace(
   || {NN} || '## Acceptance criteria' || {NN} || coalesce({lst("criteria", "'- ' || CASE WHEN status = 'met' THEN '[x]' ELSE '[ ]' END || ' ' || text || CASE WHEN required THEN '' ELSE ' _(optional)_' END || " + IDC)}, {NONE})
   || {NN} || '## Constraints' || {NN} || coalesce({lst("constraints", "'- ' || text || " + IDC)}, {NONE})
   || {NN} || '## Open questions' || {NN} || coalesce({lst("questions", "'- [' || status || ']' || CASE WHEN blocking THEN ' (blocking)' ELSE '' END || ' ' || text || " + IDC)}, {NONE})
-  || {NN} || '{R.OPEN}' || {N} || '## System-managed metadata' || {NN} || '_The lines below are generated from `packet.json`. Edits inside this' || {N}
-  || 'block are rejected on the next compile — modify `packet.json`' || {N} || 'directly if you need to override system-managed fields._' || {NN}
+  || {NN} || '{R.OPEN}' || {N} || '## System-managed metadata' || {NN} || '{R.NOTICE}' || {NN}
   || '- **Confidence score:** ' || {NUM} || {N} || '- **Created at:** ' || created_at || {N} || '- **Updated at:** ' || updated_at || {NN} || '### Repo context' || {N} || {RO}
   || {NN} || '### Source artifacts' || {NN} || coalesce({lst("source_artifacts", "'- `' || id || '` (' || type || ', ' || source_tool || ') — ' || uri")}, {NONE})
   || {NN} || '### Provenance links' || {NN} || coalesce({lst("provenance_links", "'- `' || id || '` ' || field_name || ' ← ' || artifact_id || ' (' || source_type || ')' || coalesce(' [' || span_start || '..' || span_end || ']', '')")}, {NONE})

@@ -9,13 +9,8 @@ import pytest
 import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-# Queries that start a model, a stream or many jobs; set TEST_ALL=1 for all of them.
-SLOW = {"build_prompts", "merge_edits", "field_edits", "tamper_audit", "stream_limit_markers",
-        "stream_compile", "stream_latest_events", "certify", "lint_gate", "lint_findings_strict",
-        "findings_by_rule", "conformance_summary", "merge_links", "render_context_blocks",
-        "unrecognized_sessions", "unrecognized_warnings", "compile_sessions", "cache_hits"}
 CHECKS = entry.oracle_sql()
-NAMES = sorted(n for n in CHECKS if os.environ.get("TEST_ALL") or n not in SLOW)
+NAMES = sorted(CHECKS)
 
 
 @pytest.fixture(scope="module")

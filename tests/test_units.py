@@ -25,6 +25,7 @@ from sessionloom.sources import sessions as S
 from sessionloom.sources.lines import lines_from_text, read_lines
 from sessionloom.sources.sessions import parse_markdown, parse_sessions
 from sessionloom.streaming import jobs
+from sessionloom.workload.q_extract import answer_by_length
 
 
 def one(spark, value, expr, schema="text string"):
@@ -245,12 +246,12 @@ def test_eviction_equals_a_loop(spark):
 
 def test_completion_cache_answers_second_run(spark):
     prompts = spark.createDataFrame(
-        [(f"p{i}", "objective", 0, "s", f"u{i % 20}") for i in range(40)],
+        [(f"p{i}", "objective", 0, "s", f"u{'x' * (i % 20)}") for i in range(40)],
         "packet_id string, extractor string, part_no bigint, system string, user string")
-    found, fresh = E.complete_prompts(prompts)
+    found, fresh = E.complete_prompts(prompts, answer_by_length, "rule")
     cache = fresh.select("key", "text", "model")
     ok = {r.key for r in found.where("ok").collect()}
-    again, more = E.complete_prompts(prompts, cache)
+    again, more = E.complete_prompts(prompts, answer_by_length, "rule", cache)
     rows = again.collect()
     assert len(rows) == 40 and {r.key for r in rows if not r.live} == ok
     assert more.count() == 0 or not ({r.key for r in more.collect()} & ok)
