@@ -10,15 +10,16 @@ from sessionloom import constants as K
 from sessionloom.plans import conformance as O
 from sessionloom.plans import lint as L
 from sessionloom.plans import mirror as M
+from sessionloom.plans import pipeline as P
 from sessionloom.plans import render as R
-from sessionloom.plans.failover import compile_lines, failover
+from sessionloom.plans.failover import POLICY, compile_lines, failover
 from sessionloom.workload.derived import check_sql, table
 from sessionloom.workload.inputs import packet_set, packet_versions, session_lines
 from sessionloom.workload.q_compile import COMPILED, NOW, PLACEHOLDER, PRIOR, nb, priors, title_sql
 from sessionloom.workload.q_lint import CHANGED, FINDINGS, FRESH, FX, LAST_ILLEGAL, NUM, UNRESOLVED, VERSIONS, VIOLATIONS
 from sessionloom.workload.q_lint import MISSING as MISSING_FILES
 from sessionloom.workload.q_render import packets_of, rendered
-from sessionloom.workload.q_sources import EV_EXPECTED, MD_EXPECTED, PLAIN_EXPECTED, PX, RO_EXPECTED
+from sessionloom.workload.q_sources import EV_EXPECTED, MD_EXPECTED, PLAIN_EXPECTED, PX, RO_EXPECTED, sql_trim
 from sessionloom.workload.registry import query
 
 
@@ -197,3 +198,31 @@ FROM gate g JOIN handed h ON h.packet_id = g.packet_id""", FAILOVER))
 def failover_handoffs(spark, sf):
     return failover(session_lines(spark, sf), packet_set(spark, sf), "generic", priors(spark, sf),
                     table(spark, sf, "packets").where("attached"), NOW, _state(spark, sf))
+
+
+KEPT = ["title", "objective", "current_state", "next_action"]
+LINKED = f"""
+SELECT packet_id, count(*) AS n_links, count(span_start) AS n_spans FROM (
+  SELECT packet_id, (SELECT min(m.ord) FROM messages m WHERE m.artifact_id = v.packet_id AND {sql_trim('m.text')} = {sql_trim('v.value')}
+      AND {sql_trim('v.value')} <> '') AS span_start
+  FROM ({" UNION ALL ".join(f"SELECT packet_id, {f} AS value FROM drafts" for f in KEPT[1:])}) v WHERE value <> ''
+  UNION ALL SELECT packet_id, NULL FROM context_items WHERE packet_id IN (SELECT packet_id FROM drafts)) x GROUP BY packet_id"""
+STORED = f"""
+SELECT coalesce(n.packet_id, o.packet_id) AS packet_id,
+  {', '.join(f"CASE WHEN n.packet_id IS NOT NULL THEN n.{c} ELSE o.{c} END AS {c}" for c in KEPT)},
+  CASE WHEN n.packet_id IS NULL THEN 'keep' WHEN o.packet_id IS NULL THEN 'create' ELSE 'replace' END AS action
+FROM prior_packets o FULL JOIN (SELECT * FROM drafts WHERE packet_id NOT IN (SELECT packet_id FROM violations2)) n ON n.packet_id = o.packet_id"""
+
+
+@query("compile_packets", check_sql("""
+SELECT s.*, n_links, n_spans, CAST(1 AS BIGINT) AS n_artifacts FROM stored2 s JOIN linked l ON l.packet_id = s.packet_id""", {
+    **{k: FAILOVER[k] for k in ("placed", "messages", "ends2", "ends3", "prior", "compiled2", "drafts", "violations2")},
+    "prior_packets": f"SELECT * FROM packets WHERE {NUMBER} % 3 <> 2", "linked": LINKED, "stored2": STORED}))
+def compile_packets(spark, sf):
+    done = P.compile_packets(
+        session_lines(spark, sf), packet_set(spark, sf), priors(spark, sf), KEPT, POLICY,
+        table(spark, sf, "packets").where("attached"), NOW)
+    links = done.links.groupBy("packet_id").agg(
+        F.count("*").alias("n_links"), F.count("span_start").alias("n_spans"))
+    artifacts = done.artifacts.groupBy("packet_id").agg(F.count("*").alias("n_artifacts"))
+    return done.packets.join(links, "packet_id").join(artifacts, "packet_id")
