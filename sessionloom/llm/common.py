@@ -12,7 +12,7 @@ from sessionloom.session import materialize, work_dir
 
 __all__ = ["fill_words", "map_batches", "materialize", "table", "texts_of", "work_dir"]
 
-Rows = Iterator[dict[str, list]]
+SLICE = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,14 +30,21 @@ def map_batches(df: DataFrame, schema: str, step: Callable[[dict[str, list]], It
     arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for out in step(batch.to_pydict()):
-                    yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        for batch in slices(batches):
+            for out in step(batch.to_pydict()):
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most SLICE rows, none empty: what a task holds as
+    Python objects stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)
+
+
 def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

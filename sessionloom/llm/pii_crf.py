@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import map_batches
+from sessionloom.llm.common import map_batches, slices
 
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -421,7 +421,7 @@ def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
         return "".join(out) + value[done:] if out else value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = pa.array(map(clean, batch.column(at).to_pylist()), batch.schema.types[at])
             yield batch.set_column(at, batch.schema.field(at), texts)
 

@@ -282,20 +282,21 @@ def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def one(classes: np.ndarray, fps: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        found: list[list] = [[], [], []]
-        for i, j in _tree_pairs(fps, WIDE_RADIUS):
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            fit = (i < j) & (low >= similarity * high)
-            for k, v in zip(found, (distance(fps[i[fit]], fps[j[fit]]), i[fit], j[fit]), strict=True):
-                k.append(v)
-        d, i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
+        """Rings of growing radius, so that the nearest come first and no more
+        than a block of pairs is held at once."""
         groups, kept = Groups(len(fps)), []
-        for at in np.argsort(d, kind="stable").tolist():
-            x, y = groups.root(int(i[at])), groups.root(int(j[at]))
-            if x != y:
-                groups.up[max(x, y)] = min(x, y)
-                kept.append(at)
-        return pa.RecordBatch.from_arrays([pa.array(classes[i[kept]]), pa.array(classes[j[kept]])], schema=arrow)
+        for radius in range(3, WIDE_RADIUS + 1, 3):
+            for i, j in _tree_pairs(fps, radius):
+                low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                fit = (i < j) & (low >= similarity * high) & (groups.up[i] != groups.up[j])
+                for x, y in zip(i[fit].tolist(), j[fit].tolist(), strict=True):
+                    a, b = groups.root(x), groups.root(y)
+                    if a != b:
+                        groups.up[max(a, b)] = min(a, b)
+                        kept.append((x, y))
+            groups.up = groups.roots()
+        ends = np.array(kept, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(classes[ends[:, 0]]), pa.array(classes[ends[:, 1]])], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):

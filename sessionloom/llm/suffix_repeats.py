@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sessionloom.llm.common import map_batches
+from sessionloom.llm.common import map_batches, slices
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
@@ -37,7 +37,7 @@ SCHEMA = (
     "base_failed boolean, longest_repeat long, kept boolean"
 )
 #: Words sorted together; bounds the memory of a task.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 600_000
 
 
 class _Numbers(dict):
@@ -192,7 +192,7 @@ def passing(docs: DataFrame, **limits: int) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept = [k for found in _judge(batch.column(at).to_pylist(), limits) for k in found["kept"]]
             yield batch.filter(pa.array(kept, pa.bool_()))
 

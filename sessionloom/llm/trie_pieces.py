@@ -40,8 +40,8 @@ from sessionloom.llm.common import fill_words, map_batches
 MARK = "▁"
 WORDS = re.compile("\n| *[^ \n]+| +")
 #: Distinct words whose pieces a Python worker keeps.
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 600_000
+KEPT_WORDS = 250_000
+KEPT_PAIRS = 300_000
 START, UNKNOWN = -2, -1
 _models: dict[str, "Model"] = {}
 
