@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import constants as K
 from sessionloom.plans import render as R
+from sessionloom.session import work_dir
 from sessionloom.workload.derived import check_sql, table
 from sessionloom.workload.inputs import packet_set
 from sessionloom.workload.q_text import sql_trim
@@ -109,6 +110,15 @@ for _name, _target in (("render_generic", "generic"), ("render_context_blocks",
     _register(_name, _target)
 
 
+@query("export_handoffs", check_sql(
+    "SELECT packet_id, 'generic' AS target, markdown FROM handed", rendered("generic")))
+def export_handoffs(spark, sf):
+    """The written handoffs, read back."""
+    folder = work_dir(spark, "handoffs")
+    R.write_handoffs(R.render(packets_of(spark, sf), "generic").withColumn("target", F.lit("generic")), folder)
+    return R.read_handoffs(spark, folder)
+
+
 @query("budget_limit", check_sql(
     "SELECT packet_id, CAST(lim AS BIGINT) AS item_limit, coalesce(lim < n_items, false) AS truncated FROM lims",
     rendered("generic")))
