@@ -96,6 +96,13 @@ def raw_violations(docs: DataFrame, key: str = "uri", doc: str = "doc") -> DataF
     of_object = F.filter(F.array(*checks, extra), lambda x: x.isNotNull())
     engine = F.array(F.struct(F.lit("/").alias("path"),
                               F.lit("packet is not an object").alias("message")))
+    # Rule 004 for a score that is no number, which a typed row cannot hold.
+    score = json_type(F.try_variant_get("v", "$.confidence_score", "variant"))
+    odd_score = v.where(is_object & score.isin("string", "boolean", "array", "object")).select(
+        key, F.lit(f"{K.RULE_PREFIX}004").alias("code"), F.lit("error").alias("severity"),
+        F.lit("/confidence_score").alias("path"),
+        F.concat(F.lit("confidence_score must be a number (got "),
+                 F.when(score == "array", "object").otherwise(score), F.lit(").")).alias("message"))
     return (
         v.withColumn("is_object", is_object)
         .select(key, "is_object", F.inline(F.when(F.col("is_object"), of_object).otherwise(engine)))
@@ -105,6 +112,7 @@ def raw_violations(docs: DataFrame, key: str = "uri", doc: str = "doc") -> DataF
             .alias("code"),
             F.lit("critical").alias("severity"), "path", "message",
         )
+        .unionByName(odd_score)
     )
 
 

@@ -121,7 +121,9 @@ SELECT packet_id, CASE WHEN {N12} IN (1, 2) THEN 'SL-engine' ELSE 'SL002' END AS
   CASE WHEN {N12} = 3 THEN '/confidence_score' ELSE '/' END AS path,
   CASE {N12} WHEN 3 THEN 'must be number' WHEN 5 THEN 'must have required property ''confidence_score'''
     WHEN 7 THEN 'must NOT have additional properties' ELSE 'packet is not an object' END AS message
-FROM packets WHERE {N12} IN (1, 2, 3, 5, 7)"""))
+FROM packets WHERE {N12} IN (1, 2, 3, 5, 7)
+UNION ALL SELECT packet_id, 'SL004', 'error', '/confidence_score', 'confidence_score must be a number (got string).'
+FROM packets WHERE {N12} = 3"""))
 def packet_document_findings(spark, sf):
     return P.raw_violations(documents_of_packets(spark, sf), "packet_id")
 

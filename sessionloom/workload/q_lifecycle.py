@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sessionloom import constants as K
 from sessionloom.plans import lifecycle as Y
+from sessionloom.plans.failover import POLICY
+from sessionloom.plans.schema_rules import schema_violations
 from sessionloom.plans.packets import packet_index
 from sessionloom.workload.derived import check_sql, table
 from sessionloom.workload.inputs import packet_set, packet_versions
@@ -125,10 +127,10 @@ FULL JOIN (SELECT * FROM compiled WHERE length(title) BETWEEN 3 AND 200 AND leng
     AND length(current_state) <= 8000 AND confidence_score <= 1) n ON n.packet_id = o.packet_id""", CX))
 def upsert_packets(spark, sf):
     new = compiled(spark, sf)
-    invalid = new.where(
-        ~F.char_length("title").between(3, 200) | (F.char_length("objective") > 4000)
-        | (F.char_length("current_state") > 8000) | (F.col("confidence_score") > 1)
-    )
+    policy = {n: F.expr(e) for n, e in POLICY.items()}
+    lists = packet_set(spark, sf).restricted_to(new.limit(0))
+    lists.packets = new.withColumns(policy)
+    invalid = schema_violations(lists)
     return Y.upsert(priors(spark, sf).select(*STORE), new.select(*STORE), invalid)
 
 
