@@ -29,7 +29,8 @@ apart. So fingerprints are first dealt to shards by KEYS pairs of smallest
 shingle hashes (two such texts share no pair with a chance of 0.36^KEYS), a shard
 is searched by its vantage-point tree, and the links found, nearest first and as
 few as connect each shard, are checked on the full sets of shingles. Where a link
-fails, its shard is searched once more for those that it stood in for.
+fails, all that its family's links hold together is searched once more for those
+that it stood in for.
 
 Only distinct fingerprints are grouped, so a group of copies counts once. A shard
 holds about SHARD_ROWS fingerprints; the tree is built from SAMPLE_PER_SHARD
@@ -360,12 +361,18 @@ def _checked(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame
     return map_batches(pairs.select("a", "b", "x", "y"), "a long, b long, fit boolean", compare)
 
 
-def _missed(failed: DataFrame, classes: DataFrame, grams: DataFrame, group: DataFrame, similarity: float) -> DataFrame:
-    """A link that fails can have stood in for others of its shard. So classes of
-    failed links are dealt once more, with their sets of shingles and groups so far,
-    and every two near ones of different groups are compared where they first meet."""
-    ends = failed.select("a").union(failed.select("b")).distinct().withColumnRenamed("a", "class")
-    rows = classes.join(ends, "class").join(grams, "class").join(group, F.col("class") == F.col("node"), "left")
+def _missed(checked: DataFrame, classes: DataFrame, grams: DataFrame, group: DataFrame, similarity: float) -> DataFrame:
+    """A link that fails can have stood in for others. All classes that links, good
+    or failed, hold together make a family, and no near pair lies outside one. So
+    families with a failed link are gathered with their sets of shingles and groups
+    so far, and every two near ones of different groups are compared."""
+    family = components(checked.select("a", "b")).select(F.col("node").alias("class"), F.col("component").alias("shard"))
+    odd = checked.where("NOT fit").join(family, F.col("a") == F.col("class")).select("shard").distinct()
+    rows = (
+        classes.join(family.join(odd, "shard"), "class").join(grams, "class")
+        .join(group, F.col("class") == F.col("node"), "left")
+        .select("shard", "class", "fp", "keys", "grams", F.coalesce("component", "class").alias("group"))
+    )
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,16 +387,15 @@ def _missed(failed: DataFrame, classes: DataFrame, grams: DataFrame, group: Data
             for i, j in _tree_pairs(fps, WIDE_RADIUS):
                 fit = (i < j) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (so_far[i] != so_far[j])
                 i, j = i[fit], j[fit]
-                here = (keys[i] == keys[j]).argmax(1) == shard["place"][0].as_py()
-                for x, y in zip(i[here].tolist(), j[here].tolist(), strict=True):
+                met = (keys[i] == keys[j]).any(1)
+                for x, y in zip(i[met].tolist(), j[met].tolist(), strict=True):
                     if groups.root(x) != groups.root(y) and _similar(sets[x], sets[y], similarity):
                         groups.join(np.array([x]), np.array([y]))
                         links.append((x, y))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(names[list(x)]) for x in zip(*links, strict=True)], schema=arrow)
 
-    dealt = rows.select(F.posexplode("keys").alias("place", "shard"), "class", "fp", "keys", "grams", F.coalesce("component", "class").alias("group"))
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -400,8 +406,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     links = materialize(_candidates(classes, similarity), "copies-links")
     grams = materialize(_grams(links, rows, docs, words), "copies-shingles")
     checked = materialize(_checked(links, grams, similarity), "copies-checked")
-    good, failed = checked.where("fit").select("a", "b"), checked.where("NOT fit")
-    more = _missed(failed, classes, grams, components(good), similarity)
+    good = checked.where("fit").select("a", "b")
+    more = _missed(checked, classes, grams, components(good), similarity)
     group = components(good.union(more))
     named = rows.select("doc_id", "row_hash", "class").distinct().join(group, F.col("class") == F.col("node"), "left")
     return named.select("doc_id", "row_hash", "class", F.coalesce("component", "class").alias("group"))
