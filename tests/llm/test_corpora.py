@@ -120,6 +120,28 @@ def test_near_copies(spark):
     assert simhash_vp.one_of_each(docs.limit(0)).collect() == []
 
 
+def test_near_copy_groups_equal_brute_force(spark):
+    rng, texts = np.random.default_rng(4), []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in rng.integers(0, 80, 120)]
+        for _ in range(25):
+            w = list(base)
+            for at in rng.integers(0, len(w), rng.integers(0, 6)):
+                w[at] = f"e{rng.integers(10**6)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grams = [frozenset(simhash_vp.shingle_hashes(t, 5)) for t in texts]
+    want = plain_groups(range(len(texts)), lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]))
+    got = defaultdict(set)
+    for r in simhash_vp.near_copies(docs).collect():
+        got[r.group].add(r.doc_id)
+    expected = defaultdict(set)
+    for i, g in want.items():
+        expected[g].add(i)
+    assert len(expected) > 6
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+
+
 # Mixing
 
 def test_mixing_schedule(spark):
