@@ -23,14 +23,13 @@ repeated rows have one fingerprint and one component; an empty table gives an
 empty result; texts of any length are hashed whole. Other columns are ignored.
 
 `near_copies` finds texts whose sets of shingles have a Jaccard similarity of
-`similarity` or more. At 0.8 fingerprints differ in some 10 bits of 64, and at such a
-radius the triangle bound prunes next to nothing: unrelated ones are 32 +- 4 bits
-apart. So fingerprints are first dealt to shards by KEYS pairs of smallest
-shingle hashes (two such texts share no pair with a chance of 0.36^KEYS), a shard
-is searched by its vantage-point tree, and the links found, nearest first and as
-few as connect each shard, are checked on the full sets of shingles. Where a link
-fails, all that its family's links hold together is searched once more for those
-that it stood in for.
+`similarity` or more. They are dealt to shards by KEYS pairs of smallest shingle hashes
+(two such texts share none with a chance of at most (1 - similarity^2)^KEYS: the one way
+to miss a pair). In a shard every two are compared by size and by a parity sketch of
+their distinct shingles, which only rule out pairs that cannot be similar enough. The
+nearest of the others, as few as connect the shard, are checked on the whole sets of
+shingles. Where a link fails, all pairs of its family that a good link does not connect
+are checked likewise.
 
 Only distinct fingerprints are grouped, so a group of copies counts once. A shard
 holds about SHARD_ROWS fingerprints; the tree is built from SAMPLE_PER_SHARD
@@ -222,8 +221,8 @@ def near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
 
 
 KEYS = 8
-WIDE_RADIUS = 18
-ROW = "doc_id long, row_hash long, class long, fp long, n long, keys array<long>"
+SKETCH = 512
+ROW = "doc_id long, row_hash long, class long, sketch binary, n long, keys array<long>"
 
 
 def _shard_keys(hashes: np.ndarray) -> list[int]:
@@ -239,71 +238,79 @@ def _shard_keys(hashes: np.ndarray) -> list[int]:
     return mixed.view(np.int64).tolist()
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    """SKETCH bits: whether an odd number of the distinct shingles falls on each. Every
+    shingle that just one of two texts has flips one bit, so two sketches never differ
+    in more bits than there are such shingles."""
+    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _described(docs: DataFrame, words: int) -> DataFrame:
     """ROW for every document; `class` is a hash of its lower-cased words."""
 
     def step(cols: dict[str, list]):
-        out: dict[str, list] = {k: [] for k in ("class", "fp", "n", "keys")}
+        out: dict[str, list] = {k: [] for k in ("class", "sketch", "n", "keys")}
         for text in cols["text"]:
             w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            hashes = shingle_hashes(text or "", words)
-            kinds = np.unique(np.array(hashes, np.uint64))
-            for k, v in zip(out, (xxhash.xxh64_intdigest(b" ".join(w)) - 2**63, majority(hashes), len(kinds), _shard_keys(kinds)), strict=True):
+            kinds = np.unique(np.array(shingle_hashes(text or "", words), np.uint64))
+            for k, v in zip(out, (xxhash.xxh64_intdigest(b" ".join(w)) - 2**63, _sketch(kinds), len(kinds), _shard_keys(kinds)), strict=True):
                 out[k].append(v)
-        out["fp"] = np.array(out["fp"], np.uint64).view(np.int64).tolist()
         yield {k: cols[k] for k in ("doc_id", "row_hash")} | out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
     return map_batches(rows, ROW, step)
 
 
-def _tree_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of row numbers that differ in at most `radius` bits, by a vantage-point tree."""
-    rng, stack = np.random.default_rng(3), [np.arange(len(fps))]
-    while stack:
-        part = stack.pop()
-        if len(part) > LEAF:
-            d = distance(fps[part], fps[part[rng.integers(len(part))]])
-            m = int(np.median(d))
-            m -= d.max() == m
-            outside = d > m - radius
-            if outside.sum() <= 0.9 * len(part):
-                stack += [part[d <= m], part[outside]]
-                continue
-        for lo in range(0, len(part), LEAF):
-            some = part[lo:lo + LEAF]
-            for at in range(lo, len(part), 4096):
-                rest = part[at:at + 4096]
-                i, j = np.nonzero(distance(fps[some][:, None], fps[rest][None, :]) <= radius)
-                yield some[i], rest[j]
-
+def _close(n: np.ndarray, sketch: np.ndarray, label: np.ndarray, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers of different labels that can be similar
+    enough; n ascends. All of them if `every`, else the nearest ones that connect the rows.
 
-def _candidates(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of classes to check: the nearest ones that connect each shard."""
+    A similarity s of sets of x and y shingles leaves (x + y)(1 - s)/(1 + s) shingles that
+    just one has; more differing bits of the sketches rule a pair out for certain."""
+    label, last = label.copy(), np.searchsorted(n, n / similarity + 1e-6, "right")
+    slack = (1 - similarity) / (1 + similarity)
+    for part in (1.0,) if every else (0.25, 0.5, 0.75, 1.0):
+        for i in range(len(n) - 1):
+            fit = label[i + 1:last[i]] != label[i]
+            at = np.flatnonzero(fit) + i + 1
+            if not len(at):
+                continue
+            d = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
+            near = d <= part * slack * (n[at] + n[i]) + 1e-6
+            at = at[near]
+            if not len(at):
+                continue
+            if not every:
+                at = at[np.argsort(d[near], kind="stable")]
+                labels, first = np.unique(label[at], return_index=True)
+                at = at[first]
+                label[np.isin(label, labels)] = label[i]
+            yield np.full(len(at), i), at
+
+
+def _candidates(rows: DataFrame, similarity: float, every: bool = False) -> DataFrame:
+    """Links (a, b), a below b, of classes to check. rows: class, n, sketch, keys, group.
+    All pairs of a shard that can be near and are in different groups if `every`, else
+    the nearest ones that connect each shard."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def one(classes: np.ndarray, fps: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        """Rings of growing radius, so that the nearest come first and no more
-        than a block of pairs is held at once."""
-        groups, kept = Groups(len(fps)), []
-        for radius in range(3, WIDE_RADIUS + 1, 3):
-            for i, j in _tree_pairs(fps, radius):
-                low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                fit = (i < j) & (low >= similarity * high) & (groups.up[i] != groups.up[j])
-                for x, y in zip(i[fit].tolist(), j[fit].tolist(), strict=True):
-                    a, b = groups.root(x), groups.root(y)
-                    if a != b:
-                        groups.up[max(a, b)] = min(a, b)
-                        kept.append((x, y))
-            groups.up = groups.roots()
-        ends = np.array(kept, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(classes[ends[:, 0]]), pa.array(classes[ends[:, 1]])], schema=arrow)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            yield one(shard["class"].to_numpy(), shard["fp"].to_numpy().view(np.uint64), shard["n"].to_numpy())
-
-    dealt = rows.select(F.explode("keys").alias("shard"), "class", "fp", "n")
+            n, names = shard["n"].to_numpy(), shard["class"].to_numpy()
+            order = np.lexsort((names, n))
+            sketch = np.frombuffer(b"".join(shard["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)[order]
+            label = np.unique(shard["group"].to_numpy()[order], return_inverse=True)[1]
+            names, kept, size = names[order], [], 0
+            for i, j in itertools.chain(_close(n[order], sketch, label, similarity, every), [(None, None)]):
+                if i is not None:
+                    kept.append((np.minimum(names[i], names[j]), np.maximum(names[i], names[j])))
+                    size += len(i)
+                if kept and (i is None or size >= BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*kept, strict=True)], schema=arrow)
+                    kept, size = [], 0
+
+    dealt = rows.select(F.explode("keys").alias("shard"), "class", "n", "sketch", "group")
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -361,54 +368,30 @@ def _checked(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame
     return map_batches(pairs.select("a", "b", "x", "y"), "a long, b long, fit boolean", compare)
 
 
-def _missed(checked: DataFrame, classes: DataFrame, grams: DataFrame, group: DataFrame, similarity: float) -> DataFrame:
+def _unlinked(checked: DataFrame, classes: DataFrame, group: DataFrame) -> DataFrame:
     """A link that fails can have stood in for others. All classes that links, good
-    or failed, hold together make a family, and no near pair lies outside one. So
-    families with a failed link are gathered with their sets of shingles and groups
-    so far, and every two near ones of different groups are compared."""
-    family = components(checked.select("a", "b")).select(F.col("node").alias("class"), F.col("component").alias("shard"))
-    odd = checked.where("NOT fit").join(family, F.col("a") == F.col("class")).select("shard").distinct()
-    rows = (
-        classes.join(family.join(odd, "shard"), "class").join(grams, "class")
-        .join(group, F.col("class") == F.col("node"), "left")
-        .select("shard", "class", "fp", "keys", "grams", F.coalesce("component", "class").alias("group"))
-    )
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
-            names, so_far = shard["class"].to_numpy(), shard["group"].to_numpy()
-            keys = np.array(shard["keys"].to_pylist(), np.int64)
-            sets = [np.frombuffer(x, np.uint64) for x in shard["grams"].to_pylist()]
-            n, fps = np.array([len(x) for x in sets]), shard["fp"].to_numpy().view(np.uint64)
-            groups, links = Groups(len(names)), []
-            _, first, of = np.unique(so_far, return_index=True, return_inverse=True)
-            groups.join(first[of], np.arange(len(names)))
-            for i, j in _tree_pairs(fps, WIDE_RADIUS):
-                fit = (i < j) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (so_far[i] != so_far[j])
-                i, j = i[fit], j[fit]
-                met = (keys[i] == keys[j]).any(1)
-                for x, y in zip(i[met].tolist(), j[met].tolist(), strict=True):
-                    if groups.root(x) != groups.root(y) and _similar(sets[x], sets[y], similarity):
-                        groups.join(np.array([x]), np.array([y]))
-                        links.append((x, y))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(names[list(x)]) for x in zip(*links, strict=True)], schema=arrow)
-
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+    or failed, hold together make a family, and no near pair that shares a shard lies
+    outside one. So the classes of families with a failed link, with their groups so far."""
+    family = components(checked.select("a", "b")).select(F.col("node").alias("class"), F.col("component").alias("family"))
+    odd = checked.where("NOT fit").join(family, F.col("a") == F.col("class")).select("family").distinct()
+    rows = classes.join(family.join(odd, "family"), "class").join(group, F.col("class") == F.col("node"), "left")
+    return rows.select("class", "n", "sketch", "keys", F.coalesce("component", "class").alias("group"))
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per different (doc_id, row_hash), the xxhash64 of its text: its class
     and the group of its class."""
     rows = materialize(_described(docs, words), "copies-rows")
-    classes = rows.groupBy("class").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("keys").alias("keys"))
-    links = materialize(_candidates(classes, similarity), "copies-links")
-    grams = materialize(_grams(links, rows, docs, words), "copies-shingles")
-    checked = materialize(_checked(links, grams, similarity), "copies-checked")
+    classes = rows.groupBy("class").agg(F.first("sketch").alias("sketch"), F.min("n").alias("n"), F.first("keys").alias("keys"))
+    links = materialize(_candidates(classes.withColumn("group", F.col("class")), similarity), "copies-links")
+    checked = materialize(_checked(links, materialize(_grams(links, rows, docs, words), "copies-shingles"), similarity), "copies-checked")
     good = checked.where("fit").select("a", "b")
-    more = _missed(checked, classes, grams, components(good), similarity)
-    group = components(good.union(more))
+    group = components(good)
+    more = _candidates(_unlinked(checked, classes, group), similarity, every=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    more = materialize(more, "copies-links")
+    if not more.isEmpty():
+        late = _checked(more, materialize(_grams(more, rows, docs, words), "copies-shingles"), similarity)
+        group = components(good.union(materialize(late.where("fit").select("a", "b"), "copies-checked")))
     named = rows.select("doc_id", "row_hash", "class").distinct().join(group, F.col("class") == F.col("node"), "left")
     return named.select("doc_id", "row_hash", "class", F.coalesce("component", "class").alias("group"))
 

@@ -142,6 +142,31 @@ def test_near_copy_groups_equal_brute_force(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
+def copy_groups(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(set)
+    for r in simhash_vp.near_copies(docs).collect():
+        got[r.group].add(r.doc_id)
+    return sorted(map(sorted, got.values()))
+
+
+def test_near_copies_with_a_run_of_one_sign(spark):
+    texts = []
+    for k in range(8):
+        w = [f"t{k}w{i}" for i in range(1000)]
+        texts += [" ".join(w), " ".join(w[:400] + [".-"[k % 2]] * 150 + w[400:])]
+    assert copy_groups(spark, texts) == [[2 * k, 2 * k + 1] for k in range(8)]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 1500), st.integers(0, 300), st.integers(0, 300))
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles(seed, both, one, two):
+    rng = np.random.default_rng(seed)
+    a, b, c = np.split(np.unique(rng.integers(0, 2**64, both + one + two, dtype=np.uint64)), [both, both + one])
+    x, y = (np.frombuffer(simhash_vp._sketch(np.concatenate([a, z])), np.uint64) for z in (b, c))
+    assert np.bitwise_count(x ^ y).sum() <= one + two
+
+
 # Mixing
 
 def test_mixing_schedule(spark):
