@@ -29,7 +29,8 @@ to miss a pair). In a shard every two are compared by size and by a parity sketc
 their distinct shingles, which only rule out pairs that cannot be similar enough. The
 nearest of the others, as few as connect the shard, are checked on the whole sets of
 shingles. Where a link fails, all pairs of its family that a good link does not connect
-are checked likewise.
+are checked likewise. A shard of over SHARD_BLOCK texts is cut into blocks, and each two
+blocks meet in a task of their own.
 
 Only distinct fingerprints are grouped, so a group of copies counts once. A shard
 holds about SHARD_ROWS fingerprints; the tree is built from SAMPLE_PER_SHARD
@@ -222,6 +223,8 @@ def near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
 
 KEYS = 8
 SKETCH = 512
+#: Classes of a shard that are compared at once; a larger shard is cut into blocks.
+SHARD_BLOCK = 4096
 ROW = "doc_id long, row_hash long, class long, sketch binary, n long, keys array<long>"
 
 
@@ -262,8 +265,8 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(rows, ROW, step)
 
 
-def _close(n: np.ndarray, sketch: np.ndarray, label: np.ndarray, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of row numbers of different labels that can be similar
+def _close(n: np.ndarray, sketch: np.ndarray, label: np.ndarray, side: np.ndarray | None, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers of different labels (and sides, if given) that can be similar
     enough; n ascends. All of them if `every`, else the nearest ones that connect the rows.
 
     A similarity s of sets of x and y shingles leaves (x + y)(1 - s)/(1 + s) shingles that
@@ -273,6 +276,8 @@ def _close(n: np.ndarray, sketch: np.ndarray, label: np.ndarray, similarity: flo
     for part in (1.0,) if every else (0.25, 0.5, 0.75, 1.0):
         for i in range(len(n) - 1):
             fit = label[i + 1:last[i]] != label[i]
+            if side is not None:
+                fit &= side[i + 1:last[i]] != side[i]
             at = np.flatnonzero(fit) + i + 1
             if not len(at):
                 continue
@@ -289,6 +294,20 @@ def _close(n: np.ndarray, sketch: np.ndarray, label: np.ndarray, similarity: flo
             yield np.full(len(at), i), at
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows once for each shard, or each pair of blocks of a large shard, that they are in."""
+    dealt = rows.select(F.explode("keys").alias("key"), "class", "n", "sketch", "group")
+    # At most KEYS classes / SHARD_BLOCK shards are large. Their blocks meet two by two, each two in a task of their own.
+    large = dealt.groupBy("key").count().where(F.col("count") > SHARD_BLOCK).select("key", F.ceil(F.col("count") / SHARD_BLOCK).cast("long").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    own = dealt.join(F.broadcast(large), "key", "left").withColumn("side", F.pmod(F.xxhash64("class", F.lit(9)), blocks))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return met.select(
+        F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("shard"), "class", "n", "sketch", "group", "side",
+        (F.col("side") != F.col("other")).alias("cross"),
+    )
+
+
 def _candidates(rows: DataFrame, similarity: float, every: bool = False) -> DataFrame:
     """Links (a, b), a below b, of classes to check. rows: class, n, sketch, keys, group.
     All pairs of a shard that can be near and are in different groups if `every`, else
@@ -301,8 +320,9 @@ def _candidates(rows: DataFrame, similarity: float, every: bool = False) -> Data
             order = np.lexsort((names, n))
             sketch = np.frombuffer(b"".join(shard["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)[order]
             label = np.unique(shard["group"].to_numpy()[order], return_inverse=True)[1]
+            side = shard["side"].to_numpy()[order] if shard["cross"][0].as_py() else None
             names, kept, size = names[order], [], 0
-            for i, j in itertools.chain(_close(n[order], sketch, label, similarity, every), [(None, None)]):
+            for i, j in itertools.chain(_close(n[order], sketch, label, side, similarity, every), [(None, None)]):
                 if i is not None:
                     kept.append((np.minimum(names[i], names[j]), np.maximum(names[i], names[j])))
                     size += len(i)
@@ -310,8 +330,7 @@ def _candidates(rows: DataFrame, similarity: float, every: bool = False) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*kept, strict=True)], schema=arrow)
                     kept, size = [], 0
 
-    dealt = rows.select(F.explode("keys").alias("shard"), "class", "n", "sketch", "group")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
+    return _dealt(rows).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long").distinct()
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,6 +167,29 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_shingles(seed, both, one,
     assert np.bitwise_count(x ^ y).sum() <= one + two
 
 
+def test_large_shards_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash_vp, "SHARD_BLOCK", 16)
+    rng, texts = np.random.default_rng(6), []
+    same = [f"same{i}" for i in range(100)]
+    for k in range(60):  # a long passage in common, a tail of their own and, for some, a copy
+        w = same + [f"own{k}w{i}" for i in range(60)]
+        texts.append(" ".join(w))
+        if k % 3 == 0:
+            w[int(rng.integers(110, 150))] = "other"
+            texts.append(" ".join(w))
+    base = [f"b{i}" for i in range(200)]
+    texts += [" ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in range(0, 200, 2)]
+    grams = [frozenset(simhash_vp.shingle_hashes(t, 5)) for t in texts]
+    want = plain_groups(range(len(texts)), lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]))
+    expected = defaultdict(set)
+    for i, g in want.items():
+        expected[g].add(i)
+    assert copy_groups(spark, texts) == sorted(map(sorted, expected.values()))
+    rows = spark.createDataFrame([(i, i, b"", [7]) for i in range(160)], "class long, n long, sketch binary, keys array<long>")
+    sizes = [r["count"] for r in simhash_vp._dealt(rows.withColumn("group", F.col("class"))).groupBy("shard").count().collect()]
+    assert len(sizes) == 55 and max(sizes) <= 64
+
+
 # Mixing
 
 def test_mixing_schedule(spark):
