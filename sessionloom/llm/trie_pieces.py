@@ -110,18 +110,19 @@ class Model:
     def encode_sorted(self, words: list[str]) -> list[bytes]:
         """Piece ids (two bytes each) of sorted words, by one walk over their trie.
 
-        The state of a prefix holds its last piece, its ids, and the starts from
-        which a longer piece may still grow, with their nodes in the pieces' own trie."""
+        The state of a prefix holds its last piece and where that starts, and the starts
+        from which a longer piece may still grow, with their nodes in the pieces' own
+        trie. The ids of a word are read by going back from its end."""
         pairs, root, code = self.pairs, self.root, self.code
         if len(pairs) > KEPT_PAIRS:
             pairs.clear()
         out, before = [], ""
-        last, path, grows = [START], [b""], [[]]
+        last, back, grows = [START], [0], [[]]
         for word in words:
             same, most = 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
                 same += 1
-            del last[same + 1:], path[same + 1:], grows[same + 1:]
+            del last[same + 1:], back[same + 1:], grows[same + 1:]
             for at in range(same, len(word)):
                 sign, found, open_ = word[at], None, []
                 for start, node in [*grows[at], (at, root)]:
@@ -140,12 +141,19 @@ class Model:
                         found = start, piece
                 if found is None:
                     last.append(UNKNOWN)
-                    path.append(path[at] + b"".join(code[self.byte_ids[b]] for b in sign.encode("utf-8", "surrogatepass")))
+                    back.append(at)
                 else:
                     last.append(found[1])
-                    path.append(path[found[0]] + code[found[1]])
+                    back.append(found[0])
                 grows.append(open_)
-            out.append(path[-1])
+            parts, at = [], len(word)
+            while at:
+                piece, at = last[at], back[at]
+                if piece == UNKNOWN:
+                    parts.append(b"".join(code[self.byte_ids[b]] for b in word[at].encode("utf-8", "surrogatepass")))
+                else:
+                    parts.append(code[piece])
+            out.append(b"".join(reversed(parts)))
             before = word
         return out
 

@@ -111,6 +111,28 @@ def test_repetition_rules(spark, monkeypatch):
     assert suffix_repeats.judged(docs.limit(0), ["doc_id"]).collect() == []
 
 
+def test_a_word_of_any_length_takes_little_memory():
+    import tracemalloc
+
+    import sentencepiece
+
+    word = "".join(random.Random(3).choices("abcdeXYZ019+/=日本語ß🙂", k=200_000))
+    model = trie_pieces.Model(PIECES)
+    tracemalloc.start()
+    try:
+        short, = model.encode([word[:3000]])
+        base = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        got, = model.encode([word])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert np.frombuffer(short, "<u2").tolist() == library.encode(word[:3000])
+    assert np.frombuffer(got, "<u2").tolist() == library.encode(word)
+    assert most < 400e6 and base < 40e6
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
