@@ -1,9 +1,11 @@
 """Operator 3: nearest neighbours by cosine, from a graph made by NN-descent.
 
-1. Equal vectors become one node; its members are kept apart. A node's direction is
-   stored as signed bytes, which serves to build and walk the graph only.
+1. Vectors of equal direction (in float32) become one node; its members are kept apart.
+   Nearness is cosine - 1, taken from directions in double precision, so that float32
+   tells the members of a tight group apart.
 2. First neighbours: trees of random hyperplanes cut the nodes into leaves of about
-   LEAF nodes (a leaf that is larger, as of near-equal vectors, is split by hash);
+   LEAF nodes (a leaf that is larger, as of near-equal vectors, is split by hash, in
+   another way in each tree);
    each leaf compares its nodes.
 3. NN-descent: neighbours of neighbours are likely neighbours. A round joins every
    node with up to SAMPLE neighbours and up to SAMPLE nodes that have it as a
@@ -13,7 +15,7 @@
 4. Queries walk the graph: from its entry nodes a query looks at the neighbours of the
    nearest nodes that it has not yet visited, keeps the `beam` nearest, and stops
    when these hold no unvisited one. A round is a join of all queries' frontiers with
-   the graph. Those found are then scored exactly, in double precision, on the given
+   the graph. The whole beam is then scored exactly, in double precision, on the given
    vectors, and every node stands for its members with the smallest ids.
 
 Cases: vectors that are null, empty, zero, hold a null or non-finite component, or
@@ -36,6 +38,7 @@ from sessionloom.llm.common import _arrow, map_batches, materialize
 
 LEAF, TREES, SAMPLE = 256, 8, 12
 SEED = 5
+FAR = -4.0
 PAIR = "node long, other long, near float, new boolean"
 
 
@@ -49,29 +52,28 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.join(F.broadcast(common), F.size(v) == F.col("n")).drop("n")  # one row
 
 
-def nodes_of(rows: DataFrame) -> DataFrame:
-    """node (the smallest id of equal vectors), vector, and its direction in bytes."""
-    equal = rows.groupBy("vector").agg(F.min("vec_id").alias("node"))
+def directions(rows: DataFrame) -> DataFrame:
+    """vec_id, vector and its direction as float32 numbers."""
 
     def step(cols: dict[str, list]):
         v = np.array(cols["vector"], np.float64)
         v /= np.abs(v).max(1, keepdims=True)  # no overflow in the norm
         v /= np.linalg.norm(v, axis=1, keepdims=True)
-        v /= np.abs(v).max(1, keepdims=True)
-        yield cols | {"code": [x.tobytes() for x in np.rint(127 * v).astype(np.int8)]}
+        v = v.astype(np.float32) + np.float32(0)  # no minus zero
+        yield cols | {"code": [x.tobytes() for x in v]}
 
-    return map_batches(equal.select("node", "vector"), "node long, vector array<double>, code binary", step)
+    return map_batches(rows.select("vec_id", "vector"), "vec_id long, vector array<double>, code binary", step)
 
 
 def _matrix(codes: list[bytes]) -> np.ndarray:
-    m = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    m = np.frombuffer(b"".join(codes), np.float32).reshape(len(codes), -1).astype(np.float64)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 def _nearest(ids: np.ndarray, near: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, other id and nearness of the `count` nearest in each row of a square table."""
     near = near.copy()
-    np.fill_diagonal(near, -2)
+    np.fill_diagonal(near, FAR)
     count = min(count, len(ids) - 1)
     at = np.argpartition(-near, count - 1, axis=1)[:, :count]
     row = np.repeat(np.arange(len(ids)), count)
@@ -99,7 +101,7 @@ def first_pairs(nodes: DataFrame, total: int, degree: int) -> DataFrame:
         got = [(p["node"].to_numpy(), p["code"].to_pylist()) for p in parts]
         ids, m = np.concatenate([x for x, _ in got]), _matrix([c for _, x in got for c in x])
         if len(ids) > 1:
-            row, other, near = _nearest(ids, m @ m.T, degree)
+            row, other, near = _nearest(ids, (m @ m.T - 1).astype(np.float32), degree)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(other), pa.array(near), pa.array(np.ones(len(row), bool))], schema=arrow)
 
     return rows.groupBy("leaf", "part").applyInArrow(compare, PAIR)
@@ -122,9 +124,9 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
     own = graph.select(F.col("node").alias("centre"), "node").distinct().withColumn("new", F.lit(True))
     meet = some("node", "other").union(some("other", "node")).union(own)
     meet = meet.groupBy("centre", "node").agg(F.max("new").alias("new"))
-    worst = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("near")).otherwise(-2.0).cast("float").alias("worst"))
+    worst = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("near")).otherwise(FAR).cast("float").alias("worst"))
     facts = nodes.select("node", "code").join(worst, "node", "left")
-    rows = meet.join(facts, "node").groupBy("centre").agg(F.collect_list(F.struct("node", "new", "code", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))).alias("met"))
+    rows = meet.join(facts, "node").groupBy("centre").agg(F.collect_list(F.struct("node", "new", "code", F.coalesce("worst", F.lit(FAR)).cast("float").alias("worst"))).alias("met"))
     arrow = _arrow(PAIR)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +137,7 @@ def descend(graph: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
             m = _matrix(flat.field(2).to_pylist())
             out = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                near = m[a:b] @ m[a:b].T
+                near = (m[a:b] @ m[a:b].T - 1).astype(np.float32)
                 fit = (near > worst[a:b, None]) & (new[a:b, None] | new[None, a:b])
                 np.fill_diagonal(fit, False)
                 i, j = np.nonzero(fit)
@@ -169,7 +171,7 @@ def walk(queries: DataFrame, entries: DataFrame, graph: DataFrame, nodes: DataFr
     def score(rows: DataFrame) -> DataFrame:
         def step(cols: dict[str, list]):
             q, c = _matrix(cols["qcode"]), _matrix(cols["code"])
-            yield {"query_id": cols["query_id"], "node": cols["node"], "near": np.einsum("ij,ij->i", q, c).tolist(), "seen": [False] * len(q)}
+            yield {"query_id": cols["query_id"], "node": cols["node"], "near": (np.einsum("ij,ij->i", q, c) - 1).tolist(), "seen": [False] * len(q)}
 
         both = rows.join(codes, "node").join(queries, "query_id")
         return map_batches(both.select("query_id", "node", "qcode", "code"), "query_id long, node long, near float, seen boolean", step)
@@ -186,7 +188,7 @@ def walk(queries: DataFrame, entries: DataFrame, graph: DataFrame, nodes: DataFr
             break
         reached = front.join(links, "node").select("query_id", F.explode("others").alias("node")).distinct()
         fresh = reached.join(state.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        worst = state.groupBy("query_id").agg(F.when(F.count("*") >= beam, F.min("near")).otherwise(-2.0).alias("worst"))
+        worst = state.groupBy("query_id").agg(F.when(F.count("*") >= beam, F.min("near")).otherwise(FAR).alias("worst"))
         fresh = score(fresh).join(worst, "query_id").where(F.col("near") >= F.col("worst")).drop("worst")
         state = materialize(best(state.withColumn("seen", F.lit(True)).union(fresh)), "nn-walk")
     return state.select("query_id", "node", "near")
@@ -198,20 +200,18 @@ def search(
     """query_id, rank, vec_id and score (cosine) of the `count` nearest rows found for
     every row for which `asks` (a condition on vec_id) holds."""
     rows = materialize(usable(vectors, key, vector), "nn-rows")
-    nodes = materialize(nodes_of(rows), "nn-nodes")
+    placed = materialize(directions(rows), "nn-codes")
+    nodes = materialize(placed.groupBy("code").agg(F.min("vec_id").alias("node"), F.min_by("vector", "vec_id").alias("vector")), "nn-nodes")
     graph = build(nodes, degree)
-    w = Window.partitionBy("vector").orderBy("vec_id")
+    w = Window.partitionBy("code").orderBy("vec_id")
     # No query needs more than count + 1 of a node's members: one of them may be itself.
-    members = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count + 1).drop("rank")
-    members = materialize(members.join(nodes, "vector").select("node", "vec_id"), "nn-members")
-    asked = rows.where(asks).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("qvector"))
-    asked = materialize(asked.join(nodes, asked["qvector"] == nodes["vector"]).select("query_id", "qvector", F.col("code").alias("qcode"), F.col("node").alias("home")), "nn-asked")
+    members = placed.select("code", "vec_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count + 1).drop("rank")
+    members = materialize(members.join(nodes, "code").select("node", "vec_id"), "nn-members")
+    asked = placed.where(asks).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("qvector"), F.col("code").alias("qcode"))
+    asked = materialize(asked.join(nodes, asked["qcode"] == nodes["code"]).select("query_id", "qvector", "qcode", F.col("node").alias("home")), "nn-asked")
     near_home = asked.join(graph, asked["home"] == graph["node"]).select("query_id", F.col("other").alias("node"))
     entries = asked.select("query_id", F.col("home").alias("node")).union(near_home)
     found = walk(asked.select("query_id", "qcode"), entries, graph, nodes, beam)
-    # Exact scores for more than enough of the beam; bytes can misplace close ones.
-    w = Window.partitionBy("query_id").orderBy(F.desc("near"), "node")
-    found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 8 * count + 8)
     exact = found.join(nodes.select("node", "vector"), "node").join(asked.select("query_id", "qvector"), "query_id")
 
     def step(cols: dict[str, list]):

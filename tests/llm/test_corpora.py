@@ -267,6 +267,23 @@ def test_neighbours(spark):
     assert nn_descent.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_recall_in_a_tight_group(spark):
+    rng = np.random.default_rng(2)
+    one = rng.standard_normal(64)
+    v = np.concatenate([one + 1e-3 * rng.standard_normal((3000, 64)), rng.standard_normal((1000, 64))])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nn_descent.search(df, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 50):
+        near = -((u - u[q]) ** 2).sum(1)
+        near[q] = -9
+        hits += len(got[q] & set(np.argsort(-near)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 60, hits / 300
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in nn_descent.search(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
