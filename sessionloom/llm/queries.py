@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import chat_windows, lm_backoff, mixing, nn_descent, pii_crf, records, simhash_vp, suffix_repeats, trie_pieces, url_filter
+from sessionloom.llm import blocked_rank, chat_windows, lm_backoff, mixing, nn_descent, pii_crf, records, simhash_vp, suffix_repeats, trie_pieces, url_filter
 from sessionloom.llm.common import materialize, table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,35 @@ def op8_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_blocked_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocked_rank.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
+CHECKS["op12_blocked_rank"] = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+size AS (SELECT count(*) FILTER (WHERE len(terms) > 0)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM words),
+item AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (
+  SELECT doc, term, count(*)::BIGINT AS tf FROM (SELECT doc, unnest(terms) AS term FROM words)
+  WHERE term IN (SELECT term FROM item) GROUP BY doc, term),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, size GROUP BY term),
+impact AS (
+  SELECT doc_id, doc, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(terms)::BIGINT * docs) // total)) AS impact
+  FROM tf JOIN words USING (doc), size),
+scored AS (
+  SELECT item_id, doc_id, doc, sum(w * impact)::BIGINT AS score
+  FROM item JOIN weight USING (term) JOIN impact USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS "rank", doc_id, score
+FROM scored WHERE score > 0 QUALIFY "rank" <= 10
+"""
