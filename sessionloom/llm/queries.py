@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import blocked_rank, chat_windows, lm_backoff, mixing, nn_descent, pii_crf, records, simhash_vp, suffix_repeats, trie_pieces, url_filter
+from sessionloom.llm import blocked_rank, chat_windows, lm_backoff, mixing, nn_descent, pii_crf, records, repair, simhash_vp, suffix_repeats, trie_pieces, url_filter
 from sessionloom.llm.common import materialize, table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,9 @@ scored AS (
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS "rank", doc_id, score
 FROM scored WHERE score > 0 QUALIFY "rank" <= 10
 """
+
+
+@query
+def op11_ida_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return repair.repaired(repair.damaged(given), given)
