@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import blocked_rank, chat_windows, lm_backoff, mixing, nn_descent, pii_crf, records, repair, simhash_vp, suffix_repeats, trie_pieces, url_filter
+from sessionloom.llm import blocked_rank, chat_windows, lm_backoff, mixing, nn_descent, pii_crf, records, repair, runs_index, simhash_vp, suffix_repeats, trie_pieces, url_filter
 from sessionloom.llm.common import materialize, table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,8 @@ FROM scored WHERE score > 0 QUALIFY "rank" <= 10
 def op11_ida_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     return repair.repaired(repair.damaged(given), given)
+
+
+@query
+def op13_runs_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_index.deduplicated(table(spark, sf_dir, "documents"))
