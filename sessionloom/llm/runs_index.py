@@ -18,11 +18,12 @@ a smaller doc_id. Texts are UTF-8 bytes; matches never cross documents.
    samples gives for every position its matching statistics: where the neighbouring
    occurrence starts and how long it matches. Chains of neighbours that match `length`
    bytes or more are the occurrences of one string; all beyond its smallest document are marked.
-5. Strings of a divided family that are new in their chunk meet once more in an aggregate
-   over the strings themselves (each chunk gives one document for a string).
+5. Strings of a divided family that are new in their chunk meet once more: their 128-bit
+   hashes are dealt to buckets, as arrays (each chunk gives one document for a string).
 6. Marks return to their blocks; spans are united, texts cut and digested.
 
-Anchors only select; what is marked has been compared byte by byte.
+Anchors only select: what is marked inside a chunk has been compared byte by byte, what
+is marked between chunks by 128 bits.
 
 Cases: a null text is empty; texts shorter than `length` stay whole; a null doc_id
 compares with none: its text stays whole and removes nothing; rows with one doc_id do
@@ -52,7 +53,7 @@ BLOCK_BYTES, BLOCK_ROWS, PIECE = 2_000_000, 4096, 1 << 20
 BUCKET, SHARD, CHUNK, SEGMENT = 1_500_000, 2_000_000, 1_000_000, 512
 #: No UTF-8 text holds this byte.
 STOP = 0xFF
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+MULTIPLIER, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,10 +62,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def string_hashes(data: np.ndarray, width: int) -> np.ndarray:
+def string_hashes(data: np.ndarray, width: int, multiplier: np.uint64 = MULTIPLIER) -> np.ndarray:
     """A hash of each `width` bytes of `data`, put together from hashes of doubled widths."""
-    base = _mixed(np.arange(1, 257, dtype=np.uint64) * MULTIPLIER)
-    level, size, out, done, factor = base[data], 1, None, 0, MULTIPLIER
+    base = _mixed(np.arange(1, 257, dtype=np.uint64) * multiplier)
+    level, size, out, done, factor = base[data], 1, None, 0, multiplier
     with np.errstate(over="ignore"):
         while True:
             if width & size:
@@ -72,7 +73,7 @@ def string_hashes(data: np.ndarray, width: int) -> np.ndarray:
                     out, done = level, size
                 else:
                     n = min(len(level), max(0, len(out) - size))
-                    out, done = level[:n] * _power(done) + out[size:size + n], done + size
+                    out, done = level[:n] * np.uint64(pow(int(multiplier), done, 1 << 64)) + out[size:size + n], done + size
             if size * 2 > width:
                 return _mixed(out) | np.uint64(1)
             n = max(0, len(level) - size)
@@ -80,10 +81,6 @@ def string_hashes(data: np.ndarray, width: int) -> np.ndarray:
             factor, size = factor * factor, size * 2
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(int(MULTIPLIER), n, 1 << 64))
-
-
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     """The best of each `width` neighbours."""
     size = 1
@@ -449,17 +446,22 @@ def _regions(blocks: DataFrame, folder: str, length: int) -> DataFrame:
 
 # Marks
 
-MARK = "block long, places array<int>, begins array<long>, ends array<long>, string binary, doc_id long"
+MARK = (
+    "block long, places array<int>, begins array<long>, ends array<long>, "
+    "bucket int, keys binary, docs binary, blocks binary, spots binary, starts binary"
+)
 
 
 def _marks(regions: DataFrame, length: int) -> DataFrame:
     """block, places, begins, ends: spans to remove."""
     spark = regions.sparkSession
     sizes = materialize(regions.groupBy("family").agg(F.sum(F.length("text")).alias("n_bytes")), "run-families")
-    total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
-    large = sizes.where(F.col("n_bytes") > CHUNK).select(F.col("family").alias("__f"), F.ceil(F.col("n_bytes") / CHUNK).alias("chunks"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
-    cut = regions.join(large, F.col("family") == F.col("__f"), "left").drop("__f")
+    large = sizes.where(F.col("n_bytes") > CHUNK)
+    total, divided = (d.agg(F.sum("n_bytes")).first()[0] or 0 for d in (sizes, large))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards, buckets = max(least, -(-total // SHARD)), max(least, -(-divided // BUCKET))
+    parts = large.select(F.col("family").alias("__f"), F.ceil(F.col("n_bytes") / CHUNK).alias("chunks"))
+    cut = regions.join(parts, F.col("family") == F.col("__f"), "left").drop("__f")
     part = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
     shard = F.pmod(F.xxhash64("family", part), F.lit(shards)).cast("int")
     dealt = cut.select(shard.alias("shard"), F.col("chunks").isNotNull().alias("divided"), "doc_id", "block", "place", "start", "text")
@@ -475,45 +477,78 @@ def _marks(regions: DataFrame, length: int) -> DataFrame:
                 docs.append(doc)
         found = repeats(texts, np.array(docs, np.int64), length)
         marks: dict[int, list[tuple]] = defaultdict(list)
-        fresh: dict[str, list] = {c: [] for c in arrow.names}
-        for divided, doc, block, place, start, text in rows:
-            n = at[text]
-            starts = found[n] if docs[n] == doc else np.arange(max(0, len(text) - length + 1))
+        fresh = []
+        for split, doc, block, place, start, text in rows:
+            n, every = at[text], np.arange(max(0, len(text) - length + 1))
+            starts = found[n] if docs[n] == doc else every
             for a, b in zip(*[x.tolist() for x in _united(starts, length)], strict=True):
                 marks[block].append((place, start + a, start + b))
-            if divided and docs[n] == doc:
-                for i in np.setdiff1d(np.arange(max(0, len(text) - length + 1)), starts, assume_unique=True).tolist():
-                    for c, v in zip(arrow.names, (block, [place], [start + i], [start + i + length], text[i:i + length], doc), strict=True):
-                        fresh[c].append(v)
-                if len(fresh["block"]) > 20_000:
-                    yield pa.RecordBatch.from_pydict(fresh, schema=arrow)
-                    fresh = {c: [] for c in arrow.names}
+            if split and docs[n] == doc and len(new := np.setdiff1d(every, starts, assume_unique=True)):
+                data = np.frombuffer(text, np.uint8)
+                keys = np.stack([string_hashes(data, length, m)[new] for m in (MULTIPLIER, SECOND)], axis=1)
+                fresh.append((keys, [doc, block, place], start + new))
+        for lo in range(0, len(fresh), 5000):
+            yield from _sent(fresh[lo:lo + 5000], buckets, arrow)
         if marks:
-            columns = [list(map(list, zip(*v, strict=True))) for v in marks.values()]
-            yield pa.RecordBatch.from_pydict({
-                "block": list(marks), "places": [c[0] for c in columns], "begins": [c[1] for c in columns], "ends": [c[2] for c in columns],
-                "string": [None] * len(marks), "doc_id": [None] * len(marks)}, schema=arrow)
-        if fresh["block"]:
-            yield pa.RecordBatch.from_pydict(fresh, schema=arrow)
+            yield _spans(marks, arrow)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows = None, []
-        for batch in batches:
-            for number, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if number != current and rows:
-                    yield from shard_marks(rows)
-                    rows = []
-                current = number
-                rows.append(tuple(row))
-        if rows:
-            yield from shard_marks(rows)
-
-    found = materialize(dealt.mapInArrow(run, MARK), "run-marks")
-    spans = found.where("string IS NULL").select("block", "places", "begins", "ends")
-    fresh = found.where("string IS NOT NULL")
-    firsts = fresh.groupBy(F.col("string").alias("__s")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    again = fresh.join(firsts, F.col("string") == F.col("__s")).where("doc_id > low")
-    return spans.unionByName(again.select("block", "places", "begins", "ends"))
+    def meet(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows]).reshape(-1, 2)
+        docs, blocks, spots, starts = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in range(1, 5))
+        order = np.lexsort((docs, keys[:, 1], keys[:, 0]))
+        there = keys[order]
+        first = np.flatnonzero(np.append(True, (there[1:] != there[:-1]).any(axis=1)))
+        low = np.repeat(docs[order[first]], np.diff(np.append(first, len(order))))
+        hit = order[docs[order] > low]
+        hit = hit[np.lexsort((starts[hit], spots[hit], blocks[hit]))]
+        marks: dict[int, list[tuple]] = defaultdict(list)
+        for text in np.split(hit, 1 + np.flatnonzero((blocks[hit][1:] != blocks[hit][:-1]) | (spots[hit][1:] != spots[hit][:-1]))):
+            if len(text):
+                spans = zip(*[x.tolist() for x in _united(np.unique(starts[text]), length)], strict=True)
+                marks[int(blocks[text[0]])] += [(int(spots[text[0]]), a, b) for a, b in spans]
+        if marks:
+            yield _spans(marks, arrow)
+
+    def each(step):
+        """Rows of equal first column, one after the other, to `step`."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, rows = None, []
+            for batch in batches:
+                for number, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if number != current and rows:
+                        yield from step(rows)
+                        rows = []
+                    current = number
+                    rows.append(tuple(row))
+            if rows:
+                yield from step(rows)
+        return run
+
+    found = materialize(dealt.mapInArrow(each(shard_marks), MARK), "run-marks")
+    spans = ["block", "places", "begins", "ends"]
+    fresh = found.where("bucket IS NOT NULL").select("bucket", "keys", "docs", "blocks", "spots", "starts")
+    again = fresh.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(each(meet), MARK)
+    return found.where("bucket IS NULL").select(*spans).unionByName(again.select(*spans))
+
+
+def _spans(marks: dict[int, list[tuple]], arrow: pa.Schema) -> pa.RecordBatch:
+    columns = [list(map(list, zip(*v, strict=True))) for v in marks.values()]
+    given = {"block": list(marks), "places": [c[0] for c in columns], "begins": [c[1] for c in columns], "ends": [c[2] for c in columns]}
+    return pa.RecordBatch.from_pydict({n: given.get(n, [None] * len(marks)) for n in arrow.names}, schema=arrow)
+
+
+def _sent(fresh: list[tuple], buckets: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Hashes of new strings with their document, block, place and start, a row per bucket."""
+    keys, starts = (np.concatenate([f[i] for f in fresh]) for i in (0, 2))
+    known = np.repeat(np.array([f[1] for f in fresh], np.int64), [len(f[2]) for f in fresh], axis=0)
+    bucket = (_mixed(keys[:, 0]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        mine = order[cuts[b]:cuts[b + 1]]
+        docs, blocks, spots = (known[mine, i].tobytes() for i in range(3))
+        row = {"bucket": b, "keys": keys[mine].tobytes(), "docs": docs, "blocks": blocks, "spots": spots, "starts": starts[mine].tobytes()}
+        yield pa.RecordBatch.from_pydict({n: [row.get(n)] for n in arrow.names}, schema=arrow)
 
 
 # Result
