@@ -98,13 +98,15 @@ def exponent(shares: DataFrame, budget: int | None, entropy: float | None, repea
     return a, budget if budget is not None else math.ceil(total * z * (most / total) ** (1 - a))
 
 
-def source_budgets(shares: DataFrame, a: float, budget: int) -> DataFrame:
-    """source, tokens, weight and its part of the budget."""
+def source_budgets(shares: DataFrame, a: float, budget: int, whole: bool = False) -> DataFrame:
+    """source, tokens, weight and its part of the budget; with `whole` at least its
+    own tokens, so that rounding a weight down leaves no unit out."""
     total = shares.agg(F.sum("tokens").alias("total"))
     power = shares.crossJoin(total).select("source", "tokens", F.pow(F.col("tokens") / F.col("total"), F.lit(a)).alias("power"))
     both = power.crossJoin(power.agg(F.sum("power").alias("z")))  # one row each
     weight = F.round(F.col("power") / F.col("z"), 9)
-    return both.select("source", "tokens", weight.alias("weight"), F.greatest(F.floor(weight * F.lit(float(budget))), F.lit(1)).alias("budget"))
+    part = F.floor(weight * F.lit(float(budget)))
+    return both.select("source", "tokens", weight.alias("weight"), F.greatest(part, F.col("tokens") if whole else F.lit(1)).alias("budget"))
 
 
 def schedule(
@@ -116,7 +118,7 @@ def schedule(
     rows = materialize(units(docs), "mix-units")
     shares = materialize(source_tokens(rows), "mix-shares")
     a, tokens = exponent(shares, budget, entropy, repeats)
-    parts = source_budgets(shares, a, tokens)
+    parts = source_budgets(shares, a, tokens, whole=budget is None)
     passes = rows.join(parts, "source").withColumn(
         "pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("budget") - 1) / F.col("tokens"))))
     )

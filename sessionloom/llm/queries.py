@@ -135,7 +135,7 @@ e AS (
 w AS (SELECT source, tokens, pow(tokens / total, a) AS power, total, most, a FROM t, g, e),
 z AS (SELECT sum(power) AS z, ceil(any_value(total) * sum(power) * pow(any_value(most) / any_value(total), 1 - any_value(a)))::BIGINT AS budget FROM w),
 s AS (
-  SELECT source, w.tokens, greatest(floor(round(power / z, 9) * z.budget::DOUBLE)::BIGINT, 1) AS budget, z.budget AS whole FROM w, z),
+  SELECT source, w.tokens, greatest(floor(round(power / z, 9) * z.budget::DOUBLE)::BIGINT, w.tokens) AS budget, z.budget AS whole FROM w, z),
 r AS (
   SELECT u.*, s.tokens, s.budget, s.whole, unnest(range(0, (s.budget - 1) // s.tokens + 1)) AS pass FROM u JOIN s USING (source)),
 k AS (
