@@ -16,8 +16,8 @@ several forms, and look-alikes (dates, versions, prices, counts, failed checksum
 
 Cases: a null or empty text has no spans; repeated rows give repeated results; a
 null doc_id is kept; an empty table gives an empty result; texts of any length are
-searched whole, and every pattern is linear in the text. Positions are code points,
-end exclusive.
+searched whole, in linear time: an island, however long, is read column by column, with
+some 60 bytes kept for each token. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ import functools
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,45 +134,56 @@ def _shape(span: str) -> tuple[str, ...]:
 
 
 class Lattice:
-    """Tokens of a stretch, and its candidate segments with their features."""
-
-    def __init__(self, text: str, lo: int, hi: int, fixed: list[Span] = ()):
-        found = [(m.start(), m.end()) for m in TOKEN.finditer(text, lo, hi)]
-        # A token that the stretch cuts is no place for a border.
-        if lo and found and found[0][0] == lo and text[lo - 1].isalnum():
-            found = found[1:]
-        if hi < len(text) and found and found[-1][1] == hi and text[hi].isalnum():
-            found = found[:-1]
-        self.tokens, n = found, len(found)
-        shut = [any(a < e and s < b for _, s, e in fixed) for a, b in found]
-        live = [bool(TRIGGER.search(text, a, b)) for a, b in found]
-        marks = np.cumsum([0, *live])
-        self.segments: list[list[tuple[int, tuple[str, ...]]]] = [[] for _ in range(n + 1)]
-        cue, cues = "", []
-        for a, b in found:
-            cues.append(cue)
-            cue = CUE_OF.get(text[a:b].lower(), cue if not text[a].isalnum() else "")
-        for i in range(n):
-            a = found[i][0]
-            if shut[i] or not (text[a].isalnum() or text[a] in "+("):
+    """Tokens of a stretch, and its candidate segments with their features. Segments are
+    made column by column, so that a long stretch never holds all of them."""
+
+    def __init__(self, text: str, lo: int, hi: int, fixed: list[tuple[int, int]] = ()):
+        """fixed: disjoint spans in order that no segment may touch."""
+        self.text, self.starts, self.ends = text, array("q"), array("q")
+        for m in TOKEN.finditer(text, lo, hi):
+            # A token that the stretch cuts is no place for a border.
+            if lo and m.start() == lo and text[lo - 1].isalnum() or hi < len(text) and m.end() == hi and text[hi].isalnum():
                 continue
-            if a and text[a - 1].isalnum():
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+        self.shut, self.live, self.cues = bytearray(), bytearray(), []
+        cue, at = "", 0
+        for a, b in zip(self.starts, self.ends, strict=True):
+            while at < len(fixed) and fixed[at][1] <= a:
+                at += 1
+            self.shut.append(at < len(fixed) and fixed[at][0] < b)
+            self.live.append(TRIGGER.search(text, a, b) is not None)
+            self.cues.append(cue)
+            cue = CUE_OF.get(text[a:b].lower(), cue if not text[a].isalnum() else "")
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def span(self, i: int, j: int) -> tuple[int, int]:
+        return self.starts[i], self.ends[j - 1]
+
+    def column(self, j: int) -> list[tuple[int, str, tuple[str, ...]]]:
+        """First token, text and features of place of the segments that end before token j."""
+        text, out = self.text, []
+        if not j or not text[(b := self.ends[j - 1]) - 1].isalnum():
+            return out
+        live, right = False, "end" if b == len(text) else "space" if text[b].isspace() else f"sign{text[b]}"
+        goes_on = right[:4] == "sign" and b + 1 < len(text) and text[b + 1].isalnum()
+        for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
+            a = self.starts[i]
+            if self.shut[i] or b - a > MAX_CHARS or i < j - 1 and self.starts[i + 1] - self.ends[i] > 1:
+                break
+            live = live or bool(self.live[i])
+            if not live or not (text[a].isalnum() or text[a] in "+(") or a and text[a - 1].isalnum() or text[a] == "(" and j - i < 4:
                 continue
             left = "start" if a == 0 else "space" if text[a - 1].isspace() else f"sign{text[a - 1]}"
-            for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
-                b = found[j - 1][1]
-                if shut[j - 1] or b - a > MAX_CHARS or j - i > 1 and found[j - 1][0] - found[j - 2][1] > 1:
-                    break
-                if marks[j] == marks[i] or not text[b - 1].isalnum() or text[a] == "(" and j - i < 4:
-                    continue
-                right = "end" if b == len(text) else "space" if text[b].isspace() else f"sign{text[b]}"
-                span = text[a:b]
-                near = [f"left:{left}", f"right:{right}", f"cue:{cues[i]}"]
-                if right[:4] == "sign" and b + 1 < len(text) and text[b + 1].isalnum():
-                    near.append("goes-on")
-                if left[:4] == "sign" and a > 1 and text[a - 2].isalnum():
-                    near.append("came-on")
-                self.segments[j].append((i, ("bias", *_shape(span), *near)))
+            near = [f"left:{left}", f"right:{right}", f"cue:{self.cues[i]}"]
+            if goes_on:
+                near.append("goes-on")
+            if left[:4] == "sign" and a > 1 and text[a - 2].isalnum():
+                near.append("came-on")
+            out.append((i, text[a:b], tuple(near)))
+        return out[::-1]
 
 
 class Field:
@@ -181,43 +193,57 @@ class Field:
         self.index: dict[str, int] = {}
         self.w = np.zeros((0, len(KINDS)))
         self.next = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
+        self.shapes: dict[str, np.ndarray] = {}
+        self.places: dict[tuple[str, ...], np.ndarray] = {}
 
     def numbered(self, lattice: Lattice, grow: bool = False) -> list[list[tuple[int, np.ndarray]]]:
+        """All segments with the numbers of their features, for training."""
+        named = [[(i, ("bias", *_shape(span), *near)) for i, span, near in lattice.column(j)] for j in range(len(lattice) + 1)]
         if grow:
-            for segments in lattice.segments:
+            for segments in named:
                 for _, names in segments:
                     for f in names:
                         self.index.setdefault(f, len(self.index))
         return [
             [(i, np.array([self.index[f] for f in names if f in self.index], np.int64)) for i, names in segments]
-            for segments in lattice.segments
+            for segments in named
         ]
 
+    def weight(self, known: dict, key, names: Callable[[], tuple[str, ...]]) -> np.ndarray:
+        """The summed weights of the features `names()`, kept under `key`; the memory
+        for them is bounded and has no effect on results."""
+        if (found := known.get(key)) is None:
+            if len(known) >= 100_000:
+                known.clear()
+            found = known[key] = self.w[[self.index[f] for f in names() if f in self.index]].sum(0)
+        return found
+
     def best(self, lattice: Lattice) -> list[tuple[int, int, int]]:
-        """Segments (first token, end token, type) of the best path."""
-        n, t = len(lattice.tokens), len(KINDS) + 1
-        if not any(lattice.segments):
-            return []
-        score = np.full((n + 1, t), -np.inf)
+        """Segments (first token, end token, type) of the best path. Scores are kept for
+        the last MAX_TOKENS columns, back pointers as numbers for all."""
+        n, t = len(lattice), len(KINDS) + 1
+        score = np.full((MAX_TOKENS + 1, t), -np.inf)
         score[0, 0] = 0
-        back: list[list] = [[None] * t for _ in range(n + 1)]
-        for j, segments in enumerate(self.numbered(lattice)):
-            if j:
-                from_other = score[j - 1] + self.next[:, 0]
-                k = int(from_other.argmax())
-                score[j, 0], back[j][0] = from_other[k], (j - 1, k)
-            for i, f in segments:
-                reach = score[i][:, None] + self.next[:, 1:]
-                k, own = reach.argmax(0), self.w[f].sum(0)
-                value = reach[k, range(t - 1)] + own
-                for y in np.flatnonzero(value > score[j, 1:]):
-                    score[j, y + 1], back[j][y + 1] = value[y], (i, int(k[y]))
-        out, at, y = [], n, int(score[n].argmax())
+        start, before = np.zeros((n + 1, t), np.int32), np.zeros((n + 1, t), np.int8)
+        for j in range(1, n + 1):
+            here = np.full(t, -np.inf)
+            from_other = score[(j - 1) % len(score)] + self.next[:, 0]
+            before[j, 0] = from_other.argmax()
+            here[0], start[j, 0] = from_other[before[j, 0]], j - 1
+            for i, span, near in lattice.column(j):
+                reach = score[i % len(score)][:, None] + self.next[:, 1:]
+                own = self.weight(self.shapes, span, lambda s=span: ("bias", *_shape(s))) + self.weight(self.places, near, lambda n=near: n)
+                value = reach.max(0) + own
+                better = np.flatnonzero(value > here[1:])
+                if len(better):
+                    here[better + 1], start[j, better + 1], before[j, better + 1] = value[better], i, reach.argmax(0)[better]
+            score[j % len(score)] = here
+        out, at, y = [], n, int(score[n % len(score)].argmax())
         while at:
-            i, before = back[at][y]
+            i, kind = int(start[at, y]), int(before[at, y])
             if y:
                 out.append((i, at, y - 1))
-            at, y = i, before
+            at, y = i, kind
         return out[::-1]
 
     def gradient(self, segments: list, gold: set[tuple[int, int, int]], gw: np.ndarray, gt: np.ndarray) -> None:
@@ -331,10 +357,10 @@ def examples(count: int, seed: int) -> list[tuple[str, list[Span]]]:
 
 
 def _gold(lattice: Lattice, spans: list[Span]) -> set[tuple[int, int, int]] | None:
-    starts = {a: i for i, (a, _) in enumerate(lattice.tokens)}
-    ends = {b: i + 1 for i, (_, b) in enumerate(lattice.tokens)}
+    starts = {a: i for i, a in enumerate(lattice.starts)}
+    ends = {b: i + 1 for i, b in enumerate(lattice.ends)}
     found = {(starts.get(a, -1), ends.get(b, -1), KINDS.index(k)) for k, a, b in spans}
-    good = all(j > 0 and any(x == i for x, _ in lattice.segments[j]) for i, j, _ in found)
+    good = all(j > 0 and any(x == i for x, *_ in lattice.column(j)) for i, j, _ in found)
     return found if good else None
 
 
@@ -365,17 +391,19 @@ def trained(count: int = LABELLED, seed: int = SEED, epochs: int = 6, rate: floa
 
 def added_spans(text: str, field: Field, base: list[Span]) -> list[Span]:
     out: list[Span] = []
-    taken = sorted((s, e) for _, s, e in base)
+    taken: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    first = 0
     for lo, hi in islands(text):
-        at = bisect.bisect_left(taken, (lo - MAX_CHARS,))
-        fixed = []
-        for s, e in taken[max(0, at - 1):]:
-            if s >= hi:
-                break
-            if e > lo:
-                fixed.append(("", s, e))
-        lattice = Lattice(text, lo, hi, fixed)
-        out += [(KINDS[y], lattice.tokens[i][0], lattice.tokens[j - 1][1]) for i, j, y in field.best(lattice)]
+        while first < len(taken) and taken[first][1] <= lo:
+            first += 1
+        end = bisect.bisect_left(taken, [hi], first)
+        lattice = Lattice(text, lo, hi, taken[first:end])
+        out += [(KINDS[y], *lattice.span(i, j)) for i, j, y in field.best(lattice)]
     return out
 
 

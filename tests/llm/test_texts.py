@@ -5,6 +5,8 @@ import io
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -217,7 +219,7 @@ def test_best_path_is_the_best_of_all():
     field = pii_crf.trained()
     lattice = pii_crf.Lattice("call 212-555-0142 now", 0, 21)
     segments = field.numbered(lattice)
-    n = len(lattice.tokens)
+    n = len(lattice)
 
     def paths(at):
         if at == n:
@@ -238,6 +240,19 @@ def test_best_path_is_the_best_of_all():
     assert field.best(lattice) == [(i, j, y) for i, j, y, _ in best if y >= 0]
 
 
+@pytest.mark.parametrize("line", ["1234567 ", "10.1.2.3\n", "a.b@c.example.com\n"])
+def test_long_texts_of_numbers_and_addresses(line):
+    field, text = pii_crf.trained(), line * 4000
+    base = pii_crf.base_spans(text)
+    pii_crf.added_spans(text[:8000], field, [])
+    began = time.process_time()
+    tracemalloc.start()
+    pii_crf.added_spans(text, field, base)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.process_time() - began < 60 and peak < 60_000_000
+
+
 def test_personal_data(spark):
     secret = "9f3c" * 10
     texts = [*TEXTS, f"mail a.b@c.example.com, ip 10.1.2.3 card 4539578763621486 or +1 (743) 555-3824; token = \"{secret}\"", LONG + " x@y.org " + LONG]
