@@ -1,8 +1,8 @@
 """Operator 3: nearest neighbours by cosine, from a graph made by NN-descent.
 
-1. Vectors of equal direction (in float32) become one node; its members are kept apart.
-   Nearness is cosine - 1, taken from directions in double precision, so that float32
-   tells the members of a tight group apart.
+1. Equal vectors become one node; its members are kept apart. The graph's nearness is
+   cosine - 1, taken from directions in double precision, so that float32 tells the
+   members of a tight group apart.
 2. First neighbours: trees of random hyperplanes cut the nodes into leaves of about
    LEAF nodes (a leaf that is larger, as of near-equal vectors, is split by hash, in
    another way in each tree);
@@ -15,8 +15,9 @@
 4. Queries walk the graph: from its entry nodes a query looks at the neighbours of the
    nearest nodes that it has not yet visited, keeps the `beam` nearest, and stops
    when these hold no unvisited one. A round is a join of all queries' frontiers with
-   the graph. The whole beam is then scored exactly, in double precision, on the given
-   vectors, and every node stands for its members with the smallest ids.
+   the graph. Nodes are scored exactly, in double precision, on the given vectors, so
+   that vectors whose directions float32 can't tell apart are ranked as they are; a
+   node's members have equal vectors, and those with the smallest ids come first.
 
 Cases: vectors that are null, empty, zero, hold a null or non-finite component, or
 have another length than most take no part, nor do rows without an id; rows that
@@ -162,36 +163,41 @@ def build(nodes: DataFrame, degree: int = 32, rounds: int = 6, still: float = 0.
     return graph.select("node", "other", "near")
 
 
-def walk(queries: DataFrame, entries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int, most_rounds: int = 30) -> DataFrame:
-    """The nodes near each query. queries: query_id, qcode; entries: query_id, node.
-    Returns query_id, node and near for the `beam` nearest."""
+def cosines(cols: dict[str, list]) -> list[float]:
+    """Cosine of the columns qvector and vector, row by row, in double precision."""
+    q, v = np.array(cols["qvector"], np.float64), np.array(cols["vector"], np.float64)
+    q, v = (x / np.abs(x).max(1, keepdims=True) for x in (q, v))
+    dot = np.einsum("ij,ij->i", q, v)
+    return (dot / np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", v, v))).tolist()
+
+
+def walk(queries: DataFrame, entries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int) -> DataFrame:
+    """The nodes near each query. queries: query_id, qvector; entries: query_id, node.
+    Returns query_id, node and score for the `beam` nearest. It ends when no beam
+    holds an unvisited node; a beam only gets nearer, so that point comes."""
     links = materialize(graph.groupBy("node").agg(F.collect_list("other").alias("others")), "nn-links")
-    codes = nodes.select("node", "code")
+    vectors = nodes.select("node", "vector")
 
     def score(rows: DataFrame) -> DataFrame:
         def step(cols: dict[str, list]):
-            q, c = _matrix(cols["qcode"]), _matrix(cols["code"])
-            yield {"query_id": cols["query_id"], "node": cols["node"], "near": (np.einsum("ij,ij->i", q, c) - 1).tolist(), "seen": [False] * len(q)}
+            yield {"query_id": cols["query_id"], "node": cols["node"], "score": cosines(cols), "seen": [False] * len(cols["node"])}
 
-        both = rows.join(codes, "node").join(queries, "query_id")
-        return map_batches(both.select("query_id", "node", "qcode", "code"), "query_id long, node long, near float, seen boolean", step)
+        both = rows.join(vectors, "node").join(queries, "query_id")
+        return map_batches(both.select("query_id", "node", "qvector", "vector"), "query_id long, node long, score double, seen boolean", step)
 
-    w = Window.partitionBy("query_id").orderBy(F.desc("near"), "node")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     def best(rows: DataFrame) -> DataFrame:  # noqa: E306
         return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= beam).drop("rank")
 
     # A node that has left the beam can't come back: the beam only gets nearer.
     state = materialize(best(score(entries.distinct())), "nn-walk")
-    for _ in range(most_rounds):
-        front = state.where(~F.col("seen")).select("query_id", "node")
-        if front.isEmpty():
-            break
+    while not (front := state.where(~F.col("seen")).select("query_id", "node")).isEmpty():
         reached = front.join(links, "node").select("query_id", F.explode("others").alias("node")).distinct()
         fresh = reached.join(state.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        worst = state.groupBy("query_id").agg(F.when(F.count("*") >= beam, F.min("near")).otherwise(FAR).alias("worst"))
-        fresh = score(fresh).join(worst, "query_id").where(F.col("near") >= F.col("worst")).drop("worst")
+        worst = state.groupBy("query_id").agg(F.when(F.count("*") >= beam, F.min("score")).otherwise(FAR).alias("worst"))
+        fresh = score(fresh).join(worst, "query_id").where(F.col("score") >= F.col("worst")).drop("worst")
         state = materialize(best(state.withColumn("seen", F.lit(True)).union(fresh)), "nn-walk")
-    return state.select("query_id", "node", "near")
+    return state.select("query_id", "node", "score")
 
 
 def search(
@@ -201,26 +207,19 @@ def search(
     every row for which `asks` (a condition on vec_id) holds."""
     rows = materialize(usable(vectors, key, vector), "nn-rows")
     placed = materialize(directions(rows), "nn-codes")
-    nodes = materialize(placed.groupBy("code").agg(F.min("vec_id").alias("node"), F.min_by("vector", "vec_id").alias("vector")), "nn-nodes")
+    # Minus zero and zero are equal numbers.
+    same = placed.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    nodes = materialize(same.groupBy("vector").agg(F.min("vec_id").alias("node"), F.min("code").alias("code")), "nn-nodes")
     graph = build(nodes, degree)
-    w = Window.partitionBy("code").orderBy("vec_id")
+    homes = materialize(same.join(nodes.select("vector", "node"), "vector").select("vec_id", "node"), "nn-homes")
+    w = Window.partitionBy("node").orderBy("vec_id")
     # No query needs more than count + 1 of a node's members: one of them may be itself.
-    members = placed.select("code", "vec_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count + 1).drop("rank")
-    members = materialize(members.join(nodes, "code").select("node", "vec_id"), "nn-members")
-    asked = placed.where(asks).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("qvector"), F.col("code").alias("qcode"))
-    asked = materialize(asked.join(nodes, asked["qcode"] == nodes["code"]).select("query_id", "qvector", "qcode", F.col("node").alias("home")), "nn-asked")
+    members = materialize(homes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count + 1).drop("rank"), "nn-members")
+    asked = homes.where(asks).join(nodes.select("node", "vector"), "node")
+    asked = materialize(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("qvector"), F.col("node").alias("home")), "nn-asked")
     near_home = asked.join(graph, asked["home"] == graph["node"]).select("query_id", F.col("other").alias("node"))
     entries = asked.select("query_id", F.col("home").alias("node")).union(near_home)
-    found = walk(asked.select("query_id", "qcode"), entries, graph, nodes, beam)
-    exact = found.join(nodes.select("node", "vector"), "node").join(asked.select("query_id", "qvector"), "query_id")
-
-    def step(cols: dict[str, list]):
-        q, v = np.array(cols["qvector"], np.float64), np.array(cols["vector"], np.float64)
-        q, v = (x / np.abs(x).max(1, keepdims=True) for x in (q, v))
-        dot = np.einsum("ij,ij->i", q, v)
-        yield {"query_id": cols["query_id"], "node": cols["node"], "score": (dot / np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", v, v))).tolist()}
-
-    scored = map_batches(exact.select("query_id", "node", "qvector", "vector"), "query_id long, node long, score double", step)
-    out = scored.join(members, "node").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "score").distinct()
+    found = walk(asked.select("query_id", "qvector"), entries, graph, nodes, beam)
+    out = found.join(members, "node").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "score").distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")

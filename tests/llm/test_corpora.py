@@ -290,6 +290,15 @@ def test_few_candidates(spark):
     assert got == [(50, 1, 1, 0.707107), (50, 2, 2, 0.0)]
 
 
+def test_nearly_equal_doubles_are_told_apart(spark):
+    rows = [(i, [1.0, 1 + 1e-9 * (21 - i)]) for i in range(1, 21)] + [(50, [1.0, 0.0]), (60, [2.0, 2 + 2e-9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in nn_descent.search(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    exact = {i: x / math.sqrt(x * x + y * y) for i, (x, y) in rows}
+    assert [i for i, _ in got] == [20, 60, 19, 18, 17]
+    assert all(abs(score - exact[i]) < 1e-15 for i, score in got)
+
+
 def test_recall_on_given_vectors(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = defaultdict(set)
@@ -299,6 +308,18 @@ def test_recall_on_given_vectors(spark):
     assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) >= 0.9 * 5 * len(want)
 
 
+# Mixing
+
+def test_no_source_gets_less_than_its_tokens(spark):
+    rng = np.random.default_rng(4)
+    for n in range(12):
+        tokens = (rng.pareto(0.8, 6) + 0.01) * 5 * 10 ** rng.integers(5, 12)
+        shares = spark.createDataFrame([(f"s{i}", int(x) + 1) for i, x in enumerate(tokens)], "source string, tokens long")
+        a, budget = mixing.exponent(shares, None, 0.9 if n % 2 else None, None if n % 2 else 2.0)
+        parts = mixing.source_budgets(shares, a, budget, whole=True).collect()
+        assert len(parts) == 6 and all(r.budget >= r.tokens for r in parts)
+
+
 # Chat windows
 
 SAID = "</s>[INST] ok [/INST]"
