@@ -222,6 +222,7 @@ def near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
 
 
 KEYS = 8
+#: Least bits of a sketch; one of a longer text has at least a bit for each shingle.
 SKETCH = 512
 #: Classes of a shard that are compared at once; a larger shard is cut into blocks.
 SHARD_BLOCK = 4096
@@ -242,13 +243,46 @@ def _shard_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _sketch(hashes: np.ndarray) -> bytes:
-    """SKETCH bits: whether an odd number of the distinct shingles falls on each. Every
-    shingle that just one of two texts has flips one bit, so two sketches never differ
-    in more bits than there are such shingles."""
-    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    """For each bit whether an odd number of the distinct shingles falls on it; a power
+    of two of bits, no fewer than SKETCH or shingles. Every shingle that just one of two
+    texts has flips one bit, so two sketches never differ in more bits than there are
+    such shingles, nor do sketches folded to half their width."""
+    bits = max(SKETCH, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+class _Sketches:
+    """Sketches of texts in ascending order of shingles, so that widths ascend, too."""
+
+    def __init__(self, codes: list[bytes]):
+        sizes = np.array([len(c) for c in codes])
+        cuts = np.flatnonzero(np.append(True, sizes[1:] != sizes[:-1]))
+        self.start, self.end = cuts, np.append(cuts[1:], len(sizes))
+        self.own = [np.frombuffer(b"".join(codes[a:b]), np.uint64).reshape(b - a, -1) for a, b in zip(self.start, self.end, strict=True)]
+        self.level = np.repeat(np.arange(len(cuts)), self.end - self.start)
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def differ(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Bits in which row i differs from the rows `at`, none of them narrower; wider
+        ones are folded (a shingle's bit in the narrow sketch is that in the wide one,
+        without its highest digits)."""
+        base = self.level[i]
+        mine, out = self.own[base][i - self.start[base]], np.empty(len(at), np.int64)
+        for level in range(base, int(self.level[at[-1]]) + 1):
+            part = self.level[at] == level
+            out[part] = np.bitwise_count(self._fold(level, base)[at[part] - self.start[level]] ^ mine).sum(1, dtype=np.int64)
+        return out
+
+    def _fold(self, level: int, base: int) -> np.ndarray:
+        if level == base:
+            return self.own[level]
+        if (level, base) not in self.folded:
+            wide, width = self.own[level], self.own[base].shape[1]
+            self.folded[level, base] = np.bitwise_xor.reduce(wide.reshape(len(wide), -1, width), axis=1)
+        return self.folded[level, base]
+
+
 def _described(docs: DataFrame, words: int) -> DataFrame:
     """ROW for every document; `class` is a hash of its lower-cased words."""
 
@@ -265,7 +299,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(rows, ROW, step)
 
 
-def _close(n: np.ndarray, sketch: np.ndarray, label: np.ndarray, side: np.ndarray | None, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _close(n: np.ndarray, sketch: _Sketches, label: np.ndarray, side: np.ndarray | None, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of row numbers of different labels (and sides, if given) that can be similar
     enough; n ascends. All of them if `every`, else the nearest ones that connect the rows.
 
@@ -281,7 +315,7 @@ def _close(n: np.ndarray, sketch: np.ndarray, label: np.ndarray, side: np.ndarra
             at = np.flatnonzero(fit) + i + 1
             if not len(at):
                 continue
-            d = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
+            d = sketch.differ(i, at)
             near = d <= part * slack * (n[at] + n[i]) + 1e-6
             at = at[near]
             if not len(at):
@@ -297,10 +331,10 @@ def _close(n: np.ndarray, sketch: np.ndarray, label: np.ndarray, side: np.ndarra
 def _dealt(rows: DataFrame) -> DataFrame:
     """The rows once for each shard, or each pair of blocks of a large shard, that they are in."""
     dealt = rows.select(F.explode("keys").alias("key"), "class", "n", "sketch", "group")
-    # At most KEYS classes / SHARD_BLOCK shards are large. Their blocks meet two by two, each two in a task of their own.
+    # The blocks of a large shard meet two by two, each two in a task of their own.
     large = dealt.groupBy("key").count().where(F.col("count") > SHARD_BLOCK).select("key", F.ceil(F.col("count") / SHARD_BLOCK).cast("long").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
-    own = dealt.join(F.broadcast(large), "key", "left").withColumn("side", F.pmod(F.xxhash64("class", F.lit(9)), blocks))
+    own = dealt.join(large, "key", "left").withColumn("side", F.pmod(F.xxhash64("class", F.lit(9)), blocks))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     return met.select(
         F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("shard"), "class", "n", "sketch", "group", "side",
@@ -318,7 +352,8 @@ def _candidates(rows: DataFrame, similarity: float, every: bool = False) -> Data
         for shard in _shards(batches):
             n, names = shard["n"].to_numpy(), shard["class"].to_numpy()
             order = np.lexsort((names, n))
-            sketch = np.frombuffer(b"".join(shard["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)[order]
+            codes = shard["sketch"].to_pylist()
+            sketch = _Sketches([codes[k] for k in order])
             label = np.unique(shard["group"].to_numpy()[order], return_inverse=True)[1]
             side = shard["side"].to_numpy()[order] if shard["cross"][0].as_py() else None
             names, kept, size = names[order], [], 0
@@ -361,10 +396,10 @@ def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
-def _grams(links: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _grams(links: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The sorted distinct shingle hashes of every class that a link names."""
     named = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "class")
-    first = rows.join(named, "class").groupBy("class").agg(F.min_by(F.struct("doc_id", "row_hash"), F.coalesce("doc_id", F.lit(-1))).alias("of"))
+    first = classes.join(named, "class").select("class", "of")
 
     def sets(cols: dict[str, list]):
         found = [np.unique(np.array(shingle_hashes(t or "", words), np.uint64)).tobytes() for t in cols["text"]]
@@ -397,20 +432,32 @@ def _unlinked(checked: DataFrame, classes: DataFrame, group: DataFrame) -> DataF
     return rows.select("class", "n", "sketch", "keys", F.coalesce("component", "class").alias("group"))
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per different (doc_id, row_hash), the xxhash64 of its text: its class
-    and the group of its class."""
+def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described rows, one row per class with its first document, and the group of
+    every class that has links (node, component). Rows meet by class in this aggregate
+    only, which combines them before they are sent."""
     rows = materialize(_described(docs, words), "copies-rows")
-    classes = rows.groupBy("class").agg(F.first("sketch").alias("sketch"), F.min("n").alias("n"), F.first("keys").alias("keys"))
+    of = F.struct("doc_id", "row_hash")
+    classes = materialize(rows.groupBy("class").agg(
+        F.first("sketch").alias("sketch"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.min_by(of, F.coalesce("doc_id", F.lit(-1))).alias("of"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))).alias("first"),
+    ), "copies-classes")
     links = materialize(_candidates(classes.withColumn("group", F.col("class")), similarity), "copies-links")
-    checked = materialize(_checked(links, materialize(_grams(links, rows, docs, words), "copies-shingles"), similarity), "copies-checked")
+    checked = materialize(_checked(links, materialize(_grams(links, classes, docs, words), "copies-shingles"), similarity), "copies-checked")
     good = checked.where("fit").select("a", "b")
     group = components(good)
     more = _candidates(_unlinked(checked, classes, group), similarity, every=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
     more = materialize(more, "copies-links")
     if not more.isEmpty():
-        late = _checked(more, materialize(_grams(more, rows, docs, words), "copies-shingles"), similarity)
+        late = _checked(more, materialize(_grams(more, classes, docs, words), "copies-shingles"), similarity)
         group = components(good.union(materialize(late.where("fit").select("a", "b"), "copies-checked")))
+    return rows, classes, group
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per different (doc_id, row_hash), the xxhash64 of its text: its class
+    and the group of its class."""
+    rows, _, group = _groups(docs, words, similarity)
     named = rows.select("doc_id", "row_hash", "class").distinct().join(group, F.col("class") == F.col("node"), "left")
     return named.select("doc_id", "row_hash", "class", F.coalesce("component", "class").alias("group"))
 
@@ -418,9 +465,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` without near-copies: of each group the one with the
     smallest doc_id stays (a null one last), and one of its equal rows."""
-    found = near_copies(docs, words, similarity)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))
-    kept = found.groupBy("group").agg(F.min(order).alias("kept")).select("kept.*")
+    _, classes, group = _groups(docs, words, similarity)
+    found = classes.select("class", "first").join(group, F.col("class") == F.col("node"), "left")
+    kept = found.groupBy(F.coalesce("component", "class")).agg(F.min("first").alias("kept")).select("kept.*")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
     out = docs.join(kept, same)
     return out.dropDuplicates(["__id", "__hash"]).select(*[docs[c] for c in docs.columns])

@@ -163,8 +163,16 @@ def test_near_copies_with_a_run_of_one_sign(spark):
 def test_sketches_differ_in_no_more_bits_than_sets_in_shingles(seed, both, one, two):
     rng = np.random.default_rng(seed)
     a, b, c = np.split(np.unique(rng.integers(0, 2**64, both + one + two, dtype=np.uint64)), [both, both + one])
-    x, y = (np.frombuffer(simhash_vp._sketch(np.concatenate([a, z])), np.uint64) for z in (b, c))
-    assert np.bitwise_count(x ^ y).sum() <= one + two
+    codes = sorted((simhash_vp._sketch(np.concatenate([a, z])) for z in (b, c)), key=len)
+    assert simhash_vp._Sketches(codes).differ(0, np.array([1]))[0] <= one + two
+
+
+def test_sketches_tell_long_texts_with_half_in_common_apart():
+    rng = np.random.default_rng(3)
+    same = rng.integers(0, 2**64, 1000, dtype=np.uint64)
+    codes = [simhash_vp._sketch(np.concatenate([same, rng.integers(0, 2**64, 1000, dtype=np.uint64)])) for _ in range(50)]
+    pairs = simhash_vp._close(np.full(50, 2000), simhash_vp._Sketches(codes), np.arange(50), None, 0.8, True)
+    assert sum(len(i) for i, _ in pairs) == 0
 
 
 def test_large_shards_are_cut_into_blocks(spark, monkeypatch):
