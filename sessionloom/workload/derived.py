@@ -50,8 +50,10 @@ MD_FENCE = (
 )
 LONG_OUT = f"CASE WHEN (conv_id + ord) % 3 = 0 THEN ' ' || repeat('x', 600) ELSE '' END"
 CRLF = "CASE WHEN conv_id % 6 = 0 AND fmt = 'markdown' THEN 1 ELSE 0 END"
-# The beginning of the given text in one line, for items of packet lists.
-GIVEN = f"trim(substr(replace(coalesce(text, ''), {NL}, ' '), 1, 60))"
+# The given text in one line, for items of packet lists.
+GIVEN = f"trim(replace(coalesce(text, ''), {NL}, ' '))"
+# Some constraints end with a secret.
+LEAK = f"CASE WHEN (conv_id * 3 + turn) % 37 = 5 THEN ' ghp' || '_' || md5({text('conv_id')}) ELSE '' END"
 REF = f"""CASE WHEN (conv_id * 31 + turn) % 17 = 0 THEN '/abs/m' || {text('turn')} || '.ts'
   WHEN (conv_id * 31 + turn) % 19 = 0 THEN '../up/m' || {text('turn')} || '.ts'
   ELSE 'src/m' || {text('turn')} || '.ts' END"""
@@ -166,7 +168,7 @@ FROM conversations""",
     "constraints": f"""
 SELECT {PID} AS packet_id, turn AS pos, 'c-' || {text('turn')} AS id,
   {pick(K.CONSTRAINT_TYPES, '(conv_id + turn) % 6')} AS type,
-  'Keep turn ' || {text('turn')} || ' intact: ' || {GIVEN} AS text,
+  'Keep turn ' || {text('turn')} || ' intact: ' || {GIVEN} || {LEAK} AS text,
   {pick(K.SEVERITIES, '(conv_id + turn) % 4')} AS severity,
   {pick(K.CONSTRAINT_SOURCES, '(conv_id + turn) % 5')} AS source,
   CASE WHEN (conv_id + turn) % 7 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS n_refs

@@ -80,6 +80,9 @@ FINDINGS = " UNION ALL ".join([
     + " WHERE blocking AND p_status IN ('ready_for_export', 'dispatched') GROUP BY packet_id",
     _sel("060", "critical", "'/objective'", "'Apparent secret (prefix) at offset 4.'", "packets",
          "contains(objective, 'ghp' || '_')"),
+    _sel("060", "critical", "'/constraints/' || pos || '/text'",
+         "'Apparent secret (prefix) at offset ' || (strpos(text, 'ghp' || '_') - 1) || '.'", "constraints",
+         "contains(text, 'ghp' || '_')"),
 ])
 FX = {"found": FINDINGS}
 ERR = "severity IN ('error', 'critical')"
@@ -129,7 +132,11 @@ VIOLATIONS = " UNION ALL ".join([
     _v("'/context_items/' || pos || '/ref'", "must NOT have more than 4096 characters", "context_items", "length(ref) > 4096"),
     _v("'/provenance_links/' || pos || '/span_end'", "must be >= 0", "provenance_links", "span_end < 0"),
     _v("'/provenance_links/' || pos || '/span_start'", "must be >= 0", "provenance_links", "span_start < 0"),
-    _v("'/questions/' || pos || '/id'", "must match pattern", "questions", BAD_ID.format(c="id")),
+    _v("'/open_questions/' || pos || '/id'", f'must match pattern "{K.ID_PATTERN}"'.replace(r"\A", "^").replace(r"\z", "$"),
+       "questions", BAD_ID.format(c="id")),
+    *[_v(f"'/{path}/' || pos || '/{c}'", f"must NOT have more than {n} characters", src, f"length({c}) > {n}") for path, src, c, n in (
+        ("open_questions", "questions", "text", 2000), ("constraints", "constraints", "text", 4000), ("attempts", "attempts", "summary", 4000),
+        ("acceptance_criteria", "criteria", "text", 4000), ("warnings", "warnings", "message", 4000), ("context_items", "context_items", "reason", 2000))],
 ])
 
 
