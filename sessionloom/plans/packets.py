@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom import constants as K
+from sessionloom.sources import packets as sources
 
 CHILDREN = [
     "questions", "context_items", "constraints", "attempts", "criteria", "warnings",
@@ -82,6 +84,28 @@ def from_nested(df: DataFrame) -> PacketSet:
     return PacketSet(packets=core, **{t: child(f) for f, t in NESTED.items()})
 
 
+def write_lists(docs: DataFrame, path: str, doc: str = "doc") -> None:
+    """Write the lists of all packet documents in one scan: an element is a row of its
+    packet's id, its place and its JSON value, in a folder per list."""
+    parsed = docs.select(F.try_parse_json(doc).alias("d"))
+    rows = parsed.select(F.try_variant_get("d", "$.id", "string").alias("packet_id"), F.inline(sources.list_elements(F.col("d"), list(NESTED))))
+    rows.where(F.col("packet_id").isNotNull()).write.partitionBy("list").parquet(path)
+
+
+def read_lists(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The list tables written by `write_lists`, typed (a value of a wrong type is NULL),
+    by the name of the list."""
+    kinds = T.StructType.fromDDL(sources.PACKET)
+    rows = spark.read.schema("packet_id string, pos bigint, v variant, list string").parquet(path)
+
+    def typed(name: str) -> DataFrame:
+        fields = kinds[name].dataType.elementType.fields
+        values = [F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields]
+        return rows.where(F.col("list") == name).select("packet_id", "pos", *values)
+
+    return {n: typed(n) for n in NESTED}
+
+
 def count_where(cond: Column) -> Column:
     return cond.cast("bigint")
 

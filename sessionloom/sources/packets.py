@@ -116,6 +116,17 @@ def raw_violations(docs: DataFrame, key: str = "uri", doc: str = "doc") -> DataF
     )
 
 
+def list_elements(v: Column, lists: list[str]) -> Column:
+    """The elements of several lists of a document as one array of (list, pos, v)."""
+
+    def tagged(name: str) -> Column:
+        elements = F.try_variant_get(v, f"$.{name}", "array<variant>")
+        return F.transform(elements, lambda x, i: F.struct(F.lit(name).alias("list"), i.cast("bigint").alias("pos"), x.alias("v")))
+
+    none = F.array().cast("array<struct<list:string,pos:bigint,v:variant>>")
+    return F.flatten(F.array(*[F.coalesce(tagged(n), none) for n in lists]))
+
+
 def scan_packets(docs: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
     """(typed nested packets, quarantined documents).
 

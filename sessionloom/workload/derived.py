@@ -352,11 +352,13 @@ SELECT {text('page_id')} AS export_id, url, html AS body,
 FROM pages""",
 }
 
-_NAMES = sorted(TABLES, key=len, reverse=True)
+def add(name: str, sql: str) -> None:
+    """One more derived table."""
+    TABLES[name] = sql
 
 
 def _needs(sql: str) -> list[str]:
-    return [n for n in _NAMES if re.search(rf"(?i)\b(?:FROM|JOIN)\s+{n}\b", sql)]
+    return [n for n in sorted(TABLES, key=len, reverse=True) if re.search(rf"(?i)\b(?:FROM|JOIN)\s+{n}\b", sql)]
 
 
 def _chain(names: list[str]) -> list[str]:

@@ -277,3 +277,35 @@ def test_no_task_sees_all_pairs(spark):
         df = entry.queries()[name](spark, "/root/testdata/sf0.001")
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("CartesianProduct|NestedLoop|BatchEvalPython|ArrowEvalPython", plan), name
+
+
+def test_schema_findings_at_every_depth(spark):
+    from sessionloom import constants as K
+    from sessionloom.plans.document_schema import document_findings
+
+    stamp, lists = "2024-01-01T00:00:00.000Z", ["open_questions", "context_items", "constraints", "attempts", "acceptance_criteria", "warnings", "provenance_links", "source_artifacts"]
+    good = {"schema_version": K.SCHEMA_VERSION, "id": "p-1", "title": "Title", "status": "draft", "validation_level": "draft", "task_type": "docs",
+            "objective": "o", "current_state": "c", "next_action": "n", "confidence_score": 1, "created_at": stamp, "updated_at": stamp, **{n: [] for n in lists},
+            "repo_context": {"attached": False, "root": None, "vcs": "none", "branch": None, "base_branch": None, "commit": None, "base_commit": None, "dirty": False}}
+    question = {"id": "q-1", "text": "é" * 2000, "blocking": True, "status": "open"}
+    docs = {
+        "good": {**good, "open_questions": [question] * 300, "extensions": {"any": [1]}, "render_hints": {}},
+        "question": {**good, "open_questions": [question, {**question, "text": "é" * 2001, "more": 1}, None, {}]},
+        "repo": {**good, "repo_context": {**good["repo_context"], "attached": True, "commit": "XYZ"}},
+        "missing": {k: v for k, v in good.items() if k not in ("id", "warnings")},
+        "refs": {**good, "constraints": [{"id": "c-1", "type": "style", "text": "t", "severity": "info", "source": "user", "provenance_refs": ["ok", 3, "NO"]}]},
+    }
+    rows = [(k, json.dumps(v)) for k, v in docs.items()] + [("null", None), ("text", '"x"'), ("cut", '{"id":')]
+    got = {}
+    for r in document_findings(spark.createDataFrame(rows, "uri string, doc string")).collect():
+        got.setdefault(r.uri, set()).add((r.path, r.message))
+    need = lambda at, names: {(at, f"must have required property '{n}'") for n in names}
+    assert got == {
+        "question": {("/open_questions/1/text", "must NOT have more than 2000 characters"), ("/open_questions/1", "must NOT have additional properties"),
+                     ("/open_questions/2", "must be object"), *need("/open_questions/3", question)},
+        "repo": {("/repo_context/root", "must be string"), ("/repo_context/vcs", "must be equal to constant"), ("/repo_context", 'must match "then" schema'),
+                 ("/repo_context/commit", 'must match pattern "^[a-f0-9]{7,40}$"')},
+        "missing": need("/", ["id", "warnings"]),
+        "refs": {("/constraints/0/provenance_refs/1", "must be string"), ("/constraints/0/provenance_refs/2", 'must match pattern "^[a-z0-9][a-z0-9._-]{1,127}$"')},
+        **{k: {("/", "packet is not an object")} for k in ("null", "text", "cut")},
+    }
