@@ -1,49 +1,24 @@
-"""Streaming forms: limit trigger, latest state, incremental compile."""
+"""Streaming forms: limit trigger, new artifacts, session ends, latest state, incremental compile."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sessionloom import constants as K
 from sessionloom.functions.text import has_limit_marker, is_tool_placeholder
-from sessionloom.operators.scan import with_carry
 from sessionloom.plans.compile import compile_fast
 from sessionloom.plans.lifecycle import latest_by_packet
 from sessionloom.session import work_dir
 
 SPAN = K.MARKER_SPAN - 1
-
-
-class VersionedTable:
-    """A table replaced once per micro-batch: batch n writes folder `n` from
-    folder `n - 1`, so a repeated batch gives the same result and a restarted
-    stream goes on from the last folder."""
-
-    def __init__(self, path: str, schema: str):
-        self.path, self.schema = path, schema
-
-    def read(self, spark, batch_id: int) -> DataFrame:
-        if batch_id < 0:
-            return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(f"{self.path}/{batch_id}")
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-
-    def latest(self, spark) -> DataFrame:
-        """The table after the last finished batch."""
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = [
-            int(s.getPath().getName()) for s in (fs.listStatus(root) if fs.exists(root) else [])
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-        ]
-        return self.read(spark, max(done, default=-1))
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class BatchLog:
@@ -77,47 +52,92 @@ def run_batches(stream: DataFrame, state_dir: str,
     query.awaitTermination()
 
 
+def append_all(stream: DataFrame, state_dir: str, name: str) -> DataFrame:
+    """Append the stream's rows of all data there is now to a table, and that table
+    with the rows of earlier runs; `state_dir` makes it resumable."""
+    path = f"{state_dir}/{name}"
+    query = (
+        stream.writeStream.format("parquet").outputMode("append").option("path", path)
+        .option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+class LimitTrigger(StatefulProcessor):
+    """Per session: whether it has fired, and the last characters of its output."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # What a "." does not match in the JVM.
+        pattern = "|".join(K.LIMIT_MARKERS).replace(".", "[^\\n\\r\\x85\\u2028\\u2029]")
+        self.marker = re.compile(pattern, re.IGNORECASE | re.ASCII)
+        self.session = handle.getValueState("session", "fired boolean, tail string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fired, tail = self.session.get() if self.session.exists() else (False, "")
+        given = pd.concat(rows).sort_values("seq")
+        if not fired:
+            for row in given.itertuples():
+                fired = bool(row.hit) or self.marker.search(tail + row.head) is not None
+                if fired:
+                    yield pd.DataFrame({"session_id": [key[0]], "seq": [row.seq]})
+                    break
+                tail = (tail + row.tail)[-SPAN:] if row.short else row.tail
+            # The last characters of a session that has fired are of no use.
+            self.session.update((fired, "" if fired else tail))
+
+    def close(self) -> None:
+        pass
+
+
 def limit_triggers(chunks: DataFrame, state_dir: str | None = None) -> DataFrame:
     """`session_id, seq` of the first limit marker of each session of a stream of
     `session_id, seq, text` with `seq` from 0.
 
-    State between micro-batches is two tables: the sessions that have fired, which
-    never fire again, and the last characters of the others, which let a marker
-    that is cut by a batch edge still match. Inside a batch each chunk looks only
-    at its neighbours, so one busy session is spread over all tasks.
+    Chunks are searched where they are; what is sent to a session's state is a few
+    characters of each: its first and last ones, so that a marker cut by the border of
+    two chunks, or of two micro-batches, still matches. The state of a session (a flag
+    and a tail) lives in RocksDB, so a micro-batch writes no more than the sessions that
+    it touches. It has no time to live: that needs processing-time batches without end,
+    and a run over all data there is now would not stop.
     """
     spark = chunks.sparkSession
-    state_dir = state_dir or work_dir(spark, "limit")
-    fired = VersionedTable(f"{state_dir}/fired", "session_id bigint, seq bigint")
-    tails = VersionedTable(f"{state_dir}/tails", "session_id bigint, tail string")
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        done = fired.read(session, batch_id - 1)
-        before = tails.read(session, batch_id - 1).select(
-            "session_id", F.lit(-1).cast("bigint").alias("seq"), F.col("tail").alias("text"))
-        rows = batch.select("session_id", "seq", "text").unionByName(before).join(
-            done.select("session_id"), "session_id", "left_anti")
-        hits = with_carry(rows, "session_id", "seq", "text", SPAN).where(
-            (F.col("seq") >= 0) & has_limit_marker(F.col("window"))
-        ).groupBy("session_id").agg(F.min("seq").alias("seq"))
-        fired.write(done.unionByName(hits), batch_id)
-        # The last non-empty chunks hold the last characters (window group limit).
-        w = Window.partitionBy("session_id").orderBy(F.col("seq").desc())
-        last = rows.where(F.char_length("text") > 0).select(
-            "session_id", "seq", F.right("text", F.lit(SPAN)).alias("text"),
-            F.row_number().over(w).alias("rank"),
-        ).where(F.col("rank") <= SPAN)
-        texts = F.array_sort(F.collect_list(F.struct("seq", "text")))
-        tail = F.right(F.array_join(F.transform(texts, lambda x: x["text"]), ""), F.lit(SPAN))
-        tails.write(
-            last.groupBy("session_id").agg(tail.alias("tail")).join(
-                fired.read(session, batch_id).select("session_id"), "session_id", "left_anti"),
-            batch_id,
-        )
-
-    run_batches(chunks, state_dir, step)
-    return fired.latest(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    text = F.col("text")
+    ends = chunks.where(F.char_length("text") > 0).select(
+        "session_id", "seq", has_limit_marker(text).alias("hit"), F.left(text, F.lit(SPAN)).alias("head"),
+        F.right(text, F.lit(SPAN)).alias("tail"), (F.char_length(text) < SPAN).alias("short"))
+    fired = ends.groupBy("session_id").transformWithStateInPandas(LimitTrigger(), "session_id bigint, seq bigint", "Append", "None")
+    return append_all(fired, state_dir or work_dir(spark, "limit"), "fired")
+
+
+def new_artifacts(artifacts: DataFrame, known: DataFrame, at: str, delay: str = "1 hour", state_dir: str | None = None) -> DataFrame:
+    """The artifacts (`body`, `at`, more columns) of a stream whose content is new, with
+    their `digest`: the same bytes arriving again within `delay` of event time are
+    dropped by state, later ones by the digests stored when a run starts (`known` and
+    what earlier runs over `state_dir` have stored)."""
+    spark = artifacts.sparkSession
+    state_dir = state_dir or work_dir(spark, "artifacts")
+    digest = F.concat(F.lit("sha256:"), F.sha2(F.col("body").cast("binary"), 256))
+    once = artifacts.withColumn("digest", digest).withWatermark(at, delay).dropDuplicatesWithinWatermark(["digest"])
+    stored = known.select("digest")
+    try:
+        stored = stored.union(spark.read.schema(once.schema).parquet(f"{state_dir}/new").select("digest"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return append_all(once.join(stored, "digest", "left_anti"), state_dir, "new")
+
+
+def stream_session_ends(events: DataFrame, key: str, ts: str, gap_seconds: int, delay: str = "0 seconds", state_dir: str | None = None) -> DataFrame:
+    """Activity sessions of an event stream, each appended once it has ended: when the
+    watermark (the latest event time less `delay`) is past its last event by the gap.
+    State is one row per open session; partial sessions are merged before the shuffle."""
+    us = lambda c: F.unix_micros(c)
+    ended = events.withWatermark(ts, delay).groupBy(F.session_window(ts, f"{gap_seconds} seconds").alias("w"), key).agg(
+        F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.count("*").alias("events"))
+    rows = ended.select(key, us(F.col("lo")).alias("start_us"), us(F.col("hi")).alias("end_us"), "events")
+    return append_all(rows, state_dir or work_dir(events.sparkSession, "sessions"), "ended")
 
 
 def latest_events(journal: DataFrame, state_dir: str | None = None) -> DataFrame:

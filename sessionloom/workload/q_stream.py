@@ -13,18 +13,22 @@ from sessionloom.workload.q_text import LIMIT_RE, PLACEHOLDER
 from sessionloom.workload.registry import query
 
 
-SLICES = 4
+SLICES, FILES = 4, 4
 
 
-def stream_of(spark, sf, name, order):
-    """The table as a file stream of SLICES micro-batches in ascending `order`."""
+def stream_of(spark, sf, name, order, key, more=None):
+    """The table (and the rows `more`) as a file stream of about SLICES micro-batches in
+    ascending `order`; the rows of a key and slice are in one of FILES files."""
     given = spark.read.parquet(f"{sf}/{name}.parquet")
-    most = given.agg(F.max(order)).first()[0] or 0
+    given = given.unionByName(more(given)) if more else given
+    place = F.coalesce(F.expr(order), F.lit(0))
+    low, high = given.agg(F.min(place), F.max(place)).first()
+    low, width = low or 0, (high or 0) - (low or 0) + 1
     folder = work_dir(spark, f"stream-{name}")
     for i in range(SLICES):
-        part = given.where(F.least(F.floor(F.coalesce(F.col(order), F.lit(0)) * SLICES / F.lit(most + 1)), F.lit(SLICES - 1)) == i)
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(given.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+        part = given.where(F.least(F.floor((place - low) * SLICES / F.lit(width)), F.lit(SLICES - 1)) == i)
+        part.repartition(FILES, key).write.mode("append").parquet(folder)
+    return spark.readStream.schema(given.schema).option("maxFilesPerTrigger", str(FILES)).parquet(folder)
 
 
 CHUNK = """CASE WHEN conv_id % 10 = 0 AND turn = 1 THEN left(text, 55) || ' usage limit ' || substr(text, 56)
@@ -38,7 +42,7 @@ SELECT conv_id AS session_id, min(turn) AS seq FROM (
   SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), {K.MARKER_SPAN - 1}), '') || text AS t FROM chunk_texts) c
 WHERE regexp_matches(t, '{LIMIT_RE}', 'i') GROUP BY conv_id"""))
 def stream_limit_markers(spark, sf):
-    chunks = stream_of(spark, sf, "conversations", "turn").selectExpr(
+    chunks = stream_of(spark, sf, "conversations", "turn", "conv_id").selectExpr(
         "conv_id AS session_id", "turn AS seq", CHUNK)
     return jobs.limit_triggers(chunks)
 
@@ -46,7 +50,7 @@ def stream_limit_markers(spark, sf):
 @query("stream_latest_events", check_sql("""
 SELECT packet_id, seq, id, status FROM (SELECT *, row_number() OVER (PARTITION BY packet_id ORDER BY seq DESC) AS rn FROM dispatches) d WHERE rn = 1"""))
 def stream_latest_events(spark, sf):
-    rows = stream_of(spark, sf, "events", "event_id").selectExpr(
+    rows = stream_of(spark, sf, "events", "event_id", "user_id").selectExpr(
         "event_id AS seq", "'dis-' || CAST(event_id AS STRING) AS id",
         "'conv-' || CAST(user_id AS STRING) AS packet_id",
         "CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'delivered' END AS status")
@@ -62,7 +66,39 @@ FROM (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS first_
   arg_max(text, turn) FILTER (WHERE role = 'assistant' AND NOT ({PLACEHOLDER})) AS last_prose
   FROM conversations GROUP BY conv_id) e"""))
 def stream_compile(spark, sf):
-    turns = stream_of(spark, sf, "conversations", "turn").selectExpr(
+    turns = stream_of(spark, sf, "conversations", "turn", "conv_id").selectExpr(
         "conv_id AS session_id", "turn AS ord", "role", "text")
     return jobs.incremental_compile(turns, NOW).select(
         "packet_id", "title", "objective", "current_state")
+
+
+def _pages_twice(given):
+    """A third of the pages arrives again, half a table later."""
+    most = given.agg(F.max("page_id")).first()[0] or 0
+    return given.where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + int(most / 2) + 1)
+
+
+@query("stream_new_artifacts", check_sql("""
+SELECT DISTINCT 'sha256:' || sha256(html) AS digest, strlen(html)::BIGINT AS bytes FROM pages
+WHERE html IS NOT NULL AND html NOT IN (SELECT html FROM pages WHERE page_id % 10 = 7 AND html IS NOT NULL)"""))
+def stream_new_artifacts(spark, sf):
+    known = spark.read.parquet(f"{sf}/pages.parquet").where("page_id % 10 = 7").select(
+        F.concat(F.lit("sha256:"), F.sha2("html", 256)).alias("digest"))
+    pages = stream_of(spark, sf, "pages", "page_id", "page_id", _pages_twice).where("html IS NOT NULL").select(
+        F.timestamp_seconds("page_id").alias("at"), F.col("html").alias("body"))
+    return jobs.new_artifacts(pages, known, "at", "10 days").select("digest", F.octet_length("body").cast("bigint").alias("bytes"))
+
+
+def _tick(given):
+    """A last event of nobody, so late that all sessions have ended."""
+    return given.orderBy(F.desc("ts")).limit(1).withColumn("user_id", F.lit(-1).cast("long")).withColumn("ts", F.expr("ts + INTERVAL 2 DAYS"))
+
+
+@query("stream_session_ends", check_sql("""
+SELECT user_id, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) AS end_us, count(*) AS events FROM (
+  SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (
+    SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 7200000000 THEN 0 ELSE 1 END AS opens
+    FROM events) a) b GROUP BY user_id, session"""))
+def stream_session_ends(spark, sf):
+    events = stream_of(spark, sf, "events", "unix_micros(cast(ts AS timestamp))", "user_id", _tick)
+    return jobs.stream_session_ends(events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 7200)
