@@ -7,8 +7,9 @@ a text without any trigger word is left after one cheap match.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom import constants as K
 from sessionloom.functions.text import WS, let
@@ -103,15 +104,50 @@ def secret_hits(text: str, threshold: float = K.ENTROPY_THRESHOLD) -> Column:
 
 def redact(text: str, threshold: float = K.ENTROPY_THRESHOLD) -> Column:
     """The column `text` with every secret replaced; overlapping hits count as one."""
+    return F.expr(redact_sql(text, threshold))
+
+
+def redact_sql(text: str, threshold: float = K.ENTROPY_THRESHOLD) -> str:
     kept = f"substring({text}, int(acc.at) + 1, int(h.offset - acc.at))"
-    return F.expr(f"""CASE WHEN {_trigger(text)} THEN transform(
+    return f"""CASE WHEN {_trigger(text)} THEN transform(
       array({hits_sql(text, threshold)}), hs -> CASE WHEN size(hs) = 0 THEN {text} ELSE aggregate(
         hs, named_struct('at', 0L, 'kept', cast(array() as array<string>)),
         (acc, h) -> named_struct('at', greatest(acc.at, h.offset + h.length), 'kept',
           CASE WHEN h.offset >= acc.at
             THEN concat(acc.kept, array(concat({kept}, '{K.REDACTED}'))) ELSE acc.kept END),
         acc -> concat(array_join(acc.kept, ''), substring({text}, int(acc.at) + 1))) END)[0]
-      ELSE {text} END""")
+      ELSE {text} END"""
+
+
+def _holds_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_text(f.dataType) for f in kind)
+    inner = [getattr(kind, n) for n in ("elementType", "valueType") if hasattr(kind, n)]
+    return isinstance(kind, T.StringType) or any(map(_holds_text, inner))
+
+
+def redact_value_sql(value: str, kind: T.DataType, threshold: float = K.ENTROPY_THRESHOLD, depth: int = 0) -> str:
+    """SQL for `value` of any type with the secrets in all its strings replaced: in
+    structs, arrays and the values of maps, at every depth. Field names and map keys
+    stay, as do nulls and values without text."""
+    if not _holds_text(kind):
+        return value
+    if isinstance(kind, T.StringType):
+        return redact_sql(value, threshold)
+    at = f"v{depth}"
+    if isinstance(kind, T.ArrayType):
+        return f"transform({value}, {at} -> {redact_value_sql(at, kind.elementType, threshold, depth + 1)})"
+    if isinstance(kind, T.MapType):
+        return f"transform_values({value}, (k{depth}, {at}) -> {redact_value_sql(at, kind.valueType, threshold, depth + 1)})"
+    quoted = [(f.name.replace("'", "\\'"), "`" + f.name.replace("`", "``") + "`", f.dataType) for f in kind]
+    fields = ", ".join(f"'{name}', {redact_value_sql(f'{value}.{path}', t, threshold, depth)}" for name, path, t in quoted)
+    return f"CASE WHEN {value} IS NOT NULL THEN named_struct({fields}) END"
+
+
+def redact_records(records: DataFrame, threshold: float = K.ENTROPY_THRESHOLD) -> DataFrame:
+    """The rows with the secrets in every string of every column replaced, in one projection."""
+    name = lambda f: "`" + f.name.replace("`", "``") + "`"
+    return records.select(*[F.expr(redact_value_sql(name(f), f.dataType, threshold)).alias(f.name) for f in records.schema])
 
 
 def tokens(text: Column) -> Column:

@@ -341,7 +341,8 @@ SELECT event_id, 'conv-' || {text('user_id')} AS packet_id,
   event_id % 4 <> 0 AS live
 FROM events""",
     "log_records": f"""
-SELECT event_id, 'compile' AS command, event_type AS mode,
+SELECT event_id, 'compile' AS command,
+  event_type || CASE WHEN event_id % 11 = 3 THEN ' sk' || '-ant-' || md5({text('event_id')}) ELSE '' END AS mode,
   CASE WHEN event_id % 4 = 0 THEN {text('event_id % 3')} END AS exit_code,
   CASE WHEN event_id % 9 = 0 THEN 'free text' END AS note,
   'conv-' || {text('user_id')} AS packet_id

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sessionloom import constants as K
 from sessionloom.functions import secrets as X
 from sessionloom.functions import text as T
-from sessionloom.functions.metadata import allowed_metadata, rejected_keys
+from sessionloom.functions.metadata import loggable, rejected_keys
 from sessionloom.operators import scan
 from sessionloom.workload.derived import check_sql, table
 from sessionloom.workload.registry import query
@@ -79,7 +79,7 @@ def scan_secrets_low(spark, sf):
     return scan.scan_secrets(scan.spread(table(spark, sf, "documents")), ["doc_id"], "text", 3.5)
 
 
-@query("redact_text", check_sql(f"""
+REDACTED = f"""
 SELECT doc_id, string_agg(piece, '' ORDER BY "from") AS text FROM (
   SELECT t.doc_id, i."from", substr(t.text, i."from" + 1, i.until - i."from") || i.mark AS piece
   FROM secret_texts t JOIN (
@@ -87,17 +87,39 @@ SELECT doc_id, string_agg(piece, '' ORDER BY "from") AS text FROM (
       '{K.REDACTED}' AS mark FROM islands
     UNION ALL SELECT id, max("end"), 1000000000, '' FROM islands GROUP BY id
     UNION ALL SELECT id, 0, 1000000000, '' FROM src WHERE id NOT IN (SELECT id FROM islands)) i
-  ON i.id = t.doc_id) p GROUP BY doc_id""", {
+  ON i.id = t.doc_id) p GROUP BY doc_id"""
+REDACTED_FROM = {
     **SRC, "hits": secret_hits_sql(4.0),
     "islands": """SELECT id, min("offset") AS start, max("offset" + "length") AS "end" FROM (
       SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY "offset", "length") AS island FROM (
         SELECT *, CASE WHEN "offset" >= coalesce(max("offset" + "length") OVER (PARTITION BY id
           ORDER BY "offset", "length" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-          THEN 1 ELSE 0 END AS opens FROM hits) a) b GROUP BY id, island"""}))
+          THEN 1 ELSE 0 END AS opens FROM hits) a) b GROUP BY id, island"""}
+
+
+@query("redact_text", check_sql(REDACTED, REDACTED_FROM))
 def redact_text(spark, sf):
     return scan.spread(table(spark, sf, "secret_texts")).select("doc_id", X.redact("text").alias("text"))
 
 
+@query("redact_records", check_sql("""
+SELECT doc_id, text AS plain, text AS listed, 'x' AS kept, text AS mapped, text AS deep, doc_id + 1 AS number, doc_id % 2 = 0 AS has_more
+FROM clean""", {**REDACTED_FROM, "clean": REDACTED}))
+def redact_records(spark, sf):
+    rows = scan.spread(table(spark, sf, "secret_texts"))
+    deep = F.struct(F.array(F.struct("text", (F.col("doc_id") + 1).alias("number"))).alias("inner"))
+    record = F.struct(
+        F.col("text").alias("plain"), F.array(F.lit("x"), F.col("text")).alias("listed"),
+        F.create_map(F.lit("secret key"), F.array(F.col("text"))).alias("mapped"), F.array(deep, F.lit(None)).alias("deep"))
+    more = F.when(F.col("doc_id") % 2 == 0, F.struct(F.lit(None).cast("string").alias("text")))
+    clean = X.redact_records(rows.select("doc_id", record.alias("record"), more.alias("more")))
+    inner = F.col("record.deep")[0]["inner"][0]
+    return clean.select(
+        "doc_id", F.col("record.plain").alias("plain"), F.col("record.listed")[1].alias("listed"), F.col("record.listed")[0].alias("kept"),
+        F.col("record.mapped")["secret key"][0].alias("mapped"), inner["text"].alias("deep"), inner["number"].alias("number"),
+        (F.col("more").isNotNull() & F.col("record.deep")[1].isNull()).alias("has_more"))
+
+
 def _words(words: list[str], open_words: list[str] = ()) -> str:
     p = rf"\b(?:{'|'.join(words)})\b"
     return p + (rf"|\b(?:{'|'.join(open_words)})" if open_words else "")
@@ -190,7 +212,7 @@ def limit_markers(spark, sf):
 
 
 @query("log_allowlist", check_sql("""
-SELECT event_id, command, mode, exit_code, packet_id, CASE WHEN note IS NOT NULL THEN 'note' ELSE '' END
+SELECT event_id, command, regexp_replace(mode, ' sk-ant-[0-9a-f]+$', ' [REDACTED]') AS mode, exit_code, packet_id, CASE WHEN note IS NOT NULL THEN 'note' ELSE '' END
   AS rejected, 3 + (exit_code IS NOT NULL)::BIGINT AS kept FROM log_records"""))
 def log_allowlist(spark, sf):
     raw = table(spark, sf, "log_records")
@@ -198,11 +220,8 @@ def log_allowlist(spark, sf):
     pairs = F.map_filter(
         F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]), lambda k, v: v.isNotNull()
     )
-    m = raw.select("event_id", pairs.alias("m")).select(
-        "event_id",
-        allowed_metadata(F.col("m")).alias("kept_map"),
-        F.array_join(rejected_keys(F.col("m")), ",").alias("rejected"),
-    )
+    m = raw.select("event_id", pairs.alias("kept_map")).withColumn("rejected", F.array_join(rejected_keys(F.col("kept_map")), ","))
+    m = loggable(m, "kept_map")
     return m.select(
         "event_id", *[F.col("kept_map")[n].alias(n) for n in names if n != "note"], "rejected",
         F.size("kept_map").cast("bigint").alias("kept"),
