@@ -89,10 +89,15 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(x[:len(x) - (width - size)], x[width - size:]) if width > size else x
 
 
+def anchor_width(length: int) -> int:
+    """Bytes of an anchor: long enough that unlike texts seldom share one."""
+    return max(1, 2 * length // 3 - 1)
+
+
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors of all strings of `length` bytes inside the
     texts data[start:end]. Among equal hashes of one string all are anchors."""
-    k = max(1, length // 2 - 1)
+    k = anchor_width(length)
     w = length - k + 1
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -400,7 +405,7 @@ REGION = "family long, doc_id long, block long, place int, start long, text bina
 def _regions(blocks: DataFrame, folder: str, length: int) -> DataFrame:
     """The bytes around shared anchors, by the smallest document that has these."""
     arrow = _arrow(REGION)
-    k = max(1, length // 2 - 1)
+    k = anchor_width(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -564,7 +569,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, texts: bool = False) ->
     digests = _write_blocks(docs, folder, length)
     copies = materialize(_copies(digests), "run-copies")
     count, n_bytes = digests.agg(F.countDistinct("block"), F.sum("n_bytes")).first()
-    expected = (n_bytes or 0) * 2 // (length - max(1, length // 2 - 1) + 2)
+    expected = (n_bytes or 0) * 2 // (length - anchor_width(length) + 2)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // BUCKET))
     shared = _shared(_dealt(copies, count), folder, buckets, length).withColumnRenamed("block", "__b")
     met = copies.join(shared, F.col("block") == F.col("__b")).drop("__b")

@@ -59,7 +59,7 @@ def test_every_string_has_its_own_anchor(texts, length):
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - [len(t) for t in texts]
     at, h = runs_index.anchors(np.frombuffer("".join(texts).encode(), np.uint8), starts, ends, length)
-    k, by_string = length // 2 - 1, {}
+    k, by_string = runs_index.anchor_width(length), {}
     for n, text in enumerate(texts):
         for p in range(len(text) - length + 1):
             a = starts[n] + p
