@@ -326,9 +326,31 @@ def _dealt(blocks: DataFrame, count: int) -> DataFrame:
 
 # Shared anchors and regions
 
+class _Keys:
+    """The distinct anchors of a block in ascending order, dealt to buckets; the same
+    each time it is made."""
+
+    def __init__(self, ids: list, texts: list[bytes], skip: set[int], buckets: int, length: int):
+        found = list(_block_anchors(ids, texts, skip, length)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        self.place, self.at, self.hash = (np.concatenate(x) for x in zip(*found, strict=True))
+        # Documents ascend in a block: the least place has the least doc_id.
+        order = np.lexsort((self.place, self.hash))
+        place, key = self.place[order], self.hash[order]
+        first = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1]))
+        last = np.append(first[1:], len(key)) - 1
+        doc = np.array([i or 0 for i in ids], np.int64)
+        self.key, self.first, self.several = key[first], place[first], doc[place[first]] != doc[place[last[:len(first)]]]
+        bucket = (_mixed(self.key) % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+
+    def bucket(self, b: int) -> np.ndarray:
+        return self.order[self.cuts[b]:self.cuts[b + 1]]
+
+
 def _shared(blocks: DataFrame, folder: str, buckets: int, length: int) -> DataFrame:
-    """block and, as arrays of 8 bytes each, its anchors that several documents have
-    and the smallest document of each."""
+    """block and, for each bucket of its anchors, a bit for each that says whether several
+    documents have it, and the smallest document of those."""
     shape = "bucket int, block long, keys binary, places binary, ids binary"
     arrow = _arrow(shape)
 
@@ -336,31 +358,16 @@ def _shared(blocks: DataFrame, folder: str, buckets: int, length: int) -> DataFr
         for batch in batches:
             for number, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, texts = _load(folder, number)
-                found = list(_block_anchors(ids, texts, set(copies), length))
-                if not found:
-                    continue
-                place, key = np.concatenate([f[0] for f in found]), np.concatenate([f[2] for f in found])
-                del found
-                # Documents ascend in a block: the least place has the least doc_id.
-                order = np.lexsort((place, key))
-                place, key = place[order], key[order]
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                last = np.append(first[1:], len(key)) - 1
-                doc = np.array([i or 0 for i in ids], np.int64)
-                several = doc[place[first]] != doc[place[last]]
-                key, tag = key[first], (place[first] | several << 15).astype(np.uint16)
-                bucket = (_mixed(key) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                known = doc.tobytes()
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    mine = order[cuts[b]:cuts[b + 1]]
-                    row = {"bucket": [b], "block": [number], "keys": [key[mine].tobytes()], "places": [tag[mine].tobytes()], "ids": [known]}
+                keys = _Keys(ids, texts, set(copies), buckets, length)
+                tag, known = (keys.first | keys.several << 15).astype(np.uint16), np.array([i or 0 for i in ids], np.int64).tobytes()
+                for b in np.flatnonzero(np.diff(keys.cuts)).tolist():
+                    mine = keys.bucket(b)
+                    row = {"bucket": [b], "block": [number], "keys": [keys.key[mine].tobytes()], "places": [tag[mine].tobytes()], "ids": [known]}
                     yield pa.RecordBatch.from_pydict(row, schema=arrow)
 
-    out = _arrow("block long, keys binary, firsts binary")
+    out = _arrow("block long, bucket int, shared binary, firsts binary")
 
-    def answer(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def answer(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
         tags = [np.frombuffer(r[2], np.uint16) for r in rows]
         docs = np.concatenate([np.frombuffer(r[3], np.int64)[t & 0x7FFF] for r, t in zip(rows, tags, strict=True)])
@@ -375,58 +382,55 @@ def _shared(blocks: DataFrame, folder: str, buckets: int, length: int) -> DataFr
         least[order], hit[order] = np.repeat(low, size), np.repeat(shared, size)
         lo = 0
         for r, t in zip(rows, tags, strict=True):
-            mine = np.flatnonzero(hit[lo:lo + len(t)]) + lo
+            mine = hit[lo:lo + len(t)]
+            if mine.any():
+                yield pa.RecordBatch.from_pydict({
+                    "block": [r[0]], "bucket": [bucket], "shared": [np.packbits(mine).tobytes()], "firsts": [least[lo:lo + len(t)][mine].tobytes()],
+                }, schema=out)
             lo += len(t)
-            if len(mine):
-                yield pa.RecordBatch.from_pydict(
-                    {"block": [r[0]], "keys": [keys[mine].tobytes()], "firsts": [least[mine].tobytes()]}, schema=out)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows = None, []
         for batch in batches:
             for bucket, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if bucket != current and rows:
-                    yield from answer(rows)
+                    yield from answer(current, rows)
                     rows = []
                 current = bucket
                 rows.append(tuple(row))
         if rows:
-            yield from answer(rows)
+            yield from answer(current, rows)
 
     sent = blocks.mapInArrow(send, shape)
     met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    rows = met.mapInArrow(back, "block long, keys binary, firsts binary")
-    return rows.groupBy("block").agg(F.collect_list(F.struct("keys", "firsts")).alias("found"))
+    return met.mapInArrow(back, "block long, bucket int, shared binary, firsts binary")
 
 
 REGION = "family long, doc_id long, block long, place int, start long, text binary"
 
 
-def _regions(blocks: DataFrame, folder: str, length: int) -> DataFrame:
+def _regions(blocks: DataFrame, folder: str, buckets: int, length: int) -> DataFrame:
     """The bytes around shared anchors, by the smallest document that has these."""
     arrow = _arrow(REGION)
-    k = anchor_width(length)
+    reach = length - anchor_width(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 number, copies, found = [c[i].as_py() for c in batch.columns]
-                keys = np.concatenate([np.frombuffer(f["keys"], np.uint64) for f in found])
-                firsts = np.concatenate([np.frombuffer(f["firsts"], np.int64) for f in found])
-                order = np.argsort(keys)
-                keys, firsts = keys[order], firsts[order]
                 ids, texts = _load(folder, number)
-                place, at, family = [], [], []
-                for p, a, h in _block_anchors(ids, texts, set(copies), length):
-                    spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = keys[spot] == h
-                    place.append(p[hit])
-                    at.append(a[hit])
-                    family.append(firsts[spot[hit]])
-                place, at, family = map(np.concatenate, (place, at, family))
+                keys = _Keys(ids, texts, set(copies), buckets, length)
+                shared, firsts = np.zeros(len(keys.key), bool), np.zeros(len(keys.key), np.int64)
+                for f in found:
+                    mine = keys.bucket(f["bucket"])
+                    mine = mine[np.unpackbits(np.frombuffer(f["shared"], np.uint8), count=len(mine)).astype(bool)]
+                    shared[mine], firsts[mine] = True, np.frombuffer(f["firsts"], np.int64)
+                spot = np.searchsorted(keys.key, keys.hash)
+                hit = shared[spot]
+                place, at, family = keys.place[hit], keys.at[hit], firsts[spot[hit]]
                 order = np.lexsort((at, family, place))
                 place, at, family = place[order], at[order], family[order]
-                lo, hi = at - (length - k), at + length
+                lo, hi = at - reach, at + length
                 new = np.append(True, (place[1:] != place[:-1]) | (family[1:] != family[:-1]) | (lo[1:] > hi[:-1]))
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(new)) - 1
@@ -571,9 +575,11 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, texts: bool = False) ->
     count, n_bytes = digests.agg(F.countDistinct("block"), F.sum("n_bytes")).first()
     expected = (n_bytes or 0) * 2 // (length - anchor_width(length) + 2)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // BUCKET))
-    shared = _shared(_dealt(copies, count), folder, buckets, length).withColumnRenamed("block", "__b")
-    met = copies.join(shared, F.col("block") == F.col("__b")).drop("__b")
-    marks = _marks(_regions(_dealt(met, count), folder, length), length)
+    # A block's rows are dealt once; the aggregate and the join keep them where they are.
+    shared = _dealt(_shared(_dealt(copies, count), folder, buckets, length), count).groupBy(F.col("block").alias("__b")).agg(
+        F.collect_list(F.struct("bucket", "shared", "firsts")).alias("found"))
+    met = copies.join(shared, F.col("block") == F.col("__b")).select("block", "copies", "found")
+    marks = _marks(_regions(met, folder, buckets, length), length)
     per_block = marks.groupBy(F.col("block").alias("__b")).agg(F.collect_list(F.struct("places", "begins", "ends")).alias("spans"))
     whole = _dealt(copies.join(per_block, F.col("block") == F.col("__b"), "left").drop("__b"), count)
     shape = RESULT + (", kept binary" if texts else "")
