@@ -20,6 +20,9 @@ WS_PLAIN = r"\t\n\x{0b}\f\r \x{a0}" + _WIDE
 # range test, which is ten times faster than a row of single tests.
 WS = rf"\s\xa0[\x{{1680}}-\x{{feff}}&&[{_WIDE}]]"
 
+# The same characters as a string.
+WS_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind an expression once so that lambdas below reuse the computed value."""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom import constants as K
 from sessionloom.functions import secrets as X
+from sessionloom.functions.text import let
 from sessionloom.operators.prefix import bucket, prefix_sums
 
 
@@ -19,24 +20,53 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
+TOKEN_BLOCK = 256
+_WALK = "struct<at:bigint,out:array<struct<offset:bigint,token:string>>>"
+
+
+def _piece_size(x: Column) -> Column:
+    return (F.char_length(x["gap"]) + F.coalesce(F.char_length(x["tok"]), F.lit(0))).cast("bigint")
+
+
+def _starts(blocks: Column) -> Column:
+    """Characters before each block of pieces."""
+    def step(acc: Column, block: Column) -> Column:
+        inside = F.aggregate(block, F.lit(0).cast("bigint"), lambda n, x: n + _piece_size(x))
+        return F.struct((acc["at"] + inside).alias("at"),
+                        F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(blocks, start, step, lambda acc: acc["out"])
+
+
 def tokenize(df: DataFrame, key: str, text: str) -> DataFrame:
     """`key, pos, offset, token`, offsets in characters.
 
-    The pieces of one text are numbered in place; only their lengths are summed
-    up, by text, so the work of a group is bounded by one text.
+    Nothing is shuffled: the pieces of a text are cut into blocks in its own row, the
+    lengths of the blocks are summed there, and a walk over each block gives the offsets
+    (a walk over the whole list would copy it once per piece).
     """
-    pieces = df.select(key, F.posexplode(X.tokens(F.col(text)))).select(
-        key, "pos", F.col("col.gap").alias("gap"), F.col("col.tok").alias("token")
-    )
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.char_length("gap") + F.coalesce(F.char_length("token"), F.lit(0))
-    return (
-        pieces.withColumn(
-            "offset",
-            F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint") + F.char_length("gap"),
-        )
-        .where(F.col("token").isNotNull())
-        .select(key, F.col("pos").cast("bigint").alias("pos"), "offset", "token")
+    def cut(p: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(p) - 1) / F.lit(TOKEN_BLOCK)).cast("int")),
+            lambda n: F.slice(p, n * TOKEN_BLOCK + 1, F.lit(TOKEN_BLOCK)))
+
+    def placed(blocks: Column) -> Column:
+        return F.zip_with(blocks, _starts(blocks), lambda b, at: F.struct(b.alias("block"), at.alias("at")))
+
+    blocks = let(X.tokens(F.col(text)), lambda p: let(cut(p), placed))
+    rows = df.where(F.col(text).isNotNull()).select(key, F.posexplode(blocks).alias("n", "b"))
+
+    def step(acc: Column, x: Column) -> Column:
+        hit = F.struct((acc["at"] + F.char_length(x["gap"])).alias("offset"), x["tok"].alias("token"))
+        return F.struct((acc["at"] + _piece_size(x)).alias("at"),
+                        F.concat(acc["out"], F.array(hit)).alias("out"))
+
+    start = F.struct(F.col("b.at").alias("at"), F.array().alias("out")).cast(_WALK)
+    walk = F.aggregate("b.block", start, step, lambda acc: acc["out"])
+    return rows.select(key, "n", F.posexplode(walk).alias("i", "x")).where(F.col("x.token").isNotNull()).select(
+        key, (F.col("n") * TOKEN_BLOCK + F.col("i")).cast("bigint").alias("pos"),
+        F.col("x.offset").alias("offset"), F.col("x.token").alias("token"),
     )
 
 

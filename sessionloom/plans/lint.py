@@ -10,13 +10,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom import constants as K
 from sessionloom.functions import secrets as X
 from sessionloom.functions.text import full_trim, unsafe_ref
-from sessionloom.operators.prefix import bucket, prefix_sums
+from sessionloom.operators.prefix import bucket
 from sessionloom.plans.packets import PacketSet, with_facts
 
 FINDING = ["packet_id", "code", "severity", "path", "message"]
@@ -391,25 +391,26 @@ def stale_findings(freshness: DataFrame) -> DataFrame:
 def illegal_transitions(versions: DataFrame) -> DataFrame:
     """Rule 040 over `packet_id, version, status`; version numbers may have gaps.
 
-    The versions of a packet are numbered by running totals over buckets, and the
-    prior status is found by an equi-join on the number before, so a packet with a
-    very long history is spread over all tasks.
+    The prior status comes from the version before in a bucket of versions; the first
+    of a bucket gets it from the last status of the bucket before, found among one row
+    per bucket. So a packet with a very long history is spread over all tasks.
     """
-    numbered = prefix_sums(
-        versions.select("packet_id", "version", "status", F.lit(1).cast("bigint").alias("one"),
-                        bucket(F.col("version")).alias("bucket")),
-        ["packet_id"], ["bucket"], ["version"], {"n": "one"},
-    ).select("packet_id", "version", "status", "n")
-    prior = numbered.select(
-        "packet_id", (F.col("n") + 1).alias("n"), F.col("status").alias("prior")
-    )
+    rows = versions.where(c("packet_id").isNotNull()).select(
+        "packet_id", "version", "status", F.coalesce(bucket(c("version")), F.lit(-1)).alias("bucket"))
+    ends = rows.groupBy("packet_id", "bucket").agg(
+        F.max(F.struct(c("version").alias("v"), c("status").alias("s")))["s"].alias("last"))
+    before = ends.select("packet_id", "bucket", F.lag("last").over(
+        Window.partitionBy("packet_id").orderBy("bucket")).alias("edge"))
+    inside = Window.partitionBy("packet_id", "bucket").orderBy("version")
+    moves = rows.join(before, ["packet_id", "bucket"]).select(
+        "packet_id", "version", "status",
+        F.when(F.row_number().over(inside) == 1, c("edge")).otherwise(F.lag("status").over(inside)).alias("prior"),
+    ).where(~c("status").eqNullSafe(c("prior")) & c("prior").isNotNull())
     allowed = F.create_map(*[
         x for k, v in K.TRANSITIONS.items()
         for x in (F.lit(k), F.array(*[F.lit(s) for s in v]).cast("array<string>"))
     ])
-    moves = numbered.join(prior, ["packet_id", "n"]).where(
-        ~c("status").eqNullSafe(c("prior")) & c("prior").isNotNull()
-    ).withColumn("allowed", F.try_element_at(allowed, c("prior")))
+    moves = moves.withColumn("allowed", F.try_element_at(allowed, c("prior")))
     known = c("allowed").isNotNull()
     bad = moves.where(~known | ~F.array_contains(F.coalesce("allowed", F.array().cast(
         "array<string>")), c("status")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.text import full_trim
 from sessionloom.session import allow_repeated_keys
+from sessionloom.sources.lines import numbered_lines
 
 DISPATCH = (
     "id string, packet_id string, target_tool string, adapter string, status string, "
@@ -29,18 +30,9 @@ def parse_journal(lines: DataFrame, schema: str, line: str = "line") -> DataFram
     )
 
 
-def read_journal(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:
-    """A journal folder. `seq` is the place in the journal: file, file split and
-    line (`latest` depends on it, not on time stamps)."""
-    if stream:
-        raw = spark.readStream.schema("value string").text(path)
-        return parse_journal(raw.withColumnRenamed("value", "line"), schema)
-    raw = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("value").alias("line"),
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("seq"),
-    )
-    return parse_journal(raw, schema)
+def read_journal(spark: SparkSession, path: str, schema: str, stream: bool = False, **options: str) -> DataFrame:
+    """A journal folder, in batch or as a stream of files. `seq` is the place in the
+    journal: file, file split and line (`latest` depends on it, not on time stamps)."""
+    reader = spark.readStream.schema("value string") if stream else spark.read
+    rows = numbered_lines(reader.options(**options).option("lineSep", "\n").text(path))
+    return parse_journal(rows.select("line", F.struct("file", "split", "row").alias("seq")), schema)

@@ -7,14 +7,17 @@ messages of an artifact and spans are UTF-8 byte offsets.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sessionloom import constants as K
-from sessionloom.functions.text import WS, capped, full_trim, let
+from sessionloom.functions.text import WS, WS_CHARS, capped, full_trim, let
 from sessionloom.operators.prefix import prefix_sums
 from sessionloom.session import allow_repeated_keys, materialize
 from sessionloom.sources.lines import chunk_bases
@@ -243,35 +246,65 @@ def _cut(content: Column, depth: int) -> Column:
         F.lit(False))
 
 
-def nesting(lines: DataFrame, depth: int = 3) -> int:
-    """A depth at which no tool result of `lines` is cut: doubled until none is.
-    Only lines that name tool results more often than that can be any deeper."""
-    marks = F.size(F.split("line", '"tool_result"')) - 1
+#: Levels of tool results that are read by expressions; deeper content goes to `nested_text`.
+INLINE_DEPTH = 3
+
+
+def nested_text(content: object) -> str:
+    """`_block_text` of decoded JSON content at any depth, without recursion."""
+    if not isinstance(content, list):
+        return content if isinstance(content, str) else ""
+    lists: list[tuple[Iterator, list[str]]] = [(iter(content), [])]
     while True:
-        deep = lines.where(marks >= depth).select(F.try_parse_json(full_trim("line")).alias("v")).where(
-            _cut(F.try_variant_get("v", "$.message.content", "variant"), depth))
-        if deep.isEmpty():
-            return depth
-        depth *= 2
+        blocks, parts = lists[-1]
+        for b in blocks:
+            kind = b.get("type") if isinstance(b, dict) else None
+            if kind == "text" and isinstance(b.get("text"), str):
+                parts.append(b["text"])
+            elif kind == "tool_use" and isinstance(b.get("name"), str):
+                parts.append(f"[tool: {b['name']}]")
+            elif kind == "tool_result" and isinstance(b.get("content"), list):
+                lists.append((iter(b["content"]), []))
+                break
+            elif kind == "tool_result" and isinstance(b.get("content"), str) and b["content"]:
+                parts.append(f"[tool_result] {b['content']}")
+        else:
+            lists.pop()
+            text = "\n".join(parts).strip(WS_CHARS)
+            if not lists:
+                return text
+            if text:
+                lists[-1][1].append(f"[tool_result] {text}")
+
+
+@F.pandas_udf(StringType())
+def _deep_text(content: pd.Series) -> pd.Series:
+    return content.map(lambda t: None if t is None else nested_text(json.loads(t)))
 
 
 def parse_events(lines: DataFrame, depth: int | None = None) -> DataFrame:
     """Event format: one JSON event per line, `message.content` text or blocks,
-    nested to any depth unless `depth` limits it."""
-    allow_repeated_keys(lines.sparkSession)
-    depth = nesting(lines) if depth is None else depth
+    nested to any depth unless `depth` limits it.
+
+    The plan does not depend on the data: three levels are read by expressions, and
+    only the content of a line that has more goes through a function over its JSON.
+    """
     kind = _string_at(F.col("v"), "$.type")
     role = F.lower(_string_at(F.col("v"), "$.message.role"))
     content = F.try_variant_get("v", "$.message.content", "variant")
+    events = _json_lines(lines).withColumn("kind", kind).where(F.col("kind").isin(EVENT_TYPES))
+    text = _block_text(content, INLINE_DEPTH if depth is None else depth)
+    if depth is None:
+        # A line with fewer marks, plain or escaped, has no such depth.
+        marks = F.size(F.split("line", "tool_result|\\\\u")) - 1
+        deep = F.when((marks >= INLINE_DEPTH) & _cut(content, INLINE_DEPTH), F.to_json(content))
+        events = events.withColumn("deep", _deep_text(deep))
+        text = F.when(F.col("deep").isNotNull(), F.col("deep")).otherwise(text)
     return (
-        _json_lines(lines)
-        .withColumn("kind", kind)
-        .where(F.col("kind").isin(EVENT_TYPES))
-        .select(
+        events.select(
             "artifact_id", F.col("pos").alias("ord"),
             F.when(role.isin(K.ROLES), role).otherwise(F.col("kind")).alias("role"),
-            _block_text(content, depth).alias("text"),
-            _string_at(F.col("v"), "$.timestamp").alias("ts"),
+            text.alias("text"), _string_at(F.col("v"), "$.timestamp").alias("ts"),
             "span_start", "span_end",
         )
         .where(F.col("text") != "")

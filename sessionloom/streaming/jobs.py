@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sessionloom import constants as K
 from sessionloom.functions.text import has_limit_marker, is_tool_placeholder
 from sessionloom.plans.compile import compile_fast
-from sessionloom.plans.lifecycle import latest_by_packet
 from sessionloom.session import work_dir
 
 SPAN = K.MARKER_SPAN - 1
@@ -141,16 +140,30 @@ def stream_session_ends(events: DataFrame, key: str, ts: str, gap_seconds: int,
 
 
 def latest_events(journal: DataFrame, state_dir: str | None = None) -> DataFrame:
-    """Latest row per packet of a journal stream (`packet_id, seq`, more columns):
-    each micro-batch is reduced and logged; the log is reduced once more when read."""
+    """Latest row per packet of a journal stream (`packet_id, seq`, more columns).
+
+    The state, one row per packet in RocksDB, is the result: a micro-batch writes the
+    packets it touches, and the state is read back as a table, whose size follows the
+    packets and not the batches. `seq` may be a number or a place in journal files.
+    """
     spark = journal.sparkSession
-    names = ["packet_id", "seq", *[c for c in journal.columns if c not in ("packet_id", "seq")]]
-    journal = journal.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in journal.schema)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    names = ["seq", *[c for c in journal.columns if c not in ("packet_id", "seq")]]
     state_dir = state_dir or work_dir(spark, "latest")
-    log = BatchLog(f"{state_dir}/latest", schema)
-    run_batches(journal, state_dir, lambda batch, n: log.write(latest_by_packet(batch).select(*names), n))
-    return latest_by_packet(log.read(spark)).select(*names)
+    query = (
+        journal.groupBy("packet_id").agg(F.max(F.struct(*names)).alias("x"))
+        .writeStream.format("noop").outputMode("update")
+        .option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    try:
+        state = spark.read.format("statestore").load(f"{state_dir}/checkpoint")
+    except Exception as e:  # a stream that never had a row has no state
+        if "STDS_" not in str(e):
+            raise
+        return spark.createDataFrame([], journal.select("packet_id", *names).schema)
+    last = state.schema["value"].dataType.fieldNames()[0]
+    return state.select("key.packet_id", f"value.{last}.*").select("packet_id", *names)
 
 
 def incremental_compile(turns: DataFrame, now: str, state_dir: str | None = None) -> DataFrame:

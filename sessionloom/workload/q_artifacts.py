@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from sessionloom import constants as K
 from sessionloom.plans import compile as C
 from sessionloom.plans.packets import from_nested
+from sessionloom.session import work_dir
 from sessionloom.sources import artifacts as A
 from sessionloom.sources import journals as J
 from sessionloom.sources import packets as P
+from sessionloom.sources.lines import write_lines
 from sessionloom.workload.derived import check_sql, pick, table, text
 from sessionloom.workload.inputs import packet_set
 from sessionloom.workload.registry import query
@@ -170,3 +172,25 @@ def provenance_rows(spark, sf):
     return packet_set(spark, sf).provenance_links.select(
         "packet_id", "pos", "id", "field_name", "artifact_id", "ref", "span_start", "span_end"
     )
+
+
+@query("latest_session_file", check_sql("""
+SELECT '2024/' || lpad(CAST(1 + conv_id % 12 AS VARCHAR), 2, '0') || '/' || lpad(CAST(1 + conv_id % 28 AS VARCHAR), 2, '0')
+  || '/rollout-' || conv_id || '.jsonl' AS file FROM (SELECT max(conv_id) AS conv_id FROM conversations) m"""))
+def latest_session_file(spark, sf):
+    """A session file of every conversation, the last one's written after the others;
+    still newer files of other names or outside the date folders don't count."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("conv_id IS NOT NULL")
+    day = "'2024/' || lpad(1 + conv_id % 12, 2, '0') || '/' || lpad(1 + conv_id % 28, 2, '0')"
+    lines = turns.select("conv_id", F.expr(day).alias("day"), F.col("turn").alias("pos"), F.to_json(F.struct("role", "text")).alias("line"))
+    last = turns.agg(F.max("conv_id")).first()[0]
+    root = work_dir(spark, "sessions-by-day")
+    for rows, path in (
+        (lines.where(F.col("conv_id") < last), "day || '/rollout-' || conv_id || '.jsonl'"),
+        (lines.where(F.col("conv_id") == last), "day || '/rollout-' || conv_id || '.jsonl'"),
+        (lines.where("conv_id % 3 = 0"), "day || '/notes-' || conv_id || '.jsonl'"),
+        (lines.where("conv_id % 3 = 1"), "'old/' || day || 'th/rollout-' || conv_id || '.jsonl'"),
+    ):
+        write_lines(rows.withColumn("artifact_id", F.expr(path)), root)
+    found = A.latest_session_file(spark, root)
+    return found.select(F.regexp_extract("path", r"[0-9]+/[0-9]+/[0-9]+/[^/]*\z", 0).alias("file"))

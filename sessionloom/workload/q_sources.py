@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import WS_PLAIN
+from sessionloom.session import work_dir
 from sessionloom.sources import sessions as S
+from sessionloom.sources.lines import read_lines, write_lines
 from sessionloom.workload.derived import CRLF, MD_FENCE, MD_TS, NL, check_sql, text
-from sessionloom.workload.inputs import session_lines
+from sessionloom.workload.inputs import TURNS_PER_CHUNK, session_lines
 from sessionloom.workload.registry import query
 
 AID = f"'conv-' || {text('conv_id')}"
@@ -109,3 +111,34 @@ SELECT {AID} AS artifact_id, 'COMPILE_TRANSCRIPT_UNRECOGNIZED' AS code, 'info' A
 FROM session_heads WHERE fmt = 'plain'"""))
 def unrecognized_warnings(spark, sf):
     return S.unrecognized_warnings(S.parse_sessions(session_lines(spark, sf)))
+
+
+@query("parse_session_files", check_sql(" UNION ALL ".join(
+    f"SELECT *, '{f}' AS fmt FROM ({q})" for f, q in (
+        ("markdown", MD_EXPECTED), ("events", EV_EXPECTED), ("rollout", RO_EXPECTED),
+        ("plain", PLAIN_EXPECTED))), PX))
+def parse_session_files(spark, sf):
+    """All sessions written as files and read back by file split."""
+    root = work_dir(spark, "session-files")
+    write_lines(session_lines(spark, sf), root)
+    parsed = S.parse_sessions(read_lines(spark, root))
+    return parsed.select(
+        F.regexp_extract("artifact_id", r"[^/]*\z", 0).alias("artifact_id"), "role", "text", "ts",
+        F.col("span_start").cast("bigint"), F.col("span_end").cast("bigint"), "fmt")
+
+
+@query("parse_nested_results", check_sql(f"""
+SELECT {AID} AS artifact_id, turn AS ord,
+  repeat('[tool_result] ', list_extract([0, 1, 3, 4, 5, 40], 1 + turn % 6)) || {sql_trim('text')} AS text
+FROM conversations WHERE {sql_trim('text')} <> ''"""))
+def parse_nested_results(spark, sf):
+    """Every turn inside 0 to 40 levels of tool results."""
+    level = F.element_at(F.array(*[F.lit(n) for n in (0, 1, 3, 4, 5, 40)]), (F.col("turn") % 6 + 1).cast("int"))
+    block = F.to_json(F.struct(F.lit("text").alias("type"), "text"))
+    content = F.concat(F.repeat(F.lit('[{"type":"tool_result","content":'), level), F.lit("["), block, F.lit("]"),
+                       F.repeat(F.lit("}]"), level))
+    lines = spark.read.parquet(f"{sf}/conversations.parquet").select(
+        F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("artifact_id"),
+        F.floor(F.col("turn") / TURNS_PER_CHUNK).cast("bigint").alias("chunk"), F.col("turn").alias("pos"),
+        F.concat(F.lit('{"type":"user","message":{"role":"user","content":'), content, F.lit("}}")).alias("line"))
+    return S.parse_events(lines).select("artifact_id", "ord", "text")

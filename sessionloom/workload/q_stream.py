@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import constants as K
 from sessionloom.session import work_dir
+from sessionloom.sources import journals as J
 from sessionloom.streaming import jobs
 from sessionloom.workload.derived import check_sql
 from sessionloom.workload.q_compile import NOW, nb, title_sql
@@ -47,14 +48,30 @@ def stream_limit_markers(spark, sf):
     return jobs.limit_triggers(chunks)
 
 
+def journal_files(spark, sf):
+    """All events as journal files: folders of FILES files each, by name in the order of
+    the events; some lines are blank or cut off."""
+    given = spark.read.parquet(f"{sf}/events.parquet").selectExpr(
+        "event_id", "'dis-' || CAST(event_id AS STRING) AS id", "'conv-' || CAST(user_id AS STRING) AS packet_id",
+        "CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'delivered' END AS status")
+    line = F.to_json(F.struct("id", "packet_id", "status"))
+    torn = F.when(F.col("event_id") % 7 == 3, F.concat(line, F.lit("\n\n"), F.left(line, F.lit(15)))).otherwise(line)
+    low, high = given.agg(F.min("event_id"), F.max("event_id")).first()
+    low, width = low or 0, (high or 0) - (low or 0) + 1
+    folder = work_dir(spark, "journal")
+    for i in range(SLICES):
+        part = given.where(F.floor((F.col("event_id") - low) * SLICES / F.lit(width)) == i)
+        part.repartitionByRange(FILES, "event_id").sortWithinPartitions("event_id").select(
+            torn.alias("value")).write.text(f"{folder}/slice={i}")
+    return folder
+
+
 @query("stream_latest_events", check_sql("""
-SELECT packet_id, seq, id, status FROM (SELECT *, row_number() OVER (PARTITION BY packet_id ORDER BY seq DESC) AS rn FROM dispatches) d WHERE rn = 1"""))
+SELECT packet_id, id, status FROM (SELECT *, row_number() OVER (PARTITION BY packet_id ORDER BY seq DESC) AS rn FROM dispatches) d WHERE rn = 1"""))
 def stream_latest_events(spark, sf):
-    rows = stream_of(spark, sf, "events", "event_id", "user_id").selectExpr(
-        "event_id AS seq", "'dis-' || CAST(event_id AS STRING) AS id",
-        "'conv-' || CAST(user_id AS STRING) AS packet_id",
-        "CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'delivered' END AS status")
-    return jobs.latest_events(rows)
+    rows = J.read_journal(spark, f"{journal_files(spark, sf)}/slice=*", "id string, packet_id string, status string",
+                          stream=True, maxFilesPerTrigger=str(FILES))
+    return jobs.latest_events(rows).select("packet_id", "id", "status")
 
 
 @query("stream_compile", check_sql(f"""

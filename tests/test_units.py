@@ -22,11 +22,14 @@ from sessionloom.plans.extract import evict
 from sessionloom.sources import artifacts as A
 from sessionloom.sources import journals as J
 from sessionloom.sources import sessions as S
-from sessionloom.sources.lines import lines_from_text, read_lines
+from sessionloom.sources.lines import lines_from_text, read_lines, write_lines
 from sessionloom.sources.sessions import parse_markdown, parse_sessions
 from sessionloom.streaming import jobs
 from sessionloom.workload.q_extract import answer_by_length
 
+# Token characters, for a plain loop over matches.
+T_CHARS = r"""[^,;'"`<>(){}\[\]\s]+"""
+
 
 def one(spark, value, expr, schema="text string"):
     return spark.createDataFrame([(value,)], schema).select(expr.alias("r")).first()["r"]
@@ -116,6 +119,29 @@ def test_tool_results_of_any_depth(spark):
     assert [r.text for r in S.parse_events(lines).collect()] == [want]
 
 
+def test_deep_and_inline_texts_agree(spark):
+    inner = ['"x"', '[]', '[{"type":"text","text":"plain"}]', '[{"type":"text","text":"  "}]', '7', 'null', '["s",{"type":"text","text":5}]',
+             '[{"type":"text","text":" a "},{"type":"tool_use","name":""},{"type":"tool_use"},{"type":"text","text":"b\\u00a0"}]',
+             '[{"type":"tool_result"},{"type":"tool_result","content":""},{"type":"text","text":"end"}]']
+    texts = []
+    for content in inner:
+        for _ in range(4):
+            texts.append(_event('[{"type":"text","text":"top"},' + content + "]") if content[0] == "{" else _event(content))
+            content = '[{"type":"tool_result","content":' + content + '},{"type":"text","text":"after"}]'
+    rows = spark.createDataFrame([(f"a{n:03d}", t) for n, t in enumerate(texts)], "artifact_id string, text string")
+    lines = lines_from_text(rows)
+    want = {r.artifact_id: r.text for r in S.parse_events(lines, 6).collect()}
+    assert {r.artifact_id: r.text for r in S.parse_events(lines).collect()} == want
+    for n, t in enumerate(texts):
+        assert S.nested_text(json.loads(t)["message"]["content"]) == want.get(f"a{n:03d}", "")
+
+
+def test_tool_results_four_hundred_levels_deep(spark):
+    content = '[{"type":"tool_result","content":' * 400 + '"deep"' + "}]" * 400
+    lines = lines_from_text(spark.createDataFrame([("a", _event(content))], "artifact_id string, text string"))
+    assert [r.text for r in S.parse_events(lines).collect()] == ["[tool_result] " * 400 + "deep"]
+
+
 def test_repeated_json_keys_keep_the_last(spark):
     line = '{"type":"user","message":{"role":"user","content":"old","content":"new"}}'
     lines = lines_from_text(spark.createDataFrame([("a", line)], "artifact_id string, text string"))
@@ -191,6 +217,71 @@ def test_read_lines_of_files(spark, tmp_path):
     assert MD.encode()[user.span_start:].decode().startswith("Héllo")
 
 
+def test_a_file_in_many_splits_reads_as_a_whole(spark, tmp_path):
+    body = [f"line {n}" * (n % 5) for n in range(700)]
+    md = "# s\n" + "".join(f"## {'User' if n % 2 else 'Assistant'}\n" + "\n".join(body[n:n + 9]) + "\n" for n in range(120))
+    blank = "\n" * 900
+    for name, text in (("one.md", md), ("two.md", blank + "x"), ("three.md", "x" * 999 + "\n" + blank)):
+        (tmp_path / name).write_bytes(text.encode())
+    whole = lines_from_text(spark.createDataFrame(
+        [("one.md", md), ("two.md", blank + "x"), ("three.md", "x" * 999 + "\n" + blank)], "artifact_id string, text string"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size in ("300", "1000"):
+            spark.conf.set(key, size)
+            lines = read_lines(spark, str(tmp_path)).withColumn("artifact_id", F.regexp_extract("artifact_id", "[^/]*$", 0))
+            got = lines.orderBy("artifact_id", "pos").collect()
+            want = whole.orderBy("artifact_id", "pos").collect()
+            assert [(r.artifact_id, r.line) for r in got] == [(r.artifact_id, r.line) for r in want]
+            assert len({(r.artifact_id, r.pos) for r in got}) == len(got)
+            assert len({r.chunk for r in got if r.artifact_id == "one.md"}) > 5
+            rows = lambda x: sorted((m.artifact_id, m.role, m.text, m.span_start, m.span_end) for m in parse_sessions(x).collect())
+            assert rows(lines) == rows(whole)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_written_lines_are_read_back(spark, tmp_path):
+    rows = [("a/x", 0, "é"), ("a/x", 1, ""), ("a/x", 2, "b\r"), ("y", 5, "only"), ("z", 1, "end"), ("z", 2, "")]
+    given = spark.createDataFrame(rows, "artifact_id string, pos long, line string")
+    counts = write_lines(given, str(tmp_path / "out")).collect()
+    assert sorted((r.artifact_id, r.n_lines) for r in counts) == [("a/x", 3), ("y", 1), ("z", 2)]
+    assert (tmp_path / "out/a/x").read_bytes() == "é\n\nb\r".encode()
+    assert (tmp_path / "out/z").read_bytes() == b"end\n"
+    assert write_lines(given.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_token_offsets_over_blocks(spark):
+    text = " é ".join(f"t{n}_x" for n in range(1500)) + "!"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "--")], "id long, text string")
+    df = scan.tokenize(rows, "id", "text")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [(r.id, r.pos, r.offset, r.token) for r in df.orderBy("id", "pos").collect()]
+    want = [(r[0], m.start(), m.group()) for r in rows.collect() if r[1] for m in re.finditer(T_CHARS, r[1])]
+    assert [(i, o, t) for i, _, o, t in got] == want
+    ones = [p for i, p, _, _ in got if i == 1]
+    assert ones == list(range(len(ones)))
+
+
+def test_journal_files_as_a_stream(spark, tmp_path):
+    def put(name, rows):
+        (tmp_path / "j").mkdir(exist_ok=True)
+        (tmp_path / "j" / name).write_text("".join(json.dumps(r) + "\n" if r else "\n{torn\n" for r in rows))
+
+    def run():
+        rows = J.read_journal(spark, str(tmp_path / "j"), J.OUTCOME, stream=True, maxFilesPerTrigger="1")
+        return {(r.packet_id, r.id) for r in jobs.latest_events(rows, str(tmp_path / "state")).collect()}
+
+    (tmp_path / "j").mkdir()
+    assert run() == set()
+    put("0001.jsonl", [{"id": "a", "packet_id": "p"}, None, {"id": "b", "packet_id": "q"}, {"id": "c", "packet_id": "p"}])
+    assert run() == {("p", "c"), ("q", "b")}
+    put("0002.jsonl", [{"id": "d", "packet_id": "q"}, {"id": "0", "packet_id": "r"}])
+    assert run() == {("p", "c"), ("q", "d"), ("r", "0")}
+    assert run() == {("p", "c"), ("q", "d"), ("r", "0")}
+
+
 def test_latest_session_file(spark, tmp_path):
     day = tmp_path / "2024" / "01" / "02"
     odd = tmp_path / "misc" / "01" / "02"
