@@ -20,7 +20,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
-TOKEN_BLOCK = 256
+TOKEN_BLOCK = 64
 _WALK = "struct<at:bigint,out:array<struct<offset:bigint,token:string>>>"
 
 
@@ -55,7 +55,8 @@ def tokenize(df: DataFrame, key: str, text: str) -> DataFrame:
         return F.zip_with(blocks, _starts(blocks), lambda b, at: F.struct(b.alias("block"), at.alias("at")))
 
     blocks = let(X.tokens(F.col(text)), lambda p: let(cut(p), placed))
-    rows = df.where(F.col(text).isNotNull()).select(key, F.posexplode(blocks).alias("n", "b"))
+    # The outer forms, as a plain one has its array computed once more for a filter.
+    rows = df.select(key, F.posexplode_outer(blocks).alias("n", "b"))
 
     def step(acc: Column, x: Column) -> Column:
         hit = F.struct((acc["at"] + F.char_length(x["gap"])).alias("offset"), x["tok"].alias("token"))
@@ -64,7 +65,7 @@ def tokenize(df: DataFrame, key: str, text: str) -> DataFrame:
 
     start = F.struct(F.col("b.at").alias("at"), F.array().alias("out")).cast(_WALK)
     walk = F.aggregate("b.block", start, step, lambda acc: acc["out"])
-    return rows.select(key, "n", F.posexplode(walk).alias("i", "x")).where(F.col("x.token").isNotNull()).select(
+    return rows.select(key, "n", F.posexplode_outer(walk).alias("i", "x")).where(F.col("x.token").isNotNull()).select(
         key, (F.col("n") * TOKEN_BLOCK + F.col("i")).cast("bigint").alias("pos"),
         F.col("x.offset").alias("offset"), F.col("x.token").alias("token"),
     )

@@ -389,20 +389,34 @@ def evict(entries: DataFrame, budget: int = K.CACHE_BUDGET_BYTES) -> DataFrame:
     """Entries that stay: the most recently used ones within `budget` bytes.
 
     `entries`: key, size, last_accessed (ISO text; NULL counts as never used).
-    Within one instant the smaller key counts as the newer one. A running total
-    over the whole table, taken over days, seconds, instants and key prefixes in
-    turn, so no window sees more than one bucket's rows.
+    Within one instant the smaller key counts as the newer one; sizes are not negative.
+
+    The border is found level by level: by day, by second of the border day, by instant,
+    by key prefix. Each level is a map-side combined sum of the rows inside the border so
+    far, of which one row is read. Newer rows stay by a filter alone; only the rows of
+    the last border, of one instant and key prefix, are ranked.
     """
     used = F.unix_micros(F.try_to_timestamp("last_accessed"))
     at = F.coalesce(used, F.lit(-(2**60)))
-    rows = entries.select(
-        "*", (-F.floor(at / 86_400_000_000)).alias("__day"), (-F.floor(at / 1_000_000)).alias("__second"),
-        (-at).alias("__instant"),
-        F.left("key", F.lit(2)).alias("__k1"), F.left("key", F.lit(4)).alias("__k2"),
-    )
-    summed = prefix_sums(
-        rows, [], ["__day", "__second", "__instant", "__k1", "__k2"], ["key"], {"__newer": "size"}
-    )
-    return summed.where(F.col("__newer") + F.col("size") <= budget).select(*entries.columns)
-
-
+    name = F.coalesce("key", F.lit(""))
+    levels = {
+        "__day": -F.floor(at / 86_400_000_000), "__second": -F.floor(at / 1_000_000),
+        "__instant": -at, "__k1": F.left(name, F.lit(2)), "__k2": F.left(name, F.lit(4)),
+    }
+    rows = entries.select("*", *[e.alias(n) for n, e in levels.items()])
+    inside, newer, same, spent = rows, F.lit(False), F.lit(True), 0
+    for level in levels:
+        sums = inside.groupBy(level).agg(F.sum("size").alias("__n"))
+        upto = Window.orderBy(level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        border = sums.select(level, "__n", F.sum("__n").over(upto).alias("__total")).where(
+            F.col("__total") + spent > budget).agg(F.min(F.struct(level, "__n", "__total"))).first()[0]
+        if border is None:  # all that is left fits
+            return rows.where((newer | same) & F.col("size").isNotNull()).select(*entries.columns)
+        newer = newer | (same & (F.col(level) < F.lit(border[level])))
+        same = same & (F.col(level) == F.lit(border[level]))
+        spent += border["__total"] - border["__n"]
+        inside = rows.where(same)
+    upto = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = inside.withColumn("__total", F.sum("size").over(upto)).where(F.col("__total") + spent <= budget)
+    kept = rows.where(newer).select(*entries.columns).unionByName(last.select(*entries.columns))
+    return kept.where(F.col("size").isNotNull())
