@@ -15,13 +15,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.session import materialize
 
 # Lines per chunk when a text column is split (rows of one text stay together).
 LINES_PER_CHUNK = 4096
+# Hashes below one node of a digest's tree.
+DIGEST_FAN = 4096
 
 
 PLACED = "file string, split bigint, size bigint, line string, row bigint"
@@ -72,13 +74,19 @@ def read_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
     through the whole file.
     """
     raw = spark.read.options(**options).option("lineSep", "\n").text(path)
-    lines = numbered_lines(raw).select(
+    return in_order(numbered_lines(raw), _split_lines(raw))
+
+
+def in_order(numbered: DataFrame, split: DataFrame | None = None) -> DataFrame:
+    """The line table of `numbered_lines`. `split` may give the same lines without
+    numbers, if these are cheaper to read again."""
+    lines = numbered.select(
         F.col("file").alias("artifact_id"), F.col("split").alias("chunk"),
         (F.col("split") + F.col("row") + (F.col("split") > 0).cast("bigint")).alias("pos"), "line",
     )
     # The reader drops the empty line after a final line feed; put it back.
     last = (
-        _split_lines(raw).groupBy("file", "size")
+        (numbered if split is None else split).groupBy("file", "size")
         .agg(
             F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("split").alias("chunk")
         )
@@ -157,3 +165,34 @@ def chunk_bases(lines: DataFrame) -> DataFrame:
             F.lead("chunk").over(w).isNull().alias("is_last"),
         )
     )
+
+
+def digests(lines: DataFrame) -> DataFrame:
+    """`artifact_id, n_lines, bytes, digest` of a line table.
+
+    The digest is that of a tree: the hashes of DIGEST_FAN lines give the hash of a
+    block, those of as many blocks the hash of a group, those of the groups the digest.
+    It depends on the lines and their order alone, not on file splits or chunks, and no
+    row holds more than the hashes below one node. Line hashes, not lines, are shuffled.
+    """
+    w = Window.partitionBy("artifact_id", "chunk").orderBy("pos")
+    size = F.octet_length("line") + 1
+    hashed = lines.select("artifact_id", "chunk", "pos", F.unhex(F.sha2("line", 256)).alias("hash"), size.alias("size"))
+    of_chunk = lines.groupBy("artifact_id", "chunk").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    before = Window.partitionBy("artifact_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = of_chunk.select("artifact_id", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    leaves = hashed.withColumn("at", F.row_number().over(w) - 1).join(bases, ["artifact_id", "chunk"]).select(
+        "artifact_id", (F.col("base") + F.col("at")).alias("node"), "hash")
+
+    def above(nodes: DataFrame, node: Column) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("node", "hash")))
+        joined = F.array_join(F.transform(ordered, lambda x: F.lower(F.hex(x["hash"]))), "")
+        return nodes.groupBy("artifact_id", node.alias("above")).agg(F.unhex(F.sha2(joined, 256)).alias("hash")).select(
+            "artifact_id", F.col("above").alias("node"), "hash")
+
+    upper = F.floor(F.col("node") / DIGEST_FAN).cast("bigint")
+    root = above(above(above(leaves, upper), upper), F.lit(0).cast("bigint"))
+    totals = of_chunk.groupBy("artifact_id").agg(
+        F.sum("n").cast("bigint").alias("n_lines"), (F.sum("bytes") - 1).cast("bigint").alias("bytes"))
+    return totals.join(root, "artifact_id").select(
+        "artifact_id", "n_lines", "bytes", F.concat(F.lit("tree:"), F.lower(F.hex("hash"))).alias("digest"))

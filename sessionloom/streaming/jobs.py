@@ -7,14 +7,16 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sessionloom import constants as K
 from sessionloom.functions.text import has_limit_marker, is_tool_placeholder
 from sessionloom.plans.compile import compile_fast
-from sessionloom.session import work_dir
+from sessionloom.session import materialize, work_dir
+from sessionloom.sources.lines import digests, in_order, numbered_lines
+from sessionloom.sources.sessions import parse_sessions
 
 SPAN = K.MARKER_SPAN - 1
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -31,9 +33,11 @@ class BatchLog:
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
-    def read(self, spark) -> DataFrame:
+    def read(self, spark, before: int | None = None) -> DataFrame:
+        """All rows, or those of the batches before one."""
         try:
-            return spark.read.schema(f"{self.schema}, batch bigint").parquet(self.path).drop("batch")
+            rows = spark.read.schema(f"{self.schema}, batch bigint").parquet(self.path)
+            return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -184,6 +188,44 @@ def incremental_compile(turns: DataFrame, now: str, state_dir: str | None = None
     return compile_fast(rows, sessions, now=now)
 
 
+def compile_files(spark: SparkSession, path: str, now: str, known: DataFrame | None = None,
+                  packet_id: Column | None = None, state_dir: str | None = None, **options: str) -> DataFrame:
+    """Packet drafts of session files as they arrive in a folder, one for each content.
+
+    Columns of the drafts, and `digest, n_lines, bytes` of the file. A micro-batch reads
+    its files by split, drops those whose digest is in `known`, was stored by an earlier
+    batch or belongs to a smaller path of the batch, and sends the rest through format
+    detection and the parsers; it logs their digests and deciding turns, nothing else.
+    A batch that is run again looks at the batches before it alone and replaces its own
+    rows. `packet_id` is made from `artifact_id`, the path (default: the path itself).
+    A file of no bytes has no line and gives no packet.
+    """
+    state_dir = state_dir or work_dir(spark, "compile-files")
+    turns = BatchLog(f"{state_dir}/turns", "session_id string, ord bigint, role string, text string")
+    files = BatchLog(f"{state_dir}/files", "artifact_id string, n_lines bigint, bytes bigint, digest string")
+    reader = spark.readStream.schema("value string").options(**options).option("lineSep", "\n")
+    arriving = numbered_lines(reader.text(path))
+
+    def step(batch: DataFrame, n: int) -> None:
+        numbered = materialize(batch, "arrived")
+        lines = in_order(numbered)
+        seen = files.read(numbered.sparkSession, before=n).select("digest")
+        if known is not None:
+            seen = seen.unionByName(known.select("digest"))
+        first = digests(lines).groupBy("digest").agg(F.min(F.struct("artifact_id", "n_lines", "bytes")).alias("x"))
+        fresh = materialize(first.select("x.*", "digest").join(seen, "digest", "left_anti"), "fresh")
+        parsed = parse_sessions(lines.join(fresh, "artifact_id", "left_semi"))
+        turns.write(deciding_turns(parsed.withColumnRenamed("artifact_id", "session_id")), n)
+        files.write(fresh, n)
+
+    run_batches(arriving, state_dir, step)
+    rows = deciding_turns(turns.read(spark))
+    stored = files.read(spark).withColumnRenamed("artifact_id", "session_id")
+    name = F.col("artifact_id") if packet_id is None else packet_id
+    sessions = files.read(spark).select(F.col("artifact_id").alias("session_id"), name.alias("packet_id"))
+    return compile_fast(rows, sessions, now=now).join(stored, "session_id")
+
+
 def deciding_turns(turns: DataFrame) -> DataFrame:
     """At most four turns of each session: the first user turn, the first and the
     last prose turn, and one that stands for a session without these."""

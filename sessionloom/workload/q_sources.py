@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions.text import WS_PLAIN
 from sessionloom.session import work_dir
 from sessionloom.sources import sessions as S
-from sessionloom.sources.lines import read_lines, write_lines
+from sessionloom.sources.lines import DIGEST_FAN, digests, read_lines, write_lines
 from sessionloom.workload.derived import CRLF, MD_FENCE, MD_TS, NL, check_sql, text
 from sessionloom.workload.inputs import TURNS_PER_CHUNK, session_lines
 from sessionloom.workload.registry import query
@@ -142,3 +142,28 @@ def parse_nested_results(spark, sf):
         F.floor(F.col("turn") / TURNS_PER_CHUNK).cast("bigint").alias("chunk"), F.col("turn").alias("pos"),
         F.concat(F.lit('{"type":"user","message":{"role":"user","content":'), content, F.lit("}}")).alias("line"))
     return S.parse_events(lines).select("artifact_id", "ord", "text")
+
+
+END = "CASE WHEN crlf = 1 THEN chr(13) ELSE '' END"
+FILE_LINES = f"""
+SELECT conv_id, line || {END} AS line, -1 AS ord, 0 AS place FROM session_heads
+UNION ALL SELECT conv_id, unnest(string_split(block, {NL})) || {END}, ord, generate_subscripts(string_split(block, {NL}), 1) FROM session_blocks
+UNION ALL SELECT conv_id, '', max_turn * 4 + 4, 0 FROM session_heads"""
+
+
+def _tree(below: str) -> str:
+    return f"""SELECT conv_id, node // {DIGEST_FAN} AS node, sha256(string_agg(hash, '' ORDER BY node)) AS hash
+  FROM ({below}) GROUP BY conv_id, node // {DIGEST_FAN}"""
+
+
+LEAVES = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ord, place) - 1 AS node, sha256(line) AS hash FROM file_lines"
+DIGESTS = f"""
+SELECT {AID} AS artifact_id, n_lines, bytes, 'tree:' || sha256(list_aggregate(hashes, 'string_agg', '')) AS digest
+FROM (SELECT conv_id, list(hash ORDER BY node) AS hashes FROM ({_tree(_tree(LEAVES))}) GROUP BY conv_id) t
+JOIN (SELECT conv_id AS cid, count(*) AS n_lines, CAST(sum(strlen(line) + 1) - 1 AS BIGINT) AS bytes FROM file_lines GROUP BY conv_id) n
+  ON n.cid = t.conv_id"""
+
+
+@query("session_digests", check_sql(DIGESTS, {"file_lines": FILE_LINES}))
+def session_digests(spark, sf):
+    return digests(session_lines(spark, sf))

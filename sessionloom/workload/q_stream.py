@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from sessionloom import constants as K
 from sessionloom.session import work_dir
 from sessionloom.sources import journals as J
+from sessionloom.sources.lines import write_lines
 from sessionloom.streaming import jobs
 from sessionloom.workload.derived import check_sql
+from sessionloom.workload.inputs import session_lines
 from sessionloom.workload.q_compile import NOW, nb, title_sql
+from sessionloom.workload.q_handoff import ALL_MESSAGES, ENDS
+from sessionloom.workload.q_sources import DIGESTS, FILE_LINES, PX
 from sessionloom.workload.q_text import LIMIT_RE, PLACEHOLDER
 from sessionloom.workload.registry import query
 
@@ -119,3 +123,33 @@ SELECT user_id, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) AS end_us, coun
 def stream_session_ends(spark, sf):
     events = stream_of(spark, sf, "events", "unix_micros(cast(ts AS timestamp))", "user_id", _tick)
     return jobs.stream_session_ends(events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 7200)
+
+
+def session_folder(spark, sf):
+    """All sessions as files that arrive in SLICES steps, a fifth of them a second time
+    in a later step, and the number of files."""
+    lines = session_lines(spark, sf)
+    number = F.substring("artifact_id", 6, 20).cast("bigint")
+    folder, files = work_dir(spark, "session-stream"), 0
+    for i in range(SLICES):
+        first = number % SLICES == i
+        again = (number % 5 == 2) & (number % SLICES == i - 1)
+        part = lines.where(first | again).withColumn(
+            "artifact_id", F.concat(F.when(first, f"{i}-new/").otherwise(f"{i}-again/"), "artifact_id"))
+        files += write_lines(part, folder).count()
+    return folder, files
+
+
+@query("stream_compile_files", check_sql(f"""
+SELECT packet_id, {title_sql("coalesce(first_user, first_prose, packet_id)")} AS title,
+  coalesce({nb('first_user')}, '{K.DEFAULT_OBJECTIVE}') AS objective,
+  coalesce({nb('last_prose')}, {nb('first_prose')}, '{K.DEFAULT_STATE}') AS current_state, digest, n_lines, bytes
+FROM ends2 JOIN digests ON artifact_id = packet_id""", {
+    **PX, "messages": ALL_MESSAGES, "ends2": ENDS, "file_lines": FILE_LINES, "digests": DIGESTS}))
+def stream_compile_files(spark, sf):
+    """Session files through detection and parsers, in SLICES micro-batches."""
+    folder, files = session_folder(spark, sf)
+    drafts = jobs.compile_files(
+        spark, f"{folder}/*", NOW, packet_id=F.regexp_extract("artifact_id", r"[^/]*\z", 0),
+        maxFilesPerTrigger=str(max(1, -(-files // SLICES))))
+    return drafts.select("packet_id", "title", "objective", "current_state", "digest", "n_lines", "bytes")

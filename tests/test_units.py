@@ -1,5 +1,6 @@
 """Small cases at the edges of the rules."""
 
+import hashlib
 import json
 import os
 import re
@@ -22,7 +23,7 @@ from sessionloom.plans.extract import evict
 from sessionloom.sources import artifacts as A
 from sessionloom.sources import journals as J
 from sessionloom.sources import sessions as S
-from sessionloom.sources.lines import lines_from_text, read_lines, write_lines
+from sessionloom.sources.lines import digests, lines_from_text, read_lines, write_lines
 from sessionloom.sources.sessions import parse_markdown, parse_sessions
 from sessionloom.streaming import jobs
 from sessionloom.workload.q_extract import answer_by_length
@@ -242,6 +243,69 @@ def test_a_file_in_many_splits_reads_as_a_whole(spark, tmp_path):
         spark.conf.set(key, before)
 
 
+def test_a_digest_depends_on_lines_alone(spark, tmp_path):
+    texts = {"a": "x\n" * 9001, "b": "x\n" * 9001, "c": "x\n" * 9000, "d": "", "e": "\n", "f": "x\n" * 9001 + "y"}
+    df = spark.createDataFrame(list(texts.items()), "artifact_id string, text string")
+    whole = {r.artifact_id: r for r in digests(lines_from_text(df)).collect()}
+    assert {k: (r.n_lines, r.bytes) for k, r in whole.items()} == {
+        k: (t.count("\n") + 1, len(t)) for k, t in texts.items()}
+    assert whole["a"].digest == whole["b"].digest and len({r.digest for r in whole.values()}) == 5
+    hashes = [hashlib.sha256(line.encode()).hexdigest() for line in texts["f"].split("\n")]
+    for _ in range(3):
+        hashes = [hashlib.sha256("".join(hashes[i:i + 4096]).encode()).hexdigest() for i in range(0, len(hashes), 4096)]
+    assert whole["f"].digest == "tree:" + hashes[0]
+    for name in "abcef":
+        (tmp_path / name).write_text(texts[name])
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1000")
+        got = {r.artifact_id[-1]: r.digest for r in digests(read_lines(spark, str(tmp_path))).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {k: whole[k].digest for k in "abcef"}
+    assert digests(lines_from_text(df.limit(0))).count() == 0
+
+
+def test_session_files_compile_as_they_arrive(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+
+    def put(name, text):
+        (src / name).write_text(text)
+
+    def run(known=None):
+        rows = jobs.compile_files(spark, str(src), "now", known, F.regexp_extract("artifact_id", "[^/]*$", 0),
+                                  str(tmp_path / "state"), maxFilesPerTrigger="2").collect()
+        assert len({r.digest for r in rows}) == len(rows)
+        return {r.packet_id: (r.objective, r.current_state) for r in rows}
+
+    assert run() == {}
+    said = lambda q, a: f"# s\n## User\n{q}\n## Assistant\n{a}\n"
+    put("a.md", said("do a", "done a"))
+    put("b.md", said("do a", "done a"))
+    put("old.md", said("old", "old"))
+    known = digests(lines_from_text(spark.createDataFrame([("o", said("old", "old"))], "artifact_id string, text string")))
+    assert run(known) == {"a.md": ("do a", "done a")}
+    put("c.jsonl", json.dumps({"type": "event_msg", "payload": {"type": "user_message", "message": "do c"}}) + "\n")
+    put("d.md", said("do a", "done a"))
+    put("e.txt", "no format at all")
+    want = {"a.md": ("do a", "done a"), "c.jsonl": ("do c", K.DEFAULT_STATE), "e.txt": (K.DEFAULT_OBJECTIVE, "no format at all")}
+    assert run() == want
+    assert run() == want
+
+
+def test_a_repeated_batch_replaces_its_own_rows(spark, tmp_path):
+    log = jobs.BatchLog(str(tmp_path / "log"), "k string")
+    rows = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k string")
+    assert log.read(spark, before=0).count() == 0
+    log.write(rows("a"), 0)
+    log.write(rows("b"), 1)
+    assert [r.k for r in log.read(spark, before=1).collect()] == ["a"]
+    log.write(rows("c"), 1)
+    assert sorted(r.k for r in log.read(spark).collect()) == ["a", "c"]
+
+
 def test_written_lines_are_read_back(spark, tmp_path):
     rows = [("a/x", 0, "é"), ("a/x", 1, ""), ("a/x", 2, "b\r"), ("y", 5, "only"), ("z", 1, "end"), ("z", 2, "")]
     given = spark.createDataFrame(rows, "artifact_id string, pos long, line string")
