@@ -126,17 +126,13 @@ def stream_session_ends(spark, sf):
 
 
 def session_folder(spark, sf):
-    """All sessions as files that arrive in SLICES steps, a fifth of them a second time
-    in a later step, and the number of files."""
+    """All sessions as files, then a fifth of them again as later files of other paths;
+    the folder and the number of files."""
     lines = session_lines(spark, sf)
     number = F.substring("artifact_id", 6, 20).cast("bigint")
     folder, files = work_dir(spark, "session-stream"), 0
-    for i in range(SLICES):
-        first = number % SLICES == i
-        again = (number % 5 == 2) & (number % SLICES == i - 1)
-        part = lines.where(first | again).withColumn(
-            "artifact_id", F.concat(F.when(first, f"{i}-new/").otherwise(f"{i}-again/"), "artifact_id"))
-        files += write_lines(part, folder).count()
+    for name, part in (("new/", lines), ("again/", lines.where(number % 5 == 2))):
+        files += write_lines(part.withColumn("artifact_id", F.concat(F.lit(name), "artifact_id")), folder).count()
     return folder, files
 
 
@@ -147,7 +143,7 @@ SELECT packet_id, {title_sql("coalesce(first_user, first_prose, packet_id)")} AS
 FROM ends2 JOIN digests ON artifact_id = packet_id""", {
     **PX, "messages": ALL_MESSAGES, "ends2": ENDS, "file_lines": FILE_LINES, "digests": DIGESTS}))
 def stream_compile_files(spark, sf):
-    """Session files through detection and parsers, in SLICES micro-batches."""
+    """Session files through detection and parsers, in SLICES micro-batches, oldest files first."""
     folder, files = session_folder(spark, sf)
     drafts = jobs.compile_files(
         spark, f"{folder}/*", NOW, packet_id=F.regexp_extract("artifact_id", r"[^/]*\z", 0),
