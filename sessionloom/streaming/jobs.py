@@ -207,9 +207,11 @@ def compile_files(spark: SparkSession, path: str, now: str, known: DataFrame | N
     arriving = numbered_lines(reader.text(path))
 
     def step(batch: DataFrame, n: int) -> None:
-        numbered = materialize(batch, "arrived")
-        lines = in_order(numbered)
-        seen = files.read(numbered.sparkSession, before=n).select("digest")
+        # Written by the stream's session, which plans without AQE; read by the caller's.
+        arrived = work_dir(spark, "arrived")
+        batch.write.parquet(arrived)
+        lines = in_order(spark.read.schema(batch.schema).parquet(arrived))
+        seen = files.read(spark, before=n).select("digest")
         if known is not None:
             seen = seen.unionByName(known.select("digest"))
         first = digests(lines).groupBy("digest").agg(F.min(F.struct("artifact_id", "n_lines", "bytes")).alias("x"))
