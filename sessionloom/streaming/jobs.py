@@ -207,7 +207,8 @@ def compile_files(spark: SparkSession, path: str, now: str, known: DataFrame | N
     arriving = numbered_lines(reader.text(path))
 
     def step(batch: DataFrame, n: int) -> None:
-        # Written by the stream's session, which plans without AQE; read by the caller's.
+        # Read by the caller's session, whose settings hold for the plans below; that of
+        # a stream may plan without AQE.
         arrived = work_dir(spark, "arrived")
         batch.write.parquet(arrived)
         lines = in_order(spark.read.schema(batch.schema).parquet(arrived))
