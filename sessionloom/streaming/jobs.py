@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,8 @@ from sessionloom.sources.sessions import parse_sessions
 
 SPAN = K.MARKER_SPAN - 1
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What a small file counts as beside its bytes when files are dealt to tasks.
+FILE_COST = "256k"
 
 
 class BatchLog:
@@ -55,6 +58,27 @@ def run_batches(stream: DataFrame, state_dir: str,
     query.awaitTermination()
 
 
+@contextlib.contextmanager
+def many_files(spark: SparkSession) -> Iterator[None]:
+    """Settings for streams of many small files, taken over by streams that start inside.
+
+    Spark looks up each file of a micro-batch by its own path, in a job of one task a
+    file, and deals few of them to a task that reads. Here both get as many files a task
+    as a shuffle gets rows: tasks follow the cores and bytes, not the files."""
+    given = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": spark.conf.get("spark.sql.shuffle.partitions"),
+        "spark.sql.files.openCostInBytes": FILE_COST,
+    }
+    before = {k: spark.conf.get(k) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def append_all(stream: DataFrame, state_dir: str, name: str) -> DataFrame:
     """Append the stream's rows of all data there is now to a table, and that table
     with the rows of earlier runs; `state_dir` makes it resumable."""
@@ -221,7 +245,8 @@ def compile_files(spark: SparkSession, path: str, now: str, known: DataFrame | N
         turns.write(deciding_turns(parsed.withColumnRenamed("artifact_id", "session_id")), n)
         files.write(fresh, n)
 
-    run_batches(arriving, state_dir, step)
+    with many_files(spark):
+        run_batches(arriving, state_dir, step)
     rows = deciding_turns(turns.read(spark))
     stored = files.read(spark).withColumnRenamed("artifact_id", "session_id")
     name = F.col("artifact_id") if packet_id is None else packet_id

@@ -295,6 +295,30 @@ def test_session_files_compile_as_they_arrive(spark, tmp_path):
     assert run() == want
 
 
+def test_tasks_do_not_grow_with_the_number_of_session_files(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(120):
+        (src / f"{i}.md").write_text(f"## User\ndo {i}\n## Assistant\ndone {i}\n")
+    tracker = spark.sparkContext.statusTracker()
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+
+    def last_stage(group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            spark.range(1).count()
+        finally:
+            spark.sparkContext._jsc.sc().clearJobGroup()
+        return max(i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds)
+
+    first = last_stage("before the files")
+    assert jobs.compile_files(spark, str(src), "now", state_dir=str(tmp_path / "state")).count() == 120
+    stages = [tracker.getStageInfo(i) for i in range(first + 1, last_stage("after the files"))]
+    assert max(s.numTasks for s in stages if s) < 60
+    assert spark.conf.get(key) == before
+
+
 def test_a_repeated_batch_replaces_its_own_rows(spark, tmp_path):
     log = jobs.BatchLog(str(tmp_path / "log"), "k string")
     rows = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k string")
