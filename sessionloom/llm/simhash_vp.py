@@ -23,9 +23,13 @@ repeated rows have one fingerprint and one component; an empty table gives an
 empty result; texts of any length are hashed whole. Other columns are ignored.
 
 `near_copies` finds texts whose sets of shingles have a Jaccard similarity of
-`similarity` or more. They are dealt to shards by KEYS pairs of smallest shingle hashes
-(two such texts share none with a chance of at most (1 - similarity^2)^KEYS: the one way
-to miss a pair). In a shard every two are compared by size and by a parity sketch of
+`similarity` or more. First the fingerprints of all classes (texts of the same
+lower-cased words) go through the trees as above; each class is linked to the first of
+its fingerprint and each of these to that of its group in the shard. A link that holds
+for the whole sets of shingles joins two classes. Similar texts whose fingerprints lie
+further apart are found between the groups so far: classes are dealt to shards by KEYS
+pairs of smallest shingle hashes (two similar texts share none with a chance of at most
+(1 - similarity^2)^KEYS; a pair is missed only if neither way links it). In a shard every two are compared by size and by a parity sketch of
 their distinct shingles, which only rule out pairs that cannot be similar enough. The
 nearest of the others, as few as connect the shard, are checked on the whole sets of
 shingles. Where a link fails, all pairs of its family that a good link does not connect
@@ -226,7 +230,7 @@ KEYS = 8
 SKETCH = 512
 #: Classes of a shard that are compared at once; a larger shard is cut into blocks.
 SHARD_BLOCK = 4096
-ROW = "doc_id long, row_hash long, class long, sketch binary, n long, keys array<long>"
+ROW = "doc_id long, row_hash long, class long, fp long, sketch binary, n long, keys array<long>"
 
 
 def _shard_keys(hashes: np.ndarray) -> list[int]:
@@ -284,14 +288,16 @@ class _Sketches:
 
 
 def _described(docs: DataFrame, words: int) -> DataFrame:
-    """ROW for every document; `class` is a hash of its lower-cased words."""
+    """ROW for every document; `class` is a hash of its lower-cased words, `fp` its fingerprint."""
 
     def step(cols: dict[str, list]):
-        out: dict[str, list] = {k: [] for k in ("class", "sketch", "n", "keys")}
+        out: dict[str, list] = {k: [] for k in ("class", "fp", "sketch", "n", "keys")}
         for text in cols["text"]:
             w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            kinds = np.unique(np.array(shingle_hashes(text or "", words), np.uint64))
-            for k, v in zip(out, (xxhash.xxh64_intdigest(b" ".join(w)) - 2**63, _sketch(kinds), len(kinds), _shard_keys(kinds)), strict=True):
+            hashes = shingle_hashes(text or "", words)
+            kinds = np.unique(np.array(hashes, np.uint64))
+            fp = int(np.uint64(majority(hashes)).view(np.int64))
+            for k, v in zip(out, (xxhash.xxh64_intdigest(b" ".join(w)) - 2**63, fp, _sketch(kinds), len(kinds), _shard_keys(kinds)), strict=True):
                 out[k].append(v)
         yield {k: cols[k] for k in ("doc_id", "row_hash")} | out
 
@@ -432,18 +438,36 @@ def _unlinked(checked: DataFrame, classes: DataFrame, group: DataFrame) -> DataF
     return rows.select("class", "n", "sketch", "keys", F.coalesce("component", "class").alias("group"))
 
 
-def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _near_fingerprints(classes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b), a below b, of classes that fingerprints of at most `radius` unlike
+    bits hold together: each class to the first of its fingerprint, and these to one another
+    as the trees link them."""
+    firsts = materialize(classes.groupBy("fp").agg(F.min("class").alias("head")), "copies-fingerprints")
+    at = lambda end: firsts.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_class"))
+    near = links(firsts.select("fp"), radius).join(at("a"), "a").join(at("b"), "b").select(F.col("a_class").alias("x"), F.col("b_class").alias("y"))
+    same = classes.join(firsts, "fp").select(F.col("head").alias("x"), F.col("class").alias("y"))
+    pairs = near.unionByName(same).where("x != y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _groups(docs: DataFrame, words: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The described rows, one row per class with its first document, and the group of
     every class that has links (node, component). Rows meet by class in this aggregate
     only, which combines them before they are sent."""
     rows = materialize(_described(docs, words), "copies-rows")
     of = F.struct("doc_id", "row_hash")
     classes = materialize(rows.groupBy("class").agg(
-        F.first("sketch").alias("sketch"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.min_by(of, F.coalesce("doc_id", F.lit(-1))).alias("of"),
+        F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.min_by(of, F.coalesce("doc_id", F.lit(-1))).alias("of"),
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))).alias("first"),
     ), "copies-classes")
-    links = materialize(_candidates(classes.withColumn("group", F.col("class")), similarity), "copies-links")
-    checked = materialize(_checked(links, materialize(_grams(links, classes, docs, words), "copies-shingles"), similarity), "copies-checked")
+    near = materialize(_near_fingerprints(classes, radius), "copies-near")
+    tried = materialize(_checked(near, materialize(_grams(near, classes, docs, words), "copies-shingles"), similarity), "copies-checked")
+    group = components(tried.where("fit").select("a", "b"))
+    # What the fingerprints have joined is not compared again; between their groups the rest is found.
+    so_far = classes.join(group, F.col("class") == F.col("node"), "left").withColumn("group", F.coalesce("component", "class"))
+    found = materialize(_candidates(so_far, similarity).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "copies-links")
+    late = materialize(_checked(found, materialize(_grams(found, classes, docs, words), "copies-shingles"), similarity), "copies-checked")
+    checked = tried.unionByName(late)
     good = checked.where("fit").select("a", "b")
     group = components(good)
     more = _candidates(_unlinked(checked, classes, group), similarity, every=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
@@ -454,18 +478,18 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     return rows, classes, group
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """One row per different (doc_id, row_hash), the xxhash64 of its text: its class
     and the group of its class."""
-    rows, _, group = _groups(docs, words, similarity)
+    rows, _, group = _groups(docs, words, similarity, radius)
     named = rows.select("doc_id", "row_hash", "class").distinct().join(group, F.col("class") == F.col("node"), "left")
     return named.select("doc_id", "row_hash", "class", F.coalesce("component", "class").alias("group"))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """The rows of `docs` without near-copies: of each group the one with the
     smallest doc_id stays (a null one last), and one of its equal rows."""
-    _, classes, group = _groups(docs, words, similarity)
+    _, classes, group = _groups(docs, words, similarity, radius)
     found = classes.select("class", "first").join(group, F.col("class") == F.col("node"), "left")
     kept = found.groupBy(F.coalesce("component", "class")).agg(F.min("first").alias("kept")).select("kept.*")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))

@@ -142,6 +142,19 @@ def test_near_copy_groups_equal_brute_force(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_near_copies_come_from_fingerprints(spark, monkeypatch):
+    """Without the shards of smallest hashes the trees still find texts of near fingerprints."""
+    w = [f"v{i}" for i in range(3000)]
+    other = w[:1500] + ["zz"] + w[1501:]
+    texts = [" ".join(w), " ".join(other), " ".join(w[::-1]), ". " * 500 + "one two three", ". " * 500 + "four five six seven"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = [simhash_vp.majority(simhash_vp.shingle_hashes(t, 5)) for t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 and fps[3] == fps[4]
+    monkeypatch.setattr(simhash_vp, "_candidates", lambda rows, similarity, every=False: spark.createDataFrame([], "a long, b long"))
+    # The last two have one fingerprint, as most of their shingles are one, and unlike sets.
+    assert sorted(r.doc_id for r in simhash_vp.one_of_each(docs).collect()) == [0, 2, 3, 4]
+
+
 def copy_groups(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = defaultdict(set)
