@@ -7,9 +7,9 @@ a smaller doc_id. Texts are UTF-8 bytes; matches never cross documents.
    digests) are known from an aggregate and go by themselves.
 2. Every string of `length` bytes has an anchor, its k-byte substring of least hash, so
    that equal strings have equal anchors. A block's distinct anchors are dealt to buckets
-   by hash, as arrays. A bucket knows for each anchor the smallest doc_id that has it and
-   returns those that two documents share.
-3. The bytes around shared anchors of one smallest document form regions; these are dealt
+   by hash, as arrays. A bucket knows for each anchor the first document (by block and
+   place) that has it and returns those that two documents share.
+3. The bytes around shared anchors of one first document form regions; these are dealt
    by that document (the family), so that all strings that may be equal meet. A family
    beyond CHUNK bytes is dealt to several chunks by doc_id.
 4. A task sorts the suffixes of a shard's regions, keeps of their Burrows-Wheeler
@@ -51,6 +51,9 @@ LENGTH = 50
 BLOCK_BYTES, BLOCK_ROWS, PIECE = 2_000_000, 4096, 1 << 20
 #: Anchors of a bucket, bytes of a shard and of a family's chunk, longest string that is sorted.
 BUCKET, SHARD, CHUNK, SEGMENT = 1_500_000, 2_000_000, 1_000_000, 512
+#: Bytes of an anchor's hash that tell it from others of its bucket; those that agree in
+#: them count as one, which selects a little more than needed.
+KEY_BYTES = 5
 #: No UTF-8 text holds this byte.
 STOP = 0xFF
 MULTIPLIER, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -272,7 +275,7 @@ def _write_blocks(docs: DataFrame, folder: str, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        number, held, size = task.partitionId() << 32, [], 0
+        number, held, size = task.partitionId() << 24, [], 0
 
         def cut() -> pa.RecordBatch:
             held.sort(key=lambda x: (x[0] is None, x[0] or 0))
@@ -350,8 +353,10 @@ class _Keys:
 
 def _shared(blocks: DataFrame, folder: str, buckets: int, length: int) -> DataFrame:
     """block and, for each bucket of its anchors, a bit for each that says whether several
-    documents have it, and the smallest document of those."""
-    shape = "bucket int, block long, keys binary, places binary, ids binary"
+    places have it, and the first of those (block and place, as one number). An anchor goes
+    as KEY_BYTES of its hash and two bytes for its place: what is sent follows the bytes of
+    the texts, however many blocks and buckets there are."""
+    shape = "bucket int, block long, keys binary, places binary"
     arrow = _arrow(shape)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,35 +364,42 @@ def _shared(blocks: DataFrame, folder: str, buckets: int, length: int) -> DataFr
             for number, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, texts = _load(folder, number)
                 keys = _Keys(ids, texts, set(copies), buckets, length)
-                tag, known = (keys.first | keys.several << 15).astype(np.uint16), np.array([i or 0 for i in ids], np.int64).tobytes()
-                for b in np.flatnonzero(np.diff(keys.cuts)).tolist():
-                    mine = keys.bucket(b)
-                    row = {"bucket": [b], "block": [number], "keys": [keys.key[mine].tobytes()], "places": [tag[mine].tobytes()], "ids": [known]}
+                tag = (keys.first | keys.several << 15).astype(np.uint16)[keys.order]
+                code = (keys.key >> np.uint64(64 - 8 * KEY_BYTES)).astype("<u8")[keys.order]
+                code = code.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+                found = np.flatnonzero(np.diff(keys.cuts))
+                for lo in range(0, len(found), 1000):
+                    part = found[lo:lo + 1000].tolist()
+                    cuts = [(keys.cuts[b], keys.cuts[b + 1]) for b in part]
+                    row = {"bucket": part, "block": [number] * len(part), "keys": [code[x:y].tobytes() for x, y in cuts], "places": [tag[x:y].tobytes() for x, y in cuts]}
                     yield pa.RecordBatch.from_pydict(row, schema=arrow)
 
     out = _arrow("block long, bucket int, shared binary, firsts binary")
 
     def answer(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
         tags = [np.frombuffer(r[2], np.uint16) for r in rows]
-        docs = np.concatenate([np.frombuffer(r[3], np.int64)[t & 0x7FFF] for r, t in zip(rows, tags, strict=True)])
+        wide = np.zeros((sum(map(len, tags)), 8), np.uint8)
+        wide[:, :KEY_BYTES] = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, KEY_BYTES)
+        keys = wide.view("<u8").ravel()
+        # Number and place of a block's document name it; the order does not matter.
+        docs = np.concatenate([np.int64(r[0]) * (1 << 12) + (t & 0x7FFF) for r, t in zip(rows, tags, strict=True)])
         several = np.concatenate([t >> 15 for t in tags]).astype(bool)
         order = np.lexsort((docs, keys))
         there = keys[order]
         first = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
         size = np.diff(np.append(first, len(there)))
-        low = docs[order[first]]
-        shared = (low != docs[order[first + size - 1]]) | np.logical_or.reduceat(several[order], first)
+        shared = (size > 1) | np.logical_or.reduceat(several[order], first)
         least, hit = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
-        least[order], hit[order] = np.repeat(low, size), np.repeat(shared, size)
-        lo = 0
+        least[order], hit[order] = np.repeat(docs[order[first]], size), np.repeat(shared, size)
+        lo, found = 0, []
         for r, t in zip(rows, tags, strict=True):
             mine = hit[lo:lo + len(t)]
             if mine.any():
-                yield pa.RecordBatch.from_pydict({
-                    "block": [r[0]], "bucket": [bucket], "shared": [np.packbits(mine).tobytes()], "firsts": [least[lo:lo + len(t)][mine].tobytes()],
-                }, schema=out)
+                found.append((r[0], bucket, np.packbits(mine).tobytes(), least[lo:lo + len(t)][mine].tobytes()))
             lo += len(t)
+        for lo in range(0, len(found), 1000):
+            columns = zip(*found[lo:lo + 1000], strict=True)
+            yield pa.RecordBatch.from_pydict(dict(zip(out.names, map(list, columns), strict=True)), schema=out)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows = None, []
@@ -410,7 +422,7 @@ REGION = "family long, doc_id long, block long, place int, start long, text bina
 
 
 def _regions(blocks: DataFrame, folder: str, buckets: int, length: int) -> DataFrame:
-    """The bytes around shared anchors, by the smallest document that has these."""
+    """The bytes around shared anchors, by the first document that has these."""
     arrow = _arrow(REGION)
     reach = length - anchor_width(length)
 
