@@ -24,6 +24,7 @@ replaces it with the same bytes.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -32,22 +33,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import _arrow, fill_words, texts_of
+from sessionloom.llm.common import _arrow, texts_of
 
 MASK_ADD = 0xA282EAD8
 HEAD, CRC, LEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
 INDEX = "doc_id long, shard int, offset long, length long, n_tokens long, start_in_shard long"
 #: Distinct words whose ids a Python worker keeps.
 KEPT_WORDS = 1_500_000
-SPACE = re.compile(r"\s")
+#: Characters that are encoded at once, or one text of more.
+PART_CHARS = 10_000_000
 AFTER_SPACE = re.compile(r"(?<=\S)(?= )")
-#: Every kind of white space, followed by a space.
-SPACED = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+SPACED = re.compile(r"\s ")
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -104,7 +106,7 @@ def chunks_of(text: str) -> list[str]:
     """Cut before every space that follows a non-space: the byte-level splitting
     rule always begins a new piece there, so the chunks encode independently. All
     but the first lose that space."""
-    if text[:1] == " " or any(map(text.__contains__, SPACED)):
+    if text[:1] == " " or SPACED.search(text):
         first, *rest = AFTER_SPACE.split(text)
         return [first, *[w[1:] for w in rest]]
     return text.split(" ")
@@ -118,26 +120,60 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         return [np.array(e.ids, width).tobytes() for e in made.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def lookup(words: list[str]) -> list[bytes]:
-        """Words without white space are put behind spaces and encoded a few thousand
-        at once; the bytes of the ids tell where each word's ids end."""
-        odd = [w for w in words if not w or "<|" in w or SPACE.search(w)]
-        found = dict(zip(odd, alone([" " + w for w in odd]), strict=True))
-        plain = [w for w in words if w not in found]
+        """Words that do not end in white space are put behind spaces and encoded a few
+        thousand at once; the bytes of the ids tell where each word's ids end."""
+        odd = [w for w in words if not w or "<|" in w or w[-1].isspace()]
+        apart = dict(zip(odd, alone([" " + w for w in odd]), strict=True))
+        plain, found = [w for w in words if w not in apart] if odd else words, []
         for lo in range(0, len(plain), 4000):
             part = plain[lo:lo + 4000]
             ids = np.array(made.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, width)
-            reach = np.cumsum([1 + len(w.encode()) for w in part])
+            reach = np.cumsum(1 + pc.binary_length(pa.array(part, pa.string())).to_numpy().astype(np.int64))
             ends = np.searchsorted(np.cumsum(sizes[ids]), reach) + 1
             code = ids.tobytes()
             cuts = [0, *(ends * ids.itemsize).tolist()]
-            found.update((w, code[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
-        return [found[w] for w in words]
+            found += [code[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        rest = iter(found)
+        return [apart[w] if w in apart else next(rest) for w in words] if odd else found
 
     chunks = [chunks_of(t) if t else [] for t in texts]
     firsts = iter(alone([c[0] for c in chunks if c]))
-    rest = [c[1:] for c in chunks]
-    fill_words(rest, known, KEPT_WORDS, lookup)
-    return [(next(firsts) if c else b"") + b"".join(map(known.__getitem__, r)) for c, r in zip(chunks, rest, strict=True)]
+    ends = np.cumsum([0, *[max(0, len(c) - 1) for c in chunks]])
+    # Each distinct word of these texts is met once as a Python object.
+    words = pa.array(itertools.chain.from_iterable(c[1:] for c in chunks), pa.large_string()).dictionary_encode()
+    distinct, of = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+    codes = list(map(known.get, distinct))
+    if fresh := [w for w, code in zip(distinct, codes, strict=True) if code is None]:
+        made_now = lookup(fresh)
+        if len(known) + len(fresh) > KEPT_WORDS:
+            known.clear()
+        known.update(zip(fresh, made_now, strict=True))
+        new = iter(made_now)
+        codes = [next(new) if code is None else code for code in codes]
+    ids, cuts = _gathered(codes, of, width)
+    return [
+        (next(firsts) if c else b"") + ids[cuts[a]:cuts[b]].tobytes()
+        for c, a, b in zip(chunks, ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+    ]
+
+
+def _gathered(codes: list[bytes], of: np.ndarray, width: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words codes[of], one after the other, and where each word's begin and end."""
+    flat = np.frombuffer(b"".join(codes), width)
+    size = np.fromiter(map(len, codes), np.int64, len(codes)) // np.dtype(width).itemsize
+    cuts = np.append(0, np.cumsum(size[of]))
+    shift = (np.cumsum(size) - size)[of] - cuts[:-1]
+    return flat[np.repeat(shift, size[of]) + np.arange(cuts[-1])], cuts
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Cuts of the texts, after 2,000 of them or PART_CHARS characters."""
+    lo = size = 0
+    for i, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= PART_CHARS or i - lo == 2000 or i == len(texts):
+            yield lo, i
+            lo, size = i, 0
 
 
 def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, shards: int | None = None) -> DataFrame:
@@ -158,11 +194,11 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, sh
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             lines: dict[str, list] = {k: [] for k in arrow.names}
-            for lo in range(0, len(texts), 2000):
+            for lo, hi in _parts(texts):
                 width = _tokenizer(tokenizer)[2]
                 end = np.array([end_id], width).tobytes()
                 framed = []
-                for doc_id, code in zip(ids[lo:lo + 2000], encode_texts(texts[lo:lo + 2000], tokenizer), strict=True):
+                for doc_id, code in zip(ids[lo:hi], encode_texts(texts[lo:hi], tokenizer), strict=True):
                     record = frame(pack(doc_id, code + end, width == "<u4"))
                     n = len(code) // len(end) + 1
                     for k, v in zip(lines, (doc_id, shard, offset, len(record), n, tokens), strict=True):
