@@ -72,6 +72,21 @@ def test_word_by_word_ids(tokenizer, text):
     assert np.frombuffer(records.encode_texts([text], BPE)[0], "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_with_inner_white_space_share_a_call(tokenizer, monkeypatch):
+    calls = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    _, _, width, sizes = records._tokenizer(BPE)
+    monkeypatch.setitem(records._tokenizers, BPE, (Counted(), {}, width, sizes))
+    text = "a " + " ".join(f"end{i}.\nStart{i}" for i in range(300))
+    assert np.frombuffer(records.encode_texts([text], BPE)[0], "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(calls) < 10
+
+
 def plain_repeats(w, least):
     n, cover, longest = len(w), set(), 0
     for i in range(n):
