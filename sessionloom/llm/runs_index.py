@@ -469,7 +469,7 @@ def _regions(blocks: DataFrame, folder: str, buckets: int, length: int) -> DataF
 
 MARK = (
     "block long, places array<int>, begins array<long>, ends array<long>, "
-    "bucket int, keys binary, docs binary, blocks binary, spots binary, starts binary"
+    "bucket int, keys binary, regions binary, starts binary, docs binary, blocks binary, spots binary, bases binary"
 )
 
 
@@ -507,7 +507,7 @@ def _marks(regions: DataFrame, length: int) -> DataFrame:
             if split and docs[n] == doc and len(new := np.setdiff1d(every, starts, assume_unique=True)):
                 data = np.frombuffer(text, np.uint8)
                 keys = np.stack([string_hashes(data, length, m)[new] for m in (MULTIPLIER, SECOND)], axis=1)
-                fresh.append((keys, [doc, block, place], start + new))
+                fresh.append((keys, [doc, block, place, start], new))
         for lo in range(0, len(fresh), 5000):
             yield from _sent(fresh[lo:lo + 5000], buckets, arrow)
         if marks:
@@ -515,7 +515,10 @@ def _marks(regions: DataFrame, length: int) -> DataFrame:
 
     def meet(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows]).reshape(-1, 2)
-        docs, blocks, spots, starts = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in range(1, 5))
+        regions = [np.frombuffer(r[1], np.uint16) for r in rows]
+        docs, blocks, spots, bases = (
+            np.concatenate([np.frombuffer(r[i], np.int64)[of] for r, of in zip(rows, regions, strict=True)]) for i in range(3, 7))
+        starts = bases + np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows])
         order = np.lexsort((docs, keys[:, 1], keys[:, 0]))
         there = keys[order]
         first = np.flatnonzero(np.append(True, (there[1:] != there[:-1]).any(axis=1)))
@@ -547,7 +550,7 @@ def _marks(regions: DataFrame, length: int) -> DataFrame:
 
     found = materialize(dealt.mapInArrow(each(shard_marks), MARK), "run-marks")
     spans = ["block", "places", "begins", "ends"]
-    fresh = found.where("bucket IS NOT NULL").select("bucket", "keys", "docs", "blocks", "spots", "starts")
+    fresh = found.where("bucket IS NOT NULL").select("bucket", "keys", "regions", "starts", "docs", "blocks", "spots", "bases")
     again = fresh.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(each(meet), MARK)
     return found.where("bucket IS NULL").select(*spans).unionByName(again.select(*spans))
 
@@ -559,16 +562,21 @@ def _spans(marks: dict[int, list[tuple]], arrow: pa.Schema) -> pa.RecordBatch:
 
 
 def _sent(fresh: list[tuple], buckets: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Hashes of new strings with their document, block, place and start, a row per bucket."""
+    """Hashes of new strings, a row per bucket. A string has two bytes each for its region
+    and its start there; document, block, place and start of a region go once a row."""
     keys, starts = (np.concatenate([f[i] for f in fresh]) for i in (0, 2))
-    known = np.repeat(np.array([f[1] for f in fresh], np.int64), [len(f[2]) for f in fresh], axis=0)
+    known, of = np.array([f[1] for f in fresh], np.int64), np.repeat(np.arange(len(fresh)), [len(f[2]) for f in fresh])
     bucket = (_mixed(keys[:, 0]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         mine = order[cuts[b]:cuts[b + 1]]
-        docs, blocks, spots = (known[mine, i].tobytes() for i in range(3))
-        row = {"bucket": b, "keys": keys[mine].tobytes(), "docs": docs, "blocks": blocks, "spots": spots, "starts": starts[mine].tobytes()}
+        used, region = np.unique(of[mine], return_inverse=True)
+        docs, blocks, spots, bases = (known[used, i].tobytes() for i in range(4))
+        row = {
+            "bucket": b, "keys": keys[mine].tobytes(), "regions": region.astype(np.uint16).tobytes(), "starts": starts[mine].astype(np.uint16).tobytes(),
+            "docs": docs, "blocks": blocks, "spots": spots, "bases": bases,
+        }
         yield pa.RecordBatch.from_pydict({n: [row.get(n)] for n in arrow.names}, schema=arrow)
 
 

@@ -101,6 +101,21 @@ def test_documents_equal_plain_search(spark, monkeypatch, chunk):
     assert found(runs_index.deduplicated(df)) == plain(rows, 50)
 
 
+def test_what_is_sent_to_buckets_follows_the_texts(spark, tmp_path, monkeypatch):
+    """Anchors take seven bytes each, however many buckets a block's are dealt to."""
+    texts = [" ".join(f"{i}x{k}" for k in range(60)) for i in range(40)]
+    ids = list(range(40))
+    keys = runs_index._Keys(ids, [t.encode() for t in texts], set(), 1000, 50)
+    runs_index._write_blocks(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(1), f"file://{tmp_path}", 50).count()
+    seen = []
+    blocks = spark.createDataFrame([(0, [])], "block long, copies array<int>").coalesce(1)
+    plain_map = type(blocks).mapInArrow
+    monkeypatch.setattr(type(blocks), "mapInArrow", lambda self, f, shape: seen.append(plain_map(self, f, shape)) or seen[-1])
+    runs_index._shared(blocks, f"file://{tmp_path}", 1000, 50)
+    size = sum(len(v) for r in seen[0].collect() for v in r if isinstance(v, (bytes, bytearray)))
+    assert size == 7 * len(keys.key)
+
+
 def test_documents_of_all_kinds(spark):
     docs = documents(spark)
     assert found(runs_index.deduplicated(docs)) == plain([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 50)
