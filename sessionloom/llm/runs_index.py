@@ -481,7 +481,8 @@ def _marks(regions: DataFrame, length: int) -> DataFrame:
     total, divided = (d.agg(F.sum("n_bytes")).first()[0] or 0 for d in (sizes, large))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards, buckets = max(least, -(-total // SHARD)), max(least, -(-divided // BUCKET))
-    parts = large.select(F.col("family").alias("__f"), F.ceil(F.col("n_bytes") / CHUNK).alias("chunks"))
+    # Written, so that its small size is known: then the join need not shuffle the regions.
+    parts = materialize(large.select(F.col("family").alias("__f"), F.ceil(F.col("n_bytes") / CHUNK).alias("chunks")), "run-divided")
     cut = regions.join(parts, F.col("family") == F.col("__f"), "left").drop("__f")
     part = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
     shard = F.pmod(F.xxhash64("family", part), F.lit(shards)).cast("int")
