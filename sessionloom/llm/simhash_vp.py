@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import map_batches, materialize
-from sessionloom.llm.components import components
+from sessionloom.llm.components import components, joined
 
 SHARD_ROWS = 16_384
 SAMPLE_PER_SHARD = 128
@@ -405,7 +405,8 @@ def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 def _grams(links: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The sorted distinct shingle hashes of every class that a link names."""
     named = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "class")
-    first = classes.join(named, "class").select("class", "of")
+    # Written, so that its size is known: texts are then shuffled only if it is too large to be sent to their tasks.
+    first = materialize(classes.join(named, "class").select("class", "of"), "copies-wanted")
 
     def sets(cols: dict[str, list]):
         found = [np.unique(np.array(shingle_hashes(t or "", words), np.uint64)).tobytes() for t in cols["text"]]
@@ -432,7 +433,7 @@ def _unlinked(checked: DataFrame, classes: DataFrame, group: DataFrame) -> DataF
     """A link that fails can have stood in for others. All classes that links, good
     or failed, hold together make a family, and no near pair that shares a shard lies
     outside one. So the classes of families with a failed link, with their groups so far."""
-    family = components(checked.select("a", "b")).select(F.col("node").alias("class"), F.col("component").alias("family"))
+    family = joined(group, checked.where("NOT fit")).select(F.col("node").alias("class"), F.col("component").alias("family"))
     odd = checked.where("NOT fit").join(family, F.col("a") == F.col("class")).select("family").distinct()
     rows = classes.join(family.join(odd, "family"), "class").join(group, F.col("class") == F.col("node"), "left")
     return rows.select("class", "n", "sketch", "keys", F.coalesce("component", "class").alias("group"))
@@ -468,13 +469,12 @@ def _groups(docs: DataFrame, words: int, similarity: float, radius: int) -> tupl
     found = materialize(_candidates(so_far, similarity).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "copies-links")
     late = materialize(_checked(found, materialize(_grams(found, classes, docs, words), "copies-shingles"), similarity), "copies-checked")
     checked = tried.unionByName(late)
-    good = checked.where("fit").select("a", "b")
-    group = components(good)
+    group = joined(group, late.where("fit"))
     more = _candidates(_unlinked(checked, classes, group), similarity, every=True).join(checked.select("a", "b"), ["a", "b"], "left_anti")
     more = materialize(more, "copies-links")
     if not more.isEmpty():
         late = _checked(more, materialize(_grams(more, classes, docs, words), "copies-shingles"), similarity)
-        group = components(good.union(materialize(late.where("fit").select("a", "b"), "copies-checked")))
+        group = joined(group, materialize(late.where("fit").select("a", "b"), "copies-checked"))
     return rows, classes, group
 
 
@@ -491,7 +491,11 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     smallest doc_id stays (a null one last), and one of its equal rows."""
     _, classes, group = _groups(docs, words, similarity, radius)
     found = classes.select("class", "first").join(group, F.col("class") == F.col("node"), "left")
-    kept = found.groupBy(F.coalesce("component", "class")).agg(F.min("first").alias("kept")).select("kept.*")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
-    out = docs.join(kept, same)
-    return out.dropDuplicates(["__id", "__hash"]).select(*[docs[c] for c in docs.columns])
+    kept = found.groupBy(F.coalesce("component", "class")).agg(F.min("first").alias("kept")).select(
+        F.col("kept.no_id").alias("__no_id"), F.coalesce("kept.__id", F.lit(0)).alias("__id"), F.col("kept.__hash").alias("__hash")
+    )
+    at = docs["doc_id"].cast("long")
+    own = docs.withColumns({"__no_id": at.isNull(), "__id": F.coalesce(at, F.lit(0)), "__hash": F.xxhash64(docs["text"])})
+    # Plain equal keys, the same for both steps, so that the texts are shuffled and sorted once.
+    same = ["__no_id", "__id", "__hash"]
+    return own.join(kept, same).dropDuplicates(same).select(*[docs[c] for c in docs.columns])

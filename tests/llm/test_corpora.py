@@ -163,6 +163,42 @@ def copy_groups(spark, texts):
     return sorted(map(sorted, got.values()))
 
 
+def test_texts_of_near_copies_are_shuffled_once(spark):
+    rows = [(i if i % 9 else None, f"word{i} " * (i + 1)) for i in range(40)]
+    docs = spark.createDataFrame(rows + rows[:4], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = simhash_vp.one_of_each(docs)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        found = left.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    initial = plan.split("Initial Plan")[-1]
+    assert sum("Exchange hashpartitioning(__no_id" in x for x in initial.splitlines()) == 2
+    assert len({(r.doc_id, r.text) for r in found}) == len(found)
+
+
+def test_wanted_texts_of_few_classes_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b c d e f g {i}") for i in range(50)], "doc_id long, text string")
+    classes = simhash_vp._described(docs, 5).select("class", F.struct("doc_id", "row_hash").alias("of"))
+    one, two = (r["class"] for r in classes.orderBy("of.doc_id").limit(2).collect())
+    links = spark.createDataFrame([(one, two)], "a long, b long")
+    grams = simhash_vp._grams(links, classes, docs, 5)
+    plan = grams._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r["class"] for r in grams.collect()} == {one, two}
+
+
+def test_components_go_on_from_what_is_connected(spark, monkeypatch):
+    group = components.components(spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51), (70, 70)], "a long, b long"))
+    more = spark.createDataFrame([(51, 20, "x"), (90, 91, "y")], "a long, b long, other string")
+    kept, files = components.materialize, []
+    monkeypatch.setattr(components, "materialize", lambda df, label: (files.append((out := kept(df, label)).inputFiles()), out)[1])
+    got = {r.node: r.component for r in components.joined(group, more).collect()}
+    assert got == {**{i: 0 for i in [*range(21), 50, 51]}, 90: 90, 91: 90}
+    assert all(len(x) == 1 for x in files[1:])  # few edges, few files
+
+
 def test_near_copies_with_a_run_of_one_sign(spark):
     texts = []
     for k in range(8):
