@@ -365,6 +365,47 @@ def test_recall_on_given_vectors(spark):
     assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) >= 0.9 * 5 * len(want)
 
 
+def test_rows_between_steps_are_blocks(spark, monkeypatch):
+    """What goes from one step to the next is a row for each two blocks, not one for each pair of nodes."""
+    written = []
+
+    def counted(df, *more, keep=nn_descent.materialize):
+        out = keep(df, *more)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(nn_descent, "materialize", counted)
+    v = np.random.default_rng(5).standard_normal((1500, 16))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    rows = nn_descent.search(df, F.col("vec_id") % 50 == 0).collect()
+    want = plain_nearest([(i, x) for i, x in enumerate(v.tolist())], range(0, 1500, 50), 5)
+    assert len(rows) == 5 * 30 and sum(r.vec_id in {i for _, i in want[r.query_id]} for r in rows) >= 0.98 * 150
+    assert sum(written) < 6 * 1500, written
+
+
+@pytest.mark.parametrize("cell", [32, 1])
+def test_many_blocks_waves_and_a_large_leaf(spark, monkeypatch, cell):
+    for name, value in (("BLOCK", 300), ("WAVE", 1000), ("CELL", cell)):
+        monkeypatch.setattr(nn_descent, name, value)
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.standard_normal(16) + 1e-3 * rng.standard_normal((2600, 16)), rng.standard_normal((800, 16))])
+    rows = [(i, x) for i, x in enumerate(v.tolist())] + [(4000 + i, v[i].tolist()) for i in range(0, 3400, 100)] + [(50, v[3000].tolist())]
+    got = defaultdict(list)
+    for r in nn_descent.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].append(((r.vec_id, round(r.score, 9)), r["rank"]))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits, asked = 0, [q for q in range(0, 3400, 50) if q not in (50, 3000)]
+    for q in asked:
+        assert [k for _, k in sorted(got[q], key=lambda x: x[1])] == [1, 2, 3, 4, 5]
+        near = -((u - u[q]) ** 2).sum(1)
+        near[q] = 1
+        near = sorted([(-s, i) for i, s in enumerate(near.tolist()) if i != q] + [(-near[i], 4000 + i) for i in range(0, 3400, 100)])[:5]
+        hits += len({x[0] for x, _ in got[q]} & {i for _, i in near})
+    assert hits >= 0.9 * 5 * len(asked), hits / len(asked) / 5
+    # An id with two vectors: nothing of its own, the best of both.
+    assert {i for (i, _), _ in got[50]} >= {3000, 7000} and not {50} & {i for (i, _), _ in got[50]}
+
+
 # Mixing
 
 def test_no_source_gets_less_than_its_tokens(spark):
