@@ -274,16 +274,37 @@ def stored(rows: DataFrame, asks: Column, wide: str) -> Store | None:
             yield cut(size)
 
     sorted_ = nodes.repartitionByRange("least", "data").sortWithinPartitions("least", "data")
-    kept = materialize(sorted_.select("least", "most", "asked", "data").mapInArrow(blocks, schema), "nn-store")
+    kept = materialize(sorted_.select("least", "most", "asked", "data").mapInArrow(blocks, schema), "nn-sorted")
     _forget(nodes)
-    counts = dict(kept.groupBy("part").count().collect())
+    counts = dict(kept.groupBy("part").agg(F.sum(F.length("flags"))).collect())
     starts = np.cumsum([0, *(counts.get(p, 0) for p in range(max(counts) + 1))]).tolist()
-    start = F.element_at(F.expr(f"array({', '.join(map(str, starts))})"), F.col("part") + 1)
-    count = starts[-1]
-    if count * size >= 1 << 32:
+    if total >= 1 << 32:
         raise ValueError("more nodes than 32 bits can number")
-    made = kept.select((start + F.col("seq")).cast("long").alias("block"), "ids", "flags", "data")
-    return Store(made, total, count, size, most // np.dtype(wide).itemsize, wide)
+    width = most // np.dtype(wide).itemsize
+    # Partitions may be many and small; blocks are not.
+    start = F.element_at(F.expr(f"array({', '.join(map(str, starts))})"), F.col("part") + 1) + F.col("seq") * F.lit(size)
+
+    def pieces(first: int, row: dict) -> Iterator[Message]:
+        pos = first + np.arange(len(memoryview(row["flags"])))
+        columns = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("flags", np.uint8), ("data", wide)))
+        yield from _dealt(pos // size, "", pos, *(c.reshape(len(pos), -1) for c in columns))
+
+    row_schema = "block long, ids binary, flags binary, data binary"
+    row_arrow = _arrow(row_schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, got = -1, []
+        for batch in batches:
+            block = batch.column(0)[0].as_py()
+            got += [x.as_buffer() for x in batch.column(1)]
+        pos, *columns = _all(got, "i8", "i8", "u1", (wide, width))
+        row = [block, *(_pack(x[np.argsort(pos)]) for x in columns)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, row_arrow.types, strict=True)], schema=row_arrow)
+
+    parts = _each(kept.select(start.cast("long").alias("block"), "ids", "flags", "data"), pieces)
+    made = materialize(parts.select("block", "data").groupBy("block").applyInArrow(whole, row_schema), "nn-store")
+    _forget(kept)
+    return Store(made, total, -(-total // size), size, width, wide)
 
 
 def _forget(table: DataFrame) -> None:

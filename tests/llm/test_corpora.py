@@ -383,6 +383,25 @@ def test_rows_between_steps_are_blocks(spark, monkeypatch):
     assert sum(written) < 6 * 1500, written
 
 
+def test_blocks_do_not_follow_partitions(spark):
+    rows = [(i, [float(i % 7), 1.0 + i]) for i in range(600, 0, -1)] + [(1000 + i, [float(i % 7), 1.0 + i]) for i in range(9)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(40)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        store = nn_descent.stored(nn_descent.usable(given, "vec_id", "embedding"), F.col("vec_id") == 5, "f8")
+        made = sorted(store.rows.collect(), key=lambda r: r.block)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ids = [np.frombuffer(r.ids, np.int64).tolist() for r in made]
+    assert [len(x) for x in ids] == [512, 89] and store.blocks == 2 and sum(ids, []) == [*range(1, 601), 1000]
+    flags, data = (np.concatenate([np.frombuffer(r[c], t) for r in made]) for c, t in (("flags", np.uint8), ("data", np.float64)))
+    assert [i + 1 for i in np.flatnonzero(flags & 1)] == [5] and [i + 1 for i in np.flatnonzero(flags & 2)] == [*range(1, 9)]
+    assert data.reshape(-1, 2).tolist() == [[float(i % 7), 1.0 + i] for i in [*range(1, 601), 0]]
+
+
 @pytest.mark.parametrize("cell", [32, 1])
 def test_many_blocks_waves_and_a_large_leaf(spark, monkeypatch, cell):
     for name, value in (("BLOCK", 300), ("WAVE", 1000), ("CELL", cell)):
